@@ -63,10 +63,12 @@ def roc_auc(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataF
     ``tp - pos`` to ``tp`` in height, so no neighbour lookup is needed.
     """
     counts = threshold_counts(df, score, truth)
-    area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos"))) / F.lit(2.0)
-    return counts.agg(
-        F.try_divide(area, (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc")
-    )
+    return counts.agg(_area().alias("roc_auc"))
+
+
+def _area() -> Column:
+    neg, pos, tp = (F.col(c).cast("double") for c in ("neg", "pos", "tp"))
+    return F.try_divide(F.sum(neg * (2 * tp - pos)) / 2, F.sum(pos) * F.sum(neg))
 
 
 def youden(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
@@ -94,7 +96,8 @@ def pr_curve(df: DataFrame, score: str = "score", truth: str = "y_true") -> Data
 def average_precision(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
     """Sum of recall steps weighted by precision, one row."""
     counts = threshold_counts(df, score, truth)
-    weighted = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    pos, tp, fp = (F.col(c).cast("double") for c in ("pos", "tp", "fp"))
+    weighted = F.sum(pos * tp / (tp + fp))
     return counts.agg(safe_ratio(weighted, F.sum("pos")).alias("average_precision"))
 
 
@@ -222,11 +225,11 @@ def eval_summary(df: DataFrame, dataset: str, positive: str, negative: str, hypo
     """
     counts = threshold_counts(df, score, truth)
     p, n = _totals(df, truth)
-    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
-    j = F.round(F.try_divide(tp.cast("double"), p) - F.try_divide(fp.cast("double"), n), 12)
+    tp, fp, pos = (F.col(c).cast("double") for c in ("tp", "fp", "pos"))
+    j = F.round(F.try_divide(tp, p) - F.try_divide(fp, n), 12)
     best = F.max(F.struct(j.alias("j"), F.col("threshold").alias("t")))
     row = counts.agg(
-        F.try_divide(F.sum(neg * (2 * tp - pos)) / F.lit(2.0), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"),
+        _area().alias("roc_auc"),
         safe_ratio(F.sum(pos * tp / (tp + fp)), F.sum("pos")).alias("average_precision"),
         best.alias("b"),
     )
