@@ -4,10 +4,9 @@ A classified row carries its candidate labels and their logits as arrays, so
 ranking and verdicts are expressions on the row and need no shuffle.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textveil.constants import (
@@ -84,27 +83,24 @@ def score(
 
     ``load_scorer`` runs once per Python task and returns a function from a
     batch of texts and their hypotheses to a batch of logits.  Only the text
-    travels to Python besides the columns that are kept; blank texts never
-    reach the scorer and get null.
+    column travels to Python; blank texts never reach the scorer and get null.
     """
-    names = list(labels)
-    rendered = [template.replace("{}", n, 1) for n in names]
-    schema = df.select("*", F.array().cast("array<double>").alias(out)).schema
+    rendered = [template.replace("{}", n, 1) for n in labels]
 
-    def run(batches: Iterator) -> Iterator:
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = None
-        for batch in batches:
-            live = batch[txt].fillna("").str.strip() != ""
-            result = [None] * len(batch)
-            texts = batch.loc[live, txt].tolist()
-            if texts:
+        for texts in batches:
+            live = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            result = [None] * len(texts)
+            if live:
                 scorer = scorer or load_scorer()
-                scored = scorer(texts, [rendered] * len(texts))
-                for i, row in zip([i for i, ok in enumerate(live) if ok], scored):
+                scored = scorer([texts.iloc[i] for i in live], [rendered] * len(live))
+                for i, row in zip(live, scored):
                     result[i] = [float(x) for x in row]
-            yield batch.assign(**{out: result})
+            yield pd.Series(result, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out, run(as_col(txt)))
 
 
 def label_scores(txt, labels: Sequence[str], logits, multi_label: bool = True, mapping: dict[str, str] | None = None) -> Column:
