@@ -210,7 +210,7 @@ def batches(spark: SparkSession, n: int, size: int = BATCH_SIZE) -> DataFrame:
     return (
         spark.range((n + size - 1) // size)
         .select(F.col("id").cast("int").alias("batch"))
-        .withColumn("size", F.least(F.lit(size), F.lit(n) - F.col("batch") * size))
+        .withColumn("size", F.least(F.lit(size), F.lit(n) - F.col("batch") * size).cast("bigint"))
     )
 
 

@@ -16,12 +16,17 @@ RANGES = 64
 
 
 def range_of(df: DataFrame, order: str, n: int = RANGES) -> Column:
-    """Ordered range number of each row's numeric ``order`` value."""
+    """Ordered range number of each row's numeric ``order`` value.
+
+    The cuts are approximate quantiles, fetched once as a scalar subquery; the
+    number of cuts below a value is its place among them.
+    """
     cuts = df.agg(
         F.percentile_approx(order, [i / n for i in range(1, n)], F.lit(1000)).alias("cuts")
     ).scalar()
     value = F.col(order)
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
+    place = F.array_position(F.sort_array(F.array_append(cuts, value)), value) - 1
+    return F.coalesce(place, F.lit(0)).cast("int")
 
 
 def with_offsets(ranged: DataFrame, group: Sequence[str], totals: dict[str, Column], descending: bool = False) -> DataFrame:

@@ -347,7 +347,13 @@ def c3(spark, sf):
     return long.select("doc_id", F.get(cl.string_array(LABELS_EN), F.col("j")).alias("label"), "logit")
 
 
-@query("c3_relevance_scorer")
+@query(
+    "c3_relevance_scorer",
+    f"""WITH {_PAIRS}, z AS (SELECT *, length('Frage: ' || question || ' Antwort: ' || answer) AS n, false AS blank FROM pairs),
+    lg AS (SELECT *, exp((n % 7)::DOUBLE / 3.0) AS ea, exp((n % 5)::DOUBLE / 2.0) AS eb FROM z),
+    v AS (SELECT *, ea / (ea + eb) AS rel, eb / (ea + eb) AS irr FROM lg)
+    {_VERDICT.format(t=0.5)}""",
+)
 def c3_relevance(spark, sf):
     def load_scorer():
         return lambda texts, hyps: [[len(t) % 7 / 3.0, len(t) % 5 / 2.0] for t in texts]

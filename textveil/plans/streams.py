@@ -1 +1,119 @@
+"""Queries: the stream jobs, run over what is available, and their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textveil.functions.text import mask_numbers
+from textveil.operators import anonymize as an
+from textveil.plans import corpus as co
+from textveil.plans.registry import query, table
+from textveil.sources.workspace import new_dir
+from textveil.streaming import jobs
+
+
+def incoming(spark, sf, name):
+    """A given table as a file stream."""
+    schema = table(spark, sf, name).schema
+    return jobs.read_stream(spark, sf, schema, pathGlobFilter=f"{name}.parquet")
+
+
+def finish(df, name):
+    """Run a stream to its end and read what it wrote."""
+    spark = df.sparkSession
+    out, state = new_dir(spark, name), new_dir(spark, f"{name}-state")
+    jobs.write_stream(df, out, state).awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query(
+    "r1_stream_scrub",
+    rf"SELECT doc_id, regexp_replace({co.sql_squash(co.sql_rules())}, '\p{{Nd}}{{3,}}', '[NUM]', 'g') AS text FROM documents",
+)
+def r1(spark, sf):
+    done = jobs.scrub_stream(incoming(spark, sf, "documents").select("doc_id", "text"))
+    return finish(done, "scrubbed")
+
+
+@query(
+    "r1_stream_anonymize",
+    f"SELECT doc_id, {co.sql_replace(co.sql_replace('text', co.RE2_RULES['EMAIL'], '<EMAIL>'), co.ZIP_RE2, '<PLZ>')} AS anonymized_text FROM documents",
+)
+def r1_anonymize(spark, sf):
+    docs = incoming(spark, sf, "documents").select("doc_id", "text")
+    done = jobs.anonymize_stream(docs, recognizers=[an.ZIP, an.EMAIL])
+    return finish(done.select("doc_id", "result.anonymized_text"), "anonymized")
+
+
+@query(
+    "r2_stream_deny_reload",
+    r"SELECT doc_id, regexp_replace(text, '\b(?:the and|the|and)\b', '<INTERN>', 'g') AS anonymized_text FROM documents",
+)
+def r2(spark, sf):
+    deny, out = new_dir(spark, "deny"), new_dir(spark, "reloaded")
+    terms = spark.createDataFrame([("and",), ("the and",), ("the",)], "value string")
+    terms.coalesce(1).write.text(deny)
+
+    def sink(batch, batch_id):
+        batch.select("doc_id", "result.anonymized_text").write.mode("append").parquet(out)
+
+    docs = incoming(spark, sf, "documents").select("doc_id", "text")
+    jobs.anonymize_with_reload(docs, deny, sink, new_dir(spark, "reload-state"), recognizers=[]).awaitTermination()
+    return spark.read.parquet(out)
+
+
+_TUMBLING = """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end,
+  event_type AS entity_type, count(*) AS n FROM events GROUP BY 1, 2, 3"""
+
+
+@query("r3_tumbling_audit", _TUMBLING)
+def r3(spark, sf):
+    return jobs.windowed_audit(table(spark, sf, "events"), "ts", "event_type", "1 hour", late=None)
+
+
+@query(
+    "r3_sliding_audit",
+    """WITH w AS (SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) - unnest([INTERVAL '0 minutes', INTERVAL '30 minutes']) AS s FROM events)
+    SELECT s AS window_start, s + INTERVAL '1 hour' AS window_end, event_type AS entity_type, count(*) AS n FROM w GROUP BY 1, 2, 3""",
+)
+def r3_sliding(spark, sf):
+    return jobs.windowed_audit(table(spark, sf, "events"), "ts", "event_type", "1 hour", "30 minutes", late=None)
+
+
+@query(
+    "r3_session_audit",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS b FROM events),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def r3_session(spark, sf):
+    return jobs.session_audit(table(spark, sf, "events"), "ts", "user_id", late=None)
+
+
+@query(
+    "r3_stream_audit",
+    f"""WITH t AS ({_TUMBLING}) SELECT * FROM t WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""",
+)
+def r3_stream(spark, sf):
+    """Append mode: a window is written once the watermark has passed its end."""
+    counts = jobs.windowed_audit(incoming(spark, sf, "events"), "ts", "event_type", "1 hour")
+    return finish(counts, "audit")
+
+
+@query("r4_stream_skip_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def r4(spark, sf):
+    events = incoming(spark, sf, "events").withColumn("text", F.concat_ws(" ", "user_id", "event_type"))
+    fresh = jobs.skip_seen(events, "ts", horizon="60 days")
+    return finish(fresh.select("user_id", "event_type"), "fresh")
+
+
+@query("r5_stream_resume", "SELECT doc_id, regexp_replace(text, '\\p{Nd}{3,}', '[NUM]', 'g') AS text FROM documents")
+def r5(spark, sf):
+    """Started twice on the same folders; the second run finds nothing new."""
+    out, state = new_dir(spark, "resumed"), new_dir(spark, "resumed-state")
+    for _ in range(2):
+        docs = incoming(spark, sf, "documents").select("doc_id", mask_numbers("text").alias("text"))
+        jobs.write_stream(docs, out, state).awaitTermination()
+    return spark.read.parquet(out)
+
 

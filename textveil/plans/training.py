@@ -1 +1,117 @@
+"""Queries: text classifiers, contrastive pairs and vector classifiers."""
 
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from textveil.constants import MAX_TOKENS
+from textveil.operators import curate as cu
+from textveil.operators import evaluate as ev
+from textveil.operators import train as tr
+from textveil.plans import corpus as co
+from textveil.plans.registry import query, table
+from textveil.sources.workspace import new_dir
+
+
+def labelled(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+@query(
+    "t1_text_features",
+    rf"""WITH s AS (SELECT doc_id, array_to_string((string_split({co.sql_squash('text')}, ' '))[1:{MAX_TOKENS}], ' ') AS t FROM documents)
+    SELECT doc_id, len(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+'))::INTEGER AS n_tokens FROM s""",
+)
+def t1(spark, sf):
+    docs = tr.truncated(table(spark, sf, "documents").select("doc_id", "text"))
+    done = Pipeline(stages=tr.text_features()[:2]).fit(docs).transform(docs)
+    return done.select("doc_id", F.size("_tokens").alias("n_tokens"))
+
+
+@query("t2_safety_predictions")
+def t2(spark, sf):
+    data = labelled(spark, sf)
+    model = tr.fit_safety(data)
+    scored = tr.predict(model, table(spark, sf, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "y_pred", F.round(F.element_at("probs", 2), 4).alias("unsafe_prob"))
+
+
+@query("t3_model_selection")
+def t3(spark, sf):
+    _, candidates = tr.select_best(labelled(spark, sf))
+    return candidates
+
+
+@query("t4_saved_model")
+def t4(spark, sf):
+    root = new_dir(spark, "models")
+    data = labelled(spark, sf)
+    tr.save_model(tr.fit_safety(data), root, "v1")
+    model = tr.load_model(root, "v1")
+    scored = tr.predict(model, data.withColumnRenamed("label", "y_true"))
+    return ev.binary_metrics(scored)
+
+
+@query("e19_functional_test")
+def e19(spark, sf):
+    # fitted on the labelled documents and the hand-written rows
+    docs = labelled(spark, sf).select("text", F.col("label").cast("int").alias("label"))
+    literals = cu.literal_examples(spark).withColumn("label", cu.to_binary("label"))
+    return tr.functional_test(tr.fit_safety(cu.combine(docs, literals)), spark)
+
+
+_PLACED = """pl AS (
+  SELECT vec_id AS id, label AS c, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) - 1 AS p FROM embeddings),
+sz AS (SELECT c, count(*) AS n FROM pl GROUP BY 1),
+ring AS (
+  SELECT c, n, coalesce(lead(c) OVER (ORDER BY c), first(c) OVER (ORDER BY c)) AS other,
+         coalesce(lead(n) OVER (ORDER BY c), first(n) OVER (ORDER BY c)) AS other_n FROM sz),
+w AS (SELECT pl.*, n, other, other_n, unnest(range(1, 11)) AS r FROM pl JOIN ring ON ring.c = pl.c),
+a AS (
+  SELECT id, r, 1 AS same, c AS tc, (p + 1 + (r - 1) % greatest(n - 1, 1)) % n AS tp FROM w
+  UNION ALL SELECT id, r, 0, other, (p + r) % other_n FROM w)"""
+
+
+@query(
+    "t5_contrastive_pairs",
+    f"""WITH {_PLACED} SELECT a.id AS left_id, b.id AS right_id, a.r::INTEGER AS iteration, a.same
+    FROM a JOIN pl b ON b.c = a.tc AND b.p = a.tp""",
+)
+def t5(spark, sf):
+    return cu.contrastive_pairs(table(spark, sf, "embeddings"), 10, key="vec_id")
+
+
+_CENTROIDS = """e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cen AS (SELECT label, i, avg(v) AS m FROM e GROUP BY 1, 2)"""
+
+
+@query("t6_class_centroids", f"WITH {_CENTROIDS} SELECT label, (i - 1)::INTEGER AS dim, round(m, 6) AS mean FROM cen")
+def t6(spark, sf):
+    centroids = tr.class_centroids(table(spark, sf, "embeddings"))
+    long = centroids.select("label", F.posexplode("centroid").alias("dim", "mean"))
+    return long.withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "t6_nearest_centroid",
+    f"""WITH {_CENTROIDS}, s AS (
+      SELECT e.vec_id, cen.label, sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))) AS cosine
+      FROM e JOIN cen ON cen.i = e.i GROUP BY 1, 2)
+    SELECT vec_id, first(label ORDER BY cosine DESC, label) AS predicted, round(max(cosine), 6) AS cosine FROM s GROUP BY 1""",
+)
+def t6_nearest(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    scored = tr.nearest_centroid(vectors, tr.class_centroids(vectors))
+    return scored.select("vec_id", "predicted", F.round("cosine", 6).alias("cosine"))
+
+
+@query("t6_logistic_head")
+def t6_head(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = table(spark, sf, "embeddings")
+    model = tr.fit_head(vectors, reg=0.01)
+    ready = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    return model.transform(ready).select("vec_id", "label", F.col("prediction").cast("int").alias("predicted"))

@@ -57,19 +57,28 @@ def anonymize_with_reload(df: DataFrame, deny_path: str, sink: Callable[[DataFra
     )
 
 
+def with_event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """Watermark on ``ts``; watermarks need a timestamp with time zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def windowed_audit(df: DataFrame, ts: str, entity_type: str, size: str, slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:
     """Findings per entity type and tumbling or sliding window."""
-    source = df.withWatermark(ts, late) if late else df
+    kind = dict(df.dtypes)[ts]
+    source = with_event_time(df, ts, late) if late else df
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     counts = source.groupBy(window.alias("w"), F.col(entity_type).alias("entity_type")).agg(F.count("*").alias("n"))
-    return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "entity_type", "n")
+    start, end = F.col("w.start").cast(kind), F.col("w.end").cast(kind)
+    return counts.select(start.alias("window_start"), end.alias("window_end"), "entity_type", "n")
 
 
 def session_audit(df: DataFrame, ts: str, user: str, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
     """Findings per user and session; a session ends after ``gap`` without any."""
-    source = df.withWatermark(ts, late) if late else df
+    kind = dict(df.dtypes)[ts]
+    source = with_event_time(df, ts, late) if late else df
     counts = source.groupBy(F.session_window(ts, gap).alias("w"), F.col(user).alias("user_id")).agg(F.count("*").alias("n"))
-    return counts.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    start, end = F.col("w.start").cast(kind), F.col("w.end").cast(kind)
+    return counts.select("user_id", start.alias("session_start"), end.alias("session_end"), "n")
 
 
 def text_digest(txt) -> Column:
@@ -78,5 +87,5 @@ def text_digest(txt) -> Column:
 
 def skip_seen(df: DataFrame, ts: str, txt: str = "text", horizon: str = "1 day") -> DataFrame:
     """Drop texts already seen within ``horizon`` of event time."""
-    keyed = df.where(~is_blank(txt)).withColumn("text_hash", text_digest(txt)).withWatermark(ts, horizon)
+    keyed = with_event_time(df.where(~is_blank(txt)).withColumn("text_hash", text_digest(txt)), ts, horizon)
     return keyed.dropDuplicatesWithinWatermark(["text_hash"]).drop("text_hash")
