@@ -23,14 +23,29 @@ _OUTSIDE_CLASS = {
     "D": r"\P{Nd}",
     "s": SPACE,
     "S": f"[^{SPACE_CHARS}]",
-    "b": f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))",
+    "b": f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))",
 }
 _INSIDE_CLASS = {"w": WORD_CHARS, "d": r"\p{Nd}", "D": r"\P{Nd}", "s": SPACE_CHARS}
 _PIECES = re.compile(r"\\.|\[\^?\]?|\]|.", re.DOTALL)
 
 
+# a pattern that begins with a boundary and one character that must be there
+_LEAD = re.compile(r"\\b(\[\^?(?:\\.|[^\]\\])+\]|\\[dwS]|[^\W])(?![*?]|\{0)")
+
+
 def portable_regex(pattern: str) -> str:
-    """``pattern`` with its escapes spelled out for Java's regex engine."""
+    """``pattern`` with its escapes spelled out for Java's regex engine.
+
+    A leading boundary costs several character tests at every position of a
+    text, so the first character is looked at before it where that is possible.
+    """
+    lead = _LEAD.match(pattern)
+    if lead and "|" not in re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)", "", pattern):
+        return f"(?={_spell_out(lead.group(1))})" + _spell_out(pattern)
+    return _spell_out(pattern)
+
+
+def _spell_out(pattern: str) -> str:
     out, in_class = [], False
     for piece in _PIECES.findall(pattern):
         if piece[0] == "\\":

@@ -37,7 +37,7 @@ from textveil.functions.spans import (
 )
 from textveil.functions.regex import whole_words
 from textveil.functions.text import as_col, words
-from textveil.operators.dictionary import as_frame, inline_words, with_matches
+from textveil.operators.dictionary import as_frame, inline_words, matched_words, with_matches
 
 _DIGIT = r"\p{Nd}"
 
@@ -109,20 +109,12 @@ def with_deny_spans(df: DataFrame, txt: str, terms, key: str = "doc_id", out: st
             F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")),
         ).otherwise(F.array().cast("array<string>"))
 
-    salts = 8
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+    none = F.array().cast("array<string>")
     listed_words = df.select(key, toks.alias("_w"))
-    found = listed_words.select(
-        key,
-        salt.alias("salt"),
-        F.explode(F.array_distinct(F.concat(*[grams(F.col("_w"), n) for n in lengths] or [F.array().cast("array<string>")]))).alias("word"),
-    )
-    copies = keyed.where("n > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = (
-        found.join(copies, ["word", "salt"])
-        .groupBy(key)
-        .agg(F.collect_set("term").alias("_terms"))
-    )
+    all_grams = F.concat(none, *[grams(F.col("_w"), n) for n in lengths])
+    by_gram = keyed.where("n > 0").select("word", F.col("term").alias("kind"))
+    found = matched_words(listed_words, key, all_grams, by_gram)
+    hits = found.groupBy(key).agg(F.collect_set("kind").alias("_terms"))
     escape = lambda t: F.regexp_replace(t, r"([^\w\s]|_)", r"\\$1")
     terms_col = F.array_distinct(
         F.concat(F.coalesce("_terms", F.array().cast("array<string>")), F.array(*map(F.lit, bare)).cast("array<string>"))

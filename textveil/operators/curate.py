@@ -86,10 +86,13 @@ def combine(*parts: DataFrame) -> DataFrame:
 
 def pending(df: DataFrame, done: DataFrame, txt: str = "text", done_txt: str = "source_text") -> DataFrame:
     """Rows whose text is not yet among the source texts already processed."""
-    keys = done.where(F.col(done_txt).isNotNull() & (F.col(done_txt) != "")).select(
-        F.col(done_txt).alias("_done")
-    )
-    return df.join(keys.distinct(), F.col(txt) == F.col("_done"), "left_anti")
+    keys = done.where(F.col(done_txt).isNotNull() & (F.col(done_txt) != "")).select(digest(done_txt).alias("_done"))
+    return df.join(keys.distinct(), digest(txt) == F.col("_done"), "left_anti")
+
+
+def digest(txt) -> Column:
+    """A SHA-256 key, so that only keys of the other side are shuffled."""
+    return F.sha2(F.col(txt), 256)
 
 
 def first_of_each(df: DataFrame, txt: str = "text", order: str = "doc_id") -> DataFrame:
@@ -104,10 +107,11 @@ def first_of_each(df: DataFrame, txt: str = "text", order: str = "doc_id") -> Da
 
 def new_only(df: DataFrame, existing: DataFrame | None = None, txt: str = "text", order: str = "doc_id") -> DataFrame:
     """Rows with a text neither among ``existing`` nor earlier in the batch."""
-    if existing is not None:
-        seen = existing.select(F.col(txt).alias("_seen")).distinct()
-        df = df.join(seen, F.col(txt) == F.col("_seen"), "left_anti")
-    return first_of_each(df, txt, order)
+    fresh = first_of_each(df, txt, order)
+    if existing is None:
+        return fresh
+    seen = existing.select(digest(txt).alias("_seen")).distinct()
+    return fresh.join(seen, digest(txt) == F.col("_seen"), "left_anti")
 
 
 # --- labels and provenance --------------------------------------------------

@@ -11,6 +11,8 @@ from textveil.functions.text import norm_tokens, squash_ws, strip_ws
 # Up to this many words a dictionary is a hash set inside the plan; larger
 # ones are joined.
 MAX_INLINE_WORDS = 10_000
+# Up to this many words (some ten bytes each) it is sent to all executors.
+MAX_BROADCAST_WORDS = 1_000_000
 
 
 def clean_word_list(df: DataFrame, col: str = "word", min_len: int = 1, exclude: DataFrame | None = None) -> DataFrame:
@@ -65,10 +67,14 @@ def dictionary_stats(**dictionaries: DataFrame) -> DataFrame:
 def matched_words(df: DataFrame, key: str, words: Column, dictionary: DataFrame, salts: int = 8) -> DataFrame:
     """``(key, kind, word)`` for each dictionary word among a row's words.
 
-    For dictionaries of any size.  A word of the text language can be in a
-    large share of all rows, so its rows are spread over ``salts`` copies of
-    the dictionary; rows contribute each distinct word once.
+    For dictionaries of any size: one of counted, bounded size is broadcast, so
+    that only matches are shuffled later.  Beyond that, a word of the text
+    language can be in a large share of all rows, so its rows are spread over
+    ``salts`` copies of the dictionary; rows contribute each distinct word once.
     """
+    if dictionary.limit(MAX_BROADCAST_WORDS + 1).count() <= MAX_BROADCAST_WORDS:
+        found = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
+        return found.join(F.broadcast(dictionary), "word").select(key, "kind", "word")
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
     found = df.select(key, salt.alias("salt"), F.explode(F.array_distinct(words)).alias("word"))
     copies = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -113,19 +113,19 @@ def score_histogram(df: DataFrame, bins: int = BINS, score: str = "score", truth
     either side.
     """
     counts = df.groupBy(F.col(truth).alias("y_true"), F.col(score).alias("s")).agg(F.count("*").alias("c"))
-    keys = [] if shared_range else ["y_true"]
-    edges = counts.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    edges = edges.select(
-        *keys,
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+    # two classes: their edges are one row, not a join on a two-valued key
+    own = [F.lit(True)] * 2 if shared_range else [F.col("y_true") == k for k in (0, 1)]
+    edges = counts.agg(
+        F.struct(
+            *[f(F.when(own[k], F.col("s"))).alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in (0, 1)]
+        ).alias("e")
+    ).scalar()
+    pick = [F.when(F.col("y_true") == 0, edges[f"{n}0"]).otherwise(edges[f"{n}1"]) for n in ("lo", "hi")]
+    wide = counts.withColumn("_lo", pick[0]).withColumn("_hi", pick[1])
+    flat = F.col("_lo") == F.col("_hi")
+    ready = wide.withColumn("lo", F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo"))).withColumn(
+        "hi", F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi"))
     )
-    if shared_range:
-        one = edges.select(F.struct("lo", "hi").alias("e")).scalar()
-        ready = counts.withColumn("lo", one["lo"]).withColumn("hi", one["hi"])
-    else:
-        ready = counts.join(edges, keys)
     place = F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     return (
         ready.withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))

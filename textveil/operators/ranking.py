@@ -12,21 +12,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 64
+STEP = 32
+CHUNK = 1024
 
 
-def range_of(df: DataFrame, order: str, n: int = RANGES) -> Column:
+def range_count(df: DataFrame) -> int:
+    """32 ranges on small sessions, 1024 where there are many shuffle tasks."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return STEP if tasks <= STEP else STEP * STEP
+
+
+def range_of(df: DataFrame, order: str) -> Column:
     """Ordered range number of each row's numeric ``order`` value.
 
-    The cuts are approximate quantiles, fetched once as a scalar subquery; the
-    number of cuts below a value is its place among them.
+    The cuts are approximate quantiles, fetched once as a scalar subquery.  The
+    number of cuts below a value is its place among them, found first among
+    every 32nd cut and then among the cuts between two of those.
     """
-    cuts = df.agg(
-        F.percentile_approx(order, [i / n for i in range(1, n)], F.lit(1000)).alias("cuts")
-    ).scalar()
+    n = range_count(df)
+    shares = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(order, shares, F.lit(max(1000, 4 * n))).alias("fine"))
+    if n > STEP:
+        every = F.filter("fine", lambda _, i: i % STEP == STEP - 1)
+        cuts = cuts.select(F.struct("fine", every.alias("coarse")).alias("cuts"))
+    found = cuts.scalar()
     value = F.col(order)
-    place = F.array_position(F.sort_array(F.array_append(cuts, value)), value) - 1
-    return F.coalesce(place, F.lit(0)).cast("int")
+
+    def place(sorted_cuts):
+        return F.array_position(F.sort_array(F.array_append(sorted_cuts, value)), value).cast("int") - 1
+
+    if n <= STEP:
+        return F.coalesce(place(found), F.lit(0))
+    block = F.coalesce(place(found["coarse"]), F.lit(0))
+    within = place(F.slice(found["fine"], block * STEP + 1, F.lit(STEP - 1)))
+    return block * STEP + F.coalesce(within, F.lit(0))
 
 
 def with_offsets(ranged: DataFrame, group: Sequence[str], totals: dict[str, Column], descending: bool = False) -> DataFrame:
@@ -45,9 +64,9 @@ def with_offsets(ranged: DataFrame, group: Sequence[str], totals: dict[str, Colu
     return ranged.join(offsets, [*group, "_range"])
 
 
-def with_position(df: DataFrame, order: str, out: str = "position", n: int = RANGES) -> DataFrame:
+def with_position(df: DataFrame, order: str, out: str = "position") -> DataFrame:
     """Zero-based position of each row by a numeric column of distinct values."""
-    ranged = df.withColumn("_range", range_of(df, order, n))
+    ranged = df.withColumn("_range", range_of(df, order))
     placed = with_offsets(ranged, [], {"n": F.count("*")})
     inside = Window.partitionBy("_range").orderBy(order)
     position = F.col("_before_n") + F.row_number().over(inside) - 1
@@ -67,9 +86,9 @@ def with_hash_position(df: DataFrame, key: str, group: Sequence[str] = (), out:
     return placed.withColumn(out, position.cast("bigint")).drop("_range", "_before_n")
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], n: int = RANGES, descending: bool = True) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: bool = True) -> DataFrame:
     """Add ``cum_<name>``: the running sum of each column by a distinct ``order``."""
-    ranged = df.withColumn("_range", range_of(df, order, n))
+    ranged = df.withColumn("_range", range_of(df, order))
     placed = with_offsets(ranged, [], {s: F.sum(s) for s in sums}, descending)
     by = F.desc(order) if descending else F.asc(order)
     inside = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,45 +97,52 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], n: int = RANG
     return placed.drop("_range", *[f"_before_{s}" for s in sums])
 
 
-def with_neighbour(df: DataFrame, group: Sequence[str], order: str, cols: dict[str, str], chunk: int = 1024, ahead: bool = True) -> DataFrame:
+def with_neighbour(df: DataFrame, group: Sequence[str], order: str, cols: dict[str, str], chunk: int = CHUNK, ahead: bool = True) -> DataFrame:
     """Values of the next (or previous) row within a group.
 
     ``cols`` maps source columns to output names.  Groups are cut by ``order``
-    into chunks of at most ``chunk`` consecutive values; only each chunk's edge
-    row travels to its neighbour chunk.
+    into chunks of at most ``chunk`` consecutive values, so no task holds more
+    of a group than that; only each chunk's edge row travels to the next chunk.
     """
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
     edge_value = F.min_by if ahead else F.max_by
-    edges = chunked.groupBy(*group, "_chunk").agg(
-        edge_value(F.struct(*cols), order).alias("_edge")
-    )
+    edges = chunked.groupBy(*group, "_chunk").agg(edge_value(F.struct(*cols), order).alias("_edge"))
+    # which chunk is next door: one small row per chunk
     per_group = Window.partitionBy(*group).orderBy("_chunk")
     move = F.lead if ahead else F.lag
-    edges = edges.select(*group, "_chunk", move("_edge").over(per_group).alias("_edge"))
+    doors = chunked.select(*group, "_chunk").distinct()
+    doors = doors.withColumn("_from", move("_chunk").over(per_group))
+    brought = doors.where("_from is not null").join(
+        edges.withColumnRenamed("_chunk", "_from"), [*group, "_from"]
+    )
     inside = Window.partitionBy(*group, "_chunk").orderBy(order)
     local = chunked.withColumn("_near", move(F.struct(*cols)).over(inside))
-    joined = local.join(edges, [*group, "_chunk"], "left")
+    joined = local.join(brought.drop("_from"), [*group, "_chunk"], "left")
     value = F.coalesce("_near", "_edge")
     for src, name in cols.items():
         joined = joined.withColumn(name, value[src])
     return joined.drop("_chunk", "_near", "_edge")
 
 
-def with_last_seen(df: DataFrame, group: Sequence[str], order: str, value: str, out: str, chunk: int = 1024) -> DataFrame:
+def with_last_seen(df: DataFrame, group: Sequence[str], order: str, value: str, out: str, chunk: int = CHUNK) -> DataFrame:
     """The last non-null ``value`` at or before each row of a group.
 
     Cut into chunks like :func:`with_neighbour`: a chunk hands on its last
-    value, later chunks without one of their own receive it.
+    value, later chunks that begin without one receive it.
     """
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    edges = chunked.groupBy(*group, "_chunk").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_edge")
+    edges = chunked.where(F.col(value).isNotNull()).groupBy(*group, "_chunk").agg(
+        F.max_by(value, order).alias("_carried")
     )
+    # the nearest earlier chunk with a value: one small row per chunk
+    filled = chunked.groupBy(*group, "_chunk").agg(F.max(F.col(value).isNotNull()).alias("_has"))
     earlier = (
         Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    edges = edges.select(*group, "_chunk", F.last("_edge", ignorenulls=True).over(earlier).alias("_carried"))
+    source = F.last(F.when(F.col("_has"), F.col("_chunk")), ignorenulls=True).over(earlier)
+    doors = filled.withColumn("_from", source).where("_from is not null").drop("_has")
+    brought = doors.join(edges.withColumnRenamed("_chunk", "_from"), [*group, "_from"])
     inside = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = chunked.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
-    joined = local.join(edges, [*group, "_chunk"], "left")
+    joined = local.join(brought.drop("_from"), [*group, "_chunk"], "left")
     return joined.withColumn(out, F.coalesce("_local", "_carried")).drop("_chunk", "_local", "_carried")

@@ -9,17 +9,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textveil.constants import LOCATION_MASK, PERSON_MASK, SCRUB_RULES
 from textveil.functions.regex import portable_regex, quote_replacement
+from textveil.functions.spans import contains_any
 from textveil.functions.text import as_col, let, mask_numbers, norm_tokens, squash_ws
 from textveil.operators.dictionary import as_frame, inline_words, rewrite_tokens, with_matches
 
-# Every default rule needs a digit or an at sign.
+# Every default rule needs a digit or an at sign, and each one more than that.
 DEFAULT_NEEDS = r"[\p{Nd}@]"
+RULE_NEEDS = {
+    "MEDICAL_ID": r"\p{Nd}{9}",
+    "IBAN": ("DE",),
+    "PHONE": ("0", "+49"),
+    "EMAIL": ("@",),
+    "DATE_YEAR": ("19", "20"),
+    "STREET": r"[a-zß.][\s\x1c-\x1f\x85\p{Z}]*\p{Nd}",
+}
 
 
 def rule_replace(txt, rule: str | tuple[str, str]) -> Column:
-    """Replace all matches of one rule by its bracketed name."""
+    """Replace all matches of one rule by its bracketed name.
+
+    Default rules skip texts without what they need.
+    """
     name, pattern = (rule, dict(SCRUB_RULES)[rule]) if isinstance(rule, str) else rule
-    return F.regexp_replace(as_col(txt), portable_regex(pattern), quote_replacement(f"[{name}]"))
+    replaced = F.regexp_replace(as_col(txt), portable_regex(pattern), quote_replacement(f"[{name}]"))
+    if dict(SCRUB_RULES).get(name) != pattern:
+        return replaced
+    return F.when(contains_any(txt, RULE_NEEDS[name]), replaced).otherwise(as_col(txt))
 
 
 def apply_rules(txt, rules: Sequence[tuple[str, str]] | None = None, needs: str | None = None) -> Column:
@@ -31,11 +46,15 @@ def apply_rules(txt, rules: Sequence[tuple[str, str]] | None = None, needs: str
     """
     if rules is None:
         rules, needs = SCRUB_RULES, DEFAULT_NEEDS
+
+    def step(text, rule):
+        return let(text, lambda t: rule_replace(t, rule))
+
     if not needs:
-        return reduce(rule_replace, rules, as_col(txt))
+        return reduce(step, rules, as_col(txt))
 
     def guarded(c):
-        return F.when(c.rlike(needs), reduce(rule_replace, rules, c)).otherwise(c)
+        return F.when(c.rlike(needs), reduce(step, rules, c)).otherwise(c)
 
     return guarded(F.col(txt)) if isinstance(txt, str) else let(txt, guarded)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,7 +20,7 @@ from textveil.constants import (
     SEED,
     TEST_FRACTION,
 )
-from textveil.functions.scores import cosine
+from textveil.functions.scores import argmax, cosine
 from textveil.functions.text import truncate_tokens
 from textveil.operators.curate import split
 from textveil.operators.evaluate import binary_metrics
@@ -129,25 +130,21 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vec: str = "embed
     """Add the class with the largest cosine and that cosine.
 
     The centroids are collected after a check of their number and become a
-    literal of the plan.
+    literal of the plan; a tie goes to the first class.
     """
-    rows = centroids.limit(MAX_CLASSES + 1).collect()
+    rows = centroids.select(label, "centroid").orderBy(label).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    table = F.array(
-        *[
-            F.struct(F.lit(r[label]).alias("label"), F.lit([float(x) for x in r["centroid"]]).alias("c"))
-            for r in sorted(rows, key=lambda r: str(r[label]))
-        ]
+    kind = dict(centroids.dtypes)[label]
+    values = json.dumps([{"label": r[label], "c": list(r["centroid"])} for r in rows])
+    table = F.from_json(F.lit(values), f"array<struct<label:{kind},c:array<double>>>")
+    scores = F.transform(table, lambda t: F.coalesce(cosine(vec, t["c"]), F.lit(-2.0)))
+    scored = vectors.withColumn("_scores", scores)
+    return (
+        scored.withColumn(out, F.get(table, argmax("_scores"))["label"])
+        .withColumn("cosine", F.array_max("_scores"))
+        .drop("_scores")
     )
-    scored = F.transform(
-        table,
-        lambda t: F.struct(
-            F.coalesce(cosine(vec, t["c"]), F.lit(-2.0)).alias("score"), (-t["label"]).alias("tie"), t["label"].alias("label")
-        ),
-    )
-    best = vectors.withColumn("_best", F.array_max(scored))
-    return best.withColumn(out, F.col("_best.label")).withColumn("cosine", F.col("_best.score")).drop("_best")
 
 
 def fit_head(vectors: DataFrame, vec: str = "embedding", label: str = "label", reg: float = 0.0):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from textveil.constants import SAFE_WORDS
 from textveil.operators.classify import string_array
 from textveil.operators.dictionary import clean_word_list, words_frame
-from textveil.plans.registry import table
+from textveil.plans.registry import spread, table
 
 SUFFIXES = [
     "Ich heiße Peter Müller und wohne in 12345 Berlin.",
@@ -33,7 +33,7 @@ def sql_list(values) -> str:
 
 
 def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     suffix = F.get(string_array(SUFFIXES), F.pmod("doc_id", F.lit(len(SUFFIXES))).cast("int"))
     return docs.select("doc_id", "lang", "source", F.concat_ws(" ", "text", suffix).alias("text"))
 

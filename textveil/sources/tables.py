@@ -22,18 +22,21 @@ _CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 def read_labelled(spark: SparkSession, path: str, schema: str = LABELLED) -> DataFrame:
     """A CSV table with header; quoted fields may hold newlines.
 
+    Empty fields are null.
+
     Quoted newlines keep a file from being split, so large sets should come as
     many files (as :func:`append_examples` writes them) or as Parquet.
     """
     return (
         spark.read.schema(schema)
-        .options(**_CSV, multiLine="true", lineSep="\n", enforceSchema="false", emptyValue="")
+        .options(**_CSV, multiLine="true", lineSep="\n", enforceSchema="false")
         .csv(path)
     )
 
 
 def _write_csv(df: DataFrame, path: str, mode: str) -> None:
-    df.write.mode(mode).options(**_CSV, quoteAll="true", lineSep="\n", emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    options = {"quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode(mode).options(**_CSV, **options, lineSep="\n").csv(path)
 
 
 def append_examples(df: DataFrame, path: str, format: str = "csv") -> None:
