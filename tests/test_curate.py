@@ -133,7 +133,9 @@ def test_exercises(spark, tmp_path):
 
     path = tmp_path / "tree.json"
     path.write_text(json.dumps(TREE, indent=2), encoding="utf-8")
-    found = cu.question_contexts(cu.flatten_exercises(read_exercises(spark, str(path))))
+    trees = read_exercises(spark, str(path))
+    found = cu.question_contexts(cu.flatten_exercises(trees))
+    assert cu.exercise_contexts(cu.exercise_lists(trees)).exceptAll(found).count() == 0
     assert sorted((r.exercise, r.text, r.question) for r in found.collect()) == [("Ex", "eins", "q1"), ("Ex", "zwei", "q3")]
 
 

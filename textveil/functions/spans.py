@@ -47,7 +47,7 @@ def regex_spans(txt, regex, entity_type: str, score: float) -> Column:
         found = F.array(_span(entity_type, begin, end, score, s.m))
         return F.struct(
             end.cast("int").alias("pos"),
-            F.concat(acc.spans, found).cast(f"array<{SPAN_DDL}>").alias("spans"),
+            F.concat(acc.spans, found).alias("spans"),
         )
 
     def fold(matches):
@@ -143,8 +143,8 @@ def resolve_overlaps(spans) -> Column:
         ).otherwise(acc.done)
         opened = F.when(apart, F.array(s)).otherwise(F.concat(acc.open, F.array(s)))
         return F.struct(
-            closed.cast(f"array<{array_ddl}>").alias("done"),
-            opened.cast(array_ddl).alias("open"),
+            closed.alias("done"),
+            opened.alias("open"),
             F.greatest(acc.reach, s.end).cast("int").alias("reach"),
         )
 
@@ -166,9 +166,7 @@ def resolve_overlaps(spans) -> Column:
             no_spans(),
             lambda acc, k: F.when(
                 F.exists(acc, lambda o: (k.s.start < o.end) & (o.start < k.s.end)), acc
-            )
-            .otherwise(F.concat(acc, F.array(k.s)))
-            .cast(array_ddl),
+            ).otherwise(F.concat(acc, F.array(k.s))),
         )
         return in_text_order(kept)
 
@@ -196,9 +194,7 @@ def replace_spans(txt, kept, mapping: dict[str, str] | None = None) -> Column:
         gap = F.substring(c, acc.pos + 1, s.start - acc.pos)
         return F.struct(
             s.end.cast("int").alias("pos"),
-            F.concat(acc.parts, F.array(gap, label_of(s.entity_type, mapping)))
-            .cast("array<string>")
-            .alias("parts"),
+            F.concat(acc.parts, F.array(gap, label_of(s.entity_type, mapping))).alias("parts"),
         )
 
     def finish(acc):

@@ -35,6 +35,7 @@ from textveil.functions.spans import (
     resolve_overlaps,
     term_spans,
 )
+from textveil.functions.arrays import unpack
 from textveil.functions.regex import whole_words
 from textveil.functions.text import as_col, words
 from textveil.operators.dictionary import as_frame, inline_words, matched_words, with_matches
@@ -242,7 +243,7 @@ def anonymize(df: DataFrame, txt: str = "text", out: str = "result", mapping: di
 
 def entities(found: DataFrame, spans: str = "spans", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per detected entity."""
-    return found.select(*keep, F.inline(spans))
+    return unpack(found, spans, keep)
 
 
 def audit_counts(found: DataFrame, by: Sequence[str] = (), spans: str = "spans") -> DataFrame:

@@ -240,7 +240,8 @@ def parse_responses(df: DataFrame, kind: str, response: str = "response") -> tup
     payload = F.col("_parsed")[kind]
     corrupt = F.col("_parsed").isNull() | (payload.isNull() & F.get_json_object(response, "$").isNull())
     rejected = parsed.where(corrupt).drop("_parsed")
-    good = parsed.where(~corrupt)
+    # an unreadable response has no rows, so the good side needs no filter
+    good = parsed
     keep = [c for c in df.columns if c != response]
     if kind == "examples":
         rows = good.select(*keep, F.inline(payload))
@@ -276,17 +277,26 @@ def _object_nodes(raw) -> Column:
     return F.when(strip_ws(raw).startswith("{"), F.from_json(raw, _NODES))
 
 
-def flatten_exercises(df: DataFrame, tree: str = "tree") -> DataFrame:
-    """Blocks of category -> subcategory -> exercise -> [block] trees in JSON text.
+def exercise_lists(df: DataFrame, tree: str = "tree") -> DataFrame:
+    """Exercises of category -> subcategory -> exercise -> [block] trees.
 
-    Nodes of another shape are skipped level by level.
+    Trees are JSON text.  Nodes of another shape are skipped level by level;
+    each exercise keeps its array of blocks.
     """
     keep = [c for c in df.columns if c != tree]
     cats = df.select(*keep, F.explode(_object_nodes(F.col(tree))).alias("category", "_sub"))
     subs = cats.select(*keep, "category", F.explode(_object_nodes(F.col("_sub"))).alias("subcategory", "_ex"))
     exs = subs.select(*keep, "category", "subcategory", F.explode(_object_nodes(F.col("_ex"))).alias("exercise", "_blocks"))
     listed = F.when(strip_ws("_blocks").startswith("["), F.from_json("_blocks", f"array<{_NODES}>"))
-    blocks = exs.select(*keep, "category", "subcategory", "exercise", F.posexplode(listed).alias("pos", "_b"))
+    return exs.select(*keep, "category", "subcategory", "exercise", listed.alias("blocks"))
+
+
+def flatten_exercises(df: DataFrame, tree: str = "tree") -> DataFrame:
+    """One row per block of all exercises in the trees."""
+    keep = [c for c in df.columns if c != tree]
+    found = exercise_lists(df, tree)
+    path = [*keep, "category", "subcategory", "exercise"]
+    blocks = found.select(*path, F.posexplode_outer("blocks").alias("pos", "_b")).where("pos is not null")
     return blocks.select(
         *keep,
         "category",
@@ -299,8 +309,36 @@ def flatten_exercises(df: DataFrame, tree: str = "tree") -> DataFrame:
     )
 
 
+def exercise_contexts(exercises: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """Free-text questions with the last non-blank text block before them.
+
+    Works inside each exercise's own array, so nothing is shuffled.
+    """
+    keep = [c for c in exercises.columns if c != blocks]
+    start = F.struct(
+        F.lit(None).cast("string").alias("last"),
+        F.array().cast("array<struct<pos:int,text:string,question:string>>").alias("found"),
+    )
+    numbered = F.transform(blocks, lambda b, i: F.struct(b.alias("b"), i.alias("i")))
+
+    def step(acc, n):
+        is_text = F.map_contains_key(n.b, "Text")
+        said = F.when(~is_blank(n.b["Text"]), strip_ws(n.b["Text"]))
+        asked = (
+            ~is_text & (n.b["AnswerOptions"] == FREE_TEXT) & (n.b["Question"] != "") & acc.last.isNotNull()
+        )
+        row = F.struct(n.i.alias("pos"), acc.last.alias("text"), n.b["Question"].alias("question"))
+        return F.struct(
+            F.when(is_text, F.coalesce(said, acc.last)).otherwise(acc.last).alias("last"),
+            F.when(asked, F.concat(acc.found, F.array(row))).otherwise(acc.found).alias("found"),
+        )
+
+    found = F.aggregate(numbered, start, step, lambda acc: acc.found)
+    return exercises.select(*keep, F.inline(found))
+
+
 def question_contexts(blocks: DataFrame, path: Sequence[str] = ("category", "subcategory", "exercise"), pos: str = "pos") -> DataFrame:
-    """Free-text questions with the last non-blank text block before them."""
+    """Like :func:`exercise_contexts` for tables with one row per block."""
     usable = blocks.withColumn("_text", F.when(~is_blank("text"), strip_ws("text")))
     filled = with_last_seen(usable, list(path), pos, "_text", "_context")
     asked = filled.where(

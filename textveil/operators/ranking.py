@@ -131,17 +131,18 @@ def with_last_seen(df: DataFrame, group: Sequence[str], order: str, value: str,
     value, later chunks that begin without one receive it.
     """
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    edges = chunked.where(F.col(value).isNotNull()).groupBy(*group, "_chunk").agg(
-        F.max_by(value, order).alias("_carried")
+    edges = chunked.groupBy(*group, "_chunk").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_carried")
     )
     # the nearest earlier chunk with a value: one small row per chunk
-    filled = chunked.groupBy(*group, "_chunk").agg(F.max(F.col(value).isNotNull()).alias("_has"))
     earlier = (
         Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    source = F.last(F.when(F.col("_has"), F.col("_chunk")), ignorenulls=True).over(earlier)
-    doors = filled.withColumn("_from", source).where("_from is not null").drop("_has")
-    brought = doors.join(edges.withColumnRenamed("_chunk", "_from"), [*group, "_from"])
+    filled = F.when(F.col("_carried").isNotNull(), F.col("_chunk"))
+    doors = edges.withColumn("_from", F.last(filled, ignorenulls=True).over(earlier)).drop("_carried")
+    brought = doors.where("_from is not null").join(
+        edges.withColumnRenamed("_chunk", "_from"), [*group, "_from"]
+    )
     inside = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = chunked.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
     joined = local.join(brought.drop("_from"), [*group, "_chunk"], "left")

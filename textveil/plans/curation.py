@@ -17,7 +17,7 @@ from textveil.functions.text import preview, strip_quotes
 from textveil.operators import curate as cu
 from textveil.operators.classify import string_array
 from textveil.plans import corpus as co
-from textveil.plans.registry import query, table
+from textveil.plans.registry import query, spread, table
 from textveil.sources import tables as st
 from textveil.sources.words import read_deny_list, write_deny_list
 from textveil.sources.workspace import new_dir
@@ -491,7 +491,7 @@ def exercise_trees(spark, sf):
 
     Some nodes have another shape and must be skipped.
     """
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     lines = F.split("text", "\n")
     block = F.transform(
         lines,
@@ -549,6 +549,11 @@ def s7(spark, sf):
 
 @query("d19_question_contexts", f"WITH {_CONTEXTS} SELECT * FROM asked")
 def d19(spark, sf):
+    return cu.exercise_contexts(cu.exercise_lists(exercise_trees(spark, sf)))
+
+
+@query("d19_block_contexts", f"WITH {_CONTEXTS} SELECT * FROM asked")
+def d19_blocks(spark, sf):
     return cu.question_contexts(cu.flatten_exercises(exercise_trees(spark, sf)))
 
 
@@ -573,7 +578,7 @@ def d19_turns(spark, sf):
         ([{co.sql_list(OUTPUT_LENGTHS)}])[pos % 3 + 1] AS length_instruction FROM asked""",
 )
 def d20(spark, sf):
-    asked = cu.question_contexts(cu.flatten_exercises(exercise_trees(spark, sf)))
+    asked = cu.exercise_contexts(cu.exercise_lists(exercise_trees(spark, sf)))
     length = F.get(string_array(OUTPUT_LENGTHS), F.col("pos") % 3)
     answered = asked.withColumn("answer", F.concat("question", F.lit(" ja  "))).withColumn("length_instruction", length)
     return cu.answer_rows(answered)

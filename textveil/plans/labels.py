@@ -12,6 +12,7 @@ from textveil.constants import (
     LABEL_PRESETS,
     MAX_TOKENS,
 )
+from textveil.functions.arrays import unpack
 from textveil.functions.scores import argmax, score_band, softmax
 from textveil.functions.text import is_blank, truncate_tokens
 from textveil.operators import classify as cl
@@ -57,7 +58,7 @@ def c2(spark, sf):
 )
 def c4(spark, sf):
     docs = co.classified_docs(spark, sf).withColumn("logits", co.logits(3))
-    done = cl.classify(docs, LABELS_EN).select("doc_id", F.inline("result"))
+    done = unpack(cl.classify(docs, LABELS_EN), "result", ["doc_id"])
     return done.select("doc_id", "label", r6(F.col("score")).alias("score"))
 
 
@@ -71,7 +72,7 @@ _SOFT = "soft AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY doc_id) AS s
 )
 def c5(spark, sf):
     docs = co.classified_docs(spark, sf).withColumn("logits", co.logits(5))
-    done = cl.classify(docs, MENTAL, multi_label=False).select("doc_id", F.inline("result"))
+    done = unpack(cl.classify(docs, MENTAL, multi_label=False), "result", ["doc_id"])
     return done.select("doc_id", "label", r6(F.col("score")).alias("score"))
 
 
@@ -82,8 +83,8 @@ _RANK = """rk AS (SELECT doc_id, label, row_number() OVER (
 @query("c6_ranked_labels", f"WITH {co.sql_long(MENTAL)}, {_RANK} SELECT doc_id, label, rank::INTEGER AS rank FROM rk")
 def c6(spark, sf):
     docs = co.classified_docs(spark, sf).withColumn("logits", co.logits(5))
-    done = cl.classify(docs, MENTAL).select("doc_id", F.posexplode("result").alias("p", "e"))
-    return done.select("doc_id", "e.label", (F.col("p") + 1).alias("rank"))
+    done = unpack(cl.classify(docs, MENTAL), "result", ["doc_id"], "p")
+    return done.select("doc_id", "label", (F.col("p") + 1).alias("rank"))
 
 
 @query(

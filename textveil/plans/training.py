@@ -10,13 +10,13 @@ from textveil.operators import curate as cu
 from textveil.operators import evaluate as ev
 from textveil.operators import train as tr
 from textveil.plans import corpus as co
-from textveil.plans.registry import query, table
+from textveil.plans.registry import query, spread, table
 from textveil.sources.workspace import new_dir
 
 
 def labelled(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(labels, "doc_id")
 
 
 @query(
@@ -34,7 +34,7 @@ def t1(spark, sf):
 def t2(spark, sf):
     data = labelled(spark, sf)
     model = tr.fit_safety(data)
-    scored = tr.predict(model, table(spark, sf, "documents").select("doc_id", "text"))
+    scored = tr.predict(model, spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
     return scored.select("doc_id", "y_pred", F.round(F.element_at("probs", 2), 4).alias("unsafe_prob"))
 
 
