@@ -29,7 +29,9 @@ _INSIDE_CLASS = {"w": WORD_CHARS, "d": r"\p{Nd}", "D": r"\P{Nd}", "s": SPACE_CHA
 _PIECES = re.compile(r"\\.|\[\^?\]?|\]|.", re.DOTALL)
 
 
-# a pattern that begins with a boundary and one character that must be there
+# a pattern that begins with a boundary and one character that must be there,
+# or with a boundary and a plain group of words
+_WORDS = re.compile(r"\\b\((?:\?:)?((?:\\.|[\w ])+(?:\|(?:\\.|[\w ])+)*)\)(?![*?{])")
 _LEAD = re.compile(r"\\b(\[\^?(?:\\.|[^\]\\])+\]|\\[dwS]|[^\W])(?![*?]|\{0)")
 
 
@@ -39,10 +41,14 @@ def portable_regex(pattern: str) -> str:
     A leading boundary costs several character tests at every position of a
     text, so the first character is looked at before it where that is possible.
     """
-    lead = _LEAD.match(pattern)
-    if lead and "|" not in re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)", "", pattern):
-        return f"(?={_spell_out(lead.group(1))})" + _spell_out(pattern)
-    return _spell_out(pattern)
+    outside_groups = re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)", "", pattern)
+    if "|" in outside_groups:
+        return _spell_out(pattern)
+    lead, words = _LEAD.match(pattern), _WORDS.match(pattern)
+    first = _spell_out(lead.group(1)) if lead else ""
+    if words and all(re.match(r"\w", w) for w in words.group(1).split("|")):
+        first = "[" + "".join(sorted({w[0] for w in words.group(1).split("|")})) + "]"
+    return (f"(?={first})" if first else "") + _spell_out(pattern)
 
 
 def _spell_out(pattern: str) -> str:
