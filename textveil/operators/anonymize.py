@@ -41,6 +41,7 @@ from textveil.functions.text import as_col, words
 from textveil.operators.dictionary import as_frame, inline_words, matched_words, with_matches
 
 _DIGIT = r"\p{Nd}"
+MAX_TERM_WORDS = 100
 
 
 @dataclass(frozen=True)
@@ -97,8 +98,13 @@ def with_deny_spans(df: DataFrame, txt: str, terms, key: str = "doc_id", out: st
     listed = as_frame(spark, terms).where("word <> ''").select(F.col("word").alias("term"))
     gram = F.array_join(words("term"), " ")
     keyed = listed.select("term", gram.alias("word"), F.size(words("term")).alias("n"))
-    lengths = [r[0] for r in keyed.where("n > 0").select("n").distinct().limit(1000).collect()]
-    bare = inline_words(keyed.where("n = 0").select(F.col("term").alias("word"))) or []
+    longest = keyed.agg(F.max("n")).first()[0] or 0
+    if longest > MAX_TERM_WORDS:
+        raise ValueError(f"a deny-list term has {longest} words")
+    lengths = [r[0] for r in keyed.where("n > 0").select("n").distinct().collect()]
+    bare = inline_words(keyed.where("n = 0").select(F.col("term").alias("word")))
+    if bare is None:
+        raise ValueError("too many deny-list terms without a word character")
     toks = words(txt)
 
     def grams(w, n):

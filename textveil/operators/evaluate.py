@@ -16,24 +16,25 @@ def y_true(label, positive) -> Column:
     return (label.cast("string") == F.lit(str(positive))).cast("int")
 
 
-def threshold_counts(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
-    """Per distinct score, highest first: cumulative true and false positives.
-
-    Aggregating to distinct scores comes first, so ties of any size are one row.
-    """
-    per_score = df.groupBy(F.col(score).alias("threshold")).agg(
+def score_counts(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
+    """Positives and negatives per distinct score; ties of any size are one row."""
+    return df.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.col(truth)).cast("bigint").alias("pos"),
         F.sum(1 - F.col(truth)).cast("bigint").alias("neg"),
     )
-    cum = running_totals(per_score, "threshold", ["pos", "neg"])
+
+
+def threshold_counts(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
+    """Per distinct score, highest first: cumulative true and false positives."""
+    cum = running_totals(score_counts(df, score, truth), "threshold", ["pos", "neg"])
     return cum.select("threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
 
 
-def _totals(df: DataFrame, truth: str = "y_true") -> tuple[Column, Column]:
-    one = df.agg(
+def _totals(df: DataFrame, score: str, truth: str) -> tuple[Column, Column]:
+    """All positives and negatives, from the same counts the curve is built on."""
+    one = score_counts(df, score, truth).agg(
         F.struct(
-            F.coalesce(F.sum(F.col(truth)), F.lit(0)).cast("bigint").alias("p"),
-            F.coalesce(F.sum(1 - F.col(truth)), F.lit(0)).cast("bigint").alias("n"),
+            F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n")
         ).alias("t")
     ).scalar()
     return one["p"], one["n"]
@@ -44,7 +45,7 @@ def roc_curve(df: DataFrame, score: str = "score", truth: str = "y_true") -> Dat
 
     The origin's threshold is infinite: nothing is predicted positive.
     """
-    p, n = _totals(df, truth)
+    p, n = _totals(df, score, truth)
     points = threshold_counts(df, score, truth).select(
         "threshold",
         F.try_divide(F.col("fp").cast("double"), n).alias("fpr"),
@@ -81,7 +82,7 @@ def youden(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataFr
 
 def pr_curve(df: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
     """``(threshold, precision, recall)`` per distinct score and the end point (1, 0)."""
-    p, _ = _totals(df, truth)
+    p, _ = _totals(df, score, truth)
     points = threshold_counts(df, score, truth).select(
         "threshold",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -224,7 +225,7 @@ def eval_summary(df: DataFrame, dataset: str, positive: str, negative: str, hypo
     All three come from one pass over the per-score counts.
     """
     counts = threshold_counts(df, score, truth)
-    p, n = _totals(df, truth)
+    p, n = _totals(df, score, truth)
     tp, fp, pos = (F.col(c).cast("double") for c in ("tp", "fp", "pos"))
     j = F.round(F.try_divide(tp, p) - F.try_divide(fp, n), 12)
     best = F.max(F.struct(j.alias("j"), F.col("threshold").alias("t")))
