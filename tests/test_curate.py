@@ -19,6 +19,14 @@ def test_large_and_small_samples_agree(spark, monkeypatch):
     large = cu.balanced_sample(df, "c", 400).select("doc_id", "c").collect()
     assert sorted(small) == sorted(large) and len(small) == 800
     assert cu.balanced_sample(df, "c", 10_000).count() == 5000
+    for n in (1, 17, 399, 4000):
+        monkeypatch.setattr(cu, "SMALL_SAMPLE", 0)
+        large = sorted(cu.balanced_sample(df, "c", n).select("doc_id", "c").collect())
+        monkeypatch.setattr(cu, "SMALL_SAMPLE", 10**6)
+        assert large == sorted(cu.balanced_sample(df, "c", n).select("doc_id", "c").collect())
+    monkeypatch.setattr(cu, "SMALL_SAMPLE", 0)
+    monkeypatch.setattr(cu, "MAX_CLASSES", 0)
+    assert ids(cu.balanced_sample(df, "c", 17)) == ids(cu.balanced_sample(df.repartition(3), "c", 17))
     assert cu.sample_n(df, 400).count() == 400
 
 

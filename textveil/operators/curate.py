@@ -22,10 +22,13 @@ from textveil.constants import (
     TRICKY_SCENARIOS,
 )
 from textveil.functions.text import fill_template, hash_key, is_blank, strip_ws
-from textveil.operators.ranking import with_hash_position, with_last_seen, with_offsets, with_position
+from textveil.operators.ranking import with_hash_position, with_last_seen, with_position
 
 # Spark keeps a window's first n rows per map task only for small n.
 SMALL_SAMPLE = 1000
+# That many rows of one class may meet in one task.
+MAX_CANDIDATES = 1_000_000
+MAX_CLASSES = 10_000
 
 
 # --- filters, samples, splits -----------------------------------------------
@@ -34,28 +37,50 @@ def short_texts(df: DataFrame, limit: int = MAX_SOURCE_CHARS, txt: str = "text")
     return df.where(F.length(txt) < limit)
 
 
+def _few_candidates(df: DataFrame, n: int) -> bool:
+    """Whether the first ``n`` rows of every input task are few in total."""
+    return n <= SMALL_SAMPLE and n * df.rdd.getNumPartitions() <= MAX_CANDIDATES
+
+
 def balanced_sample(df: DataFrame, group: str | Sequence[str], n: int, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """At most ``n`` rows per class, the same ones on every run.
 
-    Small samples are cut per map task by the window's group limit.  For large
-    ones, counts per key range tell which ranges are needed whole, and only the
-    one range per class that holds the cut is ranked.
+    Rows without a class are left out.  If the first ``n`` rows of all input
+    tasks are few, the window's group limit cuts them before the shuffle.
+    Otherwise counts per key range give the range that holds each class's cut:
+    rows beyond it are dropped where they are read, and only that one range is
+    ranked.
     """
     groups = [group] if isinstance(group, str) else list(group)
-    hashed = df.withColumn("_key", hash_key(seed, key))
-    if n <= SMALL_SAMPLE:
+    hashed = df.dropna("any", subset=groups).withColumn("_key", hash_key(seed, key))
+    if _few_candidates(df, n):
         order = Window.partitionBy(*groups).orderBy("_key")
         return hashed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn", "_key")
-    ranged = hashed.withColumn("_range", F.substring("_key", 1, 3))
-    placed = with_offsets(ranged, groups, {"n": F.count("*")}).where(F.col("_before_n") < n)
+    ranged = hashed.withColumn("_range", F.substring("_key", 1, 4))
+    counts = ranged.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    needed = counts.withColumn("_before", before).where(F.col("_before") < n)
+    cuts = needed.groupBy(*groups).agg(F.max("_range").alias("_cut"), F.max("_before").alias("_before"))
+    cuts = small_or_joined(cuts)
+    near = ranged.join(cuts, groups).where(F.col("_range") <= F.col("_cut"))
     inside = Window.partitionBy(*groups, "_range").orderBy("_key")
-    ranked = placed.withColumn("_rn", F.col("_before_n") + F.row_number().over(inside))
-    return ranked.where(F.col("_rn") <= n).drop("_rn", "_key", "_range", "_before_n")
+    ranked = near.withColumn("_rn", F.row_number().over(inside))
+    kept = (F.col("_range") < F.col("_cut")) | (F.col("_before") + F.col("_rn") <= n)
+    return ranked.where(kept).drop("_rn", "_key", "_range", "_cut", "_before")
+
+
+def small_or_joined(df: DataFrame, limit: int = MAX_CLASSES) -> DataFrame:
+    """``df`` as a broadcast if it has at most ``limit`` rows, else as it is."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def sample_n(df: DataFrame, n: int, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """``min(n, rows)`` rows of the whole table, the same ones on every run."""
-    if n <= SMALL_SAMPLE:
+    if _few_candidates(df, n):
         return df.orderBy(hash_key(seed, key), key).limit(n)
     return balanced_sample(df.withColumn("_all", F.lit(1)), "_all", n, seed, key).drop("_all")
 

@@ -87,9 +87,18 @@ def s14(spark, sf):
     return parse_requests(docs.select("doc_id", body.alias("body"))).select("doc_id", "reject", "text")
 
 
-@query("s14_responses")
+@query(
+    "s14_responses",
+    f"""{WITH_PROBE}, m AS (SELECT doc_id, text, regexp_extract_all(text, '{co.ZIP_RE2}') AS z FROM probe)
+    SELECT doc_id, {co.sql_replace('text', co.ZIP_RE2, '<PLZ>')} AS anonymized_text, length(text)::INTEGER AS original_length,
+      len(z)::INTEGER AS items_changed, z[1] AS first_entity FROM m""",
+)
 def s14b(spark, sf):
-    return to_responses(an.anonymize(co.probe(spark, sf), deny_terms=co.DENY_TERMS)).select("doc_id", "body")
+    bodies = to_responses(an.anonymize(co.probe(spark, sf), recognizers=[an.ZIP])).select("doc_id", "body")
+    shape = "anonymized_text string, original_length int, items_changed int, entities array<struct<entity_type:string,text:string,score:double>>"
+    back = bodies.select("doc_id", F.from_json("body", shape).alias("r"))
+    first = F.get("r.entities", F.lit(0))["text"]
+    return back.select("doc_id", "r.anonymized_text", "r.original_length", "r.items_changed", first.alias("first_entity"))
 
 
 # --- single rules -----------------------------------------------------------
@@ -274,8 +283,7 @@ def a5_join(spark, sf):
     return an.entities(found)
 
 
-_GAZETTEER = rf"""{WITH_ALL},
-tok AS (SELECT doc_id, regexp_extract_all(text, '{co.IS_WORD}') AS m, regexp_split_to_array(text, '{co.IS_WORD}') AS g FROM probe),
+_GAZ = rf"""tok AS (SELECT doc_id, regexp_extract_all(text, '{co.IS_WORD}') AS m, regexp_split_to_array(text, '{co.IS_WORD}') AS g FROM probe),
 pos AS (SELECT doc_id, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM tok),
 placed AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM pos),
 kind AS (
@@ -286,9 +294,12 @@ brk AS (
 isl AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, entity_type ORDER BY i) AS k FROM brk),
 run AS (
   SELECT doc_id, entity_type, min(e - length(w))::INTEGER AS start, max(e)::INTEGER AS "end"
-  FROM isl WHERE hit GROUP BY doc_id, entity_type, k)
-SELECT r.doc_id, r.entity_type, r.start, r."end", 0.85::DOUBLE AS score, substring(p.text, r.start + 1, r."end" - r.start) AS text
-FROM run r JOIN probe p ON p.doc_id = r.doc_id"""
+  FROM isl WHERE hit GROUP BY doc_id, entity_type, k),
+gaz AS (
+  SELECT r.doc_id, r.entity_type, r.start, r."end", 0.85::DOUBLE AS score,
+         substring(p.text, r.start + 1, r."end" - r.start) AS text
+  FROM run r JOIN probe p ON p.doc_id = r.doc_id)"""
+_GAZETTEER = f"{WITH_ALL},\n{_GAZ}\nSELECT {_SPAN_COLS} FROM gaz"
 
 
 def _gazetteers(spark, sf):
@@ -351,7 +362,37 @@ def a12(spark, sf):
     return docs.withColumn("label", label_of("entity_type"))
 
 
-@query("a13_resolved_spans")
+# All detections, ranked per document; in each round the spans without a better
+# overlapping one are kept and everything they overlap is dropped.
+_ROUNDS = 5
+_ALL_FINDERS = [
+    (co.ZIP_RE2, "GERMAN_ZIP", 1.0),
+    (co.DR_RE2, "PERSON", 0.9),
+    (co.HERR_RE2, "PERSON", 0.85),
+    (co.RE2_RULES["EMAIL"], "EMAIL_ADDRESS", 1.0),
+    (co.RE2_RULES["PHONE"], "PHONE_NUMBER", 0.4),
+    (co.DATE_RE2, "DATE_TIME", 0.6),
+    (co.DENY_RE2, "INTERNAL_SENSITIVE", 1.0),
+]
+
+
+def _resolved() -> str:
+    finders = [co.sql_spans(f"f{i}", p, t, s) for i, (p, t, s) in enumerate(_ALL_FINDERS)]
+    union = " UNION ALL ".join(f"SELECT {_SPAN_COLS} FROM {c}" for c in [*[f"f{i}" for i in range(len(finders))], "gaz"])
+    ctes = [co.PROBE, co.DICTIONARIES, _GAZ, *finders]
+    ctes.append(
+        f"""s0 AS (SELECT *, row_number() OVER (
+          PARTITION BY doc_id ORDER BY score DESC, "end" - start DESC, start, entity_type) AS pr FROM ({union}))"""
+    )
+    overlap = 'b.doc_id = a.doc_id AND b.start < a."end" AND a.start < b."end"'
+    for i in range(_ROUNDS):
+        ctes.append(f"k{i} AS (SELECT a.* FROM s{i} a WHERE NOT EXISTS (SELECT 1 FROM s{i} b WHERE {overlap} AND b.pr < a.pr))")
+        ctes.append(f"s{i + 1} AS (SELECT a.* FROM s{i} a WHERE NOT EXISTS (SELECT 1 FROM k{i} b WHERE {overlap}))")
+    ctes.append("kept AS (" + " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(_ROUNDS)) + ")")
+    return "WITH " + ",\n".join(ctes)
+
+
+@query("a13_resolved_spans", f"{_resolved()}\nSELECT {_SPAN_COLS} FROM kept")
 def a13(spark, sf):
     found = an.detect(co.probe(spark, sf), deny_terms=co.DENY_TERMS, gazetteers=_gazetteers(spark, sf))
     return an.entities(found.withColumn("spans", resolve_overlaps("spans")))
@@ -363,13 +404,29 @@ def a14(spark, sf):
     return found.select("doc_id", replace_spans("text", "spans").alias("text"))
 
 
-@query("a15_anonymize")
+_LABELS = ", ".join(f"('{k}', '{v}')" for k, v in ENTITY_LABELS.items())
+
+
+@query(
+    "a15_anonymize",
+    f"""{_resolved()},
+lab(entity_type, label) AS (VALUES {_LABELS}),
+step AS (
+  SELECT k.doc_id, k.start, k."end", l.label,
+         coalesce(lag(k."end") OVER (PARTITION BY k.doc_id ORDER BY k.start), 0) AS before
+  FROM kept k JOIN lab l ON l.entity_type = k.entity_type),
+glued AS (
+  SELECT p.doc_id, string_agg(substring(p.text, s.before + 1, s.start - s.before) || s.label, '' ORDER BY s.start) AS head,
+         max(s."end") AS done
+  FROM step s JOIN probe p ON p.doc_id = s.doc_id GROUP BY 1),
+num AS (SELECT doc_id, count(*) AS n FROM s0 GROUP BY 1)
+SELECT p.doc_id, coalesce(g.head, '') || substring(p.text, coalesce(g.done, 0) + 1) AS anonymized_text,
+       length(p.text)::INTEGER AS original_length, coalesce(num.n, 0)::INTEGER AS items_changed
+FROM probe p LEFT JOIN glued g ON g.doc_id = p.doc_id LEFT JOIN num ON num.doc_id = p.doc_id""",
+)
 def a15(spark, sf):
     done = an.anonymize(co.probe(spark, sf), deny_terms=co.DENY_TERMS, gazetteers=_gazetteers(spark, sf))
-    return done.select(
-        "doc_id", "result.anonymized_text", "result.original_length", "result.items_changed",
-        F.to_json("result.entities").alias("entities"),
-    )
+    return done.select("doc_id", "result.anonymized_text", "result.original_length", "result.items_changed")
 
 
 @query(
