@@ -26,6 +26,7 @@ from textveil.constants import (
 from textveil.functions.scores import argmax, one_hot, sigmoid, softmax
 from textveil.functions.text import as_col, fill_template, is_blank
 from textveil.operators.ranking import with_neighbour
+from textveil.operators.scrub import scrub
 
 
 # --- labels -----------------------------------------------------------------
@@ -176,6 +177,17 @@ def binary_label(logits) -> Column:
     )
 
 
+def scrub_and_classify(df: DataFrame, txt: str = "text", logits: str = "logits", names=None, cities=None, **options) -> DataFrame:
+    """Add the scrubbed text next to the safety label of the unscrubbed one.
+
+    Both columns are named explicitly, since the label was not made from the
+    text that is safe to pass on.  Options are those of :func:`scrub`.
+    """
+    verdict = binary_label(logits)
+    labelled = df.select("*", verdict.alias("_v")).select("*", "_v.label", "_v.safe_prob", "_v.unsafe_prob").drop("_v")
+    return scrub(labelled, txt, names, cities, out="scrubbed", **options)
+
+
 def with_confidence(df: DataFrame, label_id: str = "label_id", probs: str = "probs") -> DataFrame:
     """Add probabilities (one-hot if missing), label name and confidence."""
     filled = df.withColumn(probs, F.coalesce(probs, one_hot(label_id, 2)))

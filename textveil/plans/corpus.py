@@ -32,10 +32,11 @@ def sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+def probe(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    columns = ["doc_id", "lang", "source", "text", *extra]
+    docs = spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
     suffix = F.get(string_array(SUFFIXES), F.pmod("doc_id", F.lit(len(SUFFIXES))).cast("int"))
-    return docs.select("doc_id", "lang", "source", F.concat_ws(" ", "text", suffix).alias("text"))
+    return docs.withColumn("text", F.concat_ws(" ", "text", suffix))
 
 
 PROBE = f"""probe AS (

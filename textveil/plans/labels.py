@@ -16,7 +16,6 @@ from textveil.functions.arrays import unpack
 from textveil.functions.scores import argmax, score_band, softmax
 from textveil.functions.text import is_blank, truncate_tokens
 from textveil.operators import classify as cl
-from textveil.operators.scrub import scrub
 from textveil.plans import corpus as co
 from textveil.plans.registry import query, table
 
@@ -374,9 +373,8 @@ def c3_relevance(spark, sf):
     FROM m JOIN two ON two.doc_id = m.doc_id JOIN probe p ON p.doc_id = m.doc_id""",
 )
 def p17(spark, sf):
-    docs = co.probe(spark, sf)
-    sizes = table(spark, sf, "documents").select("doc_id", "n_chars")
-    scrubbed = scrub(docs, names=co.names(spark, sf), out="scrubbed").join(sizes, "doc_id")
-    return scrubbed.select("doc_id", "text", "scrubbed", cl.binary_label(co.logits(2))["label"].alias("label"))
+    docs = co.probe(spark, sf, "n_chars").withColumn("logits", co.logits(2))
+    done = cl.scrub_and_classify(docs, names=co.names(spark, sf))
+    return done.select("doc_id", "text", "scrubbed", "label")
 
 

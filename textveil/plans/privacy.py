@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textveil.constants import ENTITY_LABELS, LEGEND_PLACEHOLDERS, PLACEHOLDER_DISPLAY, SAFE_WORDS, SCRUB_RULES
+from textveil.constants import ENTITY_LABELS, LEGEND_PLACEHOLDERS, PLACEHOLDER_DISPLAY, SAFE_WORDS
 from textveil.functions.spans import confident, label_of, replace_spans, resolve_overlaps
 from textveil.functions.text import mask_numbers, norm_token, squash_ws, tokens
 from textveil.operators import anonymize as an
@@ -459,18 +459,9 @@ def a16(spark, sf):
     return done.select("doc_id", "result.anonymized_text", "result.original_length", "result.items_changed")
 
 
-_ALL_PATTERNS = [
-    (co.ZIP_RE2, "GERMAN_ZIP", 1.0),
-    (co.DR_RE2, "PERSON", 0.9),
-    (co.HERR_RE2, "PERSON", 0.85),
-    (co.RE2_RULES["EMAIL"], "EMAIL_ADDRESS", 1.0),
-    (co.RE2_RULES["PHONE"], "PHONE_NUMBER", 0.4),
-    (co.DATE_RE2, "DATE_TIME", 0.6),
-    (co.DENY_RE2, "INTERNAL_SENSITIVE", 1.0),
-]
 _FOUND = "found AS (" + " UNION ALL ".join(
     f"SELECT doc_id, source, '{t}' AS entity_type, {s}::DOUBLE AS score, unnest(regexp_extract_all(text, '{p}')) AS text FROM probe"
-    for p, t, s in _ALL_PATTERNS
+    for p, t, s in _ALL_FINDERS
 ) + ")"
 
 

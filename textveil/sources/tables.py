@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textveil.constants import SCRUB_RULES
+from textveil.constants import DATASET_NAME, SCORES_NAME, SCRUB_RULES
 from textveil.functions.text import as_col
 
 LABELLED = "text string, label string, source string, source_text string"
@@ -49,7 +49,7 @@ def append_examples(df: DataFrame, path: str, format: str = "csv") -> None:
 
 def write_scores(df: DataFrame, scores: Column | str, root: str, name: str) -> str:
     """The input columns and ``hypothesis_score``, named by data set."""
-    path = f"{root}/{name}_classification_scores"
+    path = f"{root}/" + SCORES_NAME.format(name=name)
     _write_csv(df.withColumn("hypothesis_score", as_col(scores)), path, "overwrite")
     return path
 
@@ -74,7 +74,7 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def dataset_path(root: str, dataset_id: str, mode: str) -> str:
-    return f"{root}/german_safety_{dataset_id}_{mode}"
+    return f"{root}/" + DATASET_NAME.format(dataset_id=dataset_id, mode=mode)
 
 
 def export_rules(spark: SparkSession, names: DataFrame, cities: DataFrame, root: str, rules: Sequence[tuple[str, str]] = tuple(SCRUB_RULES)) -> None:
