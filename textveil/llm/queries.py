@@ -56,3 +56,21 @@ def site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "doc_log_odds", "host_rate", "path_rate", "quality_score", "keep")
+
+
+@query("op9_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.jaccard import similar_documents
+
+    found = similar_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_class_kneser_ney")
+def class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.toxicity import score_toxicity
+
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs.select("doc_id", "text"), labels, train=part != 1)
+    return scored.select("doc_id", (part == 1).alias("held_out"), "score", "predicted", "toxic_ll", "ordinary_ll")
