@@ -275,25 +275,61 @@ def _similar(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _sets_of(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _near_enough(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that can be similar, by what their prefixes share.
+
+    What a pair has in common is at most the tokens that both prefixes hold and all
+    that comes after the prefix that ends first.
+    """
+    sides = [own.select(*[F.col(c).alias("s1_n_k_tokens_last".split("_")[i] + f"_{x}") for i, c in enumerate(own.columns)]) for x in "ab"]
+    both = pairs.join(sides[0].withColumnRenamed("s1_a", "a"), "a").join(sides[1].withColumnRenamed("s1_b", "b"), "b")
+    after = [F.ceil(F.col(f"n_{x}") * percent / 100) - F.col(f"k_{x}") for x in "ab"]
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    most = common + F.when(F.col("last_a") <= F.col("last_b"), after[0]).otherwise(after[1])
+    return both.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+
+
+#: A filter of fixed size (8 MB) that tells which rows are not wanted: words of 64 bits.
+FILTER_WORDS = 1 << 20
+
+
+def _filter_bits(rows: DataFrame):
+    """A broadcast filter of the hashes in the column ``row``: one bit for each."""
+    bit = F.expr("shiftleft(1L, cast(row & 63 as int))")
+    word = F.shiftrightunsigned("row", 44)
+    found = rows.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_WORDS, U)
+    bits[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(U)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _sets_of(words: int, wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
+            row = part.column("row").to_numpy().view(U)
+            here = (wanted.value[(row >> U(44)).astype(np.int64)] >> (row & U(63))) & U(1)
+            part = part.filter(pa.array(here.astype(bool)))
             sets = shingle_sets(part.column("text"), words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_signature(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["s1", "set"]
+                [part.column("row"), pa.array([_signature(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["row", "s1", "set"],
             )
 
     return run
 
 
 def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of classes whose whole sets are similar."""
+    """The pairs of classes whose whole sets are similar.
+
+    Sets are made of one text of each class in a pair.  A filter of fixed size keeps
+    most other texts from being cut; were it full, the join would still sort out.
+    """
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-    # one text of each class that occurs in a pair
     one = described.where("n > 0").groupBy("s1").agg(F.min("row").alias("row")).join(needed, "s1", "left_semi")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(one.select("row"), "row", "left_semi")
-    sets = stored(texts.mapInArrow(_sets_of(words), "s1 bigint, set binary").dropDuplicates(["s1"]), "sets")
+    one = stored(one, "wanted")
+    sets = docs.mapInArrow(_sets_of(words, _filter_bits(one)), "row bigint, s1 bigint, set binary")
+    sets = stored(sets.join(one, ["row", "s1"], "left_semi").drop("row").dropDuplicates(["s1"]), "sets")
     a = sets.select(F.col("s1").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("s1").alias("b"), F.col("set").alias("sb"))
     n = pairs.count()
@@ -339,7 +375,10 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     hubs = lists.join(weight, "s1").groupBy("token").agg(F.max(F.struct("w", "s1")).alias("_h"), F.count("*").alias("_n"))
     hubs = stored(hubs.select("token", F.col("_h.s1").alias("hub"), "_n"), "hubs")
     near = with_group_values(lists.select("token", "s1"), hubs, ["token"], "_n", lists.count()).where("s1 <> hub")
-    pairs = near.select(F.least("s1", "hub").alias("a"), F.greatest("s1", "hub").alias("b")).distinct()
+    met = stored(near.select(F.least("s1", "hub").alias("a"), F.greatest("s1", "hub").alias("b")).distinct(), "met")
+    own = lists.groupBy("s1").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sort_array(F.collect_list("token")).alias("tokens"))
+    own = stored(own.join(ends, "s1"), "own")
+    pairs = _near_enough(met, own, percent)
     links = _verified(pairs, described, docs, words, percent)
     reached = stored(connected_components(links), "reached")
 
@@ -351,11 +390,10 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     mixed = stored(mixed.where("_a <> _b").select("token", "_n", F.lit(True).alias("_mixed")), "mixed")
     open_ = with_group_values(placed, mixed, ["token"], "_n", placed.count()).where("_mixed").drop("_n", "_mixed")
     open_ = stored(open_, "open")
-    own = open_.groupBy("s1").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    own = own.join(ends, "s1")
-    open_ = open_.drop("salt").join(own, "s1").repartition(partitions, "token").sortWithinPartitions("token", "n")
+    open_ = open_.drop("salt").join(own.select("s1", "tokens", "last"), "s1").repartition(partitions, "token")
+    open_ = open_.sortWithinPartitions("token", "n")
     more = open_.mapInArrow(_all_pairs(percent), "a bigint, b bigint")
-    more = more.join(pairs, ["a", "b"], "left_anti")
+    more = more.join(met, ["a", "b"], "left_anti")
     more = _verified(more, described, docs, words, percent)
     if not more.isEmpty():
         reached = stored(connected_components(links.unionByName(more)), "reached")
