@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textveil.llm.frames import stored, with_group_values
-from textveil.llm.words import cut_words, span_hashes, text_of
+from textveil.llm.words import cut_words, slices, span_hashes, text_of
 
 FIT_ROWS = 10_000
 SIGNS = np.isin(np.arange(256), np.frombuffer(b"!#$%&*+<=>@[]^_{|}~\\", np.uint8))
@@ -32,6 +32,11 @@ LETTER = UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange
 
 def measures(texts: pa.Array) -> np.ndarray:
     """One row of twelve numbers per text; an empty text has zeros."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    return np.concatenate([np.zeros((0, 12)), *(_measures(x.column("text")) for x in slices([batch], "text", 1 << 20))])
+
+
+def _measures(texts: pa.Array) -> np.ndarray:
     w = cut_words(texts, lower=False)
     n = len(w.offsets) - 1
     size = np.diff(w.offsets)
