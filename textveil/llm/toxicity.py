@@ -66,7 +66,7 @@ def _sum_by(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(weights, at) if len(at) else weights[:0]
+    return keys[at], np.add.reduceat(weights, at, axis=0) if len(at) else weights[:0]
 
 
 def _context(keys: np.ndarray) -> np.ndarray:
@@ -82,12 +82,17 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_models(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> dict[str, np.ndarray]:
     """Tables of both classes and of their shared model, from counts of words."""
-    size = np.array([len(x) for x in words], np.int64)
-    end = np.cumsum(size)
-    data = np.frombuffer(b"".join(words), np.uint8)
-    word, before, keys = _grams(data, end - size, end)
-    counts = np.column_stack([toxic, ordinary]).astype(float)[word]
-    full = np.choose(before, keys) if len(word) else np.zeros(0, U)
+    grams, sums = [np.zeros(0, U)], [np.zeros((0, 2))]
+    for k in range(0, len(words), 20_000):
+        some = words[k : k + 20_000]
+        size = np.array([len(x) for x in some], np.int64)
+        end = np.cumsum(size)
+        word, before, keys = _grams(np.frombuffer(b"".join(some), np.uint8), end - size, end)
+        counts = np.column_stack([toxic[k : k + 20_000], ordinary[k : k + 20_000]]).astype(float)[word]
+        g, n = _sum_by(np.choose(before, keys), counts)
+        grams.append(g)
+        sums.append(n)
+    full, counts = _sum_by(np.concatenate(grams), np.concatenate(sums))
     tables: dict[str, np.ndarray] = {}
     for c, name in enumerate(("toxic", "ordinary")):
         g, n = _sum_by(full, counts[:, c])
