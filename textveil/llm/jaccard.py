@@ -262,12 +262,28 @@ def _all_pairs(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return run
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper five bytes of each hash.
+
+    Two different tokens of a pair of sets of a thousand tokens meet with a chance of
+    one in a million, and then count as one more in common.
+    """
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def unpacked(x: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 3:] = raw
+    return out.reshape(-1).view(U)
+
+
 def _similar(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                p, q = unpacked(x), unpacked(y)
                 common = len(p) + len(q) - len(sorted_counts(np.concatenate([p, q]))[0])
                 good.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -305,14 +321,19 @@ def _filter_bits(rows: DataFrame):
 
 def _sets_of(words: int, wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of a task, as far as a million
         for part in slices(batches, "text"):
             row = part.column("row").to_numpy().view(U)
             here = (wanted.value[(row >> U(44)).astype(np.int64)] >> (row & U(63))) & U(1)
-            part = part.filter(pa.array(here.astype(bool)))
-            sets = shingle_sets(part.column("text"), words)
+            pick = [i for i in np.flatnonzero(here) if int(row[i]) not in seen]
+            pick = list({int(row[i]): i for i in pick}.values())
+            if not pick:
+                continue
+            if len(seen) < 1_000_000:
+                seen.update(int(row[i]) for i in pick)
+            sets = shingle_sets(part.column("text").take(pa.array(pick)), words)
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), pa.array([_signature(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["row", "s1", "set"],
+                [pa.array([_signature(s)[0] for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], ["s1", "set"]
             )
 
     return run
@@ -321,15 +342,13 @@ def _sets_of(words: int, wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterato
 def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs of classes whose whole sets are similar.
 
-    Sets are made of one text of each class in a pair.  A filter of fixed size keeps
-    most other texts from being cut; were it full, the join would still sort out.
+    Sets are made of one text of each class in a pair, found by a filter of fixed
+    size; what it lets through besides meets no pair, or the same pair again.
     """
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
     one = described.where("n > 0").groupBy("s1").agg(F.min("row").alias("row")).join(needed, "s1", "left_semi")
-    one = stored(one, "wanted")
-    sets = docs.mapInArrow(_sets_of(words, _filter_bits(one)), "row bigint, s1 bigint, set binary")
-    sets = stored(sets.join(one, ["row", "s1"], "left_semi").drop("row").dropDuplicates(["s1"]), "sets")
+    sets = stored(docs.mapInArrow(_sets_of(words, _filter_bits(one)), "s1 bigint, set binary"), "sets")
     a = sets.select(F.col("s1").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("s1").alias("b"), F.col("set").alias("sb"))
     n = pairs.count()
