@@ -74,3 +74,50 @@ def class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_toxicity(docs.select("doc_id", "text"), labels, train=part != 1)
     return scored.select("doc_id", (part == 1).alias("held_out"), "score", "predicted", "toxic_ll", "ordinary_ll")
+
+
+@query("op4_seekable_warc")
+def seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+@query(
+    "op5_multi_index_hamming",
+    """
+    WITH codes AS (
+      SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+    ), pairs AS (
+      SELECT q.id AS query_id, c.id,
+        CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+      FROM codes q, codes c WHERE q.id % 20 = 0
+    ), ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM pairs
+    )
+    SELECT query_id, rank, id, distance FROM ranked WHERE rank <= 10
+    """,
+)
+def multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.hamming import nearest_codes, sign_code
+
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    return nearest_codes(codes, codes.where("id % 20 = 0"))
+
+
+@query("op6_chat_tokens")
+def chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.chat import format_chats, read_chats
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    return read_chats(format_chats(rows.unionByName(more), path), path)
+
+
+@query("op8_invertible_sketch")
+def invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.invertible import fingerprint_versions
+
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
