@@ -302,6 +302,7 @@ def _near_enough(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     after = [F.ceil(F.col(f"n_{x}") * percent / 100) - F.col(f"k_{x}") for x in "ab"]
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     most = common + F.when(F.col("last_a") <= F.col("last_b"), after[0]).otherwise(after[1])
+    most = F.least(most, F.col("n_a"), F.col("n_b"))
     return both.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
 
 
@@ -388,9 +389,10 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     ends = lists.where("token < 0").select("s1", F.col("salt").alias("last"))
     lists = lists.where("token >= 0")
 
-    # each class with its list's hub: the class that is in most lists, as an unedited
-    # original is among its edited copies
-    weight = lists.groupBy("s1").agg(F.count("*").alias("w"))
+    # each class with its list's hub: the class that has most of its prefix in lists,
+    # as an unedited original among its edited copies
+    length = F.first("n") - F.ceil(F.first("n") * percent / 100) + F.first("k")
+    weight = lists.groupBy("s1").agg((F.count("*") / length).alias("w"))
     hubs = lists.join(weight, "s1").groupBy("token").agg(F.max(F.struct("w", "s1")).alias("_h"), F.count("*").alias("_n"))
     hubs = stored(hubs.select("token", F.col("_h.s1").alias("hub"), "_n"), "hubs")
     near = with_group_values(lists.select("token", "s1"), hubs, ["token"], "_n", lists.count()).where("s1 <> hub")

@@ -121,3 +121,11 @@ def invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textveil.llm.invertible import fingerprint_versions
 
     return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
+@query("op3_katz_backoff")
+def katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.katz import score_texts
+
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    return score_texts(table(spark, sf_dir, "documents"), part != 0)
