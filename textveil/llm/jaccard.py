@@ -396,6 +396,9 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     hubs = lists.join(weight, "s1").groupBy("token").agg(F.max(F.struct("w", "s1")).alias("_h"), F.count("*").alias("_n"))
     hubs = stored(hubs.select("token", F.col("_h.s1").alias("hub"), "_n"), "hubs")
     near = with_group_values(lists.select("token", "s1"), hubs, ["token"], "_n", lists.count()).where("s1 <> hub")
+    # one hub for each class, that of most of its lists; the second round has the rest
+    near = near.groupBy("s1", "hub").agg(F.count("*").alias("_c")).groupBy("s1").agg(F.max(F.struct("_c", "hub")).alias("_h"))
+    near = near.select("s1", F.col("_h.hub").alias("hub"))
     met = stored(near.select(F.least("s1", "hub").alias("a"), F.greatest("s1", "hub").alias("b")).distinct(), "met")
     own = lists.groupBy("s1").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sort_array(F.collect_list("token")).alias("tokens"))
     own = stored(own.join(ends, "s1"), "own")
