@@ -56,7 +56,7 @@ def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     keys, packed = [], np.zeros(len(wide), U)
     for k in range(ORDER):
         packed = packed.copy()
-        packed[k:] |= wide[: len(wide) - k] << U(8 * k)
+        packed[k:] |= wide[: max(0, len(wide) - k)] << U(8 * k)
         keys.append(packed | (U(k + 1) << U(56)))
     predicted = inside > 0
     return word[predicted], np.minimum(inside[predicted], ORDER - 1), [x[predicted] for x in keys]
