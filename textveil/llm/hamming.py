@@ -67,7 +67,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         flips = [sum(1 << x for x in c) for c in combinations(range(widest), radius)]
         probes = open_.select("q", _split("q", cuts).alias("e")).select("q", "e.*")
         probes = probes.select("q", "s", F.explode(F.transform(F.lit(flips), lambda x: F.col("v").bitwiseXOR(x.cast("bigint")))).alias("v"))
-        met = probes.join(index, ["s", "v"]).select("q", "code", "s")
+        met = probes.join(index.hint("merge"), ["s", "v"]).select("q", "code", "s")
         apart = F.col("q").bitwiseXOR(F.col("code"))
         per = [F.bit_count(_segment(apart, cuts, i)) * m + i for i in range(m)]
         met = met.where((F.least(*per) if m > 1 else per[0]) == radius * m + F.col("s"))
@@ -75,7 +75,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         if best is not None:
             found = found.unionByName(best.join(open_, "q", "left_semi").select("q", "code", "d"))
         # of equal distance, codes are kept by their smallest id
-        ranked = found.join(entries.select("code", F.element_at("ids", 1).alias("i"), F.size("ids").alias("c")), "code")
+        ranked = found.join(entries.select("code", F.element_at("ids", 1).alias("i"), F.size("ids").alias("c")).hint("merge"), "code")
         near = Window.partitionBy("q").orderBy("d", "i")
         ranked = ranked.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
         ranked = stored(ranked, "nearest")
@@ -87,7 +87,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         open_ = stored(open_.join(done, "q", "left_anti"), "open")
         if open_.isEmpty():
             break
-    each = best.join(entries, "code").select("q", "d", F.explode("ids").alias("id"))
+    each = best.join(entries.hint("merge"), "code").select("q", "d", F.explode("ids").alias("id"))
     order = Window.partitionBy("q").orderBy("d", "id")
     top = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # rows of one query code may be many: their answers are broadcast, or spread
