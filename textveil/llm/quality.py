@@ -201,9 +201,9 @@ def score_quality(
     seen = narrow.join(known, "doc_id", "left")
     p = F.coalesce(F.when(F.col("_y") > 0, 1.0).when(F.col("_y") <= 0, 0.0), 1 / (1 + F.exp(-odds)))
     sites = stored(site_posteriors(seen.select(F.col("_h").alias("host"), F.col("_p").alias("path"), p.alias("p"))), "sites")
-    groups = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "host_rate", "path_rate", "global_rate")
-    placed = with_group_values(rows, groups, ["_h", "_p"], "n", narrow.count())
-    total = odds + _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
+    groups = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("n").alias("_sized"), "host_rate", "path_rate", F.col("global_rate").alias("_global"))
+    placed = with_group_values(rows, groups, ["_h", "_p"], "_sized", narrow.count())
+    total = odds + _logit(F.col("path_rate")) - _logit(F.col("_global"))
     score = 1 / (1 + F.exp(-total))
     return placed.withColumn("quality_score", score).withColumn("keep", score >= threshold).select(
         *docs.columns, *added
