@@ -69,14 +69,14 @@ class Block:
         self.ends = np.concatenate(ends)
         self.ids = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
         self.train = np.concatenate([p.column("train").to_numpy(zero_copy_only=False) for p in parts]).astype(bool)
-        self.doc = np.repeat(np.arange(len(self.ends)), np.diff(np.concatenate(([-1], self.ends))))
+        self.doc = np.repeat(np.arange(len(self.ends), dtype=np.int32), np.diff(np.concatenate(([-1], self.ends))))
         order = np.argsort(tokens)
         ranked = tokens[order]
         new = np.ones(len(ranked), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         self.words = ranked[new]
-        self.word = np.empty(len(tokens), np.int64)
-        self.word[order] = np.cumsum(new) - 1
+        self.word = np.empty(len(tokens), np.int32)
+        self.word[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.counts = np.bincount(self.word[self.train[self.doc]], minlength=len(self.words)).astype(np.uint32)
         self.check = int(np.bitwise_xor.reduce(self.words).view(np.int64)) if len(self.words) else 0
 
@@ -85,13 +85,13 @@ class Block:
         first = np.concatenate(([0], self.word[:-1]))
         begins = np.concatenate(([0], self.ends[:-1] + 1))
         first[begins] = len(self.words)
-        code = first * (len(self.words) + 1) + self.word
+        code = first.astype(np.int64) * (len(self.words) + 1) + self.word
         order = np.argsort(code)
         ranked = code[order]
         new = np.ones(len(ranked), bool)
         new[1:] = ranked[1:] != ranked[:-1]
-        self.pair = np.empty(len(code), np.int64)
-        self.pair[order] = np.cumsum(new) - 1
+        self.pair = np.empty(len(code), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.left, self.right = np.divmod(ranked[new], len(self.words) + 1)
         self.pair_counts = np.bincount(self.pair[self.train[self.doc]], minlength=int(new.sum())).astype(np.uint32)
 
@@ -119,7 +119,8 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of each bucket; they arrive sorted by bucket."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             if held and held[0]["bucket"] != row["bucket"]:
                 yield held
                 held = []
@@ -170,6 +171,7 @@ def _ask_words(buckets: int):
             for k in np.unique(at):
                 mine = at == k
                 yield _row("question", int(k), name, _zip(b.words[mine]), _zip(b.counts[mine]), check=b.check)
+            del b, at  # before the next block is made
 
     return run
 
@@ -270,7 +272,8 @@ def _ask_pairs(words: Answers, buckets: int, hot: float):
             edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
             for i, j in zip(edge[:-1], edge[1:]):
                 o = order[i:j]
-                yield _row("question", int(bucket[o[0]]), name, _zip(key[o]), _zip(left[o]), _zip(b.pair_counts[o]), _zip(np.column_stack([counts[b.right[o]] * 2 + often[o]]).astype(np.uint64)), b.check)
+                yield _row("question", int(bucket[o[0]]), name, _zip(key[o]), _zip(left[o]), _zip(b.pair_counts[o]), _zip((counts[b.right[o]] * 2 + often[o]).astype(np.uint64)), b.check)
+            del b, counts, left, key, often, bucket, order, o
 
     return run
 
@@ -278,13 +281,15 @@ def _ask_pairs(words: Answers, buckets: int, hot: float):
 def _answer_pairs(lower: Lower):
     def run(batches):
         for rows in _groups(batches):
-            keys = [_unzip(r["a"], U) for r in rows]
-            every = np.concatenate(keys)
-            distinct, sample, back = np.unique(every, return_index=True, return_inverse=True)
+            keys = [_unzip(r.pop("a"), U) for r in rows]
+            sizes = [len(k) for k in keys]
+            distinct, sample, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            del keys
+            back = back.astype(np.int32)
             total = np.zeros(len(distinct), np.int64)
-            np.add.at(total, back, np.concatenate([_unzip(r["c"], np.uint32) for r in rows]))
-            left = np.concatenate([_unzip(r["b"], U) for r in rows])
-            extra = np.concatenate([_unzip(r["d"], U) for r in rows])[sample]
+            np.add.at(total, back, np.concatenate([_unzip(r.pop("c"), np.uint32) for r in rows]))
+            left = np.concatenate([_unzip(r.pop("b"), U) for r in rows])
+            extra = np.concatenate([_unzip(r.pop("d"), U) for r in rows])[sample]
             seen = total > 0
             firsts, place = np.unique(left[sample], return_inverse=True)
             # for each first word: how many followers were seen 1 to LOW times, and their frequency
@@ -293,13 +298,13 @@ def _answer_pairs(lower: Lower):
                 table[:, r - 1] = np.bincount(place[total == r], minlength=len(firsts))
             table[:, LOW] = np.bincount(place[seen], lower((extra[seen] >> U(1)).astype(np.int64)), minlength=len(firsts))
             bucket, at = rows[0]["bucket"], 0
-            for r, k in zip(rows, keys):
-                own = total[back[at : at + len(k)]]
-                mine = left[at : at + len(k)]
+            for r, size in zip(rows, sizes):
+                own = total[back[at : at + size]]
+                mine = left[at : at + size]
                 ask = np.unique(mine[own == 0])  # only unseen pairs need the first word's sums
                 values = table[np.searchsorted(firsts, ask)]
                 yield _row("answer", bucket, r["block"], _zip(own.astype(np.uint32)), _zip(ask), _zip(values), check=r["check"])
-                at += len(k)
+                at += size
             yield _row("counts", bucket, a=_zip(distinct[seen]), b=_zip(left[sample][seen]), c=_zip(total[seen]))
             spread = np.bincount(place, (extra & U(1)).astype(float), minlength=len(firsts)) > 0
             yield _row("sums", bucket, a=_count_of_counts(total).astype(np.int64).tobytes(), b=_zip(firsts[spread]), c=_zip(table[spread]))
@@ -361,6 +366,7 @@ def _score(words: Answers, pairs: Answers, buckets: int, hot: float, total: int,
                  pa.array(np.bincount(b.doc, plain, minlength=n)), pa.array(np.bincount(b.doc, token, minlength=n))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+            del b, counts, left, key, often, bucket, order, base, seen, six, rows, low, lost, p, token, plain, known
 
     return run
 
@@ -381,7 +387,7 @@ def score_texts(docs: DataFrame, train: Column, buckets: int | None = None) -> D
     if not docs.take(1):
         kind = docs.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
     folder, _, sums = _ask("words", _ask_words(buckets), _answer_words, rows, buckets)
     stats = _added(sums, LOW + 4)
     total, n_words = int(stats[-2]), int(stats[-1])
