@@ -192,3 +192,11 @@ def test_contrastive_pairs(spark):
     for p in pairs:
         assert (label[p.left_id] == label[p.right_id]) == bool(p.same)
         assert p.left_id != p.right_id
+
+
+def test_contrastive_pairs_of_small_classes(spark):
+    # one class of one row, one of two, one of nine
+    df = spark.range(12).select(F.col("id").alias("doc_id"), F.expr("if(id < 1, 'a', if(id < 3, 'b', 'c'))").alias("label"))
+    pairs = [tuple(r) for r in cu.contrastive_pairs(df, 4).select("left_id", "right_id", "same").collect()]
+    assert all(a != b for a, b, _ in pairs) and len(pairs) == len(set(pairs))
+    assert sum(s for *_, s in pairs) == 0 + 2 * 1 + 9 * 4

@@ -124,3 +124,11 @@ def test_small_helpers(frame):
     ).first()
     assert row == ("Hallo", "a b c", "{b}-x!")
     assert re.fullmatch(quote_literal("C++ (x) $1"), "C++ (x) $1")
+
+
+@pytest.mark.parametrize("pattern", [r"[^\W\d_]+", r"[\W\d]+", r"[^\S ]+", r"[\S ]+", r"\Bn", r"[^\Sa]"])
+def test_negated_escapes_inside_classes(spark, pattern):
+    text = "über Ünal 12_ x² é z y ٣"
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(F.regexp_replace("t", portable_regex(pattern), "#")).first()[0]
+    assert got == re.sub(pattern, "#", text)

@@ -41,3 +41,10 @@ def test_centroids(spark):
     rows = {r.vec_id: r for r in tr.nearest_centroid(df, tr.class_centroids(df)).collect()}
     assert [rows[i].predicted for i in (1, 2, 3)] == ["a", "a", "b"]
     assert rows[4].predicted == "a" and rows[4].cosine == -2.0
+
+
+def test_whole_texts_are_read(spark):
+    # what decides comes after the 128th token
+    rows = [(i, "wort " * 150 + ("sterben" if i % 2 else "pizza"), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    assert all(r.y_pred == r.label for r in tr.predict(tr.fit_safety(df), df).collect())

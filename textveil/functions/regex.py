@@ -24,8 +24,16 @@ _OUTSIDE_CLASS = {
     "s": SPACE,
     "S": f"[^{SPACE_CHARS}]",
     "b": f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))",
+    "B": f"(?:(?<!{WORD})(?!{WORD})|(?<={WORD})(?={WORD}))",
+}
+_INSIDE_CLASS = {
+    "w": WORD_CHARS,
+    "W": f"[^{WORD_CHARS}]",
+    "d": r"\p{Nd}",
+    "D": r"\P{Nd}",
+    "s": SPACE_CHARS,
+    "S": NO_SPACE,
 }
-_INSIDE_CLASS = {"w": WORD_CHARS, "d": r"\p{Nd}", "D": r"\P{Nd}", "s": SPACE_CHARS}
 _PIECES = re.compile(r"\\.|\[\^?\]?|\]|.", re.DOTALL)
 
 

@@ -400,11 +400,13 @@ def merge_training_set(clinical: DataFrame, answers: DataFrame, n_answers: int =
 # --- pairs for contrastive training -----------------------------------------
 
 def contrastive_pairs(df: DataFrame, n: int = 10, label: str = "label", key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """``n`` partners of the same class and ``n`` of another class per row.
+    """Up to ``n`` partners of the same class and up to ``n`` of another class per row.
 
     Rows get a seeded position in their class.  The r-th partner is the row r
     places further on, in the own class or in the next class in label order,
     wrapping around: every pair comes from an equi-join on (class, position).
+    No row is its own partner and no partner repeats, so a class of m rows gives
+    m - 1 partners at most and a class of one row none of its own.
     Yields ``(left_id, right_id, iteration, same)``.
     """
     rows = df.where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("c"))
@@ -418,12 +420,12 @@ def contrastive_pairs(df: DataFrame, n: int = 10, label: str = "label", key: str
         F.coalesce(F.lead("n").over(Window.orderBy("c")), F.first("n").over(ring)).alias("other_n"),
     )
     wanted = placed.join(after, "c").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    step = F.lit(1) + F.pmod(F.col("r") - 1, F.greatest(F.col("n") - 1, F.lit(1)))
     targets = F.array(
-        F.struct(F.lit(1).alias("same"), F.col("c").alias("tc"), F.pmod(F.col("p") + step, F.col("n")).alias("tp")),
-        F.struct(F.lit(0).alias("same"), F.col("other").alias("tc"), F.pmod(F.col("p") + F.col("r"), F.col("other_n")).alias("tp")),
+        F.struct(F.lit(1).alias("same"), F.col("c").alias("tc"), F.pmod(F.col("p") + F.col("r"), F.col("n")).alias("tp"), F.col("n").alias("tn")),
+        F.struct(F.lit(0).alias("same"), F.col("other").alias("tc"), F.pmod(F.col("p") + F.col("r"), F.col("other_n")).alias("tp"), F.col("other_n").alias("tn")),
     )
     asked = wanted.select(F.col("id").alias("left_id"), F.col("c").alias("own"), F.col("r").alias("iteration"), F.inline(targets))
-    asked = asked.where((F.col("same") == 1) | (F.col("tc") != F.col("own")))
+    own_class = (F.col("same") == 1) & (F.col("iteration") < F.col("tn"))
+    asked = asked.where(own_class | ((F.col("tc") != F.col("own")) & (F.col("iteration") <= F.col("tn"))))
     partners = placed.select(F.col("id").alias("right_id"), F.col("c").alias("tc"), F.col("p").alias("tp"))
     return asked.join(partners, ["tc", "tp"]).select("left_id", "right_id", "iteration", "same")

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textveil.constants import (
     FUNCTIONAL_EXAMPLES,
     INDICATORS,
-    MAX_TOKENS,
     SAFETY_LABELS,
     SEED,
     TEST_FRACTION,
@@ -30,7 +29,7 @@ MAX_CLASSES = 1000
 
 
 def text_features(txt: str = "text", n_features: int = FEATURES) -> list:
-    """Stages that turn the truncated text into weighted token counts."""
+    """Stages that turn the whole text into weighted token counts."""
     return [
         RegexTokenizer(inputCol=txt, outputCol="_tokens", pattern=r"(?U)\W+", minTokenLength=1),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=n_features),
@@ -38,21 +37,22 @@ def text_features(txt: str = "text", n_features: int = FEATURES) -> list:
     ]
 
 
-def truncated(df: DataFrame, txt: str = "text", n: int = MAX_TOKENS) -> DataFrame:
-    return df.withColumn(txt, truncate_tokens(txt, n))
+def readable(df: DataFrame, txt: str = "text", max_tokens: int | None = None) -> DataFrame:
+    """The text as the features read it: whole, or its first ``max_tokens`` if asked for."""
+    return df.withColumn(txt, F.coalesce(txt if max_tokens is None else truncate_tokens(txt, max_tokens), F.lit("")))
 
 
-def fit_safety(df: DataFrame, txt: str = "text", label: str = "label", reg: float = 0.01, max_iter: int = 20) -> PipelineModel:
-    """Fit a SAFE (0) / UNSAFE (1) classifier; rows without a label are left out."""
-    train = truncated(df.where(F.col(label).isNotNull()).select(txt, F.col(label).cast("double").alias(label)), txt)
+def fit_safety(df: DataFrame, txt: str = "text", label: str = "label", reg: float = 0.01, max_iter: int = 20, max_tokens: int | None = None) -> PipelineModel:
+    """Fit a SAFE (0) / UNSAFE (1) classifier on whole texts; rows without a label are left out."""
+    train = readable(df.where(F.col(label).isNotNull()).select(txt, F.col(label).cast("double").alias(label)), txt, max_tokens)
     head = LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=max_iter)
     return Pipeline(stages=[*text_features(txt), head]).fit(train)
 
 
-def predict(model: PipelineModel, df: DataFrame, txt: str = "text", out: str = "y_pred") -> DataFrame:
+def predict(model: PipelineModel, df: DataFrame, txt: str = "text", out: str = "y_pred", max_tokens: int | None = None) -> DataFrame:
     """Add ``logits``, ``probs`` and the predicted class to the input columns."""
     kept = df.withColumn("_original", F.col(txt))
-    scored = model.transform(truncated(kept, txt))
+    scored = model.transform(readable(kept, txt, max_tokens))
     return scored.select(
         *[F.col("_original").alias(c) if c == txt else F.col(c) for c in df.columns],
         vector_to_array("rawPrediction").alias("logits"),
@@ -61,13 +61,13 @@ def predict(model: PipelineModel, df: DataFrame, txt: str = "text", out: str = "
     )
 
 
-def select_best(df: DataFrame, regs: Sequence[float] = (0.001, 0.01, 0.1), txt: str = "text", label: str = "label", key: str = "doc_id", fraction: float = TEST_FRACTION, seed: int = SEED):
+def select_best(df: DataFrame, regs: Sequence[float] = (0.001, 0.01, 0.1), txt: str = "text", label: str = "label", key: str = "doc_id", fraction: float = TEST_FRACTION, seed: int = SEED, max_tokens: int | None = None):
     """Fit one candidate per penalty and keep the best F1 on held-out rows.
 
     Returns the model and a table of ``(reg, accuracy, precision, recall, f1)``.
     Features do not depend on the penalty, so they are fitted once.
     """
-    sides = split(truncated(df.where(F.col(label).isNotNull()), txt), fraction, seed, key).withColumn(label, F.col(label).cast("double"))
+    sides = split(readable(df.where(F.col(label).isNotNull()), txt, max_tokens), fraction, seed, key).withColumn(label, F.col(label).cast("double"))
     train, test = sides.where("split = 'train'"), sides.where("split = 'test'")
     base = Pipeline(stages=text_features(txt)).fit(train)
     fit_on, eval_on = base.transform(train).select(label, "features").cache(), base.transform(test).cache()

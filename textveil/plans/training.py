@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from textveil.constants import MAX_TOKENS
 from textveil.operators import curate as cu
 from textveil.operators import evaluate as ev
 from textveil.operators import train as tr
-from textveil.plans import corpus as co
 from textveil.plans.registry import query, spread, table
 from textveil.sources.workspace import new_dir
 
@@ -21,11 +19,10 @@ def labelled(spark, sf):
 
 @query(
     "t1_text_features",
-    rf"""WITH s AS (SELECT doc_id, array_to_string((string_split({co.sql_squash('text')}, ' '))[1:{MAX_TOKENS}], ' ') AS t FROM documents)
-    SELECT doc_id, len(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+'))::INTEGER AS n_tokens FROM s""",
+    r"""SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'))::INTEGER AS n_tokens FROM documents""",
 )
 def t1(spark, sf):
-    docs = tr.truncated(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = tr.readable(table(spark, sf, "documents").select("doc_id", "text"))
     done = Pipeline(stages=tr.text_features()[:2]).fit(docs).transform(docs)
     return done.select("doc_id", F.size("_tokens").alias("n_tokens"))
 
@@ -70,8 +67,8 @@ ring AS (
          coalesce(lead(n) OVER (ORDER BY c), first(n) OVER (ORDER BY c)) AS other_n FROM sz),
 w AS (SELECT pl.*, n, other, other_n, unnest(range(1, 11)) AS r FROM pl JOIN ring ON ring.c = pl.c),
 a AS (
-  SELECT id, r, 1 AS same, c AS tc, (p + 1 + (r - 1) % greatest(n - 1, 1)) % n AS tp FROM w
-  UNION ALL SELECT id, r, 0, other, (p + r) % other_n FROM w)"""
+  SELECT id, r, 1 AS same, c AS tc, (p + r) % n AS tp FROM w WHERE r < n
+  UNION ALL SELECT id, r, 0, other, (p + r) % other_n FROM w WHERE other <> c AND r <= other_n)"""
 
 
 @query(
