@@ -90,9 +90,9 @@ def test_salted_join_agrees(spark, frame, monkeypatch):
     from textveil.operators import dictionary
 
     df = frame("Weber a", "b Weber", "c", "Ulm Weber")
-    want = mask_by_join(df, "text", "doc_id", ["Weber"], ["Ulm"]).orderBy("doc_id").collect()
+    want = mask_by_join(df, "text", ["Weber"], ["Ulm"]).orderBy("doc_id").collect()
     monkeypatch.setattr(dictionary, "MAX_BROADCAST_WORDS", 0)
-    got = mask_by_join(df, "text", "doc_id", ["Weber"], ["Ulm"]).orderBy("doc_id").collect()
+    got = mask_by_join(df, "text", ["Weber"], ["Ulm"]).orderBy("doc_id").collect()
     assert want == got and got[3].text == "[LOCATION] [PERSON]"
 
 

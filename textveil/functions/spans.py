@@ -14,6 +14,8 @@ from textveil.constants import DEFAULT_PLACEHOLDER, ENTITY_LABELS, MIN_SPAN_SCOR
 from textveil.functions.regex import WORD, portable_regex, whole_terms
 from textveil.functions.text import as_col, let
 
+# Spans of a text are worked on in pieces of this many.
+BLOCK = 256
 SPAN_DDL = "struct<entity_type:string,start:int,end:int,score:double,text:string>"
 
 
@@ -39,15 +41,11 @@ def regex_spans(txt, regex, entity_type: str, score: float) -> Column:
     """
     c = as_col(txt)
     regex = F.lit(regex) if isinstance(regex, str) else regex
-    start = F.struct(F.lit(0).alias("pos"), no_spans().alias("spans"))
-
-    def step(acc, s):
-        begin = acc.pos + s.gap
-        end = begin + F.length(s.m)
-        found = F.array(_span(entity_type, begin, end, score, s.m))
-        return F.struct(
-            end.cast("int").alias("pos"),
-            F.concat(acc.spans, found).alias("spans"),
+
+    def place(steps):
+        before = before_each(F.transform(steps, lambda s: s.gap + F.length(s.m)), lambda a, x: a + x)
+        return F.zip_with(
+            steps, before, lambda s, b: _span(entity_type, b + s.gap, b + s.gap + F.length(s.m), score, s.m)
         )
 
     def fold(matches):
@@ -59,13 +57,41 @@ def regex_spans(txt, regex, entity_type: str, score: float) -> Column:
             ),
             lambda s: s.m.isNotNull(),
         )
-        return F.when(
-            F.size(matches) > 0, F.aggregate(steps, start, step, lambda acc: acc.spans)
-        ).otherwise(no_spans())
+        return F.when(F.size(matches) > 0, let(steps, place)).otherwise(no_spans())
 
     return let(F.regexp_extract_all(c, regex, 0), fold)
 
 
+def blocks(values, size: int = BLOCK) -> Column:
+    """An array cut into arrays of ``size``, without any for an empty one."""
+    c = as_col(values)
+    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c) / size), F.lit(1)).cast("int") - 1)
+    return F.filter(F.transform(at, lambda b: F.slice(c, b * size + 1, size)), lambda x: F.size(x) > 0)
+
+
+def before_each(values, combine) -> Column:
+    """For each of some integers, what ``combine`` makes of 0 and all those before it.
+
+    ``combine`` is associative.  An array that grows in a fold is copied at each
+    step, so blocks are folded first and each one then starts from the earlier ones'
+    result: the work grows with the number of values, not with its square.
+    """
+    none = F.array().cast("array<int>")
+
+    def running(xs, first):
+        start = F.struct(first.cast("int").alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct(
+            combine(acc.at, x).cast("int").alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")
+        )
+        return F.aggregate(xs, start, step, lambda acc: acc.out)
+
+    def joined(bs):
+        totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: combine(a, x).cast("int")))
+        return F.flatten(F.zip_with(bs, running(totals, F.lit(0)), running))
+
+    return let(blocks(values), joined)
+
+
 def contains_any(txt, needs: str | tuple[str, ...]) -> Column:
     """Cheap check: a Java pattern, or any of several literal strings."""
     c = as_col(txt)
@@ -91,14 +117,20 @@ def term_spans(txt, terms: list[str], entity_type: str, score: float) -> Column:
     return regex_spans(txt, whole_terms(terms), entity_type, score) if terms else no_spans()
 
 
+def escaped(term: Column) -> Column:
+    """A term as a pattern that matches exactly itself."""
+    return F.regexp_replace(term, r"([^\w\s]|_)", r"\\$1")
+
+
 def hit_spans(txt, hits, entity_type: str, score: float, merge: bool = False) -> Column:
-    """Spans of the words in the array column ``hits``.
+    """Spans of the entries in the array column ``hits``.
 
-    The pattern is built per row from the few words known to occur in it.  With
+    The pattern is built per row from the few entries that can occur in it.  With
     ``merge``, hits that are separated by one space form one span.
     """
     hits = as_col(hits)
-    body = F.concat(F.lit("(?:"), F.array_join(F.reverse(F.array_sort(hits)), "|"), F.lit(")"))
+    longest_first = F.reverse(F.array_sort(hits))  # of those with a common beginning
+    body = F.concat(F.lit("(?:"), F.array_join(F.transform(longest_first, escaped), "|"), F.lit(")"))
     before, after = F.lit(f"(?<!{WORD})"), f"(?!{WORD})"
     bounded = F.concat(before, body, F.lit(after))
     regex = bounded
@@ -129,24 +161,12 @@ def resolve_overlaps(spans) -> Column:
     are first cut into clusters of overlapping neighbours; only inside a
     cluster, usually one span, is the greedy choice needed.
     """
-    array_ddl = f"array<{SPAN_DDL}>"
-    empty = F.struct(
-        F.array().cast(f"array<{array_ddl}>").alias("done"),
-        no_spans().alias("open"),
-        F.lit(0).alias("reach"),
-    )
-
-    def grow(acc, s):
-        apart = s.start >= acc.reach
-        closed = F.when(
-            apart & (F.size(acc.open) > 0), F.concat(acc.done, F.array(acc.open))
-        ).otherwise(acc.done)
-        opened = F.when(apart, F.array(s)).otherwise(F.concat(acc.open, F.array(s)))
-        return F.struct(
-            closed.alias("done"),
-            opened.alias("open"),
-            F.greatest(acc.reach, s.end).cast("int").alias("reach"),
-        )
+    def clusters_of(ordered):
+        reach = before_each(F.transform(ordered, lambda s: s.end), F.greatest)
+        apart = F.zip_with(ordered, reach, lambda s, r: s.start >= r)
+        at = F.filter(F.transform(apart, lambda a, i: F.when(a, i + 1)), lambda i: i.isNotNull())
+        ends = F.transform(at, lambda a, i: F.coalesce(F.get(at, i + 1), F.size(ordered) + 1))
+        return F.zip_with(at, ends, lambda a, b: F.slice(ordered, a, b - a))
 
     def choose(cluster):
         ranked = F.array_sort(
@@ -170,9 +190,7 @@ def resolve_overlaps(spans) -> Column:
         )
         return in_text_order(kept)
 
-    clusters = F.aggregate(
-        in_text_order(spans), empty, grow, lambda acc: F.concat(acc.done, F.array(acc.open))
-    )
+    clusters = let(in_text_order(spans), clusters_of)
     return F.flatten(
         F.transform(clusters, lambda c: F.when(F.size(c) > 1, choose(c)).otherwise(c))
     )
@@ -188,16 +206,24 @@ def label_of(entity_type, mapping: dict[str, str] | None = None, default: str =
 def replace_spans(txt, kept, mapping: dict[str, str] | None = None) -> Column:
     """Replace non-overlapping spans, in text order, by their placeholders."""
     c = as_col(txt)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc, s):
-        gap = F.substring(c, acc.pos + 1, s.start - acc.pos)
-        return F.struct(
-            s.end.cast("int").alias("pos"),
-            F.concat(acc.parts, F.array(gap, label_of(s.entity_type, mapping))).alias("parts"),
-        )
+    def rewritten(b, first):
+        # positions are counted from the block's own piece of the text
+        stop = F.element_at(b, -1).end
+        piece = F.substring(c, first + 1, stop - first)
+
+        def part(text):
+            def one(s, i):
+                begin = F.when(i == 0, first).otherwise(F.get(b, i - 1).end)
+                return F.concat(F.substring(text, begin - first + 1, s.start - begin), label_of(s.entity_type, mapping))
+
+            return F.array_join(F.transform(b, one), "")
+
+        return let(piece, part)
 
-    def finish(acc):
-        return F.array_join(F.concat(acc.parts, F.array(F.substring(c, acc.pos + 1, F.length(c)))), "")
+    def whole(bs):
+        firsts = F.transform(bs, lambda b, i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.get(bs, i - 1), -1).end))
+        last = F.coalesce(F.element_at(F.get(bs, F.size(bs) - 1), -1).end, F.lit(0))
+        return F.concat(F.array_join(F.zip_with(bs, firsts, rewritten), ""), F.substring(c, last + 1, F.length(c)))
 
-    return F.aggregate(as_col(kept), start, step, finish)
+    return let(blocks(kept), whole)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -26,6 +27,7 @@ from textveil.functions.spans import (
     SPAN_DDL,
     confident,
     contains_any,
+    escaped,
     hit_spans,
     in_text_order,
     no_spans,
@@ -38,10 +40,11 @@ from textveil.functions.spans import (
 from textveil.functions.arrays import unpack
 from textveil.functions.regex import whole_words
 from textveil.functions.text import as_col, words
-from textveil.operators.dictionary import as_frame, inline_words, matched_words, with_matches
+from textveil.operators.dictionary import inline_words, with_terms
 
 _DIGIT = r"\p{Nd}"
-MAX_TERM_WORDS = 100
+# Up to this many entries of several words are looked for in each text one by one.
+MAX_INLINE_PHRASES = 100
 
 
 @dataclass(frozen=True)
@@ -86,57 +89,24 @@ def deny_list_spans(txt, terms: Sequence[str]) -> Column:
     return term_spans(txt, list(terms), "INTERNAL_SENSITIVE", DENY_SCORE)
 
 
-def with_deny_spans(df: DataFrame, txt: str, terms, key: str = "doc_id", out: str = "deny_spans") -> DataFrame:
+def with_deny_spans(df: DataFrame, txt: str, terms, out: str = "deny_spans") -> DataFrame:
     """Deny-list spans for lists of any size.
 
-    A term can only occur where its sequence of words occurs, so word n-grams
-    of the lengths present in the list are joined with it; the candidates of a
-    row then form that row's own pattern, which decides exactly.  Terms without
-    any word character stay in the pattern of every row.
+    A term can only occur where its first words occur, so these are joined with the
+    text's word n-grams; the candidates of a row then form that row's own pattern,
+    which decides exactly.
     """
-    spark = df.sparkSession
-    listed = as_frame(spark, terms).where("word <> ''").select(F.col("word").alias("term"))
-    gram = F.array_join(words("term"), " ")
-    keyed = listed.select("term", gram.alias("word"), F.size(words("term")).alias("n"))
-    longest = keyed.agg(F.max("n")).first()[0] or 0
-    if longest > MAX_TERM_WORDS:
-        raise ValueError(f"a deny-list term has {longest} words")
-    lengths = [r[0] for r in keyed.where("n > 0").select("n").distinct().collect()]
-    bare = inline_words(keyed.where("n = 0").select(F.col("term").alias("word")))
-    if bare is None:
-        raise ValueError("too many deny-list terms without a word character")
-    toks = words(txt)
-
-    def grams(w, n):
-        if n == 1:
-            return w
-        last = F.size(w) - (n - 1)
-        return F.when(
-            last > 0,
-            F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-
-    none = F.array().cast("array<string>")
-    listed_words = df.select(key, toks.alias("_w"))
-    all_grams = F.concat(none, *[grams(F.col("_w"), n) for n in lengths])
-    by_gram = keyed.where("n > 0").select("word", F.col("term").alias("kind"))
-    found = matched_words(listed_words, key, all_grams, by_gram)
-    hits = found.groupBy(key).agg(F.collect_set("kind").alias("_terms"))
-    escape = lambda t: F.regexp_replace(t, r"([^\w\s]|_)", r"\\$1")
-    terms_col = F.array_distinct(
-        F.concat(F.coalesce("_terms", F.array().cast("array<string>")), F.array(*map(F.lit, bare)).cast("array<string>"))
-    )
+    found = with_terms(df, txt, {"deny": terms})
     ranked = F.array_sort(
-        F.transform(terms_col, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))
+        F.transform("_hits_deny", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))
     )
-    body = F.array_join(F.transform(ranked, lambda k: escape(k.t)), "|")
+    body = F.array_join(F.transform(ranked, lambda k: escaped(k.t)), "|")
     left, right = whole_words("\0").split("\0")
-    regex = F.concat(F.lit(left), F.col("_body"), F.lit(right))
-    joined = df.join(hits, key, "left").withColumn("_body", body)
+    regex = F.concat(F.lit(left), body, F.lit(right))
     spans = F.when(
-        F.col("_body") != "", regex_spans(txt, regex, "INTERNAL_SENSITIVE", DENY_SCORE)
+        F.size("_hits_deny") > 0, regex_spans(txt, regex, "INTERNAL_SENSITIVE", DENY_SCORE)
     ).otherwise(no_spans())
-    return joined.withColumn(out, spans).drop("_terms", "_body")
+    return found.withColumn(out, spans).drop("_hits_deny")
 
 
 def with_gazetteer_spans(
@@ -144,28 +114,34 @@ def with_gazetteer_spans(
     txt: str,
     dictionaries: dict[str, object],
     score: float = GAZETTEER_SCORE,
-    key: str = "doc_id",
     out: str = "gazetteer_spans",
     strategy: str = "auto",
 ) -> DataFrame:
-    """Spans of dictionary words per entity type.
+    """Spans of dictionary entries per entity type.
 
-    ``dictionaries`` maps an entity type to a list or frame of words.  Hits of
-    one type with only a space between them form one span.  Small dictionaries
+    ``dictionaries`` maps an entity type to a list or frame of words or phrases.  Hits
+    of one type with only a space between them form one span.  Small dictionaries
     are looked up in the row, larger ones by join.
     """
     inline = {t: inline_words(w) for t, w in dictionaries.items()} if strategy != "join" else {}
-    if inline and None not in inline.values():
+    small = bool(inline) and None not in inline.values()
+    phrases = {t: [w for w in inline[t] if w and not re.fullmatch(r"\w+", w)] for t in inline} if small else {}
+    if small and sum(map(len, phrases.values())) <= MAX_INLINE_PHRASES:
         ready = df.withColumn("_words", F.array_distinct(words(txt)))
+        none = F.array().cast("array<string>")
         for t, listed in inline.items():
-            hits = F.filter("_words", lambda w: w.isin(listed)) if listed else F.array().cast("array<string>")
+            single = sorted(set(listed) - set(phrases[t]))
+            hits = F.filter("_words", lambda w: w.isin(single)) if single else none
+            if phrases[t]:
+                inside = F.filter(F.array(*map(F.lit, phrases[t])), lambda p: F.contains(F.col(txt), p))
+                hits = F.concat(hits, F.coalesce(inside, none))
             ready = ready.withColumn(f"_hits_{t}", hits)
+        ready = ready.drop("_words")
     else:
-        frames = {t: as_frame(df.sparkSession, w) for t, w in dictionaries.items()}
-        ready = with_matches(df.withColumn("_words", words(txt)), key, F.col("_words"), frames)
+        ready = with_terms(df, txt, dictionaries)
     spans = [hit_spans(txt, f"_hits_{t}", t, score, merge=True) for t in dictionaries]
     merged = F.concat(*spans) if len(spans) > 1 else spans[0]
-    return ready.withColumn(out, merged).drop("_words", *[f"_hits_{t}" for t in dictionaries])
+    return ready.withColumn(out, merged).drop(*[f"_hits_{t}" for t in dictionaries])
 
 
 def with_external_spans(df: DataFrame, spans_df: DataFrame, txt: str = "text", key: str = "doc_id", out: str = "external_spans") -> DataFrame:
@@ -208,12 +184,12 @@ def detect(
     parts, ready, extra = [recognized_spans(txt, recognizers)], df, []
     listed = inline_words(deny_terms, limit=1000)
     if listed is None:
-        ready, extra = with_deny_spans(ready, txt, deny_terms, key, "_deny"), extra + ["_deny"]
+        ready, extra = with_deny_spans(ready, txt, deny_terms, "_deny"), extra + ["_deny"]
         parts.append(F.col("_deny"))
     elif listed:
         parts.append(deny_list_spans(txt, listed))
     if gazetteers:
-        ready, extra = with_gazetteer_spans(ready, txt, gazetteers, key=key, out="_gaz"), extra + ["_gaz"]
+        ready, extra = with_gazetteer_spans(ready, txt, gazetteers, out="_gaz"), extra + ["_gaz"]
         parts.append(F.col("_gaz"))
     if external is not None:
         ready, extra = with_external_spans(ready, external, txt, key, "_ext"), extra + ["_ext"]
@@ -230,9 +206,11 @@ def anonymize(df: DataFrame, txt: str = "text", out: str = "result", mapping: di
     are those of :func:`detect`.
     """
     found = detect(df, txt, out="_spans", **options)
+    # a column for each step: lambdas nested deeper take the analyzer too many rounds
     ordered = found.withColumn("_spans", in_text_order("_spans"))
+    ordered = ordered.withColumn("_kept", resolve_overlaps("_spans"))
     result = F.struct(
-        F.when(F.size("_spans") > 0, replace_spans(txt, resolve_overlaps("_spans"), mapping))
+        F.when(F.size("_spans") > 0, replace_spans(txt, "_kept", mapping))
         .otherwise(F.col(txt))
         .alias("anonymized_text"),
         F.length(txt).alias("original_length"),
@@ -244,7 +222,7 @@ def anonymize(df: DataFrame, txt: str = "text", out: str = "result", mapping: di
             ),
         ).alias("entities"),
     )
-    return ordered.withColumn(out, result).drop("_spans")
+    return ordered.withColumn(out, result).drop("_spans", "_kept")
 
 
 def entities(found: DataFrame, spans: str = "spans", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

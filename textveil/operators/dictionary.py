@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textveil.functions.text import norm_tokens, squash_ws, strip_ws
+from textveil.functions.regex import WORD
+from textveil.functions.text import let, norm_tokens, squash_ws, strip_ws, words as words_of
 
 # Up to this many words a dictionary is a hash set inside the plan; larger
 # ones are joined.
 MAX_INLINE_WORDS = 10_000
-# Up to this many words (some ten bytes each) it is sent to all executors.
+# Up to this many words and bytes it is sent to all executors.
 MAX_BROADCAST_WORDS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
+# A term is looked up by so many of its first words.
+ANCHOR_WORDS = 8
 
 
 def clean_word_list(df: DataFrame, col: str = "word", min_len: int = 1, exclude: DataFrame | None = None) -> DataFrame:
@@ -64,46 +69,105 @@ def dictionary_stats(**dictionaries: DataFrame) -> DataFrame:
     )
 
 
-def matched_words(df: DataFrame, key: str, words: Column, dictionary: DataFrame, salts: int = 8) -> DataFrame:
-    """``(key, kind, word)`` for each dictionary word among a row's words.
+def _small(dictionary: DataFrame) -> bool:
+    """Whether a dictionary's rows and bytes, both counted, may go to all executors."""
+    texts = [c for c, kind in dictionary.dtypes if kind == "string"]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    n, total = dictionary.limit(MAX_BROADCAST_WORDS + 1).agg(F.count("*"), F.sum(size)).first()
+    return n <= MAX_BROADCAST_WORDS and (total or 0) <= MAX_BROADCAST_BYTES
+
+
+def matched_words(df: DataFrame, key: str, words: Column, dictionary: DataFrame) -> DataFrame:
+    """``(key, kind, term)`` for each dictionary entry whose ``word`` is among a row's words.
 
     For dictionaries of any size: one of counted, bounded size is broadcast, so
-    that only matches are shuffled later.  Beyond that, a word of the text
-    language can be in a large share of all rows, so its rows are spread over
-    ``salts`` copies of the dictionary; rows contribute each distinct word once.
+    that only matches are shuffled later.  A larger one is first cut down to the
+    words that occur at all, counted once in the map tasks, and what is still too
+    large is joined by word, where adaptive execution splits the rows of a hot one.
     """
-    if dictionary.limit(MAX_BROADCAST_WORDS + 1).count() <= MAX_BROADCAST_WORDS:
-        found = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
-        return found.join(F.broadcast(dictionary), "word").select(key, "kind", "word")
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-    found = df.select(key, salt.alias("salt"), F.explode(F.array_distinct(words)).alias("word"))
-    copies = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return found.join(copies, ["word", "salt"]).select(key, "kind", "word")
-
-
-def with_matches(df: DataFrame, key: str, words: Column, kinds: dict[str, DataFrame]) -> DataFrame:
-    """Add one array column ``_hits_<kind>`` of matched words per dictionary."""
-    parts = [d.select("word", F.lit(kind).alias("kind")) for kind, d in kinds.items()]
-    dictionary = parts[0]
-    for p in parts[1:]:
-        dictionary = dictionary.unionByName(p)
+    found = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
+    if not _small(dictionary):
+        dictionary = dictionary.join(found.select("word").distinct(), "word", "left_semi")
+        if not _small(dictionary):
+            return found.join(dictionary, "word").select(key, "kind", "term")
+    return found.join(F.broadcast(dictionary), "word").select(key, "kind", "term")
+
+
+def with_matches(df: DataFrame, txt: str, words: Column, kinds: dict[str, DataFrame]) -> DataFrame:
+    """Add one array column ``_hits_<kind>`` of matched entries per dictionary.
+
+    A dictionary has a column ``word`` that is looked up and may have one ``term``
+    that is returned for it.  Rows meet their hits by a digest of the text: equal
+    texts have equal hits, whatever ids the rows have, null ones included.
+    """
+    if df.isStreaming:
+        raise ValueError("a list of this size needs a join; use streaming.jobs.rewrite_batches")
+    parts = [
+        d.select("word", F.col("term" if "term" in d.columns else "word").alias("term"), F.lit(kind).alias("kind"))
+        for kind, d in kinds.items()
+    ]
+    dictionary = reduce(DataFrame.unionByName, parts)
+    keyed = df.withColumn("_digest", F.sha2(txt, 256))
     hits = (
-        matched_words(df, key, words, dictionary.distinct())
-        .groupBy(key)
+        matched_words(keyed, "_digest", words, dictionary.distinct())
+        .groupBy("_digest")
         .agg(
             *[
-                F.collect_set(F.when(F.col("kind") == kind, F.col("word"))).alias(f"_hits_{kind}")
+                F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(f"_hits_{kind}")
                 for kind in kinds
             ]
         )
     )
-    out = df.join(hits, key, "left")
+    out = keyed.join(hits, "_digest", "left").drop("_digest")
     empty = F.array().cast("array<string>")
     for kind in kinds:
         out = out.withColumn(f"_hits_{kind}", F.coalesce(f"_hits_{kind}", empty))
     return out
 
 
+def anchored(terms: DataFrame) -> DataFrame:
+    """``(word, term, n)``: what must be in a text for a term to be in it.
+
+    That is the term's first words, ANCHOR_WORDS (``n``) at most, or the first character
+    of a term that has no word (``n`` = 0).
+    """
+    parts = words_of("term")
+    n = F.least(F.size(parts), F.lit(ANCHOR_WORDS))
+    head = F.array_join(F.slice(parts, 1, ANCHOR_WORDS), " ")
+    return terms.where("word <> ''").select(F.col("word").alias("term")).select(
+        F.when(n > 0, head).otherwise(F.substring("term", 1, 1)).alias("word"), "term", n.alias("n")
+    )
+
+
+def anchors(txt: str, lengths: Iterable[int]) -> Column:
+    """All anchors of the given lengths in a text."""
+    def grams(w, n):
+        if n == 0:
+            return F.filter(F.split(txt, ""), lambda c: ~c.rlike(WORD))
+        if n == 1:
+            return w
+        last = F.size(w) - (n - 1)
+        at = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+        return F.when(last > 0, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    none = F.array().cast("array<string>")
+    return let(words_of(txt), lambda w: F.concat(none, *[grams(w, n) for n in lengths]))
+
+
+def with_terms(df: DataFrame, txt: str, kinds: dict[str, object]) -> DataFrame:
+    """Add ``_hits_<kind>``: the entries of each list that can be in the text.
+
+    Entries may have any number of words, or none; their exact match is left to a
+    pattern of the row's few entries.
+    """
+    frames = {kind: anchored(as_frame(df.sparkSession, listed)) for kind, listed in kinds.items()}
+    every = reduce(DataFrame.unionByName, [f.select("n") for f in frames.values()])
+    lengths = sorted(r["n"] for r in every.distinct().collect())  # ANCHOR_WORDS + 1 at most
+    return with_matches(df, txt, anchors(txt, lengths), frames)
+
+
 def rewrite_tokens(squashed, choose) -> Column:
     """Rejoin tokens after ``choose(token, normalised)`` picked each one."""
     s = F.col(squashed) if isinstance(squashed, str) else squashed
@@ -112,6 +176,8 @@ def rewrite_tokens(squashed, choose) -> Column:
 
 __all__ = [
     "MAX_INLINE_WORDS",
+    "anchored",
+    "anchors",
     "as_frame",
     "clean_word_list",
     "dictionary_stats",
@@ -120,5 +186,6 @@ __all__ = [
     "rewrite_tokens",
     "squash_ws",
     "with_matches",
+    "with_terms",
     "words_frame",
 ]

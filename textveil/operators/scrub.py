@@ -80,16 +80,16 @@ def mask_dictionaries(txt, dictionaries: Sequence[tuple[Sequence[str], str]]) ->
     return let(squash_ws(txt), lambda squashed: rewrite_tokens(squashed, choose))
 
 
-def mask_by_join(df: DataFrame, txt: str, key: str, names=None, cities=None, out: str | None = None) -> DataFrame:
+def mask_by_join(df: DataFrame, txt: str, names=None, cities=None, out: str | None = None) -> DataFrame:
     """The dictionary step for word lists of any size, by an equi-join.
 
-    Only ``(key, word)`` pairs are shuffled for matching; the text itself is
-    shuffled once, by key, to receive the few words found in it.
+    Only pairs of a text's digest and a word are shuffled for matching; the text
+    itself is shuffled once, by digest, to receive the few words found in it.
     """
     spark, out = df.sparkSession, out or txt
     ready = df.withColumn("_squashed", squash_ws(txt))
     kinds = {"name": as_frame(spark, names), "city": as_frame(spark, cities)}
-    matched = with_matches(ready, key, norm_tokens("_squashed"), kinds)
+    matched = with_matches(ready, "_squashed", norm_tokens("_squashed"), kinds)
 
     def choose(token, norm):
         return (
@@ -112,13 +112,12 @@ def scrub(
     needs: str | None = None,
     out: str | None = None,
     strategy: str = "auto",
-    key: str = "doc_id",
 ) -> DataFrame:
     """Rules, then dictionaries, then the digit fallback.
 
     ``names`` and ``cities`` are lists or frames with a column ``word``.  With
     ``auto`` they are inlined while both are small, which needs no shuffle, and
-    joined on ``key`` otherwise.
+    joined by a digest of the text otherwise; the rows are the same.
     """
     out = out or txt
     ruled = apply_rules(txt, rules, needs)
@@ -129,8 +128,8 @@ def scrub(
         masked = mask_dictionaries(ruled, [(inline[0], PERSON_MASK), (inline[1], LOCATION_MASK)])
         return df.withColumn(out, mask_numbers(masked))
     if strategy == "inline":
-        raise ValueError("a dictionary is too large to inline")
-    joined = mask_by_join(df.withColumn(out, ruled), out, key, names, cities)
+        raise ValueError("a dictionary is too large to inline; streams take it with streaming.jobs.rewrite_batches")
+    joined = mask_by_join(df.withColumn(out, ruled), out, names, cities)
     return joined.withColumn(out, mask_numbers(out))
 
 

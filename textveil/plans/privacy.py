@@ -168,7 +168,7 @@ def _sql_mask(source: str, cities: bool) -> str:
 def p10(spark, sf):
     words = dic.inline_words(co.names(spark, sf))
     if words is None:
-        return sc.mask_by_join(co.probe(spark, sf), "text", "doc_id", co.names(spark, sf)).select("doc_id", "text")
+        return sc.mask_by_join(co.probe(spark, sf), "text", co.names(spark, sf)).select("doc_id", "text")
     return co.probe(spark, sf).select("doc_id", sc.mask_tokens("text", words, "[PERSON]").alias("text"))
 
 
@@ -179,7 +179,7 @@ _P11 = f"{WITH_ALL} SELECT doc_id, {_sql_mask(co.sql_squash('text'), True)} AS t
 def p11(spark, sf):
     lists = dic.inline_words(co.names(spark, sf)), dic.inline_words(co.cities(spark, sf))
     if None in lists:
-        return sc.mask_by_join(co.probe(spark, sf), "text", "doc_id", co.names(spark, sf), co.cities(spark, sf)).select("doc_id", "text")
+        return sc.mask_by_join(co.probe(spark, sf), "text", co.names(spark, sf), co.cities(spark, sf)).select("doc_id", "text")
     masked = sc.mask_dictionaries("text", [(lists[0], "[PERSON]"), (lists[1], "[LOCATION]")])
     return co.probe(spark, sf).select("doc_id", masked.alias("text"))
 

@@ -55,11 +55,11 @@ def r2(spark, sf):
     terms.coalesce(1).write.text(deny)
 
     def sink(batch, batch_id):
-        batch.select("doc_id", "result.anonymized_text").write.mode("append").parquet(out)
+        batch.select("doc_id", "result.anonymized_text").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     docs = incoming(spark, sf, "documents").select("doc_id", "text")
     jobs.anonymize_with_reload(docs, deny, sink, new_dir(spark, "reload-state"), recognizers=[]).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 _TUMBLING = """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end,

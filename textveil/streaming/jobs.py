@@ -34,7 +34,7 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, format: str = "parqu
 
 
 def scrub_stream(df: DataFrame, txt: str = "text", names: Sequence[str] = (), cities: Sequence[str] = (), **options) -> DataFrame:
-    """Scrub a stream; dictionaries must be small enough to inline."""
+    """Scrub a stream; lists that are too large to inline need :func:`rewrite_batches`."""
     return scrub(df, txt, names, cities, strategy="inline", **options)
 
 
@@ -42,6 +42,24 @@ def anonymize_stream(df: DataFrame, txt: str = "text", **options) -> DataFrame:
     return anonymize(df, txt, **options)
 
 
+def rewrite_batches(df: DataFrame, rewrite: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Write ``rewrite(batch)`` of each micro-batch, as Parquet below ``path``.
+
+    A batch is an ordinary frame, so lists of any size work.  Its folder carries its
+    number and is overwritten when the batch is tried again, so no row comes twice.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rewrite(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        df.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def anonymize_with_reload(df: DataFrame, deny_path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, txt: str = "text", **options) -> StreamingQuery:
     """Anonymize each micro-batch with the deny list as it is at that moment."""
 
