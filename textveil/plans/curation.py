@@ -232,10 +232,10 @@ def d33(spark, sf):
 @query(
     "d8_round_robin",
     f"""SELECT event_id, ([{co.sql_list(OUTPUT_LENGTHS)}])[(row_number() OVER (ORDER BY event_id) - 1) % {len(OUTPUT_LENGTHS)} + 1] AS length_instruction
-    FROM events WHERE event_type <> 'click'""",
+    FROM events""",
 )
 def d8(spark, sf):
-    events = table(spark, sf, "events").where("event_type <> 'click'").select("event_id")
+    events = table(spark, sf, "events").select("event_id")
     return cu.round_robin(events, OUTPUT_LENGTHS, "event_id", "length_instruction")
 
 
@@ -354,26 +354,26 @@ def d17(spark, sf):
 @query(
     "d13_tagged_examples",
     """SELECT doc_id, text, 'SAFE' AS label, 'hard_negative' AS source, '' AS source_text FROM documents WHERE lang = 'de'
-    UNION ALL SELECT doc_id, text, 'UNSAFE', 'translated', text FROM documents WHERE lang = 'en'""",
+    UNION ALL SELECT doc_id, text, 'UNSAFE', 'translated', text FROM documents WHERE lang <> 'de'""",
 )
 def d13(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     safe = cu.tag(docs.where("lang = 'de'"), "SAFE", "hard_negative", "")
-    translated = cu.tag(docs.where("lang = 'en'"), "UNSAFE", "translated", F.col("text"))
+    translated = cu.tag(docs.where("lang <> 'de'"), "UNSAFE", "translated", F.col("text"))
     return cu.combine(safe, translated).drop("lang")
 
 
 @query(
     "d21_combined_run",
     """SELECT doc_id, text, 'SAFE' AS label, 'synthetic' AS source, NULL::VARCHAR AS source_text FROM documents WHERE lang = 'de'
-    UNION ALL SELECT doc_id, text, 'UNSAFE', 'translated', lang FROM documents WHERE lang = 'en'
-    UNION ALL SELECT doc_id, text, 'UNSAFE', 'twin_original', '' FROM documents WHERE lang = 'en'
-    UNION ALL SELECT doc_id, 'nicht ' || text, 'SAFE', 'twin_generated', text FROM documents WHERE lang = 'en'""",
+    UNION ALL SELECT doc_id, text, 'UNSAFE', 'translated', lang FROM documents WHERE lang <> 'de'
+    UNION ALL SELECT doc_id, text, 'UNSAFE', 'twin_original', '' FROM documents WHERE lang <> 'de'
+    UNION ALL SELECT doc_id, 'nicht ' || text, 'SAFE', 'twin_generated', text FROM documents WHERE lang <> 'de'""",
 )
 def d21(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     synthetic = cu.tag(docs.where("lang = 'de'").drop("lang"), "SAFE", "synthetic")
-    translated = cu.tag(docs.where("lang = 'en'"), "UNSAFE", "translated", F.col("lang")).drop("lang")
+    translated = cu.tag(docs.where("lang <> 'de'"), "UNSAFE", "translated", F.col("lang")).drop("lang")
     earlier = cu.combine(synthetic, translated)
     unsafe = earlier.where("label = 'UNSAFE'").select("doc_id", "text")
     twins = cu.twin_pairs(unsafe.withColumn("twin_text", F.concat(F.lit("nicht "), F.col("text"))))

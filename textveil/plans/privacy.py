@@ -12,9 +12,10 @@ from textveil.operators import dictionary as dic
 from textveil.operators import scrub as sc
 from textveil.operators.classify import string_array
 from textveil.plans import corpus as co
-from textveil.plans.registry import query, table
+from textveil.plans.registry import query, spread, table
 from textveil.sources.tables import parse_requests, to_responses
-from textveil.sources.words import parse_deny_list
+from textveil.sources.words import parse_deny_list, read_safe_words
+from textveil.sources.workspace import new_dir
 
 WITH_PROBE = f"WITH {co.PROBE}"
 WITH_ALL = f"WITH {co.PROBE}, {co.DICTIONARIES}"
@@ -35,13 +36,13 @@ def s2(spark, sf):
 @query(
     "s3_safe_words",
     f"""WITH {co.PROBE} SELECT DISTINCT line AS word FROM (
-      SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM probe)
-      WHERE line <> '' AND line[1] <> '#' AND length(line) < 20""",
+      SELECT regexp_replace(unnest(string_split(text, chr(10))), '^{co.WS}+|{co.WS}+$', '', 'g') AS line FROM probe)
+      WHERE line <> '' AND line[1] <> '#'""",
 )
 def s3(spark, sf):
-    lines = co.probe(spark, sf).select(F.explode(F.split("text", "\n")).alias("value"))
-    word = F.trim("value")
-    return lines.select(word.alias("word")).where("word <> '' and length(word) < 20").where(~F.col("word").startswith("#")).distinct()
+    path = new_dir(spark, "safe")
+    co.probe(spark, sf).select("text").write.text(path)
+    return read_safe_words(spark, path)
 
 
 @query(
@@ -218,6 +219,20 @@ def p15(spark, sf):
     ).select("doc_id", "text")
 
 
+_SOME_ID = "CASE WHEN doc_id % 10 <> 0 THEN doc_id END AS doc_id"
+
+
+def _some_ids(df):
+    """Every tenth row without an id."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("doc_id")))
+
+
+@query("p15_null_keys", f"{_P14} SELECT {_SOME_ID}, text FROM z")
+def p15_null(spark, sf):
+    rows = _some_ids(co.probe(spark, sf))
+    return sc.scrub(rows, names=co.names(spark, sf), cities=co.cities(spark, sf), strategy="join").select("doc_id", "text")
+
+
 @query(
     "p14_placeholders_by_lang",
     rf"""{_P14}, e AS (SELECT lang, unnest(regexp_extract_all(text, '\[[A-Z_]+\]')) AS label FROM z)
@@ -283,6 +298,11 @@ def a5_join(spark, sf):
     return an.entities(found)
 
 
+@query("a5_null_keys", _DENY.replace(f"SELECT {_SPAN_COLS}", "SELECT " + _SPAN_COLS.replace("doc_id", _SOME_ID)))
+def a5_null(spark, sf):
+    return an.entities(an.with_deny_spans(_some_ids(co.probe(spark, sf)), "text", co.DENY_TERMS, out="spans"))
+
+
 _GAZ = rf"""tok AS (SELECT doc_id, regexp_extract_all(text, '{co.IS_WORD}') AS m, regexp_split_to_array(text, '{co.IS_WORD}') AS g FROM probe),
 pos AS (SELECT doc_id, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM tok),
 placed AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM pos),
@@ -318,6 +338,28 @@ def a9_join(spark, sf):
     return an.entities(found)
 
 
+@query("a9_null_keys", f"{WITH_ALL},\n{_GAZ}\nSELECT {_SPAN_COLS.replace('doc_id', _SOME_ID)} FROM gaz")
+def a9_null(spark, sf):
+    rows = _some_ids(co.probe(spark, sf))
+    return an.entities(an.with_gazetteer_spans(rows, "text", _gazetteers(spark, sf), out="spans", strategy="join"))
+
+
+_PHRASES = ["Nordlicht Labor", "Klinik am See"]
+_PHRASE_SPANS = f"""{WITH_PROBE},
+{co.sql_spans('x0', rf"\b(?:{'|'.join(_PHRASES)})\b", 'ORGANIZATION', 0.85)}
+SELECT {_SPAN_COLS} FROM x0"""
+
+
+def _phrases(key: str, strategy: str) -> None:
+    @query(key, _PHRASE_SPANS)
+    def run(spark, sf):
+        return an.entities(an.with_gazetteer_spans(co.probe(spark, sf), "text", {"ORGANIZATION": _PHRASES}, out="spans", strategy=strategy))
+
+
+_phrases("a9_phrase_gazetteer", "auto")
+_phrases("a9_phrase_gazetteer_by_join", "join")
+
+
 @query(
     "a10_external_spans",
     f"""{WITH_PROBE} SELECT doc_id, 'ORG' AS entity_type, 0::INTEGER AS start, least(length(text), 3 + doc_id % 4)::INTEGER AS "end",
@@ -443,6 +485,23 @@ def a15_disjoint(spark, sf):
     return done.select("doc_id", "result.anonymized_text", "result.original_length", "result.items_changed")
 
 
+@query(
+    "a15_many_matches",
+    f"""WITH {co.PROBE.replace("text || ' ' ||", "text || ' ' || repeat(' ' ||").replace("+ 1] AS text", "+ 1], 600) AS text")}
+    SELECT doc_id, {co.sql_replace(co.sql_replace('text', co.RE2_RULES['EMAIL'], '<EMAIL>'), co.ZIP_RE2, '<PLZ>')} AS anonymized_text,
+      length(text)::INTEGER AS original_length,
+      (len(regexp_extract_all(text, '{co.RE2_RULES['EMAIL']}')) + len(regexp_extract_all(text, '{co.ZIP_RE2}')))::INTEGER AS items_changed
+    FROM probe""",
+)
+def a15_many(spark, sf):
+    """Texts with hundreds of matches each: more than one block of spans."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    suffix = F.get(string_array(co.SUFFIXES), F.pmod("doc_id", F.lit(len(co.SUFFIXES))).cast("int"))
+    longer = docs.withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.concat(F.lit(" "), suffix), F.lit(600))))
+    done = an.anonymize(longer, recognizers=[an.ZIP, an.EMAIL])
+    return done.select("doc_id", "result.anonymized_text", "result.original_length", "result.items_changed")
+
+
 _BLANKED = "blanked AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS text FROM documents)"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from textveil.functions.scores import argmax
+from textveil.operators import bayes as by
 from textveil.operators import curate as cu
 from textveil.operators import evaluate as ev
 from textveil.operators import train as tr
@@ -35,6 +37,52 @@ def t2(spark, sf):
     return scored.select("doc_id", "y_pred", F.round(F.element_at("probs", 2), 4).alias("unsafe_prob"))
 
 
+@query("t2_prediction_rules", "SELECT doc_id, 1.0::DOUBLE AS total, true AS is_argmax FROM documents")
+def t2_rules(spark, sf):
+    """What holds for each document whatever was learnt."""
+    scored = tr.predict(tr.fit_safety(labelled(spark, sf)), spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
+    total = F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 9)
+    return scored.select("doc_id", total.alias("total"), (F.get("probs", "y_pred") == F.array_max("probs")).alias("is_argmax"))
+
+
+_BAYES = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS token FROM documents),
+cnt AS (SELECT token, count(*) FILTER (toxic = 0) AS c0, count(*) FILTER (toxic = 1) AS c1 FROM tok JOIN labels USING (doc_id) GROUP BY 1),
+tot AS (SELECT sum(c0) + count(*) + 1 AS n0, sum(c1) + count(*) + 1 AS n1 FROM cnt),
+pri AS (SELECT count(*) FILTER (toxic = 0) + 1.0 AS t0, count(*) FILTER (toxic = 1) + 1.0 AS t1 FROM labels JOIN documents USING (doc_id)),
+per AS (SELECT doc_id, sum(ln(c1 + 1.0::DOUBLE) - ln(c0 + 1.0::DOUBLE)) AS g, count(*) AS n FROM tok JOIN cnt USING (token) GROUP BY 1),
+bayes AS (
+  SELECT d.doc_id, ln((t1 / t0)::DOUBLE) + coalesce(g, 0) - coalesce(n, 0) * (ln(n1::DOUBLE) - ln(n0::DOUBLE)) AS margin
+  FROM documents d LEFT JOIN per USING (doc_id), tot, pri)"""
+
+
+def bayes_scored(spark, sf):
+    """All documents with the default scorer's logits, its label and its margin."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    scored = by.bayes_scores(by.fit_bayes(labelled(spark, sf)), docs)
+    margin = F.get("logits", F.lit(1)) - F.get("logits", F.lit(0))
+    return scored.select("doc_id", margin.alias("margin"), argmax("logits").cast("int").alias("y_pred"))
+
+
+@query("c3_default_scorer", f"WITH {_BAYES} SELECT doc_id, round(margin, 3) AS margin, (margin > 0)::INTEGER AS y_pred FROM bayes")
+def c3_default(spark, sf):
+    return bayes_scored(spark, sf).withColumn("margin", F.round("margin", 3))
+
+
+@query(
+    "e14_scored_documents",
+    f"""WITH {_BAYES}, p AS (SELECT toxic AS t, (margin > 0)::INTEGER AS y FROM bayes JOIN labels USING (doc_id)),
+    cell AS (SELECT unnest([0, 0, 1, 1]) AS y_true, unnest([0, 1, 0, 1]) AS y_pred)
+    SELECT y_true::INTEGER AS y_true, y_pred::INTEGER AS y_pred, (SELECT count(*) FROM p WHERE t = y_true AND y = y_pred) AS n FROM cell""",
+)
+def e14_scored(spark, sf):
+    """From text to metric: the default scorer held against the labels."""
+    truth = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y_true"))
+    found = bayes_scored(spark, sf).join(truth, "doc_id")
+    counts = found.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
+    cells = spark.createDataFrame([(t, p) for t in (0, 1) for p in (0, 1)], "y_true int, y_pred int")
+    return cells.join(counts, ["y_true", "y_pred"], "left").fillna(0, ["n"])
+
+
 @query("t3_model_selection")
 def t3(spark, sf):
     _, candidates = tr.select_best(labelled(spark, sf))
@@ -51,6 +99,19 @@ def t4(spark, sf):
     return ev.binary_metrics(scored)
 
 
+@query("t4_reloaded_model", "SELECT count(*) AS texts, 0::BIGINT AS changed FROM documents")
+def t4_reloaded(spark, sf):
+    """A saved model, read again, gives every document the same probabilities."""
+    root, docs = new_dir(spark, "models"), spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    model = tr.fit_safety(labelled(spark, sf))
+    tr.save_model(model, root, "v1")
+    before = tr.predict(model, docs).select("doc_id", "probs")
+    after = tr.predict(tr.load_model(root, "v1"), docs).select("doc_id", F.col("probs").alias("again"))
+    same = F.zip_with("probs", "again", lambda a, b: F.abs(a - b) < 1e-9)
+    both = before.join(after, "doc_id")
+    return both.agg(F.count("*").alias("texts"), F.count_if(~F.forall(same, lambda x: x)).alias("changed"))
+
+
 @query("e19_functional_test")
 def e19(spark, sf):
     # fitted on the labelled documents and the hand-written rows
