@@ -121,3 +121,16 @@ def test_user_recognizer(frame):
     r = one(an.anonymize(frame("Firma Muster GmbH und Beispiel AG"), recognizers=[mine]))
     assert r.anonymized_text == "Firma <ORG> und Beispiel AG"
     assert an.detect(frame("x"), recognizers=[]).select(F.size("spans")).first()[0] == 0
+
+
+def test_many_matches_in_one_text(frame):
+    # more than one block of spans, and of clusters of overlapping ones
+    r = one(an.anonymize(frame("PLZ 01067, " * 700)))
+    assert r.anonymized_text == "PLZ <PLZ>, " * 700 and r.items_changed == 1400
+
+
+def test_lists_of_any_size_and_rows_without_id(frame):
+    df = frame("bei Nordlicht Labor", "bei Nordlicht", "").withColumn("doc_id", F.lit(None).cast("int"))
+    terms = ["Nordlicht Labor"] + [f"wort{i}" for i in range(1200)] + [" ".join(["lang"] * 120)]
+    rows = an.anonymize(df, deny_terms=terms, recognizers=[]).select("result.anonymized_text").collect()
+    assert sorted(r[0] for r in rows) == ["", "bei <INTERN>", "bei Nordlicht"]

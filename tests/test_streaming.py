@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from textveil.operators import anonymize as an
+from textveil.operators.scrub import scrub
 from textveil.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -77,3 +78,12 @@ def test_sessions(spark):
     df = spark.createDataFrame(rows, "ts timestamp, user_id int")
     got = sorted((r.user_id, r.n) for r in jobs.session_audit(df, "ts", "user_id", late=None).collect())
     assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_batches_take_large_lists(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, names = "doc_id bigint, text string", [f"Name{i}" for i in range(10_001)]
+    spark.createDataFrame([(1, "Hallo Name7"), (None, "Hallo Name10000")], schema).write.parquet(src)
+    stream = jobs.read_stream(spark, src, schema)
+    jobs.rewrite_batches(stream, lambda b: scrub(b, names=names), out, state).awaitTermination()
+    assert [r.text for r in spark.read.parquet(out).collect()] == ["Hallo [PERSON]"] * 2

@@ -165,8 +165,9 @@ def resolve_overlaps(spans) -> Column:
         reach = before_each(F.transform(ordered, lambda s: s.end), F.greatest)
         apart = F.zip_with(ordered, reach, lambda s, r: s.start >= r)
         at = F.filter(F.transform(apart, lambda a, i: F.when(a, i + 1)), lambda i: i.isNotNull())
-        ends = F.transform(at, lambda a, i: F.coalesce(F.get(at, i + 1), F.size(ordered) + 1))
-        return F.zip_with(at, ends, lambda a, b: F.slice(ordered, a, b - a))
+        ends = F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(ordered) + 1))
+        # without spans there is an end, but no start
+        return F.filter(F.zip_with(at, ends, lambda a, b: F.slice(ordered, a, b - a)), lambda x: x.isNotNull())
 
     def choose(cluster):
         ranked = F.array_sort(
