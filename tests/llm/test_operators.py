@@ -155,6 +155,17 @@ def test_jaccard_against_all_pairs(spark, odd, empty):
     assert similar_documents(odd).count() == odd.count() and similar_documents(empty).count() == 0
 
 
+def test_jaccard_of_lists_in_parts(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 40)]
+        texts += [" ".join(base[:j] + [f"n{j}"] + base[j + 1 :]) for j in (0, 1, 38, 39)]
+    df = importable(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(df, 4, 75, salt_above=2).collect()}
+    assert got == brute_components(enumerate(texts), 4, 75)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 300)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

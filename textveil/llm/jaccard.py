@@ -138,7 +138,7 @@ def choose_prefix(times: np.ndarray, n: int, percent: int, most: int = 8) -> tup
     return least + k, k
 
 
-def _prefixes(words: int, percent: int, frequent) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(words: int, percent: int, frequent, salt_above: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = frequent.value
         for part in slices(batches, "text"):
@@ -160,7 +160,8 @@ def _prefixes(words: int, percent: int, frequent) -> Callable[[Iterable[pa.Recor
                 prefix = keys[order[:length]]
                 # a row of its own says where the prefix ends
                 found += [prefix, np.array([-1 - (abs(int(signs[i, 0])) >> 1)], np.int64)]
-                salts = np.where(f[order[:length]] > 64 * SALTS, signs[i, 0] % SALTS, 0)
+                # parts of a salted list count from 1; 0 is a whole list
+                salts = np.where(f[order[:length]] > salt_above, 1 + signs[i, 0] % SALTS, 0)
                 meta.append((length + 1, signs[i, 0], len(s), k, np.append(salts, prefix[-1])))
             lengths = [m[0] for m in meta]
             yield pa.RecordBatch.from_arrays(
@@ -358,13 +359,14 @@ def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, words: in
     return stored(with_a.select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a bigint, b bigint"), "similar")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, salt_above: int = 64 * SALTS) -> DataFrame:
     """Each document with its class and component of similar documents.
 
     Two documents link when 100 * common >= percent * all, over their sets of
     distinct word n-grams.  Columns: doc_id, n_shingles, class_id (of its set),
     component_id (smallest doc_id that links reach, itself included), row (a hash
-    of id and text).
+    of id and text).  Lists of tokens of a frequency above ``salt_above`` are
+    collected in parts; it does not change the result.
 
     Null and empty texts and texts without words have no n-gram and link with
     nothing; their component is their own id.  Ties: the smallest id names a
@@ -382,7 +384,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     tokens = top["token"].to_numpy(np.int64).view(U)
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], top["times"].to_numpy(np.int64)[order]))
-    postings = docs.mapInArrow(_prefixes(words, percent, frequent), "token bigint, s1 bigint, n bigint, k bigint, salt bigint")
+    postings = docs.mapInArrow(_prefixes(words, percent, frequent, salt_above), "token bigint, s1 bigint, n bigint, k bigint, salt bigint")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = postings.repartition(partitions, "token", "salt").sortWithinPartitions("token", "salt", "s1")
     lists = stored(lists.mapInArrow(_shared_lists, "token bigint, s1 bigint, n bigint, k bigint, salt bigint"), "lists")
