@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textveil.llm import chat, invertible, katz, mixing, packing, queries, toxicity, warc, words
 from textveil.llm.components import connected_components
@@ -283,6 +284,23 @@ def test_versions(spark, odd, empty):
     assert invertible.fingerprint_versions(odd).count() == odd.count() and invertible.fingerprint_versions(empty).count() == 0
 
 
+def test_versions_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) for _ in range(1500)] + ["long " * 700]
+    changed = [x + "!" if i % 40 == 0 else x for i, x in enumerate(lines)]
+    texts = ["\n".join(x) for x in (lines, changed, lines[:300], lines[::-1], lines[750:], [])]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    df = importable(spark).createDataFrame([(i, j, texts[i], texts[j]) for i, j in pairs], "i int, j int, a string, b string").repartition(8)
+    both = df.select("i", "j", *[invertible.fingerprint_parts(F.col(x)).alias(x) for x in "ab"])
+    rows = both.select("i", "j", F.col("a.digests").alias("x"), F.col("b.digests").alias("y"), F.explode(F.array(invertible.compare(F.col("a"), F.col("b")))).alias("c")).collect()
+    got = {}
+    for r in rows:
+        x, y = set(r["x"]), set(r["y"])
+        assert r["c"]["lost"] == sorted(x - y) and r["c"]["gained"] == sorted(y - x)
+        got[r["i"], r["j"]] = r["c"]["near"]
+    assert got[0, 1] > 0.96 and 0.3 < got[0, 2] < 0.36 and got[0, 0] == got[5, 5] == 1 and got[0, 5] == 0
+
+
 def test_kneser_ney_is_finite_and_tells_stems():
     text = [b"trash", b"trashy", b"the", b"then", b"on"]
     tables = toxicity.fit_models(text, np.array([5, 2, 3, 0, 1]), np.array([0, 0, 9, 4, 3]))
