@@ -316,6 +316,17 @@ def test_kneser_ney_is_finite_and_tells_stems():
     assert worse[0] > worse[1] and better[0] < better[1]
 
 
+def test_stretches_of_short_texts():
+    tables = toxicity.fit_models([b"trash", b"the", b"on"], np.array([5, 1, 0]), np.array([0, 4, 3]))
+    texts = ["trash", "trash trash", "the trash on", "on on on trash", "on trash trash trash trash on", "", "the " * 9 + "trash"]
+    got = toxicity.text_measures(pa.array(texts), toxicity.Seen(tables))
+    a, b = (dict(zip(("trash", "the", "on"), x)) for x in toxicity.word_log_likelihoods(tables, np.frombuffer(b"trashtheon", np.uint8), np.array([0, 5, 8]), np.array([5, 8, 10])))
+    for text, top in zip(texts, got[:, 0]):
+        gaps = [a[x] - b[x] for x in text.split()]
+        n = min(toxicity.STRETCH, len(gaps))
+        assert top == pytest.approx(max([sum(gaps[i : i + n]) / n for i in range(len(gaps) - n + 1)]) if gaps else 0)
+
+
 def test_classifiers_on_odd_tables(spark, odd, empty):
     for labels in (labels_of(spark), labels_of(spark, [(i, i % 2, int(i > 6)) for i in range(11)] + [(None, 1, 1), (4, None, None)])):
         for df in (odd, empty):

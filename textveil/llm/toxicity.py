@@ -9,7 +9,7 @@ stems still do.
 
 A text is judged by its most toxic stretch of a few words: the difference of both
 models' log-likelihoods there, divided by the stretch's length, next to that of the
-whole text.  A logistic curve on these two, fitted on training texts that the counts
+whole text.  A text of fewer words is one stretch.  A logistic curve on these two, fitted on training texts that the counts
 have not seen, gives the score.
 
 The models learn from a bounded sample of labelled rows: ``fit_rows`` of each class
@@ -197,9 +197,10 @@ def text_measures(texts: pa.Array, seen: Seen) -> np.ndarray:
     mean = (sums[w.first[1:]] - sums[w.first[:-1]]) / np.maximum(count, 1)[:, None]
     doc = text_of(w.first)
     gap = sums[:, 0] - sums[:, 1]
-    # the stretch that begins at each word, shorter at the end of a text
-    stop = np.minimum(np.arange(len(doc)) + STRETCH, w.first[doc + 1])
-    value = (gap[stop] - gap[:-1]) / STRETCH
+    # the stretch that begins at each word, or so far before as to end with the text; a text of fewer words is one
+    size = np.minimum(STRETCH, count)[doc]
+    start = np.minimum(np.arange(len(doc)), w.first[doc + 1] - size)
+    value = (gap[start + size] - gap[start]) / size
     top = np.full(n, -np.inf)
     np.maximum.at(top, doc, value)
     top[count == 0] = 0
