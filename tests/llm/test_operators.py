@@ -327,6 +327,19 @@ def test_stretches_of_short_texts():
         assert top == pytest.approx(max([sum(gaps[i : i + n]) / n for i in range(len(gaps) - n + 1)]) if gaps else 0)
 
 
+def test_curve_has_the_odds_of_all_training_rows(spark):
+    rng = np.random.default_rng(9)
+    toxic = {i for i in range(440) if i % 11 == 0}
+    texts = [" ".join([f"w{x}" for x in rng.integers(0, 90, 8)] + ["trash"] * (i in toxic and i % 3 > 0)) for i in range(440)]
+    df = importable(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = [(i, 1, int(i in toxic)) for i in range(440)]
+    ids = df.where(~F.col("doc_id").isin(*toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(40)
+    taken = toxic | {r["doc_id"] for r in ids.collect()}
+    _, (a, b, c) = toxicity.fit_toxicity(df, labels_of(spark, rows), F.lit(True), fit_rows=40)
+    _, even = toxicity.fit_toxicity(df, labels_of(spark, [r for r in rows if r[0] in taken]), F.lit(True), fit_rows=40)
+    assert [a, b] == pytest.approx(even[:2]) and c == pytest.approx(even[2] - math.log(10)) and a != 0
+
+
 def test_classifiers_on_odd_tables(spark, odd, empty):
     for labels in (labels_of(spark), labels_of(spark, [(i, i % 2, int(i > 6)) for i in range(11)] + [(None, 1, 1), (4, None, None)])):
         for df in (odd, empty):

@@ -14,7 +14,8 @@ have not seen, gives the score.
 
 The models learn from a bounded sample of labelled rows: ``fit_rows`` of each class
 in the order of a hash of the id, as far as ``fit_bytes`` of text go.  That bounds
-the tables, which are broadcast.
+the tables, which are broadcast.  The curve's constant is then moved from the odds of
+toxic texts in the sample to those in all training rows.
 """
 
 from __future__ import annotations
@@ -251,10 +252,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: in
     some = stored(some[0].unionByName(some[1]), "fit-ids")
     texts = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null"), "fit-texts")
     sizes = texts.select("doc_id", "_y", F.octet_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(4 * fit_rows).collect()
-    fit, check, room = [], [], [fit_bytes, fit_bytes]
+    fit, check, room, taken = [], [], [fit_bytes, fit_bytes], [0, 0]
     for i, r in enumerate(sizes):
         if r["n"] <= room[r["_y"]]:
             room[r["_y"]] -= r["n"]
+            taken[r["_y"]] += 1
             (check if i % 4 == 0 else fit).append(r["h"])
     ids = spark.createDataFrame([(h, False) for h in fit] + [(h, True) for h in check], "h bigint, _check boolean")
     texts = texts.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), "h")
@@ -268,7 +270,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: in
         return model, [0.0, 0.0, 0.0]
     x = np.array([r["x"][:2] for r in rows])
     order = np.lexsort((x[:, 1], x[:, 0], [r["h"] for r in rows]))
-    return model, fit_logistic(x[order], y[order], ridge=0.1).tolist()
+    curve = fit_logistic(x[order], y[order], ridge=0.1).tolist()
+    # all training rows with a text, against those that the bounds let through
+    present = docs.where("text is not null").select("doc_id").join(known, "doc_id").groupBy("_y").count().collect()
+    whole = {r["_y"]: r["count"] for r in present}
+    curve[2] -= float(np.log(taken[1] / taken[0]) - np.log(whole[1] / whole[0]))
+    return model, curve
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, threshold: float = 0.7, **bounds) -> DataFrame:
