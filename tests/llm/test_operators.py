@@ -167,6 +167,13 @@ def test_jaccard_of_lists_in_parts(spark):
     assert got == brute_components(enumerate(texts), 4, 75)
 
 
+def test_rows_without_words_stay(spark):
+    rows = [(None, ""), (None, ""), (None, None), (None, None), (3, " \n"), (3, " \n"), (1, "a b"), (1, "a b"), (2, "A B"), (None, "\u00a0"), (None, "\u00a0")]
+    df = importable(spark).createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(repr, (tuple(r) for r in without_near_copies(df).collect())))
+    assert got == sorted(map(repr, rows[:7] + rows[9:10]))
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 300)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textveil.llm.components import connected_components
-from textveil.llm.frames import stored, with_group_values
+from textveil.llm.frames import stored, with_group_values, word_count
 from textveil.llm.words import ODD, U, cut_words, pair, scramble, slices, sorted_counts, span_hashes
 
 #: Frequent tokens whose frequency every task knows: 16 bytes each.
@@ -437,7 +437,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, salt_a
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one of the smallest id; all columns of ``docs``.
 
-    Documents without words link with nothing and stay.  Of repeated rows of the
+    Documents without words link with nothing and stay, each row of them.  Of repeated rows of the
     kept document one stays; null ids stay unless their text is similar to that of
     a row with an id, and of a component of null ids one row stays.
     """
@@ -446,7 +446,6 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_best"), F.first("component_id").alias("_c")
     )
     heads = texts.groupBy("_c").agg(F.min("_best").alias("_best")).select(F.col("_best.row").alias("_row"))
-    kept = heads.union(found.where("n_shingles = 0").select("row")).distinct()
     rows = docs.withColumn("_id", F.xxhash64("doc_id", "text"))
-    same = rows.join(kept, F.col("_id") == F.col("_row")).drop("_row")
-    return same.dropDuplicates(["_id"]).select(*docs.columns)
+    same = rows.where(word_count("text") > 0).join(heads, F.col("_id") == F.col("_row")).dropDuplicates(["_id"])
+    return same.select(*docs.columns).unionByName(docs.where(word_count("text") == 0))
