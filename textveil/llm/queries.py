@@ -129,3 +129,83 @@ def katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     return score_texts(table(spark, sf_dir, "documents"), part != 0)
+
+
+@query(
+    "op13_merkle_manifest",
+    """
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, source, text, lang, n_chars,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+        list_reduce(
+          list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+          lambda crc, c: list_reduce(list_concat([xor(crc, c)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)
+        ) AS crc
+      FROM documents
+    ), fields AS (
+      SELECT doc_id, source, coalesce(xor(crc, CAST(4294967295 AS BIGINT)) % 5 = 0, FALSE) AS tampered,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(lowered) || ':' || lowered, '-') AS lowered
+      FROM docs
+    ), leaves AS (
+      SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || CASE WHEN tampered THEN lowered ELSE body END) AS changed FROM fields
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+      FROM leaves
+    ), nodes AS (
+      SELECT 0 AS level, tree, idx, count(*) OVER (PARTITION BY tree) AS size, leaf AS digest FROM placed
+      UNION ALL
+      SELECT level + 1, tree, idx // 16, (any_value(size) + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))
+      FROM nodes WHERE size > 1 GROUP BY level, tree, idx // 16
+    ), tops AS (
+      SELECT 0 AS level, tree AS idx, count(*) OVER () AS size, digest FROM nodes WHERE size = 1
+      UNION ALL
+      SELECT level + 1, idx // 16, (any_value(size) + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))
+      FROM tops WHERE size > 1 GROUP BY level, idx // 16
+    ), around AS (
+      SELECT a.level, a.tree, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+        coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+      FROM nodes a JOIN nodes b ON a.level = b.level AND a.tree = b.tree AND a.idx // 16 = b.idx // 16
+      WHERE a.size > 1 GROUP BY ALL
+    ), around_tops AS (
+      SELECT a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+        coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+      FROM tops a JOIN tops b ON a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.size > 1 GROUP BY ALL
+    ), climbed AS (
+      SELECT tree, idx AS leaf_idx, 0 AS level, idx, changed AS digest, '' AS proof FROM placed
+      UNION ALL
+      SELECT c.tree, c.leaf_idx, c.level + 1, c.idx // 16, sha256(a.before || c.digest || a.after), c.proof || a.before || a.after
+      FROM climbed c JOIN around a ON c.level = a.level AND c.tree = a.tree AND c.idx = a.idx
+    ), lower_half AS (
+      SELECT * FROM climbed QUALIFY row_number() OVER (PARTITION BY tree, leaf_idx ORDER BY level DESC) = 1
+    ), climbed_on AS (
+      SELECT tree, leaf_idx, 0 AS level, tree AS idx, digest, proof FROM lower_half
+      UNION ALL
+      SELECT c.tree, c.leaf_idx, c.level + 1, c.idx // 16, sha256(a.before || c.digest || a.after), c.proof || a.before || a.after
+      FROM climbed_on c JOIN around_tops a ON c.level = a.level AND c.idx = a.idx
+    ), done AS (
+      SELECT * FROM climbed_on QUALIFY row_number() OVER (PARTITION BY tree, leaf_idx ORDER BY level DESC) = 1
+    )
+    SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(d.proof) AS proof_sha256,
+      d.digest AS folded_root, d.digest = r.digest AS verified
+    FROM placed p JOIN done d ON p.tree = d.tree AND p.idx = d.leaf_idx
+    JOIN nodes s ON s.tree = p.tree AND s.size = 1 JOIN tops r ON r.size = 1
+    """,
+)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.merkle import as_text, folded, leaf_digest, manifest, proof
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    head = ["doc_id", "source", "lang", "n_chars"]
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", leaf_digest([*head, "text"]).alias("leaf"), leaf_digest([*head, changed]).alias("found"))
+    made = manifest(rows, "source", "doc_id")
+    root = F.lit(made.root)
+    found = made.leaves.withColumn("folded_root", folded(as_text(F.col("row.found")), F.col("path")))
+    return found.select(
+        F.col("row.doc_id"), as_text(F.col("digest")).alias("leaf"), as_text(F.col("subroot")).alias("subroot"), root.alias("root"),
+        F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"),
+    )
