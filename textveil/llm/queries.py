@@ -209,3 +209,51 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id"), as_text(F.col("digest")).alias("leaf"), as_text(F.col("subroot")).alias("subroot"), root.alias("root"),
         F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"),
     )
+
+
+@query(
+    "op12_phrase_graph",
+    r"""
+    WITH texts AS (
+      SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS t,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    ), pieces AS (
+      SELECT lang, t, unnest(list_zip(range(1, len(p) + 1), p)) AS piece FROM (SELECT lang, t, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS p FROM texts)
+    ), worded AS (
+      SELECT lang, t, piece[1] AS nr, unnest(list_zip(range(1, len(w) + 1), w)) AS word
+      FROM (SELECT lang, t, piece, regexp_extract_all(piece[2], '[^\x20\x09]+') AS w FROM pieces)
+    ), runs AS (
+      SELECT lang, word[2] AS x, lead(word[2], 1) OVER piece AS y, lead(word[2], 2) OVER piece AS z
+      FROM worded WINDOW piece AS (PARTITION BY lang, t, nr ORDER BY word[1])
+    ), f AS (
+      SELECT lang, 1 AS k, x AS phrase, [x] AS words, CAST(count(*) AS HUGEINT) AS n FROM runs GROUP BY lang, x
+      UNION ALL
+      SELECT lang, 2, x || ' ' || y, [x, y], count(*) FROM runs WHERE y IS NOT NULL GROUP BY lang, x, y
+      UNION ALL
+      SELECT lang, 3, x || ' ' || y || ' ' || z, [x, y, z], count(*) FROM runs WHERE z IS NOT NULL GROUP BY lang, x, y, z
+    ), candidates AS (
+      SELECT * FROM f WHERE k >= 2 AND n >= 10
+    ), cuts AS (
+      SELECT c.lang, c.k, c.phrase, c.n, j, array_to_string(words[1:j], ' ') AS first_part, array_to_string(words[j + 1:], ' ') AS rest
+      FROM candidates c, (VALUES (1), (2)) AS js(j) WHERE j < k
+    ), scored AS (
+      SELECT c.lang, c.k, c.phrase, c.n AS a, x.n AS l, y.n AS r, CAST((1000000 * c.n * c.n) // (x.n * y.n) AS BIGINT) AS score
+      FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part AND x.k = c.j
+      JOIN f y ON y.lang = c.lang AND y.phrase = c.rest AND y.k = c.k - c.j
+      QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000000 * c.n * c.n) // (x.n * y.n), c.j) = 1
+    ), dropped AS (
+      SELECT DISTINCT s.lang, s.phrase FROM candidates l, (VALUES (1), (2)) AS js(j)
+      JOIN scored s ON s.k = 2 AND s.lang = l.lang AND s.phrase = array_to_string(l.words[j:j + 1], ' ') WHERE l.k = 3 AND 100 * l.n >= 50 * s.a
+    ), ranked AS (
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+      FROM scored s WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = s.lang AND d.phrase = s.phrase)
+    )
+    SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+      (SELECT CAST(sum(n) AS BIGINT) FROM f WHERE f.k = 1 AND f.lang = ranked.lang) AS n, score
+    FROM ranked WHERE rank <= 2000
+    """,
+)
+def phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))

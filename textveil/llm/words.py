@@ -90,12 +90,12 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def cut_words(texts: pa.Array, lower: bool = True) -> Words:
-    """Where the words of each text are."""
+def cut_words(texts: pa.Array, lower: bool = True, separator: np.ndarray = SEPARATOR) -> Words:
+    """Where the words of each text are; ``separator`` tells for each byte if it ends a word."""
     data, offsets = raw_bytes(texts)
     if lower:
         data = LOWER[data]
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     edge = offsets[(offsets > 0) & (offsets < len(data))]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
