@@ -257,3 +257,42 @@ def phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textveil.llm.phrases import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_fixed_block_anchors",
+    r"""
+    WITH texts AS (
+      SELECT row_number() OVER () AS t, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), words AS (
+      SELECT t, unnest(list_zip(range(1, len(w) + 1), w)) AS x FROM texts
+    ), s1 AS (
+      SELECT t, x[1] AS i, x[2] AS word FROM words
+    ), s2 AS (
+      SELECT *, word || ' ' || lead(word, 1) OVER d AS two FROM s1 WINDOW d AS (PARTITION BY t ORDER BY i)
+    ), s4 AS (
+      SELECT *, two || ' ' || lead(two, 2) OVER d AS four FROM s2 WINDOW d AS (PARTITION BY t ORDER BY i)
+    ), s8 AS (
+      SELECT t, i, word, two, four || ' ' || lead(four, 4) OVER d AS eight FROM s4 WINDOW d AS (PARTITION BY t ORDER BY i)
+    ), s16 AS (
+      SELECT t, i, word, two, eight || ' ' || lead(eight, 8) OVER d AS sixteen FROM s8 WINDOW d AS (PARTITION BY t ORDER BY i)
+    ), s35 AS (
+      SELECT t, i, word, sixteen || ' ' || lead(sixteen, 16) OVER d || ' ' || lead(two, 32) OVER d || ' ' || lead(word, 34) OVER d AS run
+      FROM s16 WINDOW d AS (PARTITION BY t ORDER BY i)
+    ), judged AS (
+      SELECT t, i, word, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS repeated FROM s35
+    ), covered AS (
+      SELECT t, i, word, bool_or(repeated) OVER (PARTITION BY t ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM judged
+    ), kept AS (
+      SELECT t, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS text
+      FROM covered GROUP BY t
+    )
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (t)
+    """,
+)
+def fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.anchors import without_repeats
+
+    left = without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
