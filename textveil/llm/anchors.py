@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from textveil.llm.frames import stored
+from textveil.llm.packed import edges, pack_sorted, unpack_sorted, unzipped, zipped
 from textveil.llm.words import U, cut_words, scramble, slices, span_hashes
 from textveil.sources.workspace import new_dir
 
@@ -34,29 +35,6 @@ HASH_BYTES = 48 << 20  # text whose hashes one hash bucket takes
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def _zip(x: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _unzip(x: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending numbers as their differences, like bytes side by side."""
-    steps = np.diff(x, prepend=x.dtype.type(0))
-    return _zip(steps.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
-
-
-def unpack_sorted(x: bytes, kind) -> np.ndarray:
-    planes = _unzip(x, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
-
-
 class _Rolling:
     """Hashes of runs of words of a block's texts; runs never cross from one text to the next."""
 
@@ -135,7 +113,7 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, p
 def _answered(row: pa.RecordBatch, column: str, size: int) -> np.ndarray:
     """The bits of all buckets, in the order of the question."""
     found = sorted(row.column(column)[0].as_py() or [], key=lambda x: x["bucket"])
-    bits = [np.unpackbits(_unzip(x["bits"], np.uint8), count=x["n"]) for x in found]
+    bits = [np.unpackbits(unzipped(x["bits"], np.uint8), count=x["n"]) for x in found]
     out = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
     if len(out) != size:
         raise RuntimeError("a bucket's answer to a block is missing")
@@ -151,10 +129,6 @@ def _question(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def _edges(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1], [True]))) if len(sorted_keys) else np.zeros(0, int)
-
-
 def _blocks_of(most: int):
     def run(batches):
         task, k = TaskContext.get().partitionId(), 0
@@ -172,9 +146,9 @@ def _ask_probes(anchor: int, buckets: int):
         for block, texts, _ in _texts(batches):
             _, code, _, reference, twice = _probes(_Rolling(texts), anchor, buckets)
             bucket = (code >> U(32)).astype(np.int64)
-            edge, rest = _edges(bucket), (code & U(0xFFFFFFFF)).astype(np.uint32)
+            edge, rest = edges(bucket), (code & U(0xFFFFFFFF)).astype(np.uint32)
             marks = reference.astype(np.uint8) | (twice.astype(np.uint8) << 1)
-            rows = [(block, int(bucket[i]), int(j - i), pack_sorted(rest[i:j]), None, _zip(marks[i:j])) for i, j in zip(edge[:-1], edge[1:])]
+            rows = [(block, int(bucket[i]), int(j - i), pack_sorted(rest[i:j]), None, zipped(marks[i:j])) for i, j in zip(edge[:-1], edge[1:])]
             if rows:
                 yield _question(rows)
 
@@ -186,8 +160,8 @@ def _ask_windows(window: int, anchor: int, buckets: int):
         for block, texts, row in _texts(batches):
             r = _Rolling(texts)
             _, _, bucket, h, check, twice = _windows(r, _hits(r, row, anchor, buckets), window, anchor, buckets)
-            edge = _edges(bucket)
-            rows = [(block, int(bucket[i]), int(j - i), pack_sorted(h[i:j]), check[i:j].tobytes(), _zip(twice[i:j])) for i, j in zip(edge[:-1], edge[1:])]
+            edge = edges(bucket)
+            rows = [(block, int(bucket[i]), int(j - i), pack_sorted(h[i:j]), check[i:j].tobytes(), zipped(twice[i:j])) for i, j in zip(edge[:-1], edge[1:])]
             if rows:
                 yield _question(rows)
 
@@ -206,7 +180,7 @@ def _answer(question: pa.Table, repeated) -> pa.Table:
     blocks, sizes = question.column("block").to_pylist(), question.column("n").to_pylist()
     found = repeated(question)
     at = np.concatenate(([0], np.cumsum(sizes)))
-    bits = [_zip(np.packbits(found[i:j])) for i, j in zip(at[:-1], at[1:])]
+    bits = [zipped(np.packbits(found[i:j])) for i, j in zip(at[:-1], at[1:])]
     return pa.table({"block": pa.array(blocks), "bucket": question.column("bucket"), "n": question.column("n"), "bits": pa.array(bits, pa.binary())})
 
 
@@ -217,7 +191,7 @@ def _joined(question: pa.Table, column: str, decode) -> np.ndarray:
 def _repeated_probes(question: pa.Table) -> np.ndarray:
     """Which probes are in the index of reference blocks and occur more than once."""
     h = _joined(question, "hashes", lambda x: unpack_sorted(x, np.uint32))
-    marks = _joined(question, "marks", lambda x: _unzip(x, np.uint8))
+    marks = _joined(question, "marks", lambda x: unzipped(x, np.uint8))
     index = np.unique(h[marks & 1 > 0])
     if not len(index):
         return np.zeros(len(h), bool)
@@ -231,7 +205,7 @@ def _repeated_windows(question: pa.Table) -> np.ndarray:
     """Which windows occur more than once."""
     h = _joined(question, "hashes", lambda x: unpack_sorted(x, U))
     check = _joined(question, "checks", lambda x: np.frombuffer(x, np.uint16))
-    twice = _joined(question, "marks", lambda x: _unzip(x, bool))
+    twice = _joined(question, "marks", lambda x: unzipped(x, bool))
     order = np.lexsort((check, h))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])

@@ -7,9 +7,11 @@ of words: a node's flow, the sum of the edges that leave it and of its END
 corrections, is how often the pair occurs, and the flow of all nodes that begin
 with a word (and of that word's END) is how often the word occurs.
 
-Grams of a first word meet in one place, so all sums are made after one shuffle;
-words with more grams than a task should hold are spread by their second word, and
-pairs of two such words by their third, in as many parts as their counts ask for.
+A slice of texts sends each bucket its distinct grams and their counts as a row of
+packed arrays.  Grams of a first word meet in one bucket, so all sums are made after
+one shuffle; words with more grams than a task should hold are spread by their second
+word, and pairs of two such words by their third, in as many parts as their counts
+ask for.
 
 Edges that occur often are joined to paths where a pair has one way in and one way
 out: both edges then weigh as much as the pair occurs.  A path stands for all its
@@ -30,10 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textveil.llm.frames import stored
+from textveil.llm.packed import edges, pack_sorted, unpack_sorted, unzipped, zipped
 from textveil.llm.words import SEPARATOR, U, cut_words, pair, raw_bytes, scramble, slices, span_hashes
 
 END = 0
-SLICE = 8 << 20
+SLICE = 2 << 20
+BUCKET_WORDS = 2_000_000  # words whose grams one bucket sums
 LEAST_PART = 1 << 15  # grams of a word that one task may hold at any rate
 PARTS = 100_000  # at most so many words are spread
 PATH_CUT = 1024  # edges of one row of a path
@@ -92,9 +96,32 @@ def _vocabulary(seed: int):
     return run
 
 
-def _grams(seed: int, often):
+class Often(NamedTuple):
+    """Words with more grams than one part may hold, and in how many parts these are."""
+
+    words: np.ndarray
+    parts: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.ones(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.parts[at], 1)
+
+
+GRAMS = "bucket int, words binary, grams binary, counts binary"
+COUNTS = "a bigint, b bigint, c bigint, n bigint"
+
+
+def _coded(a: np.ndarray, b: np.ndarray, c: np.ndarray, size: int) -> np.ndarray | None:
+    """One number for each gram of words below ``size``, if 64 bits will do."""
+    if size >= 1 << 21:
+        return None
+    return (a.astype(U) * U(size) + b.astype(U)) * U(size) + c.astype(U)
+
+
+def _grams(seed: int, often, buckets: int):
     def run(batches):
-        hot, parts = often.value
         for _, s in _slices(batches, seed):
             size = len(s.words) + 1  # the last number is END
             second = np.append(np.where(s.follows[:-1], s.word[1:], size - 1), size - 1)
@@ -105,15 +132,79 @@ def _grams(seed: int, often):
             k, c = np.divmod(grams, size)
             a, b = np.divmod(pairs[k], size)
             # how many parts the grams of a word or of a pair have
-            split = np.ones(size, np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, number), len(hot) - 1)
-                split = np.where(hot[at] == number, parts[at], 1)
-            by_second, by_third = split[a], np.minimum(split[a], split[b])
+            split = often.value.of(number)
             spread = scramble(number)
-            part = (spread[b] % by_second.astype(U)).astype(np.int64) * 1_000_003 + (spread[c] % by_third.astype(U)).astype(np.int64)
-            cols = [number[x].view(np.int64) for x in (a, b, c)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, n, part, by_third > 1)], ["a", "b", "c", "n", "part", "split"])
+            part = spread[b] % split[a].astype(U) * U(1_000_003) + spread[c] % np.minimum(split[a], split[b]).astype(U)
+            bucket = (scramble(spread[a] + part) % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = edges(bucket[order])
+            rows = []
+            for i, j in zip(edge[:-1], edge[1:]):
+                o = order[i:j]
+                words, at = np.unique(np.concatenate((a[o], b[o], c[o])), return_inverse=True)
+                x, y, z = at.reshape(3, -1)
+                rows.append((int(bucket[o[0]]), *_packed(number[words], x, y, z, n[o])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [x.split()[0] for x in GRAMS.split(", ")])
+
+    return run
+
+
+def _packed(words: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Grams of some words as bytes; END, the number 0, comes last among the words of a slice."""
+    order = np.argsort(words)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    a, b, c = rank[a], rank[b], rank[c]
+    code = _coded(a, b, c, len(words))
+    if code is None:  # a slice of over two million words
+        return pack_sorted(words[order]), zipped(np.concatenate((a, b, c))), zipped(n)
+    order_of = np.argsort(code)
+    return pack_sorted(words[order]), pack_sorted(code[order_of]), zipped(n[order_of].astype(np.int64))
+
+
+def _unpacked(words: bytes, grams: bytes, counts: bytes) -> tuple[np.ndarray, ...]:
+    w, n = unpack_sorted(words, U), unzipped(counts, np.int64)
+    if len(w) >= 1 << 21:
+        a, b, c = unzipped(grams, np.int64).reshape(3, -1)
+    else:
+        rest, c = np.divmod(unpack_sorted(grams, U), U(len(w)))
+        a, b = np.divmod(rest, U(len(w)))
+    return w, a.astype(np.int64), b.astype(np.int64), c.astype(np.int64), n
+
+
+def _added(often, least: int):
+    """Sums of a bucket: frequent edges, nodes (frequent or in several parts), and words."""
+    def run(grams: pa.Table) -> pa.Table:
+        rows = [_unpacked(*x) for x in zip(*[grams.column(c).to_pylist() for c in ("words", "grams", "counts")])]
+        words = np.unique(np.concatenate([x[0] for x in rows]))
+        cols = [[], [], []]
+        for w, *abc, _ in rows:
+            here = np.searchsorted(words, w)
+            for out, x in zip(cols, abc):
+                out.append(here[x].astype(np.int32))
+        a, b, c = (np.concatenate(x) for x in cols)
+        n = np.concatenate([x[-1] for x in rows])
+        del rows, cols
+        code = _coded(a, b, c, len(words))
+        order = np.lexsort((c, b, a)) if code is None else np.argsort(code)
+        del code
+        a, b, c, n = a[order], b[order], c[order], n[order]
+        new_a = np.concatenate(([True], a[1:] != a[:-1]))
+        new_b = new_a | np.concatenate(([True], b[1:] != b[:-1]))
+        new_c = new_b | np.concatenate(([True], c[1:] != c[:-1]))
+        split = often.value.of(words)
+        out = []
+        for new, k in ((new_c, 3), (new_b, 2), (new_a, 1)):
+            at = np.flatnonzero(new)
+            total = np.add.reduceat(n, at)
+            # what is in several parts may still add up
+            whole = split[a[at]] == 1 if k == 1 else np.minimum(split[a[at]], split[b[at]]) == 1 if k == 2 else True
+            real = True if k == 1 else words[(b if k == 2 else c)[at]] != U(END)
+            kept = ((total >= least) | np.logical_not(whole)) & real
+            at, total = at[kept], total[kept]
+            out.append([words[x[at]].view(np.int64) if i < k else None for i, x in enumerate((a, b, c))] + [total])
+        rows = [pa.RecordBatch.from_arrays([pa.nulls(len(x[3]), pa.int64()) if y is None else pa.array(y, pa.int64()) for y in x], ["a", "b", "c", "n"]) for x in out]
+        return pa.Table.from_batches(rows)
 
     return run
 
@@ -129,10 +220,9 @@ def _numbered(docs: DataFrame, tries: int = 3) -> tuple[DataFrame, int]:
     """The vocabulary, and the seed under which all its numbers differ."""
     for seed in range(tries):
         found = docs.mapInArrow(_vocabulary(seed), "w bigint, lang string, word string, n bigint")
-        words = found.groupBy("w").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("least"), F.max(F.struct("lang", "word")).alias("most"))
-        words = stored(words.select("w", "lang", "word", "n", (F.col("least") != F.col("most")).alias("clash")), "vocabulary")
-        if words.where("clash").isEmpty():
-            return words.drop("clash"), seed
+        words = stored(found.groupBy("w", "lang", "word").agg(F.sum("n").alias("n")), "vocabulary")
+        if words.groupBy("w").count().where("count > 1").isEmpty():
+            return words, seed
     raise ValueError("words share a number under every seed")
 
 
@@ -151,21 +241,15 @@ def phrase_graph(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     hot = vocabulary.where(F.col("n") > room).select("w", F.ceil(F.col("n") / room).cast("bigint").alias("parts")).toPandas()
     numbers = hot["w"].to_numpy(np.int64).view(U)
     order = np.argsort(numbers)
-    often = spark.sparkContext.broadcast((numbers[order], hot["parts"].to_numpy(np.int64)[order]))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 21))
-    grams = rows.mapInArrow(_grams(seed, often), "a bigint, b bigint, c bigint, n bigint, part bigint, split boolean").repartition(tasks, "a", "part")
-    grams = grams.groupBy("a", "part", "b", "split", "c").agg(F.sum("n").alias("n"))
-    edge = F.when((F.col("n") >= least) & (F.col("c") != END), F.struct("c", "n"))
-    nodes = grams.groupBy("a", "part", "b", "split").agg(F.sum("n").alias("n"), F.collect_list(edge).alias("out"))
-    # nodes too rare to be reported matter only for their first word
-    kept = F.when((F.col("b") != END) & (F.col("split") | (F.col("n") >= least)), F.col("b"))
-    nodes = nodes.groupBy("a", "part", kept.alias("b")).agg(F.sum("n").alias("n"), F.flatten(F.collect_list("out")).alias("out"))
-    nodes = stored(nodes.drop("part"), "nodes")
-    flows = nodes.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = spark.sparkContext.broadcast(Often(numbers[order], hot["parts"].to_numpy(np.int64)[order]))
+    buckets = max(1, -(-total // BUCKET_WORDS))
+    counts = rows.mapInArrow(_grams(seed, often, buckets), GRAMS).groupBy("bucket").applyInArrow(_added(often, least), COUNTS)
+    counts = stored(counts, "counts")
+    flows = counts.where("b is not null and c is null").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     flows = stored(flows, "flows")
-    singles = stored(nodes.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "singles")
-    edges = nodes.where(F.size("out") > 0).select("a", "b", F.inline("out").alias("c", "n"))
-    paths = stored(unary_paths(stored(edges, "edges"), flows), "paths")
+    singles = stored(counts.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "singles")
+    edges_of = counts.where("c is not null")
+    paths = stored(unary_paths(edges_of, flows), "paths")
     inner = paths.select(F.explode(_runs("words", 2, inner=True)).alias("p")).select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
     return PhraseGraph(vocabulary, paths, flows.join(inner, ["a", "b"], "left_anti"), singles)
 
