@@ -37,7 +37,7 @@ from textveil.llm.words import SEPARATOR, U, cut_words, pair, raw_bytes, scrambl
 
 END = 0
 SLICE = 2 << 20
-BUCKET_WORDS = 2_000_000  # words whose grams one bucket sums
+BUCKET_WORDS = 700_000  # words whose grams one bucket sums
 LEAST_PART = 1 << 15  # grams of a word that one task may hold at any rate
 PARTS = 100_000  # at most so many words are spread
 PATH_CUT = 1024  # edges of one row of a path
@@ -157,34 +157,34 @@ def _packed(words: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: n
     a, b, c = rank[a], rank[b], rank[c]
     code = _coded(a, b, c, len(words))
     if code is None:  # a slice of over two million words
-        return pack_sorted(words[order]), zipped(np.concatenate((a, b, c))), zipped(n)
+        return pack_sorted(words[order]), zipped(np.concatenate((a, b, c))), zipped(n.astype(np.int32))
     order_of = np.argsort(code)
-    return pack_sorted(words[order]), pack_sorted(code[order_of]), zipped(n[order_of].astype(np.int64))
+    return pack_sorted(words[order]), pack_sorted(code[order_of]), zipped(n[order_of].astype(np.int32))
 
 
-def _unpacked(words: bytes, grams: bytes, counts: bytes) -> tuple[np.ndarray, ...]:
-    w, n = unpack_sorted(words, U), unzipped(counts, np.int64)
-    if len(w) >= 1 << 21:
-        a, b, c = unzipped(grams, np.int64).reshape(3, -1)
-    else:
-        rest, c = np.divmod(unpack_sorted(grams, U), U(len(w)))
-        a, b = np.divmod(rest, U(len(w)))
-    return w, a.astype(np.int64), b.astype(np.int64), c.astype(np.int64), n
+def _unpacked(size: int, grams: bytes) -> tuple[np.ndarray, ...]:
+    """The grams of a row with ``size`` words."""
+    if size >= 1 << 21:
+        return tuple(unzipped(grams, np.int64).reshape(3, -1))
+    rest, c = np.divmod(unpack_sorted(grams, U), U(size))
+    a, b = np.divmod(rest, U(size))
+    return tuple(x.astype(np.int32) for x in (a, b, c))
 
 
 def _added(often, least: int):
     """Sums of a bucket: frequent edges, nodes (frequent or in several parts), and words."""
     def run(grams: pa.Table) -> pa.Table:
-        rows = [_unpacked(*x) for x in zip(*[grams.column(c).to_pylist() for c in ("words", "grams", "counts")])]
-        words = np.unique(np.concatenate([x[0] for x in rows]))
-        cols = [[], [], []]
-        for w, *abc, _ in rows:
-            here = np.searchsorted(words, w)
-            for out, x in zip(cols, abc):
-                out.append(here[x].astype(np.int32))
-        a, b, c = (np.concatenate(x) for x in cols)
-        n = np.concatenate([x[-1] for x in rows])
-        del rows, cols
+        held = [unpack_sorted(x.as_py(), U) for x in grams.column("words")]
+        words = np.unique(np.concatenate(held))
+        cols: list[list] = [[], [], [], []]
+        for w, row, counts in zip(held, grams.column("grams"), grams.column("counts")):
+            here = np.searchsorted(words, w).astype(np.int32)
+            for out, x in zip(cols, _unpacked(len(w), row.as_py())):
+                out.append(here[x])
+            cols[3].append(unzipped(counts.as_py(), np.int32))
+        del held, grams
+        a, b, c, n = (np.concatenate(x) for x in cols)
+        del cols
         code = _coded(a, b, c, len(words))
         order = np.lexsort((c, b, a)) if code is None else np.argsort(code)
         del code
@@ -196,7 +196,7 @@ def _added(often, least: int):
         out = []
         for new, k in ((new_c, 3), (new_b, 2), (new_a, 1)):
             at = np.flatnonzero(new)
-            total = np.add.reduceat(n, at)
+            total = np.add.reduceat(n, at, dtype=np.int64)
             # what is in several parts may still add up
             whole = split[a[at]] == 1 if k == 1 else np.minimum(split[a[at]], split[b[at]]) == 1 if k == 2 else True
             real = True if k == 1 else words[(b if k == 2 else c)[at]] != U(END)
