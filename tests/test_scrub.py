@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textveil.constants import SCRUB_RULES
 from textveil.functions.regex import portable_regex, quote_literal
 from textveil.functions.text import fill_template, norm_token, squash_ws, strip_quotes, tokens, truncate_tokens
-from textveil.operators.dictionary import clean_word_list, inline_words, words_frame
+from textveil.operators.dictionary import clean_word_list, held_words, words_frame
 from textveil.operators.scrub import apply_rules, mask_by_join, scrub
 
 GOLDEN = [
@@ -100,7 +100,7 @@ def test_dictionary_rules(spark):
     raw = words_frame(spark, ['"Meier"', " Abt ", "Au", "Ey", "Bach", "Abt", "Von essen"])
     safe = words_frame(spark, ["Bach"])
     assert {r.word for r in clean_word_list(raw, "word", 3, safe).collect()} == {"Meier", "Abt", "Von essen"}
-    assert inline_words(["a"] * 3, limit=2) is None
+    assert held_words(["a", "b", "c"], most=2) is None
 
 
 def test_no_long_digit_runs_left_and_idempotent(spark):

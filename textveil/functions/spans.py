@@ -6,12 +6,14 @@ offsets, end exclusive.  All functions are Column -> Column and need no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from textveil.constants import DEFAULT_PLACEHOLDER, ENTITY_LABELS, MIN_SPAN_SCORE
-from textveil.functions.regex import WORD, portable_regex, whole_terms
+from textveil.functions.lookup import Terms, find_terms, without_overlaps
+from textveil.functions.regex import WORD, portable_regex
 from textveil.functions.text import as_col, let
 
 # Spans of a text are worked on in pieces of this many.
@@ -43,7 +45,8 @@ def regex_spans(txt, regex, entity_type: str, score: float) -> Column:
     regex = F.lit(regex) if isinstance(regex, str) else regex
 
     def place(steps):
-        before = before_each(F.transform(steps, lambda s: s.gap + F.length(s.m)), lambda a, x: a + x)
+        sizes = F.transform(steps, lambda s: s.gap + F.length(s.m))
+        before = let(sizes, lambda xs: before_each(xs, lambda a, x: a + x))
         return F.zip_with(
             steps, before, lambda s, b: _span(entity_type, b + s.gap, b + s.gap + F.length(s.m), score, s.m)
         )
@@ -64,9 +67,11 @@ def regex_spans(txt, regex, entity_type: str, score: float) -> Column:
 
 def blocks(values, size: int = BLOCK) -> Column:
     """An array cut into arrays of ``size``, without any for an empty one."""
-    c = as_col(values)
-    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c) / size), F.lit(1)).cast("int") - 1)
-    return F.filter(F.transform(at, lambda b: F.slice(c, b * size + 1, size)), lambda x: F.size(x) > 0)
+    def cut(c):
+        at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c) / size), F.lit(1)).cast("int") - 1)
+        return F.filter(F.transform(at, lambda b: F.slice(c, b * size + 1, size)), lambda x: F.size(x) > 0)
+
+    return let(as_col(values), cut)
 
 
 def before_each(values, combine) -> Column:
@@ -89,7 +94,8 @@ def before_each(values, combine) -> Column:
         totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: combine(a, x).cast("int")))
         return F.flatten(F.zip_with(bs, running(totals, F.lit(0)), running))
 
-    return let(blocks(values), joined)
+    c = as_col(values)
+    return F.when(F.size(c) <= BLOCK, running(c, F.lit(0))).otherwise(let(blocks(c), joined))
 
 
 def contains_any(txt, needs: str | tuple[str, ...]) -> Column:
@@ -111,10 +117,10 @@ def pattern_spans(txt, pattern: str, entity_type: str, score: float, needs=None)
     return F.when(contains_any(c, needs), spans).otherwise(no_spans()) if needs else spans
 
 
-def term_spans(txt, terms: list[str], entity_type: str, score: float) -> Column:
+def term_spans(txt, terms: Sequence[str], entity_type: str, score: float) -> Column:
     """Spans of literal terms, bounded by non-word characters, longest first."""
     terms = [t for t in terms if t]
-    return regex_spans(txt, whole_terms(terms), entity_type, score) if terms else no_spans()
+    return find_terms(txt, [Terms(entity_type, terms, score)]) if terms else no_spans()
 
 
 def escaped(term: Column) -> Column:
@@ -157,44 +163,9 @@ def in_text_order(spans) -> Column:
 def resolve_overlaps(spans) -> Column:
     """Keep the best spans so that none overlap, in text order.
 
-    Best = higher score, then longer, then earlier, then entity type.  Spans
-    are first cut into clusters of overlapping neighbours; only inside a
-    cluster, usually one span, is the greedy choice needed.
+    Best = higher score, then longer, then earlier, then entity type.
     """
-    def clusters_of(ordered):
-        reach = before_each(F.transform(ordered, lambda s: s.end), F.greatest)
-        apart = F.zip_with(ordered, reach, lambda s, r: s.start >= r)
-        at = F.filter(F.transform(apart, lambda a, i: F.when(a, i + 1)), lambda i: i.isNotNull())
-        ends = F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(ordered) + 1))
-        # without spans there is an end, but no start
-        return F.filter(F.zip_with(at, ends, lambda a, b: F.slice(ordered, a, b - a)), lambda x: x.isNotNull())
-
-    def choose(cluster):
-        ranked = F.array_sort(
-            F.transform(
-                cluster,
-                lambda s: F.struct(
-                    (-s.score).alias("a"),
-                    (s.start - s.end).alias("b"),
-                    s.start.alias("c"),
-                    s.entity_type.alias("d"),
-                    s.alias("s"),
-                ),
-            )
-        )
-        kept = F.aggregate(
-            ranked,
-            no_spans(),
-            lambda acc, k: F.when(
-                F.exists(acc, lambda o: (k.s.start < o.end) & (o.start < k.s.end)), acc
-            ).otherwise(F.concat(acc, F.array(k.s))),
-        )
-        return in_text_order(kept)
-
-    clusters = let(in_text_order(spans), clusters_of)
-    return F.flatten(
-        F.transform(clusters, lambda c: F.when(F.size(c) > 1, choose(c)).otherwise(c))
-    )
+    return without_overlaps(spans)
 
 
 def label_of(entity_type, mapping: dict[str, str] | None = None, default: str = DEFAULT_PLACEHOLDER) -> Column:

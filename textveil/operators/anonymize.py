@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,24 +27,21 @@ from textveil.functions.spans import (
     SPAN_DDL,
     confident,
     contains_any,
-    escaped,
     hit_spans,
     in_text_order,
     no_spans,
     pattern_spans,
-    regex_spans,
     replace_spans,
     resolve_overlaps,
     term_spans,
 )
-from textveil.functions.arrays import unpack
-from textveil.functions.regex import whole_words
-from textveil.functions.text import as_col, words
-from textveil.operators.dictionary import inline_words, with_terms
+from textveil.functions.arrays import settled, unpack
+from textveil.functions.lookup import Terms, find_terms, find_terms_as_of
+from textveil.functions.regex import portable_regex
+from textveil.functions.text import as_col
+from textveil.operators.dictionary import held_lists, held_words, with_terms
 
 _DIGIT = r"\p{Nd}"
-# Up to this many entries of several words are looked for in each text one by one.
-MAX_INLINE_PHRASES = 100
 
 
 @dataclass(frozen=True)
@@ -89,24 +86,9 @@ def deny_list_spans(txt, terms: Sequence[str]) -> Column:
     return term_spans(txt, list(terms), "INTERNAL_SENSITIVE", DENY_SCORE)
 
 
-def with_deny_spans(df: DataFrame, txt: str, terms, out: str = "deny_spans") -> DataFrame:
-    """Deny-list spans for lists of any size.
-
-    A term can only occur where its first words occur, so these are joined with the
-    text's word n-grams; the candidates of a row then form that row's own pattern,
-    which decides exactly.
-    """
-    found = with_terms(df, txt, {"deny": terms})
-    ranked = F.array_sort(
-        F.transform("_hits_deny", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))
-    )
-    body = F.array_join(F.transform(ranked, lambda k: escaped(k.t)), "|")
-    left, right = whole_words("\0").split("\0")
-    regex = F.concat(F.lit(left), body, F.lit(right))
-    spans = F.when(
-        F.size("_hits_deny") > 0, regex_spans(txt, regex, "INTERNAL_SENSITIVE", DENY_SCORE)
-    ).otherwise(no_spans())
-    return found.withColumn(out, spans).drop("_hits_deny")
+def with_deny_spans(df: DataFrame, txt: str, terms, out: str = "deny_spans", strategy: str = "auto") -> DataFrame:
+    """Deny-list spans for lists of any size (see :func:`with_term_spans`)."""
+    return with_term_spans(df, txt, [("INTERNAL_SENSITIVE", terms, DENY_SCORE, False)], out, strategy)
 
 
 def with_gazetteer_spans(
@@ -120,28 +102,46 @@ def with_gazetteer_spans(
     """Spans of dictionary entries per entity type.
 
     ``dictionaries`` maps an entity type to a list or frame of words or phrases.  Hits
-    of one type with only a space between them form one span.  Small dictionaries
-    are looked up in the row, larger ones by join.
+    of one type with only a space between them form one span.
     """
-    inline = {t: inline_words(w) for t, w in dictionaries.items()} if strategy != "join" else {}
-    small = bool(inline) and None not in inline.values()
-    phrases = {t: [w for w in inline[t] if w and not re.fullmatch(r"\w+", w)] for t in inline} if small else {}
-    if small and sum(map(len, phrases.values())) <= MAX_INLINE_PHRASES:
-        ready = df.withColumn("_words", F.array_distinct(words(txt)))
-        none = F.array().cast("array<string>")
-        for t, listed in inline.items():
-            single = sorted(set(listed) - set(phrases[t]))
-            hits = F.filter("_words", lambda w: w.isin(single)) if single else none
-            if phrases[t]:
-                inside = F.filter(F.array(*map(F.lit, phrases[t])), lambda p: F.contains(F.col(txt), p))
-                hits = F.concat(hits, F.coalesce(inside, none))
-            ready = ready.withColumn(f"_hits_{t}", hits)
-        ready = ready.drop("_words")
-    else:
-        ready = with_terms(df, txt, dictionaries)
-    spans = [hit_spans(txt, f"_hits_{t}", t, score, merge=True) for t in dictionaries]
-    merged = F.concat(*spans) if len(spans) > 1 else spans[0]
-    return ready.withColumn(out, merged).drop(*[f"_hits_{t}" for t in dictionaries])
+    kinds = [(t, listed, score, True) for t, listed in dictionaries.items()]
+    return with_term_spans(df, txt, kinds, out, strategy)
+
+
+def with_term_spans(df: DataFrame, txt: str, kinds: Sequence[tuple], out: str, strategy: str = "auto", most: int | None = None) -> DataFrame:
+    """Spans of the entries of ``(entity type, list or frame, score, merge)`` kinds.
+
+    Entries of any number of words, or none, are found by one automaton.  Lists
+    beyond what executors can hold (with the strategy ``join`` all lists) are first
+    cut down to entries whose first words occur; where even these are too many, each
+    row's own few entries make a pattern for that row.
+    """
+    found = held_lists(df, F.col(txt), [k[1] for k in kinds], strategy, by_anchor=True, most=most)
+    if found is not None:
+        listed = [Terms(k[0], terms, k[2], k[3]) for k, terms in zip(kinds, found) if terms]
+        return df.withColumn(out, find_terms(txt, listed) if listed else no_spans())
+    ready = with_terms(df, txt, {str(i): k[1] for i, k in enumerate(kinds)})
+    spans = [hit_spans(txt, f"_hits_{i}", k[0], k[2], merge=k[3]) for i, k in enumerate(kinds)]
+    return ready.withColumn(out, F.concat(no_spans(), *spans)).drop(*[f"_hits_{i}" for i in range(len(kinds))])
+
+
+def with_deny_spans_as_of(df: DataFrame, txt: str, ts: str, versions: DataFrame, out: str = "deny_spans") -> DataFrame:
+    """Deny-list spans by the version of the list in force at each row's event time.
+
+    ``versions`` has ``valid_from`` and ``term``, all terms of a version with its time;
+    a version ends where the next one begins.  A late row meets the version of its
+    own time, not the newest.  All versions together are sent to the executors, so
+    their counted size is bounded.
+    """
+    listed = versions.select(F.unix_micros(F.col("valid_from").cast("timestamp")).alias("since"), F.col("term").alias("word"))
+    if held_words(listed) is None:
+        raise ValueError("the versions of the list are too large for the executors' memory")
+    terms: dict[int, list[str]] = {}
+    for r in listed.distinct().collect():
+        terms.setdefault(r["since"], []).append(r["word"])
+    kinds = [(since, Terms("INTERNAL_SENSITIVE", [w for w in ws if w], DENY_SCORE)) for since, ws in terms.items()]
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return df.withColumn(out, find_terms_as_of(txt, micros, kinds) if kinds else no_spans())
 
 
 def with_external_spans(df: DataFrame, spans_df: DataFrame, txt: str = "text", key: str = "doc_id", out: str = "external_spans") -> DataFrame:
@@ -179,15 +179,20 @@ def detect(
     min_score: float = MIN_SPAN_SCORE,
     key: str = "doc_id",
     out: str = "spans",
+    deny_as_of: tuple[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Add the array of detected spans at or above ``min_score``, in text order."""
+    """Add the array of detected spans at or above ``min_score``.
+
+    ``deny_as_of`` is an event-time column and the versions of a deny list (see
+    :func:`with_deny_spans_as_of`).
+    """
     parts, ready, extra = [recognized_spans(txt, recognizers)], df, []
-    listed = inline_words(deny_terms, limit=1000)
-    if listed is None:
+    if isinstance(deny_terms, DataFrame) or deny_terms:
         ready, extra = with_deny_spans(ready, txt, deny_terms, "_deny"), extra + ["_deny"]
         parts.append(F.col("_deny"))
-    elif listed:
-        parts.append(deny_list_spans(txt, listed))
+    if deny_as_of is not None:
+        ready, extra = with_deny_spans_as_of(ready, txt, *deny_as_of, "_asof"), extra + ["_asof"]
+        parts.append(F.col("_asof"))
     if gazetteers:
         ready, extra = with_gazetteer_spans(ready, txt, gazetteers, out="_gaz"), extra + ["_gaz"]
         parts.append(F.col("_gaz"))
@@ -206,8 +211,7 @@ def anonymize(df: DataFrame, txt: str = "text", out: str = "result", mapping: di
     are those of :func:`detect`.
     """
     found = detect(df, txt, out="_spans", **options)
-    # a column for each step: lambdas nested deeper take the analyzer too many rounds
-    ordered = found.withColumn("_spans", in_text_order("_spans"))
+    ordered = settled(found, "_spans", in_text_order("_spans"))
     ordered = ordered.withColumn("_kept", resolve_overlaps("_spans"))
     result = F.struct(
         F.when(F.size("_spans") > 0, replace_spans(txt, "_kept", mapping))
@@ -225,6 +229,11 @@ def anonymize(df: DataFrame, txt: str = "text", out: str = "result", mapping: di
     return ordered.withColumn(out, result).drop("_spans", "_kept")
 
 
+def resolved(found: DataFrame, spans: str = "spans") -> DataFrame:
+    """The best of overlapping spans, in text order."""
+    return settled(found, spans, F.col(spans)).withColumn(spans, resolve_overlaps(spans))
+
+
 def entities(found: DataFrame, spans: str = "spans", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per detected entity."""
     return unpack(found, spans, keep)
@@ -237,6 +246,39 @@ def audit_counts(found: DataFrame, by: Sequence[str] = (), spans: str = "spans")
     return exploded.groupBy(*by, "entity_type").agg(F.count("*").alias("n"))
 
 
+def type_counts(df: DataFrame, txt: str = "text", deny_terms=(), recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS, gazetteers: dict[str, object] | None = None, min_score: float = MIN_SPAN_SCORE, out: str = "type_counts") -> DataFrame:
+    """Add how many detections of each entity type a text has: ``array<struct<entity_type, n>>``.
+
+    The numbers of :func:`detect`, but no match is given a place.
+    """
+    parts, ready, extra = [], df, []
+    for r in recognizers:
+        live = [portable_regex(p) for _, p, score in r.patterns if score >= min_score]
+        if live:
+            n = reduce(lambda a, b: a + b, [F.size(F.regexp_extract_all(F.col(txt), F.lit(p), F.lit(0))) for p in live])
+            n = F.when(contains_any(txt, r.needs), n).otherwise(0) if r.needs else n
+            parts.append(F.array(F.struct(F.lit(r.entity_type).alias("entity_type"), n.cast("bigint").alias("n"))))
+    listed = [("INTERNAL_SENSITIVE", deny_terms, DENY_SCORE, False)] if isinstance(deny_terms, DataFrame) or deny_terms else []
+    listed += [(t, words, GAZETTEER_SCORE, True) for t, words in (gazetteers or {}).items()]
+    listed = [k for k in listed if k[2] >= min_score]
+    if listed:
+        ready, extra = with_term_spans(ready, txt, listed, "_listed"), ["_listed"]
+        parts.append(F.transform("_listed", lambda s: F.struct(s.entity_type.alias("entity_type"), F.lit(1).cast("bigint").alias("n"))))
+    none = F.array().cast("array<struct<entity_type:string,n:bigint>>")
+    counts = F.when(F.length(txt) > 0, F.filter(F.concat(none, *parts), lambda x: x.n > 0)).otherwise(none)
+    return ready.withColumn(out, counts).drop(*extra)
+
+
+def count_by_type(df: DataFrame, by: Sequence[str] = (), rollup: bool = False, **options) -> DataFrame:
+    """Detections per entity type, or with ``rollup`` also per group and over everything.
+
+    Options are those of :func:`type_counts`.
+    """
+    rows = unpack(type_counts(df, out="_counts", **options), "_counts", by)
+    grouped = rows.rollup(*by, "entity_type") if rollup else rows.groupBy(*by, "entity_type")
+    return grouped.agg(F.sum("n").alias("n"))
+
+
 def audit_rollup(found: DataFrame, by: str, spans: str = "spans") -> DataFrame:
     """Findings per group and type, per group, and over everything."""
     types = F.transform(spans, lambda s: s.entity_type)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from textveil.functions.regex import WORD
 from textveil.functions.text import let, norm_tokens, squash_ws, strip_ws, words as words_of
 
-# Up to this many words a dictionary is a hash set inside the plan; larger
-# ones are joined.
-MAX_INLINE_WORDS = 10_000
-# Up to this many words and bytes it is sent to all executors.
+# Up to this many words and bytes a list is sent to all executors.
 MAX_BROADCAST_WORDS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
+# So many rows are fetched without their bytes being counted first.
+FEW_WORDS = 10_000
 # A term is looked up by so many of its first words.
 ANCHOR_WORDS = 8
 
@@ -36,15 +35,21 @@ def words_frame(spark: SparkSession, words: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def inline_words(words, limit: int = MAX_INLINE_WORDS) -> list[str] | None:
-    """The words of a list or frame, or None when there are more than ``limit``."""
+def held_words(words, most: int | None = None, most_bytes: int | None = None) -> list[str] | None:
+    """The distinct words of a list or frame, or None when they are too many to be sent around."""
+    most = MAX_BROADCAST_WORDS if most is None else most
+    most_bytes = MAX_BROADCAST_BYTES if most_bytes is None else most_bytes
     if words is None:
         return []
     if isinstance(words, DataFrame):
-        found = [r[0] for r in words.select("word").limit(limit + 1).collect()]
+        one = words.select("word").where("word is not null")
+        found = [r[0] for r in one.limit(min(FEW_WORDS, most) + 1).collect()]
+        if len(found) > FEW_WORDS and _small(one.distinct(), most, most_bytes):
+            found = [r[0] for r in one.distinct().collect()]
     else:
-        found = list(words)
-    return None if len(found) > limit else sorted(set(found))
+        found = [w for w in words if w is not None]
+    found = sorted(set(found))
+    return found if len(found) <= most and sum(map(len, found)) <= most_bytes else None
 
 
 def as_frame(spark: SparkSession, words) -> DataFrame:
@@ -69,12 +74,51 @@ def dictionary_stats(**dictionaries: DataFrame) -> DataFrame:
     )
 
 
-def _small(dictionary: DataFrame) -> bool:
+def _small(dictionary: DataFrame, most: int | None = None, most_bytes: int | None = None) -> bool:
     """Whether a dictionary's rows and bytes, both counted, may go to all executors."""
+    most = MAX_BROADCAST_WORDS if most is None else most
+    most_bytes = MAX_BROADCAST_BYTES if most_bytes is None else most_bytes
     texts = [c for c, kind in dictionary.dtypes if kind == "string"]
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
-    n, total = dictionary.limit(MAX_BROADCAST_WORDS + 1).agg(F.count("*"), F.sum(size)).first()
-    return n <= MAX_BROADCAST_WORDS and (total or 0) <= MAX_BROADCAST_BYTES
+    n, total = dictionary.limit(most + 1).agg(F.count("*"), F.sum(size)).first()
+    return n <= most and (total or 0) <= most_bytes
+
+
+def held_lists(df: DataFrame, words: Column, lists: Sequence, strategy: str = "auto", always: str | None = None, by_anchor: bool = False, most: int | None = None) -> list[list[str]] | None:
+    """The entries of each list that matter to ``df``, if they can be sent to all executors.
+
+    Lists of counted, bounded size are taken whole.  Larger ones (or all, with the
+    strategy ``join``) are cut down to the entries that occur: only the distinct
+    ``words`` of the texts and the entries are shuffled, never a text.  Entries that
+    match the pattern ``always`` stay.  With ``by_anchor`` an entry occurs if its
+    anchor does (see :func:`anchored`); ``words`` are the texts' anchors then, made
+    for the lengths asked for.
+    """
+    if strategy != "join":
+        held = [held_words(x, most) for x in lists]
+        if None not in held:
+            return held
+    if df.isStreaming:
+        raise ValueError("this list is too large for the executors' memory; use streaming.jobs.rewrite_batches")
+    frames = [as_frame(df.sparkSession, x).select(F.lit(i).alias("list"), "word") for i, x in enumerate(lists)]
+    entries = reduce(DataFrame.unionByName, frames).where("word <> ''")
+    if by_anchor:
+        keyed = anchored(entries, "list")
+        lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # ANCHOR_WORDS + 1 at most
+        words = anchors(words, lengths)
+    else:
+        keyed = entries.withColumn("term", F.col("word"))
+    seen = df.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
+    occur = keyed.join(seen, "word", "left_semi")
+    if always:
+        occur = occur.unionByName(keyed.where(F.col("word").rlike(always)))
+    occur = occur.select("list", F.col("term").alias("word")).distinct()
+    if not _small(occur, most):
+        return None
+    out: list[list[str]] = [[] for _ in lists]
+    for r in occur.collect():
+        out[r["list"]].append(r["word"])
+    return out
 
 
 def matched_words(df: DataFrame, key: str, words: Column, dictionary: DataFrame) -> DataFrame:
@@ -125,7 +169,7 @@ def with_matches(df: DataFrame, txt: str, words: Column, kinds: dict[str, DataFr
     return out
 
 
-def anchored(terms: DataFrame) -> DataFrame:
+def anchored(terms: DataFrame, *keep: str) -> DataFrame:
     """``(word, term, n)``: what must be in a text for a term to be in it.
 
     That is the term's first words, ANCHOR_WORDS (``n``) at most, or the first character
@@ -134,8 +178,8 @@ def anchored(terms: DataFrame) -> DataFrame:
     parts = words_of("term")
     n = F.least(F.size(parts), F.lit(ANCHOR_WORDS))
     head = F.array_join(F.slice(parts, 1, ANCHOR_WORDS), " ")
-    return terms.where("word <> ''").select(F.col("word").alias("term")).select(
-        F.when(n > 0, head).otherwise(F.substring("term", 1, 1)).alias("word"), "term", n.alias("n")
+    return terms.where("word <> ''").select(*keep, F.col("word").alias("term")).select(
+        *keep, F.when(n > 0, head).otherwise(F.substring("term", 1, 1)).alias("word"), "term", n.alias("n")
     )
 
 
@@ -175,13 +219,13 @@ def rewrite_tokens(squashed, choose) -> Column:
 
 
 __all__ = [
-    "MAX_INLINE_WORDS",
     "anchored",
     "anchors",
     "as_frame",
     "clean_word_list",
     "dictionary_stats",
-    "inline_words",
+    "held_lists",
+    "held_words",
     "matched_words",
     "rewrite_tokens",
     "squash_ws",

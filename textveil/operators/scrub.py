@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textveil.constants import LOCATION_MASK, PERSON_MASK, SCRUB_RULES
 from textveil.functions.regex import portable_regex, quote_replacement
+from textveil.functions.lookup import mask_words
 from textveil.functions.spans import contains_any
 from textveil.functions.text import as_col, let, mask_numbers, norm_tokens, squash_ws
-from textveil.operators.dictionary import as_frame, inline_words, rewrite_tokens, with_matches
+from textveil.operators.dictionary import as_frame, held_lists, rewrite_tokens, with_matches
 
 # Every default rule needs a digit or an at sign, and each one more than that.
 DEFAULT_NEEDS = r"[\p{Nd}@]"
@@ -66,22 +68,12 @@ def mask_tokens(txt, words: Sequence[str], mask: str) -> Column:
 
 def mask_dictionaries(txt, dictionaries: Sequence[tuple[Sequence[str], str]]) -> Column:
     """Like :func:`mask_tokens` for several word lists, earlier lists win."""
-    live = [(sorted(set(words)), mask) for words, mask in dictionaries if len(words)]
-    if not live:
-        return squash_ws(txt)
-
-    def choose(token, norm):
-        picked = None
-        for words, mask in live:
-            hit = norm.isin(words)
-            picked = F.when(hit, mask) if picked is None else picked.when(hit, mask)
-        return picked.otherwise(token)
-
-    return let(squash_ws(txt), lambda squashed: rewrite_tokens(squashed, choose))
+    live = [(words, mask) for words, mask in dictionaries if len(words)]
+    return mask_words(squash_ws(txt), live) if live else squash_ws(txt)
 
 
 def mask_by_join(df: DataFrame, txt: str, names=None, cities=None, out: str | None = None) -> DataFrame:
-    """The dictionary step for word lists of any size, by an equi-join.
+    """The dictionary step where even the words that occur are too many to send around.
 
     Only pairs of a text's digest and a word are shuffled for matching; the text
     itself is shuffled once, by digest, to receive the few words found in it.
@@ -115,22 +107,20 @@ def scrub(
 ) -> DataFrame:
     """Rules, then dictionaries, then the digit fallback.
 
-    ``names`` and ``cities`` are lists or frames with a column ``word``.  With
-    ``auto`` they are inlined while both are small, which needs no shuffle, and
-    joined by a digest of the text otherwise; the rows are the same.
+    ``names`` and ``cities`` are lists or frames with a column ``word``.  They are
+    looked up in the row; lists beyond what executors can hold (with the strategy
+    ``join`` all lists) are first cut down to the words that occur.
     """
     out = out or txt
     ruled = apply_rules(txt, rules, needs)
-    inline = None
-    if strategy != "join":
-        inline = [inline_words(names), inline_words(cities)]
-    if inline is not None and None not in inline:
-        masked = mask_dictionaries(ruled, [(inline[0], PERSON_MASK), (inline[1], LOCATION_MASK)])
-        return df.withColumn(out, mask_numbers(masked))
-    if strategy == "inline":
-        raise ValueError("a dictionary is too large to inline; streams take it with streaming.jobs.rewrite_batches")
-    joined = mask_by_join(df.withColumn(out, ruled), out, names, cities)
-    return joined.withColumn(out, mask_numbers(out))
+    # a token that a rule has not touched is a token of the raw text, too
+    marks = "|".join(norm for name, _ in (SCRUB_RULES if rules is None else rules) for norm in re.findall(r"\w+", name))
+    found = held_lists(df, norm_tokens(squash_ws(txt)), [names, cities], strategy, always=portable_regex(marks) if marks else None)
+    if found is None:
+        joined = mask_by_join(df.withColumn(out, ruled), out, names, cities)
+        return joined.withColumn(out, mask_numbers(out))
+    masked = mask_dictionaries(ruled, [(found[0], PERSON_MASK), (found[1], LOCATION_MASK)])
+    return df.withColumn(out, mask_numbers(masked))
 
 
 def placeholders(txt) -> Column:

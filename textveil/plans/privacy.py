@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textveil.constants import ENTITY_LABELS, LEGEND_PLACEHOLDERS, PLACEHOLDER_DISPLAY, SAFE_WORDS
-from textveil.functions.spans import confident, label_of, replace_spans, resolve_overlaps
-from textveil.functions.text import mask_numbers, norm_token, squash_ws, tokens
+from textveil.functions.spans import confident, label_of, replace_spans
+from textveil.functions.text import mask_numbers, norm_token, squash_ws, tokens, words
 from textveil.operators import anonymize as an
 from textveil.operators import dictionary as dic
 from textveil.operators import scrub as sc
@@ -167,9 +167,7 @@ def _sql_mask(source: str, cities: bool) -> str:
 
 @query("p10_mask_names", f"{WITH_ALL} SELECT doc_id, {_sql_mask(co.sql_squash('text'), False)} AS text FROM probe, dict")
 def p10(spark, sf):
-    words = dic.inline_words(co.names(spark, sf))
-    if words is None:
-        return sc.mask_by_join(co.probe(spark, sf), "text", co.names(spark, sf)).select("doc_id", "text")
+    words = dic.held_words(co.names(spark, sf))
     return co.probe(spark, sf).select("doc_id", sc.mask_tokens("text", words, "[PERSON]").alias("text"))
 
 
@@ -178,9 +176,7 @@ _P11 = f"{WITH_ALL} SELECT doc_id, {_sql_mask(co.sql_squash('text'), True)} AS t
 
 @query("p11_mask_cities", _P11)
 def p11(spark, sf):
-    lists = dic.inline_words(co.names(spark, sf)), dic.inline_words(co.cities(spark, sf))
-    if None in lists:
-        return sc.mask_by_join(co.probe(spark, sf), "text", co.names(spark, sf), co.cities(spark, sf)).select("doc_id", "text")
+    lists = dic.held_words(co.names(spark, sf)), dic.held_words(co.cities(spark, sf))
     masked = sc.mask_dictionaries("text", [(lists[0], "[PERSON]"), (lists[1], "[LOCATION]")])
     return co.probe(spark, sf).select("doc_id", masked.alias("text"))
 
@@ -294,7 +290,7 @@ def a5(spark, sf):
 
 @query("a5_deny_list_spans_by_join", _DENY)
 def a5_join(spark, sf):
-    found = an.with_deny_spans(co.probe(spark, sf), "text", co.DENY_TERMS, out="spans")
+    found = an.with_deny_spans(co.probe(spark, sf), "text", co.DENY_TERMS, out="spans", strategy="join")
     return an.entities(found)
 
 
@@ -344,6 +340,48 @@ def a9_null(spark, sf):
     return an.entities(an.with_gazetteer_spans(rows, "text", _gazetteers(spark, sf), out="spans", strategy="join"))
 
 
+# all longer words of the documents, and as many entries again that occur nowhere
+_FILLERS = 100_000
+_LONG_WORDS = f"""entries AS (
+  SELECT DISTINCT unnest(regexp_extract_all(text, '{co.IS_WORD}')) AS word FROM documents),
+listed AS (SELECT word FROM entries WHERE length(word) >= 7 UNION SELECT 'entry' || i || 'x' FROM range({_FILLERS}) t(i))"""
+_TOKENS = f"""tok AS (SELECT doc_id, regexp_extract_all(text, '{co.IS_WORD}') AS m, regexp_split_to_array(text, '{co.IS_WORD}') AS g FROM probe),
+pos AS (SELECT doc_id, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM tok),
+placed AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM pos)"""
+
+
+def _large_list(spark, sf):
+    long = table(spark, sf, "documents").select(F.explode(F.array_distinct(words("text"))).alias("word")).where(F.length("word") >= 7)
+    fillers = spark.range(_FILLERS).select(F.concat(F.lit("entry"), F.col("id").cast("string"), F.lit("x")).alias("word"))
+    return long.unionByName(fillers).distinct()
+
+
+@query(
+    "a5_large_deny_list",
+    f"""{WITH_PROBE}, {_LONG_WORDS}, {_TOKENS}
+    SELECT doc_id, 'INTERNAL_SENSITIVE' AS entity_type, (e - length(w))::INTEGER AS start, e::INTEGER AS "end", 1.0::DOUBLE AS score, w AS text
+    FROM placed WHERE w IN (SELECT word FROM listed)""",
+)
+def a5_large(spark, sf):
+    """Over 100,000 entries, by the code that also takes three."""
+    return an.entities(an.detect(co.probe(spark, sf), deny_terms=_large_list(spark, sf), recognizers=[]))
+
+
+@query(
+    "a9_large_gazetteer",
+    f"""{WITH_PROBE}, {_LONG_WORDS}, {_TOKENS},
+    brk AS (SELECT *, w IN (SELECT word FROM listed) AS hit FROM placed),
+    isl AS (SELECT *, sum(CASE WHEN gap = ' ' AND before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k
+            FROM (SELECT *, lag(hit) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM brk)),
+    run AS (SELECT doc_id, min(e - length(w))::INTEGER AS start, max(e)::INTEGER AS "end" FROM isl WHERE hit GROUP BY doc_id, k)
+    SELECT r.doc_id, 'TERM' AS entity_type, r.start, r."end", 0.85::DOUBLE AS score, substring(p.text, r.start + 1, r."end" - r.start) AS text
+    FROM run r JOIN probe p ON p.doc_id = r.doc_id""",
+)
+def a9_large(spark, sf):
+    found = an.with_gazetteer_spans(co.probe(spark, sf), "text", {"TERM": _large_list(spark, sf)}, out="spans")
+    return an.entities(found)
+
+
 _PHRASES = ["Nordlicht Labor", "Klinik am See"]
 _PHRASE_SPANS = f"""{WITH_PROBE},
 {co.sql_spans('x0', rf"\b(?:{'|'.join(_PHRASES)})\b", 'ORGANIZATION', 0.85)}
@@ -437,7 +475,25 @@ def _resolved() -> str:
 @query("a13_resolved_spans", f"{_resolved()}\nSELECT {_SPAN_COLS} FROM kept")
 def a13(spark, sf):
     found = an.detect(co.probe(spark, sf), deny_terms=co.DENY_TERMS, gazetteers=_gazetteers(spark, sf))
-    return an.entities(found.withColumn("spans", resolve_overlaps("spans")))
+    return an.entities(an.resolved(found))
+
+
+@query(
+    "a13_long_cluster",
+    rf"""{WITH_PROBE}, w AS (SELECT doc_id, regexp_extract_all(text, '{co.IS_WORD}') AS m, regexp_split_to_array(text, '{co.IS_WORD}') AS g FROM probe),
+    p AS (SELECT doc_id, unnest(g[1:len(m)]) AS gap, unnest(m) AS word, unnest(range(1, len(m) + 1)) AS i FROM w),
+    s AS (SELECT doc_id, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS start FROM p),
+    n AS (SELECT doc_id, count(*) AS n, sum(start) AS starts FROM s GROUP BY 1)
+    SELECT doc_id, (coalesce(n, 0) + CASE WHEN length(text) > 0 THEN 1 ELSE 0 END)::INTEGER AS found, coalesce(n, CASE WHEN length(text) > 0 THEN 1 ELSE 0 END)::INTEGER AS kept,
+      coalesce(starts, 0)::BIGINT AS starts FROM probe LEFT JOIN n USING (doc_id)""",
+)
+def a13_long(spark, sf):
+    """Every word is a span inside one that covers the whole text: one cluster a document."""
+    both = [an.Recognizer("ALL", (("all", r"[\s\S]+", 0.5),)), an.Recognizer("WORD", (("word", r"\w+", 0.9),))]
+    found = an.detect(co.probe(spark, sf), recognizers=both).withColumn("found", F.size("spans"))
+    kept = an.resolved(found)
+    starts = F.aggregate(F.transform("spans", lambda s: s.start.cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return kept.select("doc_id", "found", F.size("spans").alias("kept"), starts.alias("starts"))
 
 
 @query("a14_replace_spans", f"{WITH_PROBE} SELECT doc_id, {co.sql_replace('text', co.ZIP_RE2, '<PLZ>')} AS text FROM probe")
@@ -548,17 +604,17 @@ def a19(spark, sf):
 
 @query("a20_audit_by_type", f"{WITH_PROBE}, {_FOUND} SELECT entity_type, count(*) AS n FROM found GROUP BY 1")
 def a20(spark, sf):
-    return an.audit_counts(an.detect(co.probe(spark, sf), deny_terms=co.DENY_TERMS))
+    return an.count_by_type(co.probe(spark, sf), deny_terms=co.DENY_TERMS)
 
 
 @query("a20_audit_by_document", f"{WITH_PROBE}, {_FOUND} SELECT doc_id, entity_type, count(*) AS n FROM found GROUP BY 1, 2")
 def a20_doc(spark, sf):
-    return an.audit_counts(an.detect(co.probe(spark, sf), deny_terms=co.DENY_TERMS), by=["doc_id"])
+    return an.count_by_type(co.probe(spark, sf), ["doc_id"], deny_terms=co.DENY_TERMS)
 
 
 @query("a20_audit_rollup", f"{WITH_PROBE}, {_FOUND} SELECT source, entity_type, count(*) AS n FROM found GROUP BY ROLLUP (source, entity_type)")
 def a20_rollup(spark, sf):
-    return an.audit_rollup(an.detect(co.probe(spark, sf), deny_terms=co.DENY_TERMS), "source")
+    return an.count_by_type(co.probe(spark, sf), ["source"], rollup=True, deny_terms=co.DENY_TERMS)
 
 
 @query(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from textveil.functions.text import mask_numbers
+from textveil.functions.text import mask_numbers, norm_tokens, squash_ws
 from textveil.operators import anonymize as an
 from textveil.plans import corpus as co
 from textveil.plans.registry import query, table
@@ -45,23 +47,94 @@ def r1_anonymize(spark, sf):
     return finish(done.select("doc_id", "result.anonymized_text"), "anonymized")
 
 
+_ALL_WORDS = rf"""entries AS (
+  SELECT DISTINCT regexp_replace(unnest(string_split({co.sql_squash('text')}, ' ')), '{co.NOT_WORD}', '', 'g') AS word FROM documents),
+listed AS (SELECT word FROM entries WHERE length(word) >= 8 UNION SELECT 'entry' || i || 'x' FROM range(50000) t(i))"""
+
+
+@query(
+    "r1_stream_large_list",
+    rf"""WITH {_ALL_WORDS}, ruled AS (SELECT doc_id, {co.sql_squash(co.sql_rules())} AS text FROM documents),
+    t AS (SELECT doc_id, string_split(text, ' ') AS ts FROM ruled),
+    u AS (SELECT doc_id, unnest(ts) AS tok, unnest(range(1, len(ts) + 1)) AS i FROM t),
+    m AS (SELECT doc_id, i, CASE WHEN word IS NOT NULL THEN '[PERSON]' ELSE tok END AS tok
+          FROM u LEFT JOIN listed ON word = regexp_replace(tok, '{co.NOT_WORD}', '', 'g'))
+    SELECT doc_id, regexp_replace(string_agg(tok, ' ' ORDER BY i), '\p{{Nd}}{{3,}}', '[NUM]', 'g') AS text FROM m GROUP BY 1""",
+)
+def r1_large(spark, sf):
+    """A stream with more than 50,000 names: all longer words of the documents and 50,000 others."""
+    words = table(spark, sf, "documents").select(F.explode(F.array_distinct(norm_tokens(squash_ws("text")))).alias("word"))
+    more = spark.range(50_000).select(F.concat(F.lit("entry"), F.col("id").cast("string"), F.lit("x")).alias("word"))
+    listed = words.where(F.length("word") >= 8).unionByName(more).distinct()
+    docs = incoming(spark, sf, "documents").select("doc_id", "text")
+    return finish(jobs.scrub_stream(docs, names=listed), "scrubbed")
+
+
+def in_two_parts(df, part, name):
+    """A file stream over ``df`` that gets the rows for which ``part`` holds in a later micro-batch."""
+    spark, path = df.sparkSession, new_dir(df.sparkSession, name)
+    for rows in (df.where(~part), df.where(part)):
+        rows.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken by their time
+    return jobs.read_stream(spark, path, df.schema, maxFilesPerTrigger=1)
+
+
+def batch_sink(out, *columns):
+    def sink(batch, batch_id):
+        batch.select(*columns).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return sink
+
+
 @query(
     "r2_stream_deny_reload",
-    r"SELECT doc_id, regexp_replace(text, '\b(?:the and|the|and)\b', '<INTERN>', 'g') AS anonymized_text FROM documents",
+    r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '\b(?:the and|the|and)\b', '<INTERN>', 'g')
+      ELSE regexp_replace(text, '\b(?:of|is)\b', '<INTERN>', 'g') END AS anonymized_text FROM documents""",
 )
 def r2(spark, sf):
+    """Two micro-batches; the list is replaced between them."""
     deny, out = new_dir(spark, "deny"), new_dir(spark, "reloaded")
-    terms = spark.createDataFrame([("and",), ("the and",), ("the",)], "value string")
-    terms.coalesce(1).write.text(deny)
+
+    def write(*terms):
+        spark.createDataFrame([(t,) for t in terms], "value string").coalesce(1).write.mode("overwrite").text(deny)
+
+    keep = batch_sink(out, "doc_id", "result.anonymized_text")
 
     def sink(batch, batch_id):
-        batch.select("doc_id", "result.anonymized_text").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        keep(batch, batch_id)
+        write("of", "is")
 
-    docs = incoming(spark, sf, "documents").select("doc_id", "text")
+    write("and", "the and", "the")
+    docs = in_two_parts(table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") % 2 != 0, "parts")
     jobs.anonymize_with_reload(docs, deny, sink, new_dir(spark, "reload-state"), recognizers=[]).awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 
 
+_VERSIONS = [("2024-01-05", ["and"]), ("2024-01-12", ["the and", "the"]), ("2024-01-20", ["of", "is", "entry"])]
+
+
+@query(
+    "r2_versioned_list",
+    r"""WITH d AS (SELECT doc_id, text, TIMESTAMP '2024-01-01' + INTERVAL (doc_id % 720) HOUR AS moment FROM documents)
+    SELECT doc_id, CASE WHEN moment < TIMESTAMP '2024-01-05' THEN text
+      WHEN moment < TIMESTAMP '2024-01-12' THEN regexp_replace(text, '\band\b', '<INTERN>', 'g')
+      WHEN moment < TIMESTAMP '2024-01-20' THEN regexp_replace(text, '\b(?:the and|the)\b', '<INTERN>', 'g')
+      ELSE regexp_replace(text, '\b(?:of|is|entry)\b', '<INTERN>', 'g') END AS anonymized_text FROM d""",
+)
+def r2_versions(spark, sf):
+    """Each row meets the list in force at its event time; the later micro-batch is full of late rows."""
+    kept, out = new_dir(spark, "versions"), new_dir(spark, "as-of")
+    rows = [(since, term) for since, terms in _VERSIONS for term in terms]
+    versions = spark.createDataFrame(rows, "since string, term string")
+    versions.select(F.to_timestamp("since").alias("valid_from"), "term").coalesce(1).write.parquet(kept)
+    since = F.lit("2024-01-01").cast("timestamp")
+    at = F.timestamp_micros(F.unix_micros(since) + (F.col("doc_id") % 720) * 3_600_000_000)
+    docs = in_two_parts(table(spark, sf, "documents").select("doc_id", "text", at.alias("at")), F.col("doc_id") % 3 == 0, "parts")
+    sink = batch_sink(out, "doc_id", "result.anonymized_text")
+    jobs.anonymize_as_of(docs, "at", lambda: spark.read.parquet(kept), sink, new_dir(spark, "as-of-state"), recognizers=[]).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
 _TUMBLING = """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end,
   event_type AS entity_type, count(*) AS n FROM events GROUP BY 1, 2, 3"""
 
@@ -107,6 +180,17 @@ def r4(spark, sf):
     return finish(fresh.select("user_id", "event_type"), "fresh")
 
 
+@query("r4_seen_for_good", "SELECT DISTINCT sha256(text) AS text_sha256, 2001 AS year FROM documents")
+def r4_for_good(spark, sf):
+    """All texts come again after 23 years, in a later micro-batch; none passes twice."""
+    docs = table(spark, sf, "documents").select("text")
+    years = docs.withColumn("ts", F.explode(F.array(*[F.lit(f"{y}-06-01").cast("timestamp") for y in (2001, 2024)])))
+    stream = in_two_parts(years, F.year("ts") == 2024, "years").withWatermark("ts", "1 day")
+    jobs.keep_large_state(spark)
+    fresh = jobs.skip_seen_for_good(stream)
+    return finish(fresh.select(F.sha2("text", 256).alias("text_sha256"), F.year("ts").alias("year")), "for-good")
+
+
 @query("r5_stream_resume", "SELECT doc_id, regexp_replace(text, '\\p{Nd}{3,}', '[NUM]', 'g') AS text FROM documents")
 def r5(spark, sf):
     """Started twice on the same folders; the second run finds nothing new."""

@@ -34,8 +34,11 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, format: str = "parqu
 
 
 def scrub_stream(df: DataFrame, txt: str = "text", names: Sequence[str] = (), cities: Sequence[str] = (), **options) -> DataFrame:
-    """Scrub a stream; lists that are too large to inline need :func:`rewrite_batches`."""
-    return scrub(df, txt, names, cities, strategy="inline", **options)
+    """Scrub a stream, with lists (or frames) of up to a million words.
+
+    Lists beyond what executors can hold need :func:`rewrite_batches`.
+    """
+    return scrub(df, txt, names, cities, **options)
 
 
 def anonymize_stream(df: DataFrame, txt: str = "text", **options) -> DataFrame:
@@ -75,6 +78,25 @@ def anonymize_with_reload(df: DataFrame, deny_path: str, sink: Callable[[DataFra
     )
 
 
+def anonymize_as_of(df: DataFrame, ts: str, versions: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, txt: str = "text", **options) -> StreamingQuery:
+    """Anonymize each row with the deny list in force at its event time ``ts``.
+
+    ``versions`` gives ``(valid_from, term)`` and is called for each micro-batch, so a
+    version that is added takes effect with the next one; rows that come late still
+    meet the list of their own time.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sink(anonymize(batch, txt, deny_as_of=(ts, versions()), **options), batch_id)
+
+    return (
+        df.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def with_event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
     """Watermark on ``ts``; watermarks need a timestamp with time zone."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
@@ -107,3 +129,27 @@ def skip_seen(df: DataFrame, ts: str, txt: str = "text", horizon: str = "1 day")
     """Drop texts already seen within ``horizon`` of event time."""
     keyed = with_event_time(df.where(~is_blank(txt)).withColumn("text_hash", text_digest(txt)), ts, horizon)
     return keyed.dropDuplicatesWithinWatermark(["text_hash"]).drop("text_hash")
+
+
+def keep_large_state(spark: SparkSession) -> None:
+    """Let streams started from now on keep their state in RocksDB, on executors' disks and in the checkpoint."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+def skip_seen_for_good(df: DataFrame, txt: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Drop texts that were ever seen, whatever their event times.
+
+    The state is one 32-byte digest for each distinct text, keyed by it, and no
+    watermark removes any: it grows with the distinct texts, spread over all tasks, so
+    start such a stream after :func:`keep_large_state`.  ``known`` is a table of texts
+    that count as seen from the beginning, matched by digest.  Blank and null texts
+    are dropped.  Of equal texts in one micro-batch any one row stays.
+    """
+    fresh = df.where(~is_blank(txt)).withColumn("_digest", F.unhex(text_digest(txt)))
+    if known is not None:
+        seen = known.where(~is_blank(txt)).select(F.unhex(text_digest(txt)).alias("_digest")).distinct()
+        fresh = fresh.join(seen, "_digest", "left_anti")
+    return fresh.dropDuplicates(["_digest"]).drop("_digest")
