@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textveil.llm.memory import held
+
 #: The written marks, in the order of the reserved ids after the vocabulary.
 MARKS = ("<turn>", "### ", "</turn>")
 CONTROL = re.compile(r"#(?=## )|<(?=/?turn>)")
 CHUNK = 1 << 18
 LEARNED = "assistant"
-_memory: dict[str, object] = {}
 
 SCHEMA = "conv_id bigint, chunk bigint, n_turns bigint, ids array<int>, loss array<struct<start: bigint, length: bigint>>"
 
@@ -44,14 +45,15 @@ def unescape(text: str) -> str:
 
 def tokenizer(path: str):
     """Byte-level BPE from a file of ranks."""
-    if path not in _memory:
+    def made():
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _memory[path] = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _memory[path]
+        return tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held(("chat", path), made)
 
 
 def format_chats(turns: DataFrame, path: str, learned: str = LEARNED) -> DataFrame:

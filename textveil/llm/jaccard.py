@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textveil.llm.components import connected_components
 from textveil.llm.frames import stored, with_group_values, word_count
+from textveil.llm.memory import released
 from textveil.llm.words import ODD, U, cut_words, pair, scramble, slices, sorted_counts, span_hashes
 
 #: Frequent tokens whose frequency every task knows: 16 bytes each.
@@ -88,8 +89,9 @@ def _describe(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                  pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["doc_id", "row", "n", "s1", "s2", "token", "times"]
             )
 
+        released()
         ids = pa.int64()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             ids = part.column("doc_id").type
             sets = shingle_sets(part.column("text"), words)
             signs = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
@@ -140,8 +142,9 @@ def choose_prefix(times: np.ndarray, n: int, percent: int, most: int = 8) -> tup
 
 def _prefixes(words: int, percent: int, frequent, salt_above: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         tokens, times = frequent.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             sets = [s for s in shingle_sets(part.column("text"), words) if len(s)]
             if not sets:
                 continue
@@ -324,7 +327,7 @@ def _filter_bits(rows: DataFrame):
 def _sets_of(words: int, wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows of a task, as far as a million
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             row = part.column("row").to_numpy().view(U)
             here = (wanted.value[(row >> U(44)).astype(np.int64)] >> (row & U(63))) & U(1)
             pick = [i for i in np.flatnonzero(here) if int(row[i]) not in seen]

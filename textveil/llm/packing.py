@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
+from textveil.llm.memory import held, released
 from textveil.llm.words import LOWER, cut_words, slices, span_hashes
 
 GROUP = 1 << 22
-KNOWN_MOST = 2_000_000  # words that a worker remembers; it starts anew beyond
+KNOWN_MOST = 700_000  # words that a worker remembers; it starts anew beyond
 JOINED = 50
-_memory: dict[str, "WordIds"] = {}
 
 
 class WordIds:
@@ -95,8 +95,7 @@ class WordIds:
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another and how many each has."""
-    if path not in _memory:
-        _memory[path] = WordIds(path)
+    known: WordIds = held(("packing", path), lambda: WordIds(path))
     w = cut_words(texts, lower=False)
     data = LOWER[w.data]
     # what may be a special token keeps its case
@@ -113,7 +112,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     start[at], end[at] = w.start, w.end - cut
     start[at[cut] + 1], end[at[cut] + 1] = w.end[cut] - 1, w.end[cut]
     first = np.append(at, len(start))[w.first]
-    lengths, ids = _memory[path].look_up(data, start, end, span_hashes(data, start, end))
+    lengths, ids = known.look_up(data, start, end, span_hashes(data, start, end))
     sums = np.concatenate(([0], np.cumsum(lengths)))
     return ids, np.diff(sums[first])
 
@@ -211,5 +210,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
                     held = 0
         if ids:
             yield from packed()
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

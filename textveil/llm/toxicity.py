@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textveil.llm.frames import stored
+from textveil.llm.memory import held
 from textveil.llm.quality import fit_logistic
 from textveil.llm.words import U, cut_words, slices, span_hashes, text_of
 
@@ -35,8 +36,7 @@ ORDER = 6
 DISCOUNT = 0.75
 STRETCH = 4
 BEGIN, END = 2, 3  # marks around a word; control signs that no word needs
-KNOWN_MOST = 1_500_000
-_memory: dict[str, "Seen"] = {}
+KNOWN_MOST = 700_000
 
 
 def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -210,16 +210,13 @@ def text_measures(texts: pa.Array, seen: Seen) -> np.ndarray:
 
 def _seen(model) -> Seen:
     key, tables = model.value
-    if key not in _memory:
-        _memory.clear()
-        _memory[key] = Seen(tables)
-    return _memory[key]
+    return held(("toxicity", key), lambda: Seen(tables))
 
 
 def _measured(model, text: str = "text") -> Column:
     def run(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        parts = [text_measures(x.column("text"), _seen(model)) for x in slices([batch], "text")]
+        parts = [text_measures(x.column("text"), _seen(model)) for x in slices([batch], "text", 2 << 20)]
         table = np.concatenate(parts) if parts else np.zeros((0, 4))
         return pa.array(list(table), pa.list_(pa.float64()))
 
