@@ -412,14 +412,16 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, salt_a
     reached = stored(connected_components(links), "reached")
 
     # what a list still holds in different components; a row takes its class's other
-    # shared tokens along, so that each pair comes up once and with enough matches
+    # tokens of such lists along, so that each pair comes up once and with enough matches
     placed = lists.join(reached.withColumnRenamed("node", "s1"), "s1", "left")
     placed = stored(placed.withColumn("component", F.coalesce("component", "s1")), "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n"))
     mixed = stored(mixed.where("_a <> _b").select("token", "_n", F.lit(True).alias("_mixed")), "mixed")
     open_ = with_group_values(placed, mixed, ["token"], "_n", placed.count()).where("_mixed").drop("_n", "_mixed")
     open_ = stored(open_, "open")
-    open_ = open_.drop("salt").join(own.select("s1", "tokens", "last"), "s1").repartition(partitions, "token")
+    # tokens that classes of different components share are all in open lists
+    shared = open_.groupBy("s1").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    open_ = open_.drop("salt").join(shared, "s1").join(own.select("s1", "last"), "s1").repartition(partitions, "token")
     open_ = open_.sortWithinPartitions("token", "n")
     more = open_.mapInArrow(_all_pairs(percent), "a bigint, b bigint")
     more = more.join(met, ["a", "b"], "left_anti")
