@@ -1,10 +1,14 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-Codes of 64 bits are cut into segments of equal width.  A code within distance
-``m * (r + 1) - 1`` of a query differs by at most r bits in one of the m segments,
-so searching all segments up to radius r covers that distance.  Rounds grow the
-radius; a query is done once its k-th verified distance is covered.  A pair comes up
-in the segment where it differs least (the first such), so no pair comes up twice.
+Codes of 64 bits are cut into m segments of nearly equal width.  A code that differs
+by more than r bits in the segments 0 to s, and by r or more in the others, is farther
+than ``m * r + s``, so searching segment after segment, radius by radius, covers one
+more unit of distance at each step.  A query is done once its k-th verified distance
+is covered; until then that distance bounds what still counts.  A pair comes up in
+the segment where it differs least (the first such), so no pair comes up twice.
+
+The number of segments is that of the least cost, probes and the rows they meet, for
+the k-th distances of a bounded sample of queries.
 
 Equal codes are one entry of the index with their k smallest ids, and equal query
 codes are searched once.
@@ -13,6 +17,8 @@ codes are searched once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textveil.llm.frames import stored, with_group_values
 
 BITS = 64
+SAMPLE = 64  # queries that tell how far the k-th rows are
 
 
 def sign_code(vector: str | Column) -> Column:
@@ -30,12 +37,42 @@ def sign_code(vector: str | Column) -> Column:
     return F.coalesce(code, F.lit(0).cast("bigint"))
 
 
-def _cuts(n: int) -> list[int]:
-    """Edges of segments that are about as wide as the number of the table's codes is long."""
-    m = max(1, round(BITS / max(3.0, math.log2(max(2, n)))))
+def _cuts(m: int) -> list[int]:
+    """Edges of ``m`` segments of nearly the same width."""
     return [round(BITS * i / m) for i in range(m + 1)]
 
 
+def _steps(m: int) -> Iterator[tuple[int, list[int]]]:
+    """Radii and segments in the order they are searched: small radii in all segments at once."""
+    for radius in range(BITS // m + 2):
+        yield from [(radius, [*range(m)])] if radius <= 1 else [(radius, [s]) for s in range(m)]
+
+
+def choose_segments(n: int, kth: Sequence[int], most: int = 16) -> int:
+    """How many segments cost least: probes and the rows they meet, until distances like ``kth`` are covered."""
+    def cost(m: int) -> float:
+        width = [b - a for a, b in zip(_cuts(m), _cuts(m)[1:])]
+        total = 0.0
+        for far in kth:
+            for radius, segments in _steps(m):
+                total += sum(math.comb(width[s], radius) * (1 + n / 2 ** width[s]) for s in segments)
+                if radius * m + segments[-1] >= far:
+                    break
+        return total
+
+    return min(range(1, most + 1), key=cost) if kth else most
+
+
+def _kth_distances(entries: DataFrame, asked: DataFrame, k: int) -> list[int]:
+    """How far the k-th row is from each of SAMPLE queries."""
+    some = [r["q"] for r in asked.orderBy(F.xxhash64("q")).limit(SAMPLE).collect()]
+    each = F.transform(F.array(*map(F.lit, some)), lambda q: F.bit_count(q.bitwiseXOR(F.col("code"))))
+    rows = entries.select(F.posexplode(each).alias("q", "d"), F.size("ids").alias("c")).groupBy("q", "d").agg(F.sum("c").alias("c"))
+    cum = rows.withColumn("sum", F.sum("c").over(Window.partitionBy("q").orderBy("d")))
+    near = cum.groupBy("q").agg(F.coalesce(F.min(F.when(F.col("sum") >= k, F.col("d"))), F.lit(BITS)).alias("d"))
+    return [r["d"] for r in near.collect()]
+
+
 def _segment(code: Column, cuts: list[int], i: int) -> Column:
     return F.shiftrightunsigned(code, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
 
@@ -58,35 +95,44 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     kept = clean[0].withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
     entries = stored(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     asked = stored(clean[1].select("code").distinct().withColumnRenamed("code", "q"), "asked")
-    cuts = _cuts(entries.count())
-    m, widest = len(cuts) - 1, max(b - a for a, b in zip(cuts, cuts[1:]))
+    m = choose_segments(entries.count(), _kth_distances(entries, asked, k))
+    cuts = _cuts(m)
     index = stored(entries.select("code", _split("code", cuts).alias("e")).select("code", "e.*"), "segments")
-    open_, best = asked, None
-    for radius in range(widest + 1):
-        # a fixed list of flips for each segment of a query
-        flips = [sum(1 << x for x in c) for c in combinations(range(widest), radius)]
-        probes = open_.select("q", _split("q", cuts).alias("e")).select("q", "e.*")
-        probes = probes.select("q", "s", F.explode(F.transform(F.lit(flips), lambda x: F.col("v").bitwiseXOR(x.cast("bigint")))).alias("v"))
-        met = probes.join(index.hint("merge"), ["s", "v"]).select("q", "code", "s")
+    heads = entries.select("code", F.element_at("ids", 1).alias("i"), F.size("ids").alias("c"))
+    open_ = asked.withColumn("limit", F.lit(BITS))
+    near = Window.partitionBy("q").orderBy("d", "i")
+    best, closed = None, []
+    for radius, segments in _steps(m):
+        parts = []
+        for s in segments:  # a fixed list of flips for each segment
+            flips = [sum(1 << x for x in c) for c in combinations(range(cuts[s + 1] - cuts[s]), radius)]
+            if flips:
+                own = open_.select("q", "limit", F.lit(s).alias("s"), _segment(F.col("q"), cuts, s).alias("_v"))
+                values = F.transform(F.lit(flips), lambda x: F.col("_v").bitwiseXOR(x.cast("bigint")))
+                parts.append(own.select("q", "limit", "s", F.explode(values).alias("v")))
+        if not parts:
+            continue
         apart = F.col("q").bitwiseXOR(F.col("code"))
         per = [F.bit_count(_segment(apart, cuts, i)) * m + i for i in range(m)]
-        met = met.where((F.least(*per) if m > 1 else per[0]) == radius * m + F.col("s"))
-        found = met.select("q", "code", F.bit_count(apart).alias("d"))
-        if best is not None:
-            found = found.unionByName(best.join(open_, "q", "left_semi").select("q", "code", "d"))
+        # a pair meets where it is nearest, and only if it is near enough to be among the k
+        once = (F.least(*per) if m > 1 else per[0]) == radius * m + F.col("s")
+        met = reduce(DataFrame.unionByName, parts).join(index.hint("merge"), ["s", "v"]).where(once & (F.bit_count(apart) <= F.col("limit")))
+        found = met.select("q", "code", F.bit_count(apart).alias("d")).join(heads.hint("merge"), "code").select("q", "code", "d", "i", "c")
         # of equal distance, codes are kept by their smallest id
-        ranked = found.join(entries.select("code", F.element_at("ids", 1).alias("i"), F.size("ids").alias("c")).hint("merge"), "code")
-        near = Window.partitionBy("q").orderBy("d", "i")
-        ranked = ranked.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
+        pool = found if best is None else found.unionByName(best)
+        ranked = pool.withColumns({"r": F.row_number().over(near), "sum": F.sum("c").over(near)}).where(F.col("r") <= k)
         ranked = stored(ranked, "nearest")
-        covered = m * (radius + 1) - 1
-        done = ranked.where(F.col("d") <= covered).groupBy("q").agg(F.sum("c").alias("n")).where(F.col("n") >= k).select("q")
-        closed = best.join(open_, "q", "left_anti").select("q", "code", "d") if best is not None else None
-        now = ranked.select("q", "code", "d")
-        best = stored(closed.unionByName(now) if closed is not None else now, "best")
-        open_ = stored(open_.join(done, "q", "left_anti"), "open")
+        covered = radius * m + segments[-1]
+        limits = ranked.groupBy("q").agg(F.min(F.when(F.col("sum") >= k, F.col("d"))).alias("limit"))
+        now = open_.select("q").join(limits, "q", "left")
+        now = stored(now.select("q", F.coalesce("limit", F.lit(BITS)).alias("limit"), F.coalesce(F.col("limit") <= covered, F.lit(False)).alias("done")), "open")
+        kept = ranked.select("q", "code", "d", "i", "c")
+        closed.append(kept.join(now.where("done"), "q", "left_semi"))
+        open_ = now.where("not done").select("q", "limit")
+        best = kept.join(open_, "q", "left_semi")
         if open_.isEmpty():
             break
+    best = reduce(DataFrame.unionByName, closed, best).select("q", "code", "d")
     each = best.join(entries.hint("merge"), "code").select("q", "d", F.explode("ids").alias("id"))
     order = Window.partitionBy("q").orderBy("d", "id")
     top = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
