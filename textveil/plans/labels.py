@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textveil.constants import (
     CONCERNING_LABELS,
     DISPLAY_LABELS,
+    HYPOTHESIS_DE,
     HYPOTHESIS_EN,
     LABELS_EN,
     LABEL_PRESETS,
@@ -16,6 +17,7 @@ from textveil.functions.arrays import unpack
 from textveil.functions.scores import argmax, score_band, softmax
 from textveil.functions.text import is_blank, truncate_tokens
 from textveil.operators import classify as cl
+from textveil.operators import prototypes as pr
 from textveil.plans import corpus as co
 from textveil.plans.registry import query, table
 
@@ -378,3 +380,98 @@ def p17(spark, sf):
     return done.select("doc_id", "text", "scrubbed", "label")
 
 
+
+
+# --- scores from the texts' own words ----------------------------------------
+
+_PROFILE = r"""tx AS (SELECT DISTINCT text FROM documents WHERE regexp_matches(text, '[^\s]')),
+dfs AS (SELECT w AS word, count(*) AS df FROM (SELECT DISTINCT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM tx) GROUP BY 1),
+nt AS (SELECT count(*) AS n FROM tx),
+ex_w AS (SELECT label, text, word, (1 + ln(tf)) * (ln((1.0::DOUBLE + n) / (1 + coalesce(df, 0))) + 1) AS w
+  FROM (SELECT label, text, w AS word, count(*)::DOUBLE AS tf FROM (SELECT DISTINCT label, text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) AS i FROM ex) GROUP BY 1, 2, 3)
+  LEFT JOIN dfs USING (word), nt),
+ex_n AS (SELECT label, text, sqrt(sum(w * w)) AS len FROM ex_w GROUP BY 1, 2),
+times AS (SELECT label, text, count(*) AS times FROM ex GROUP BY 1, 2),
+raw AS (SELECT label, word, sum(w / len * times) AS p FROM ex_w JOIN ex_n USING (label, text) JOIN times USING (label, text) GROUP BY 1, 2),
+proto AS (SELECT label, word, p / sqrt(sum(p * p) OVER (PARTITION BY label)) AS p FROM raw),
+tx_w AS (SELECT text, word, (1 + ln(tf)) * (ln((1.0::DOUBLE + n) / (1 + coalesce(df, 0))) + 1) AS w
+  FROM (SELECT text, w AS word, count(*)::DOUBLE AS tf FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM tx) GROUP BY 1, 2) LEFT JOIN dfs USING (word), nt),
+tx_n AS (SELECT text, sqrt(sum(w * w)) AS len FROM tx_w GROUP BY 1),
+cosines AS (SELECT text, label, sum(w * p) / any_value(len) AS cosine FROM tx_w JOIN proto USING (word) JOIN tx_n USING (text) GROUP BY 1, 2)"""
+_BY_LANG = f"ex AS (SELECT lang AS label, text FROM documents), {_PROFILE}"
+LANGS = ["de", "en", "es", "fr"]
+
+
+def lang_scored(spark, sf):
+    """Documents with a logit for each language, from prototypes of all documents of it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    vocabulary = pr.fit_vocabulary(docs)
+    prototypes = pr.fit_prototypes(docs, vocabulary, "lang")
+    return pr.prototype_logits(docs, LANGS, prototypes, vocabulary)
+
+
+@query(
+    "c3_label_scores",
+    f"""WITH {_BY_LANG}, lab AS (SELECT unnest([{co.sql_list(LANGS)}]) AS label)
+    SELECT doc_id, lab.label, round(10 * coalesce(cosine, 0), 5) AS logit
+    FROM documents d CROSS JOIN lab LEFT JOIN cosines c ON c.text = d.text AND c.label = lab.label""",
+)
+def c3_labels(spark, sf):
+    done = lang_scored(spark, sf).select("doc_id", F.explode(F.arrays_zip(cl.string_array(LANGS).alias("label"), F.col("logits").alias("x"))).alias("z"))
+    return done.select("doc_id", "z.label", F.round("z.x", 5).alias("logit"))
+
+
+@query(
+    "c4_scores_from_text",
+    f"""WITH {_BY_LANG}, lab AS (SELECT unnest([{co.sql_list(LANGS)}]) AS label)
+    SELECT doc_id, lab.label, round(CASE WHEN regexp_matches(d.text, '[^\\s]') THEN 1 / (1 + exp(-10 * coalesce(cosine, 0))) ELSE 0 END, 5) AS score
+    FROM documents d CROSS JOIN lab LEFT JOIN cosines c ON c.text = d.text AND c.label = lab.label""",
+)
+def c4_text(spark, sf):
+    done = unpack(cl.classify(lang_scored(spark, sf), LANGS), "result", ["doc_id"])
+    return done.select("doc_id", "label", F.round("score", 5).alias("score"))
+
+
+_BY_TOXIC = f"ex AS (SELECT toxic AS label, text FROM documents JOIN labels USING (doc_id)), {_PROFILE}"
+
+
+@query(
+    "c11_safety_from_text",
+    f"""WITH {_BY_TOXIC}, two AS (
+      SELECT doc_id, coalesce(max(cosine) FILTER (label = 0), 0) AS a, coalesce(max(cosine) FILTER (label = 1), 0) AS b
+      FROM documents d LEFT JOIN cosines c ON c.text = d.text GROUP BY 1)
+    SELECT doc_id, CASE WHEN b > a THEN 'UNSAFE' ELSE 'SAFE' END AS label, round(1 / (1 + exp(10 * (a - b))), 5) AS unsafe_prob FROM two""",
+)
+def c11_text(spark, sf):
+    """SAFE or UNSAFE by prototypes of the labelled documents of each kind."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    known = docs.join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    vocabulary = pr.fit_vocabulary(docs)
+    scored = pr.prototype_logits(docs, [0, 1], pr.fit_prototypes(known, vocabulary), vocabulary)
+    verdict = cl.binary_label("logits")
+    return scored.select("doc_id", verdict["label"].alias("label"), F.round(verdict["unsafe_prob"], 5).alias("unsafe_prob"))
+
+
+@query(
+    "c3_best_hypothesis",
+    f"""WITH ex AS (SELECT item_id AS label, text FROM benchmark), {_PROFILE},
+    best AS (SELECT text, label, cosine FROM cosines QUALIFY row_number() OVER (PARTITION BY text ORDER BY round(cosine, 9) DESC, label) = 1)
+    SELECT doc_id, round(cosine, 5) AS cosine FROM documents JOIN best USING (text)""",
+)
+def c3_hypothesis(spark, sf):
+    """Each document's best of all benchmark passages, taken as hypotheses."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vocabulary = pr.fit_vocabulary(docs)
+    prototypes = pr.fit_prototypes(table(spark, sf, "benchmark"), vocabulary, "item_id")
+    return pr.best_hypotheses(docs, prototypes, vocabulary).select("doc_id", F.round("cosine", 5).alias("cosine"))
+
+
+@query(
+    "c1_hypotheses_de",
+    f"""WITH lab AS (SELECT unnest(range(0, {len(LABEL_PRESETS['default_de'])})) AS label_pos, unnest([{co.sql_list(LABEL_PRESETS['default_de'])}]) AS label)
+    SELECT doc_id, label_pos::INTEGER AS label_pos, {"'" + HYPOTHESIS_DE.partition("{}")[0] + "' || label || '" + HYPOTHESIS_DE.partition("{}")[2] + "'"} AS hypothesis
+    FROM documents CROSS JOIN lab""",
+)
+def c1_de(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    return cl.hypotheses(docs, LABEL_PRESETS["default_de"], HYPOTHESIS_DE).select("doc_id", "label_pos", "hypothesis")
