@@ -22,7 +22,7 @@ from textveil.constants import (
     TRICKY_SCENARIOS,
 )
 from textveil.functions.text import fill_template, hash_key, is_blank, strip_ws
-from textveil.operators.ranking import with_hash_position, with_last_seen, with_position
+from textveil.operators.ranking import with_hash_position, with_last_seen, with_offsets, with_position
 
 # Spark keeps a window's first n rows per map task only for small n.
 SMALL_SAMPLE = 1000
@@ -399,33 +399,42 @@ def merge_training_set(clinical: DataFrame, answers: DataFrame, n_answers: int =
 
 # --- pairs for contrastive training -----------------------------------------
 
+def class_offsets(sizes: DataFrame) -> DataFrame:
+    """``(c, n)`` with ``before``: the rows of all classes earlier in the order of a hash of ``c``.
+
+    Classes may be many: they are summed by ranges of the hash.
+    """
+    ranged = sizes.withColumn("_k", F.md5(F.col("c").cast("string"))).withColumn("_range", F.substring("_k", 1, 3))
+    inside = Window.partitionBy("_range").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = with_offsets(ranged, [], {"n": F.sum("n")})
+    before = F.col("_before_n") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return placed.withColumn("before", before.cast("bigint")).select("c", "n", "before")
+
+
 def contrastive_pairs(df: DataFrame, n: int = 10, label: str = "label", key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """Up to ``n`` partners of the same class and up to ``n`` of another class per row.
+    """Up to ``n`` partners of the same class and up to ``n`` of all other classes per row.
 
-    Rows get a seeded position in their class.  The r-th partner is the row r
-    places further on, in the own class or in the next class in label order,
-    wrapping around: every pair comes from an equi-join on (class, position).
+    Rows get a seeded position in their class, and classes follow each other, so every
+    row has a place in the whole.  The r-th partner of the same class is the row r
+    places further on, wrapping around.  The r-th of the others is found among the
+    places outside the own class, in steps that go once around all of them: as the own
+    class is left out by adding its size, one equi-join on the place finds every pair.
     No row is its own partner and no partner repeats, so a class of m rows gives
     m - 1 partners at most and a class of one row none of its own.
     Yields ``(left_id, right_id, iteration, same)``.
     """
     rows = df.where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("c"))
     placed = with_hash_position(rows.withColumn("_k", hash_key(seed, "id")), "_k", ["c"], "p").select("id", "c", "p")
-    sizes = rows.groupBy("c").agg(F.count("*").alias("n"))
-    ring = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = sizes.select(
-        "c",
-        "n",
-        F.coalesce(F.lead("c").over(Window.orderBy("c")), F.first("c").over(ring)).alias("other"),
-        F.coalesce(F.lead("n").over(Window.orderBy("c")), F.first("n").over(ring)).alias("other_n"),
-    )
-    wanted = placed.join(after, "c").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    offsets = class_offsets(rows.groupBy("c").agg(F.count("*").alias("n")))
+    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    placed = placed.join(offsets, "c").withColumn("m", total - F.col("n")).withColumn("at", F.col("before") + F.col("p"))
+    wanted = placed.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    step = F.greatest(F.floor(F.col("m") / n), F.lit(1))
+    outside = F.when(F.col("m") > 0, F.pmod(F.col("p") + (F.col("r") - 1) * step, F.col("m")))
     targets = F.array(
-        F.struct(F.lit(1).alias("same"), F.col("c").alias("tc"), F.pmod(F.col("p") + F.col("r"), F.col("n")).alias("tp"), F.col("n").alias("tn")),
-        F.struct(F.lit(0).alias("same"), F.col("other").alias("tc"), F.pmod(F.col("p") + F.col("r"), F.col("other_n")).alias("tp"), F.col("other_n").alias("tn")),
+        F.struct(F.lit(1).alias("same"), (F.col("before") + F.pmod(F.col("p") + F.col("r"), F.col("n"))).alias("at"), (F.col("r") < F.col("n")).alias("real")),
+        F.struct(F.lit(0).alias("same"), F.when(outside < F.col("before"), outside).otherwise(outside + F.col("n")).alias("at"), (F.col("r") <= F.col("m")).alias("real")),
     )
-    asked = wanted.select(F.col("id").alias("left_id"), F.col("c").alias("own"), F.col("r").alias("iteration"), F.inline(targets))
-    own_class = (F.col("same") == 1) & (F.col("iteration") < F.col("tn"))
-    asked = asked.where(own_class | ((F.col("tc") != F.col("own")) & (F.col("iteration") <= F.col("tn"))))
-    partners = placed.select(F.col("id").alias("right_id"), F.col("c").alias("tc"), F.col("p").alias("tp"))
-    return asked.join(partners, ["tc", "tp"]).select("left_id", "right_id", "iteration", "same")
+    asked = wanted.select(F.col("id").alias("left_id"), F.col("r").alias("iteration"), F.inline(targets)).where("real")
+    partners = placed.select(F.col("id").alias("right_id"), "at")
+    return asked.join(partners, "at").select("left_id", "right_id", "iteration", "same")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textveil.constants import (
     FUNCTIONAL_EXAMPLES,
@@ -126,6 +128,64 @@ def class_centroids(vectors: DataFrame, vec: str = "embedding", label: str = "la
     return ready.groupBy(label).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))
 
 
+def pair_scatter(vectors: DataFrame, pairs: DataFrame, vec: str = "embedding", key: str = "doc_id") -> DataFrame:
+    """``(same, i, j, total)``: summed products of the differences of paired vectors.
+
+    ``pairs`` has ``left_id``, ``right_id`` and ``same`` (1 within a class, 0 between
+    classes).  Each task adds up its pairs to one matrix of each kind, so what is
+    shuffled does not grow with the pairs.  Pairs with a null vector are left out.
+    """
+    side = lambda name, out: vectors.select(F.col(key).alias(name), F.col(vec).cast("array<double>").alias(out))
+    both = pairs.select("left_id", "right_id", "same").join(side("left_id", "x"), "left_id").join(side("right_id", "y"), "right_id")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            same = batch.column("same").to_numpy()
+            x, y = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1)) for c in "xy")
+            for k in np.unique(same).tolist():
+                d = (x - y)[same == k]
+                sums[k] = sums.get(k, 0.0) + d.T @ d
+        for k, m in sums.items():
+            i, j = np.indices(m.shape)
+            cols = [np.full(m.size, k, np.int32), i.ravel().astype(np.int32), j.ravel().astype(np.int32), m.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["same", "i", "j", "total"])
+
+    parts = both.where("x is not null and y is not null").select("same", "x", "y").mapInArrow(products, "same int, i int, j int, total double")
+    return parts.groupBy("same", "i", "j").agg(F.sum("total").alias("total"))
+
+
+def whitening(scatter: DataFrame, ridge: float = 0.1) -> np.ndarray:
+    """The projection after which pairs within classes differ alike in all directions, and pairs between classes most.
+
+    Directions in which a class spreads are shortened, those in which classes differ
+    stay.  The matrices have the square of the vectors' width, whatever the rows.
+    """
+    rows = scatter.toPandas()
+    width = int(rows["i"].max()) + 1
+    within, between = (np.zeros((width, width)) for _ in range(2))
+    for same, m in ((1, within), (0, between)):
+        part = rows[rows["same"] == same]
+        m[part["i"], part["j"]] = part["total"]
+    within /= max(np.trace(within) / width, 1e-12)
+    values, vectors = np.linalg.eigh(within + ridge * np.eye(width))
+    white = vectors @ np.diag(values**-0.5) @ vectors.T
+    spread = white @ between @ white.T
+    values, vectors = np.linalg.eigh(spread / max(np.trace(spread) / width, 1e-12))
+    return np.diag(np.sqrt(np.maximum(values, 0.0))) @ vectors.T @ white
+
+
+def projected(vec, matrix: np.ndarray) -> Column:
+    """The vector times a matrix."""
+    held = np.asarray(matrix, float)
+
+    def run(vectors: pa.Array) -> pa.Array:
+        rows = [None if v is None else held @ v.astype(float) for v in vectors.to_numpy(zero_copy_only=False)]
+        return pa.array(rows, pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "array<double>")(F.col(vec) if isinstance(vec, str) else vec)
+
+
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vec: str = "embedding", label: str = "label", out: str = "predicted") -> DataFrame:
     """Add the class with the largest cosine and that cosine.
 

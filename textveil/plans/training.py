@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from textveil.functions.scores import argmax
+from textveil.functions.text import hash_key
 from textveil.operators import bayes as by
 from textveil.operators import curate as cu
 from textveil.operators import evaluate as ev
 from textveil.operators import train as tr
+from textveil.operators.ranking import with_hash_position
 from textveil.plans.registry import query, spread, table
 from textveil.sources.workspace import new_dir
 
@@ -122,25 +124,74 @@ def e19(spark, sf):
 
 _PLACED = """pl AS (
   SELECT vec_id AS id, label AS c, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) - 1 AS p FROM embeddings),
-sz AS (SELECT c, count(*) AS n FROM pl GROUP BY 1),
-ring AS (
-  SELECT c, n, coalesce(lead(c) OVER (ORDER BY c), first(c) OVER (ORDER BY c)) AS other,
-         coalesce(lead(n) OVER (ORDER BY c), first(n) OVER (ORDER BY c)) AS other_n FROM sz),
-w AS (SELECT pl.*, n, other, other_n, unnest(range(1, 11)) AS r FROM pl JOIN ring ON ring.c = pl.c),
+sz AS (SELECT c, count(*) AS n, sum(count(*)) OVER () - count(*) AS m,
+  coalesce(sum(count(*)) OVER (ORDER BY md5(c::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pl GROUP BY 1),
+g AS (SELECT id, c, p, n, m, before, before + p AS place FROM pl JOIN sz USING (c)),
+w AS (SELECT *, unnest(range(1, 11)) AS r FROM g),
 a AS (
-  SELECT id, r, 1 AS same, c AS tc, (p + r) % n AS tp FROM w WHERE r < n
-  UNION ALL SELECT id, r, 0, other, (p + r) % other_n FROM w WHERE other <> c AND r <= other_n)"""
+  SELECT id, r, 1 AS same, before + (p + r) % n AS place FROM w WHERE r < n
+  UNION ALL SELECT id, r, 0, x + CASE WHEN x < before THEN 0 ELSE n END
+  FROM (SELECT *, (p + (r - 1) * greatest(m // 10, 1)) % m AS x FROM w WHERE r <= m)),
+paired AS (SELECT a.id AS left_id, b.id AS right_id, a.r, a.same FROM a JOIN g b USING (place))"""
 
 
 @query(
     "t5_contrastive_pairs",
-    f"""WITH {_PLACED} SELECT a.id AS left_id, b.id AS right_id, a.r::INTEGER AS iteration, a.same
-    FROM a JOIN pl b ON b.c = a.tc AND b.p = a.tp""",
+    f"WITH {_PLACED} SELECT left_id, right_id, r::INTEGER AS iteration, same FROM paired",
 )
 def t5(spark, sf):
     return cu.contrastive_pairs(table(spark, sf, "embeddings"), 10, key="vec_id")
 
 
+@query(
+    "t5_classes_of_negatives",
+    f"""WITH {_PLACED} SELECT x.c AS label, count(DISTINCT y.c) AS others, count(*) AS pairs FROM paired
+    JOIN g x ON x.id = left_id JOIN g y ON y.id = right_id WHERE same = 0 GROUP BY 1""",
+)
+def t5_classes(spark, sf):
+    """How many other classes the negatives of each class come from: all of them."""
+    vectors = table(spark, sf, "embeddings")
+    side = lambda name, out: vectors.select(F.col("vec_id").alias(name), F.col("label").alias(out))
+    pairs = cu.contrastive_pairs(vectors, 10, key="vec_id").where("same = 0")
+    both = pairs.join(side("left_id", "label"), "left_id").join(side("right_id", "other"), "right_id")
+    return both.groupBy("label").agg(F.countDistinct("other").alias("others"), F.count("*").alias("pairs"))
+
+
+@query(
+    "t6_pair_scatter",
+    f"""WITH {_PLACED}, d AS (
+      SELECT same, list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE - z[2]::DOUBLE) AS v
+      FROM paired JOIN embeddings x ON x.vec_id = left_id JOIN embeddings y ON y.vec_id = right_id),
+    ij AS (SELECT i, j FROM range(0, 64) a(i), range(0, 64) b(j) WHERE i <= j)
+    SELECT same, i::INTEGER AS i, j::INTEGER AS j, round(sum(v[i + 1] * v[j + 1]), 4) AS total FROM d, ij GROUP BY ALL""",
+)
+def t6_scatter(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    pairs = cu.contrastive_pairs(vectors, 10, key="vec_id")
+    sums = tr.pair_scatter(vectors, pairs, key="vec_id").where("i <= j")
+    return sums.select("same", "i", "j", F.round("total", 4).alias("total"))
+
+
+@query(
+    "t6_contrastive_accuracy",
+    """WITH s AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id)) AS k FROM embeddings)
+    SELECT count(*) FILTER (k > (SELECT count(*) FROM embeddings) * 0.8) AS held_out, true AS not_below_raw FROM s""",
+)
+def t6_accuracy(spark, sf):
+    """Centroids of projected vectors, fitted on four fifths, are no worse on the rest than raw ones."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    placed = with_hash_position(vectors.withColumn("_k", hash_key(42, "vec_id")), "_k", out="_at")
+    marked = placed.withColumn("_test", F.col("_at") + 1 > F.lit(vectors.count() * 0.8))
+    train, test = (marked.where(F.col("_test") == t).drop("_at", "_k", "_test") for t in (False, True))
+    matrix = tr.whitening(tr.pair_scatter(train, cu.contrastive_pairs(train, 10, key="vec_id"), key="vec_id"))
+    hits = []
+    for project in (lambda v: v, lambda v: v.withColumn("embedding", tr.projected("embedding", matrix))):
+        found = tr.nearest_centroid(project(test), tr.class_centroids(project(train)))
+        hits.append(found.agg(F.count("*").alias("held_out"), F.count_if(F.col("predicted") == F.col("label")).alias("hits")))
+    raw, own = hits[0].withColumnRenamed("hits", "raw"), hits[1]
+    return own.join(raw, "held_out").select("held_out", (F.col("hits") >= F.col("raw")).alias("not_below_raw"))
+
+
 _CENTROIDS = """e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 cen AS (SELECT label, i, avg(v) AS m FROM e GROUP BY 1, 2)"""
 
