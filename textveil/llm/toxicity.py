@@ -25,18 +25,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textveil.llm.frames import stored
 from textveil.llm.memory import held
 from textveil.llm.quality import fit_logistic
-from textveil.llm.words import U, cut_words, slices, span_hashes, text_of
+from textveil.llm.words import U, cut_words, raw_bytes, slices, span_hashes, text_of
 
 ORDER = 6
 DISCOUNT = 0.75
 STRETCH = 4
 BEGIN, END = 2, 3  # marks around a word; control signs that no word needs
 KNOWN_MOST = 700_000
+FIT_WORDS = 20_000  # distinct words whose grams the driver counts at a time
 
 
 def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -81,19 +83,21 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
 
-def fit_models(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> dict[str, np.ndarray]:
+def fit_models(words: pa.Array | list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> dict[str, np.ndarray]:
     """Tables of both classes and of their shared model, from counts of words."""
-    grams, sums = [np.zeros(0, U)], [np.zeros((0, 2))]
-    for k in range(0, len(words), 20_000):
-        some = words[k : k + 20_000]
-        size = np.array([len(x) for x in some], np.int64)
-        end = np.cumsum(size)
-        word, before, keys = _grams(np.frombuffer(b"".join(some), np.uint8), end - size, end)
-        counts = np.column_stack([toxic[k : k + 20_000], ordinary[k : k + 20_000]]).astype(float)[word]
-        g, n = _sum_by(np.choose(before, keys), counts)
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    full, counts = np.zeros(0, U), np.zeros((0, 2))
+    grams, sums = [], []
+    for k in range(0, len(words), FIT_WORDS):
+        data, offsets = raw_bytes(words.slice(k, FIT_WORDS).cast(pa.large_binary()).view(pa.large_string()))
+        word, before, keys = _grams(data, offsets[:-1], offsets[1:])
+        each = np.column_stack([toxic[k : k + FIT_WORDS], ordinary[k : k + FIT_WORDS]]).astype(float)[word]
+        g, n = _sum_by(np.choose(before, keys), each)
         grams.append(g)
         sums.append(n)
-    full, counts = _sum_by(np.concatenate(grams), np.concatenate(sums))
+        if len(grams) == 8 or k + FIT_WORDS >= len(words):
+            full, counts = _sum_by(np.concatenate([full, *grams]), np.concatenate([counts, *sums]))
+            grams, sums = [], []
     tables: dict[str, np.ndarray] = {}
     for c, name in enumerate(("toxic", "ordinary")):
         g, n = _sum_by(full, counts[:, c])
@@ -258,12 +262,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: in
     ids = spark.createDataFrame([(h, False) for h in fit] + [(h, True) for h in check], "h bigint, _check boolean")
     texts = texts.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), "h")
     counts = texts.where("not _check").select("text", "_y").mapInArrow(_word_counts, "word binary, toxic bigint, ordinary bigint")
-    counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas().sort_values("word")
-    tables = fit_models([bytes(x) for x in counts["word"]], counts["toxic"].to_numpy(), counts["ordinary"].to_numpy())
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, tables))
+    counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    counts = counts.take(pc.sort_indices(counts, [("word", "ascending")])).combine_chunks()
+    toxic, ordinary = (counts.column(c).to_numpy() for c in ("toxic", "ordinary"))
+    words = counts.column("word").combine_chunks()
+    tables = fit_models(words if isinstance(words, pa.Array) else words.chunk(0), toxic, ordinary)
+    model, any_toxic = spark.sparkContext.broadcast((uuid.uuid4().hex, tables)), bool(toxic.any())
+    del counts, words, toxic, ordinary, tables
     rows = texts.where("_check").select(_measured(model).alias("x"), "_y", "h").collect()
     y = np.array([r["_y"] for r in rows], float)
-    if len(set(y.tolist())) < 2 or not counts["toxic"].any():
+    if len(set(y.tolist())) < 2 or not any_toxic:
         return model, [0.0, 0.0, 0.0]
     x = np.array([r["x"][:2] for r in rows])
     order = np.lexsort((x[:, 1], x[:, 0], [r["h"] for r in rows]))
