@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from textveil.constants import FUNCTIONAL_EXAMPLES
 from textveil.functions.scores import argmax
 from textveil.functions.text import hash_key
 from textveil.operators import bayes as by
 from textveil.operators import curate as cu
+from textveil.operators import descent as gd
 from textveil.operators import evaluate as ev
 from textveil.operators import train as tr
 from textveil.operators.ranking import with_hash_position
@@ -91,6 +94,56 @@ def t3(spark, sf):
     return candidates
 
 
+_SIDES = """sides AS (
+  SELECT doc_id, toxic, substr(md5('42:' || doc_id), 1, 8) < '33333333' AS test FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL)"""
+
+
+@query(
+    "t3_patience",
+    f"""WITH {_SIDES} SELECT count(*) FILTER (test) AS held_out, count(*) FILTER (test AND toxic = 1) AS positives,
+    true AS in_order, true AS best_is_first_highest, true AS ends_by_rule, true AS loss_falls, true AS scores_agree FROM sides""",
+)
+def t3_patience(spark, sf):
+    """What holds for the table of steps: one row a step, the best kept, the end by patience."""
+    root, data = new_dir(spark, "descent"), labelled(spark, sf)
+    model, steps = gd.fit_with_patience(data, root)
+    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # ten rows or so
+    seen = steps.withColumns({"top": F.max("f1").over(before), "n": F.row_number().over(before)})
+    last = F.max_by(F.struct("step", "since_best"), "step")
+    rules = seen.agg(
+        F.every(F.col("step") == F.col("n") - 1).alias("in_order"),
+        F.every((F.col("best_f1") == F.col("top")) & (F.col("step") - F.col("best_step") == F.col("since_best"))).alias("best_is_first_highest"),
+        ((last["step"] == 10) | (last["since_best"] == 3)).alias("ends_by_rule"),
+        (F.min_by("loss", "step") > F.max_by("loss", "step")).alias("loss_falls"),
+        F.max("best_f1").alias("f1"),
+    )
+    test = cu.split(data.where("label is not null")).where("split = 'test'")
+    hits = gd.linear_logits(model, test).select("label", (F.get("logits", F.lit(1)) > 0).alias("said"))
+    counts = hits.agg(
+        F.count("*").alias("held_out"), F.count_if(F.expr("label = 1")).alias("positives"),
+        F.count_if(F.expr("label = 1 and said")).alias("tp"), F.count_if(F.expr("(label = 1) <> said")).alias("wrong"),
+    )
+    f1 = F.col("tp") * 2.0 / F.greatest(F.col("tp") * 2 + F.col("wrong"), F.lit(1))
+    both = counts.join(rules, F.abs(f1 - F.col("f1")) < 1e-9, "left")
+    return both.select("held_out", "positives", "in_order", "best_is_first_highest", "ends_by_rule", "loss_falls", F.col("f1").isNotNull().alias("scores_agree"))
+
+
+@query("t3_restart", f"WITH {_SIDES} SELECT count(*) AS texts, true AS same_steps, true AS same_model FROM sides")
+def t3_restart(spark, sf):
+    """Training that stops after two steps and goes on is the training that never stopped."""
+    data, roots = labelled(spark, sf), [new_dir(spark, "descent") for _ in range(2)]
+    whole, steps = gd.fit_with_patience(data, roots[0], max_steps=4)
+    gd.fit_with_patience(data, roots[1], max_steps=2)
+    again, more = gd.fit_with_patience(data, roots[1], max_steps=4, resume=True)
+    close = lambda a, b: bool(np.allclose(a, b, rtol=0, atol=1e-6))
+    rows = [np.array([list(r) for r in x.orderBy("step").collect()], float) for x in (steps, more)]
+    same = rows[0].shape == rows[1].shape and close(*rows)
+    path = again.save(spark, new_dir(spark, "linear"))
+    reread = gd.load_linear(spark, path)
+    n = data.where("label is not null").agg(F.count("*").alias("texts"))
+    return n.select("texts", F.lit(same).alias("same_steps"), F.lit(close(whole.weights, reread.weights)).alias("same_model"))
+
+
 @query("t4_saved_model")
 def t4(spark, sf):
     root = new_dir(spark, "models")
@@ -122,6 +175,37 @@ def e19(spark, sf):
     return tr.functional_test(tr.fit_safety(cu.combine(docs, literals)), spark)
 
 
+_EXAMPLES = ", ".join(f"({i}, '{e}')" for i, (_, e) in enumerate(FUNCTIONAL_EXAMPLES))
+
+
+@query(
+    "e19_functional_rules",
+    f"""WITH x(example_id, expected) AS (VALUES {_EXAMPLES})
+    SELECT example_id::INTEGER AS example_id, expected, true AS named, true AS agrees, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS learnt_from FROM x""",
+)
+def e19_rules(spark, sf):
+    """What holds for each functional example whatever was learnt."""
+    docs = labelled(spark, sf).select("text", F.col("label").cast("int").alias("label"))
+    literals = cu.literal_examples(spark).withColumn("label", cu.to_binary("label"))
+    done = tr.functional_test(tr.fit_safety(cu.combine(docs, literals)), spark)
+    return done.select(
+        "example_id", "expected", F.col("predicted").isin("SAFE", "UNSAFE").alias("named"),
+        (F.col("ok") == (F.col("expected") == F.col("predicted"))).alias("agrees"), F.lit(docs.count()).cast("bigint").alias("learnt_from"),
+    )
+
+
+@query("t6_head_rules", "SELECT vec_id, label, 1.0::DOUBLE AS total, true AS is_argmax FROM embeddings")
+def t6_head_rules(spark, sf):
+    """What holds for each vector whatever the head has learnt."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vectors = table(spark, sf, "embeddings")
+    ready = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    scored = tr.fit_head(vectors, reg=0.01).transform(ready).withColumn("p", vector_to_array("probability"))
+    total = F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 9)
+    return scored.select("vec_id", "label", total.alias("total"), (F.get("p", F.col("prediction").cast("int")) == F.array_max("p")).alias("is_argmax"))
+
+
 _PLACED = """pl AS (
   SELECT vec_id AS id, label AS c, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) - 1 AS p FROM embeddings),
 sz AS (SELECT c, count(*) AS n, sum(count(*)) OVER () - count(*) AS m,
