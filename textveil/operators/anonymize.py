@@ -17,7 +17,7 @@ from textveil.constants import (
     LEGEND_PLACEHOLDERS,
     MIN_SPAN_SCORE,
     PHONE_SCORE,
-    PLACEHOLDER_DISPLAY,
+    PLACEHOLDER_GROUPS,
     SCRUB_RULES,
     TITLE_PATTERNS,
     ZIP_PATTERN,
@@ -290,8 +290,8 @@ def placeholder_counts(df: DataFrame, txt: str, legend_only: bool = False) -> Da
     """How often each placeholder occurs in anonymized text, with its group."""
     rows = df.select(F.explode(F.regexp_extract_all(F.col(txt), F.lit("<[A-Z]+>"), 0)).alias("placeholder"))
     counts = rows.groupBy("placeholder").agg(F.count("*").alias("n"))
-    table = F.create_map(*[F.lit(x) for k, v in PLACEHOLDER_DISPLAY.items() for x in (k, v[0])])
-    known = counts.where(F.col("placeholder").isin(LEGEND_PLACEHOLDERS if legend_only else list(PLACEHOLDER_DISPLAY)))
+    table = F.create_map(*[F.lit(x) for k, v in PLACEHOLDER_GROUPS.items() for x in (k, v)])
+    known = counts.where(F.col("placeholder").isin(LEGEND_PLACEHOLDERS if legend_only else list(PLACEHOLDER_GROUPS)))
     return known.select("placeholder", table[F.col("placeholder")].alias("display_group"), "n")
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textveil.constants import SAFE_WORDS
 from textveil.operators.classify import string_array
 from textveil.operators.dictionary import clean_word_list, words_frame
 from textveil.plans.registry import spread, table
@@ -25,6 +24,7 @@ SUFFIXES = [
 ]
 DENY_TERMS = ["Nordlicht Labor", "Nordlicht Praxis", "Nordlicht"]
 EXTRA_NAMES = ["Peter", "Müller", "Weber", "Schmidt", '"Meier"', "Essen"]
+SAFE_WORDS = ["Essen", "Trier", "Haus", "Abend", "This", "When"]
 EXTRA_CITIES = ["Berlin", "Ulm", "Trier", "Hamburg"]
 
 

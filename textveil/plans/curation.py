@@ -263,7 +263,7 @@ def d9(spark, sf):
 @query(
     "d10_prompts",
     f"""WITH s AS (SELECT doc_id, text, ([{co.sql_list(SYNTHETIC_SCENARIOS)}])[doc_id % {len(SYNTHETIC_SCENARIOS)} + 1] AS scenario FROM documents)
-    SELECT doc_id, 'Generate 5 SAFE and 5 UNSAFE examples. ' || scenario AS synthetic, text AS translate FROM s""",
+    SELECT doc_id, 'Write five SAFE and five UNSAFE diary lines as JSON. ' || scenario AS synthetic, text AS translate FROM s""",
 )
 def d10(spark, sf):
     scenario = F.get(string_array(SYNTHETIC_SCENARIOS), F.pmod("doc_id", F.lit(len(SYNTHETIC_SCENARIOS))).cast("int"))
@@ -274,8 +274,7 @@ def d10(spark, sf):
 
 @query(
     "d10_answer_prompts",
-    """SELECT conv_id, turn, 'Formuliere eine realistische Antwort für die Frage. Formuliere NUR die Antwort, keine weiteren Texte oder Struktur. Sprache: Deutsch, natürlich klingend.'
-      || chr(10) || chr(10) || 'KONTEXT:' || chr(10) || 'c' || conv_id || chr(10) || role || chr(10) || 'Frage: ' || text || chr(10) || chr(10) || 'Länge: MAXIMAL 5 Wörter.' AS prompt
+    """SELECT conv_id, turn, 'Übung: c' || conv_id || chr(10) || 'Abschnitt: ' || role || chr(10) || 'Zu beantworten: ' || text || chr(10) || 'Umfang: MAXIMAL 5 Wörter.' AS prompt
       FROM conversations""",
 )
 def d10_answers(spark, sf):
@@ -285,6 +284,32 @@ def d10_answers(spark, sf):
     return done.select("conv_id", "turn", "prompt")
 
 
+@query(
+    "d10_twin_requests",
+    """SELECT doc_id, 'Write a harmless line in the style of the one below, as JSON with the key twin_text.' || chr(10) || text AS prompt
+    FROM documents JOIN labels USING (doc_id) WHERE toxic = 1""",
+)
+def d10_twins(spark, sf):
+    """A request for a harmless twin of each text that is labelled unsafe."""
+    unsafe = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    docs = table(spark, sf, "documents").join(unsafe, "doc_id")
+    return cu.render_prompts(docs, "twin", text="text").select("doc_id", "prompt")
+
+
+@query(
+    "d10_grid_requests",
+    f"""WITH {_GRID} SELECT doc_id, kind, scenario || CASE kind WHEN 'clinical' THEN ' Schreibe drei Zeilen je Label als JSON.'
+      ELSE ' Schreibe drei harmlose Zeilen als JSON.' END || ' Umfang: ' || length AS prompt
+    FROM documents JOIN grid ON request_id = doc_id % {len(_CELLS)}""",
+)
+def d10_grid(spark, sf):
+    """The clinical and the tricky requests, one for each document in turn."""
+    docs = table(spark, sf, "documents").select("doc_id", F.pmod("doc_id", F.lit(len(_CELLS))).cast("int").alias("request_id"))
+    cells = docs.join(F.broadcast(cu.prompt_grid(spark)), "request_id")
+    parts = [cu.render_prompts(cells.where(F.col("kind") == k), k, scenario="scenario", length="length") for k in ("clinical", "tricky")]
+    return parts[0].unionByName(parts[1]).select("doc_id", "kind", "prompt")
+
+
 @query(
     "d14_batches",
     """WITH n AS (SELECT count(*) AS n FROM documents)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textveil.constants import ENTITY_LABELS, LEGEND_PLACEHOLDERS, PLACEHOLDER_DISPLAY, SAFE_WORDS
+from textveil.constants import ENTITY_LABELS, LEGEND_PLACEHOLDERS, PLACEHOLDER_GROUPS
 from textveil.functions.spans import confident, label_of, replace_spans
 from textveil.functions.text import mask_numbers, norm_token, squash_ws, tokens, words
 from textveil.operators import anonymize as an
@@ -183,13 +183,13 @@ def p11(spark, sf):
 
 @query(
     "p12_safe_words_excluded",
-    f"""WITH {co.DICTIONARIES} SELECT DISTINCT w AS word FROM (SELECT trim(unnest([{co.sql_list(co.EXTRA_NAMES + SAFE_WORDS)}]), '"') AS w
+    f"""WITH {co.DICTIONARIES} SELECT DISTINCT w AS word FROM (SELECT trim(unnest([{co.sql_list(co.EXTRA_NAMES + co.SAFE_WORDS)}]), '"') AS w
         UNION ALL SELECT unnest(string_split(text, ' ')) FROM benchmark)
         WHERE length(w) >= 3 AND w NOT IN (SELECT word FROM safe)""",
 )
 def p12(spark, sf):
     raw = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
-    both = raw.unionByName(dic.words_frame(spark, co.EXTRA_NAMES + SAFE_WORDS))
+    both = raw.unionByName(dic.words_frame(spark, co.EXTRA_NAMES + co.SAFE_WORDS))
     return dic.clean_word_list(both, "word", 3, co.safe_words(spark))
 
 
@@ -637,7 +637,7 @@ def a21(spark, sf):
     return parts[0].unionByName(parts[1]).groupBy("version", "term").agg(F.count("*").alias("n"))
 
 
-_GROUPS = ", ".join(f"('{k}', '{v[0]}')" for k, v in PLACEHOLDER_DISPLAY.items())
+_GROUPS = ", ".join(f"('{k}', '{v}')" for k, v in PLACEHOLDER_GROUPS.items())
 _CENSUS = f"""{WITH_PROBE}, o AS (SELECT {co.sql_replace(co.sql_replace('text', co.RE2_RULES['EMAIL'], '<EMAIL>'), co.DATE_RE2, '<DATUM>')} AS t FROM probe),
 p AS (SELECT unnest(regexp_extract_all(t, '<[A-Z]+>')) AS placeholder FROM o),
 g(placeholder, display_group) AS (VALUES {_GROUPS})
