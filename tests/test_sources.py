@@ -39,9 +39,7 @@ def test_csv_round_trip(spark, tmp_path):
     st.append_examples(df, path)
     st.append_examples(df.limit(1), path)
     got = sorted(map(str, st.read_labelled(spark, path).collect()))
-    # an empty field is read as a missing one
-    want = df.withColumn("source_text", F.nullif("source_text", F.lit("")))
-    assert got == sorted(map(str, want.collect() + want.limit(1).collect()))
+    assert got == sorted(map(str, df.collect() + df.limit(1).collect()))
 
 
 def test_plain_csv_file(spark, tmp_path):
@@ -77,3 +75,31 @@ def test_score_file(spark, tmp_path):
     path = st.write_scores(df, F.col("s"), str(tmp_path), "set")
     assert path.endswith("set_classification_scores")
     assert spark.read.option("header", True).csv(path).columns == ["text", "s", "hypothesis_score"]
+
+
+def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [("".join(rng.choice(['a', '"', "\n", ",", " ", "ä", "\r"]) for _ in range(rng.randrange(60))) + "x", f"l{i}", rng.choice(["", "s", None]), None) for i in range(800)]
+    rows.append(("line\n" * 3000, "long", "s", ""))
+    path = str(tmp_path / "one")
+    st.append_examples(spark.createDataFrame(rows, st.LABELLED).coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = st.read_labelled(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 15
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    usual = spark.read.schema(st.LABELLED).options(header=True, quote='"', escape='"', multiLine=True, lineSep="\n").csv(path)
+    assert usual.count() == len(rows)
+
+
+def test_other_header_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,etikett\na,b\n", encoding="utf-8")
+    with pytest.raises(Exception, match="expected the columns"):
+        st.read_labelled(spark, str(tmp_path / "a.csv"), "text string, label string").collect()

@@ -21,6 +21,7 @@ from textveil.constants import HYPOTHESIS_PLAIN
 from textveil.functions.text import as_col, is_blank
 from textveil.operators.bayes import bayes_tokens
 from textveil.operators.classify import render_hypothesis
+from textveil.operators.ranking import with_position
 
 SCALE = 10.0  # logit of a cosine of 1
 
@@ -53,6 +54,25 @@ def fit_vocabulary(corpus: DataFrame, txt: str = "text") -> Vocabulary:
     return Vocabulary(rows, one.count())
 
 
+def term_dictionary(vocabulary: Vocabulary) -> DataFrame:
+    """``(word, id, df)``: words numbered from 0 by falling document frequency, then by themselves.
+
+    The numbers come from sorted ranges and their offsets, so the dictionary may have
+    any size, and frequent words have small numbers.
+    """
+    return with_position(vocabulary.words, [F.desc("df"), F.asc("word")], "id").select("word", "id", "df")
+
+
+def tfidf(df: DataFrame, vocabulary: Vocabulary, dictionary: DataFrame, key: str = "doc_id", txt: str = "text") -> DataFrame:
+    """``(key, id, tf, weight)`` of each row's words; unknown words are left out.
+
+    Weights of a row have length 1 together.  Rows of one key count as one text.
+    """
+    joined = word_counts(df, key, txt).join(dictionary, "word").withColumn("_w", vocabulary.weight(F.col("tf")))
+    length = joined.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_len"))
+    return joined.join(length, key).select(key, "id", "tf", (F.col("_w") / F.col("_len")).alias("weight"))
+
+
 def weighted(counts: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
     """``(key, word, w)``: each key's words with weights, as they are (not of length 1)."""
     joined = counts.join(vocabulary.words, "word", "left")

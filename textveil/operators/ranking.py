@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textveil.sources.workspace import new_dir
+
+RANGE_ROWS = 1_000_000  # rows of a sorted range
 STEP = 32
 CHUNK = 1024
 
@@ -64,11 +67,29 @@ def with_offsets(ranged: DataFrame, group: Sequence[str], totals: dict[str, Colu
     return ranged.join(offsets, [*group, "_range"])
 
 
-def with_position(df: DataFrame, order: str, out: str = "position") -> DataFrame:
-    """Zero-based position of each row by a numeric column of distinct values."""
-    ranged = df.withColumn("_range", range_of(df, order))
-    placed = with_offsets(ranged, [], {"n": F.count("*")})
-    inside = Window.partitionBy("_range").orderBy(order)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder, made once."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, order: Sequence[Column], rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows with their ``_range``: sorted ranges of some ``rows`` rows, as many as the table needs.
+
+    The rows are written, counted and written again by range, so that a range keeps
+    its rows whatever is computed from it later.
+    """
+    whole = kept(df, "rows")
+    n = max(1, -(-whole.count() // rows))
+    return kept(whole.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def with_position(df: DataFrame, order: str | Sequence[Column], out: str = "position", rows: int = RANGE_ROWS) -> DataFrame:
+    """Zero-based position of each row by a column, or several, of distinct values."""
+    keys = [F.col(order).asc()] if isinstance(order, str) else list(order)
+    placed = with_offsets(in_ranges(df, keys, rows), [], {"n": F.count("*")})
+    inside = Window.partitionBy("_range").orderBy(*keys)
     position = F.col("_before_n") + F.row_number().over(inside) - 1
     return placed.withColumn(out, position.cast("bigint")).drop("_range", "_before_n")
 

@@ -568,7 +568,7 @@ def s7(spark, sf):
     path = new_dir(spark, "exercises")
     trees = exercise_trees(spark, sf)
     trees.write.text(path)
-    back = spark.read.text(path).select(F.col("value").alias("tree"))
+    back = st.read_exercises(spark, path, per_line=True)
     return cu.flatten_exercises(back).groupBy("exercise").agg(F.count("*").alias("blocks"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textveil.constants import ENTITY_LABELS, LEGEND_PLACEHOLDERS, PLACEHOLDER_GROUPS
+from textveil.constants import ENTITY_LABELS, LEGEND_PLACEHOLDERS, PLACEHOLDER_GROUPS, SCRUB_RULES
 from textveil.functions.spans import confident, label_of, replace_spans
 from textveil.functions.text import mask_numbers, norm_token, squash_ws, tokens, words
 from textveil.operators import anonymize as an
@@ -13,7 +13,7 @@ from textveil.operators import scrub as sc
 from textveil.operators.classify import string_array
 from textveil.plans import corpus as co
 from textveil.plans.registry import query, spread, table
-from textveil.sources.tables import parse_requests, to_responses
+from textveil.sources.tables import export_rules, parse_requests, read_in_order, to_responses
 from textveil.sources.words import parse_deny_list, read_safe_words
 from textveil.sources.workspace import new_dir
 
@@ -57,15 +57,25 @@ def s4(spark, sf):
 
 @query("s11_export_sorted_names", f"WITH {co.DICTIONARIES} SELECT word, row_number() OVER (ORDER BY word) - 1 AS position FROM names")
 def s11(spark, sf):
-    # lists are sorted on export; the position shows the order
-    ranked = co.names(spark, sf).withColumn("k", F.hex("word"))
-    from textveil.operators.ranking import with_offsets
-    from pyspark.sql import Window
-
-    ranged = ranked.withColumn("_range", F.substring("k", 1, 4))
-    placed = with_offsets(ranged, [], {"n": F.count("*")})
-    rn = F.row_number().over(Window.partitionBy("_range").orderBy("k"))
-    return placed.select("word", (F.col("_before_n") + rn - 1).cast("bigint").alias("position"))
+    """The exported list, read back line by line."""
+    root = new_dir(spark, "export")
+    export_rules(spark, co.names(spark, sf), co.cities(spark, sf), root)
+    return read_in_order(spark, f"{root}/deny_names").select(F.col("value").alias("word"), "position")
+
+
+@query(
+    "s11_export_rules",
+    f"""WITH {co.DICTIONARIES}, r(position, name, pattern) AS (VALUES {", ".join(f"({i}, {co.sql_list([n, p])})" for i, (n, p) in enumerate(SCRUB_RULES))})
+    SELECT position::INTEGER AS position, name, pattern, (SELECT count(*) FROM cities) AS cities FROM r""",
+)
+def s11_rules(spark, sf):
+    """The exported rules, from their JSON, next to the number of exported places."""
+    root = new_dir(spark, "export")
+    export_rules(spark, co.names(spark, sf), co.cities(spark, sf), root)
+    lines = spark.read.text(f"{root}/pii_config", wholetext=True)
+    rules = F.from_json("value", "regex_rules array<struct<name:string,pattern:string>>")["regex_rules"]
+    places = spark.read.text(f"{root}/deny_cities").agg(F.count("*").alias("cities"))
+    return lines.select(F.posexplode(rules).alias("position", "r")).select("position", "r.name", "r.pattern", F.lit(places.scalar()).alias("cities"))
 
 
 @query(

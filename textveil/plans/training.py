@@ -13,6 +13,7 @@ from textveil.operators import bayes as by
 from textveil.operators import curate as cu
 from textveil.operators import descent as gd
 from textveil.operators import evaluate as ev
+from textveil.operators import prototypes as pr
 from textveil.operators import train as tr
 from textveil.operators.ranking import with_hash_position
 from textveil.plans.registry import query, spread, table
@@ -34,6 +35,32 @@ def t1(spark, sf):
     return done.select("doc_id", F.size("_tokens").alias("n_tokens"))
 
 
+_TERMS = r"""tx AS (SELECT DISTINCT text FROM documents WHERE regexp_matches(text, '[^\s]')),
+terms AS (SELECT *, row_number() OVER (ORDER BY df DESC, word) - 1 AS id FROM (
+  SELECT w AS word, count(*) AS df FROM (SELECT DISTINCT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM tx) GROUP BY 1))"""
+
+
+@query("t1_term_dictionary", f"WITH {_TERMS} SELECT word, id, df FROM terms")
+def t1_terms(spark, sf):
+    """All words of the documents, numbered by how many texts have them."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return pr.term_dictionary(pr.fit_vocabulary(docs))
+
+
+@query(
+    "t1_tfidf",
+    rf"""WITH {_TERMS}, n AS (SELECT count(*) AS n FROM tx),
+    c AS (SELECT doc_id, w AS word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents) GROUP BY 1, 2),
+    x AS (SELECT doc_id, id, tf, (1 + ln(tf::DOUBLE)) * (ln((1.0::DOUBLE + n) / (1 + df)) + 1) AS w FROM c JOIN terms USING (word), n)
+    SELECT doc_id, id, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""",
+)
+def t1_weights(spark, sf):
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    vocabulary = pr.fit_vocabulary(docs)
+    weights = pr.tfidf(docs, vocabulary, pr.term_dictionary(vocabulary))
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
 @query("t2_safety_predictions")
 def t2(spark, sf):
     data = labelled(spark, sf)
