@@ -127,18 +127,19 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     A document taken k times whole is there k times; a part keeps its first words
     with the space before each, and ``n_chars`` follows where there is such a
-    column.  Repeated equal rows each take what the most favoured of them takes.
+    column.  Rows of equal id and text are there as often as the mix takes them all
+    together, each time with the other columns of one of them.
     """
     seed = how.get("seed", 17)
-    taken = mix_sources(docs, **how).groupBy("doc_id", "row_hash").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    taken = taken.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_rh"), "_taken", "_size")
-    rows = docs.withColumn("_row", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    kept = rows.join(taken, (F.col("_row") == F.col("_rh")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    part = (F.col("_taken") % F.col("_size")).cast("int")
-    times = F.array_repeat(F.col("_size").cast("int"), full)
+    full = F.floor(F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") % F.col("size")).cast("int")
+    times = F.array_repeat(F.col("size").cast("int"), full)
     times = F.when(part > 0, F.array_append(times, part)).otherwise(times)
-    each = kept.withColumn("_words", F.explode(times))
+    # one small row for each row of the result
+    copies = mix_sources(docs, **how).where("taken > 0")
+    copies = copies.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_rh"), F.col("size").alias("_size"), F.explode(times).alias("_words"))
+    one = docs.withColumn("_row", F.xxhash64(F.lit(seed), "doc_id", "text")).dropDuplicates(["_row", "doc_id"])
+    each = one.join(copies, (F.col("_row") == F.col("_rh")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     words = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1, F.col("_words"))
     text = F.when(F.col("_words") < F.col("_size"), F.array_join(words, "")).otherwise(F.col("text"))
     out = each.withColumn("text", text)

@@ -16,6 +16,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,7 +28,9 @@ from textveil.sources.workspace import new_dir
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the format
 FRAME = 1 << 18
 LEAST = 100
+TASK_BYTES = 16 << 20  # packed bytes that one task reads
 
+RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 INDEX = "page_id bigint, file string, frame_at bigint, frame_size bigint, record_at bigint, record_size bigint"
 
 
@@ -38,7 +41,7 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC record; a revisit has the payload's digest and length but not the payload."""
     revisit = refers_to is not None
     body = b"" if revisit else payload
@@ -47,6 +50,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -87,18 +91,20 @@ def read_seek_table(f, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST, frame: int = FRAME) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST, frame: int = FRAME, date: str | None = None) -> DataFrame:
     """Write all pages and return the index of the records, itself a table on disk.
 
     ``pages``: page_id, url, html.  Null html is empty, null urls too.  Among rows of
     equal payload of at least ``least`` bytes the smallest id is the response; rows
     that repeat its id and payload are responses as well; rows of null id revisit
     it, and are responses where no row has an id.  An empty table gives an empty
-    index.  Other columns are not looked at.
+    index.  Other columns are not looked at.  ``date`` (ISO 8601, UTC) is that of all
+    records, the time of the call if left out.
     """
     import zstandard
 
     spark = pages.sparkSession
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") if date is None else date
     folder = new_dir(spark, "archives") if folder is None else folder
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
@@ -106,8 +112,6 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     )
     narrow = stored(rows.where(F.octet_length("html") >= least).select("page_id", "digest"), "digests")
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("to"), F.count("*").alias("n")).where("n > 1 and to is not null")
-    from textveil.llm.frames import with_group_values
-
     again = with_group_values(narrow, first, ["digest"], "n", narrow.count())
     again = again.where("to is not null and not (page_id <=> to)").select(F.col("page_id").alias("_id"), F.col("digest").alias("_d"), "to").distinct()
     known = rows.join(again, rows["page_id"].eqNullSafe(again["_id"]) & (rows["digest"] == again["_d"]), "left")
@@ -142,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                raw = record(page_id.as_py(), url.as_py(), text.as_py().encode(), digest.as_py(), to.as_py())
+                raw = record(page_id.as_py(), url.as_py(), text.as_py().encode(), digest.as_py(), to.as_py(), date)
                 waiting.append((page_id.as_py(), len(plain), len(raw)))
                 plain += raw
                 if len(plain) >= frame:
@@ -156,20 +160,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     return stored(known.mapInArrow(run, INDEX).withColumn("folder", F.lit(folder)), "index")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
+def read_archives(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """All records of an index, read by seeking to their frames.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to.  What a
-    response states is checked against its payload.
+    response states is checked against its payload.  Frames are dealt to tasks of
+    some ``task_bytes`` packed bytes.
     """
-    import zstandard
-
     frames = index.groupBy("folder", "file", "frame_at", "frame_size").agg(F.collect_list(F.struct("record_at", "record_size")).alias("records"))
-
-    def number(x: str) -> int | None:
-        return int(y) if (y := x.removeprefix("<urn:page:").rstrip(">")) else None
+    total = frames.agg(F.coalesce(F.sum("frame_size"), F.lit(0))).first()[0]
+    frames = frames.repartition(max(1, -(-total // task_bytes)), "folder", "file", "frame_at")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in batch.to_pylist():
@@ -177,15 +181,49 @@ def read_archives(index: DataFrame) -> DataFrame:
                 with fs.open_input_file(f"{base}/{row['file']}") as f:
                     f.seek(row["frame_at"])
                     plain = unpacker.decompress(f.read(row["frame_size"]))
-                out = []
-                for r in row["records"]:
-                    fields, body = parse(plain[r["record_at"] : r["record_at"] + r["record_size"]])
-                    size, digest = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if fields["WARC-Type"] == "response" and (len(body), hashlib.sha256(body).hexdigest()) != (size, digest):
-                        raise ValueError(f"damaged record in {row['file']}")
-                    to = fields.get("WARC-Refers-To")
-                    out.append((number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], None if to is None else number(to)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return frames.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+                yield _described([parse(plain[r["record_at"] : r["record_at"] + r["record_size"]]) for r in row["records"]], row["file"])
+
+    return frames.mapInArrow(run, RECORDS)
+
+
+def read_whole_archives(index: DataFrame) -> DataFrame:
+    """The same records without the index's places: each archive by the seek table at its end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for folder, file in zip(batch.column("folder").to_pylist(), batch.column("file").to_pylist()):
+                fs, base = file_system(folder)
+                with fs.open_input_file(f"{base}/{file}") as f:
+                    for at, packed, _ in read_seek_table(f, f.size()):
+                        f.seek(at)
+                        yield _described(list(records_of(unpacker.decompress(f.read(packed)))), file)
+
+    files = index.select("folder", "file").distinct()
+    return files.repartition(max(1, files.count()), "folder", "file").mapInArrow(run, RECORDS)
+
+
+def records_of(plain: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each record of a frame."""
+    at = 0
+    while at < len(plain):
+        fields, body = parse(plain[at:])
+        yield fields, body
+        at = plain.index(b"\r\n\r\n", at) + 4 + len(body) + 4
+
+
+def _described(records: list[tuple[dict[str, str], bytes]], file: str) -> pa.RecordBatch:
+    def number(x: str) -> int | None:
+        return int(y) if (y := x.removeprefix("<urn:page:").rstrip(">")) else None
+
+    out = []
+    for fields, body in records:
+        size, digest = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
+        if fields["WARC-Type"] == "response" and (len(body), hashlib.sha256(body).hexdigest()) != (size, digest):
+            raise ValueError(f"damaged record in {file}")
+        to = fields.get("WARC-Refers-To")
+        out.append((number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], None if to is None else number(to)))
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
