@@ -284,7 +284,9 @@ def without_repeats(
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     kind = rows.schema["row"].dataType.simpleString()
-    files, buckets, anchor = max(1, -(-total // file_bytes)), max(1, -(-total // hash_bytes)), (window + 1) // 2
+    buckets, anchor = max(1, -(-total // hash_bytes)), (window + 1) // 2
+    # with fewer buckets than shuffle partitions Spark would rather move the texts than the answers
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
     blocks = rows.mapInArrow(_blocks_of(block_bytes), f"block string, rows array<{kind}>, texts array<string>")
     name = f"blocks_{uuid.uuid4().hex}"
     writer = blocks.repartition(files, "block").write.bucketBy(files, "block").option("compression", "zstd")
