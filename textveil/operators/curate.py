@@ -26,8 +26,8 @@ from textveil.operators.ranking import with_hash_position, with_last_seen, with_
 
 # Spark keeps a window's first n rows per map task only for small n.
 SMALL_SAMPLE = 1000
-# That many rows of one class may meet in one task.
-MAX_CANDIDATES = 1_000_000
+# Parts of a class of which each has its own first rows before the class has.
+PARTS = 64
 MAX_CLASSES = 10_000
 
 
@@ -37,25 +37,24 @@ def short_texts(df: DataFrame, limit: int = MAX_SOURCE_CHARS, txt: str = "text")
     return df.where(F.length(txt) < limit)
 
 
-def _few_candidates(df: DataFrame, n: int) -> bool:
-    """Whether the first ``n`` rows of every input task are few in total."""
-    return n <= SMALL_SAMPLE and n * df.rdd.getNumPartitions() <= MAX_CANDIDATES
-
-
 def balanced_sample(df: DataFrame, group: str | Sequence[str], n: int, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """At most ``n`` rows per class, the same ones on every run.
 
-    Rows without a class are left out.  If the first ``n`` rows of all input
-    tasks are few, the window's group limit cuts them before the shuffle.
-    Otherwise counts per key range give the range that holds each class's cut:
-    rows beyond it are dropped where they are read, and only that one range is
-    ranked.
+    Rows without a class are left out.  For small ``n`` the window's group limit
+    keeps the first ``n`` rows of every task, these meet by parts of a class, and the
+    first ``n`` of each part by class: no task holds more than that, whatever the
+    number of tasks or the size of a class.  Otherwise counts per key range give the
+    range that holds each class's cut: rows beyond it are dropped where they are
+    read, and only that one range is ranked.
     """
     groups = [group] if isinstance(group, str) else list(group)
     hashed = df.dropna("any", subset=groups).withColumn("_key", hash_key(seed, key))
-    if _few_candidates(df, n):
-        order = Window.partitionBy(*groups).orderBy("_key")
-        return hashed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn", "_key")
+    if n <= SMALL_SAMPLE:
+        first = hashed.withColumn("_part", F.pmod(F.crc32(F.col("_key").cast("binary")), F.lit(PARTS)))
+        for keys in ([*groups, "_part"], groups):
+            order = Window.partitionBy(*keys).orderBy("_key")
+            first = first.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
+        return first.drop("_rn", "_key", "_part")
     ranged = hashed.withColumn("_range", F.substring("_key", 1, 4))
     counts = ranged.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,8 +79,6 @@ def small_or_joined(df: DataFrame, limit: int = MAX_CLASSES) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """``min(n, rows)`` rows of the whole table, the same ones on every run."""
-    if _few_candidates(df, n):
-        return df.orderBy(hash_key(seed, key), key).limit(n)
     return balanced_sample(df.withColumn("_all", F.lit(1)), "_all", n, seed, key).drop("_all")
 
 
@@ -91,8 +88,11 @@ def cap(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def shuffle(df: DataFrame, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """All rows in seeded random order, by a range-partitioned sort."""
-    return df.orderBy(hash_key(seed, key), key)
+    """All rows in seeded random order, by a range-partitioned sort.
+
+    Rows of one key may be many, so they may come to lie in several ranges.
+    """
+    return df.orderBy(hash_key(seed, key), key, F.monotonically_increasing_id())
 
 
 def split(df: DataFrame, fraction: float = TEST_FRACTION, seed: int = SEED, key: str = "doc_id", out: str = "split") -> DataFrame:
@@ -124,9 +124,10 @@ def first_of_each(df: DataFrame, txt: str = "text", order: str = "doc_id") -> Da
     """The first row of every distinct text.
 
     ``row_number() = 1`` keeps one row per text in each map task before the
-    shuffle, so a text with very many copies stays small.
+    shuffle, so a text with very many copies stays small.  Texts meet and are
+    sorted by their digests.
     """
-    w = Window.partitionBy(txt).orderBy(order)
+    w = Window.partitionBy(digest(txt)).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
