@@ -173,6 +173,18 @@ def r3_stream(spark, sf):
     return finish(counts, "audit")
 
 
+@query("r3_stream_all_windows", _TUMBLING)
+def r3_all(spark, sf):
+    """Two micro-batches, the windows still open at the end included."""
+    out = new_dir(spark, "windows")
+    events = table(spark, sf, "events").select("ts", "event_type")
+    middle = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).scalar()
+    stream = in_two_parts(events, F.unix_micros(F.col("ts").cast("timestamp")) > middle, "events")
+    counts = jobs.windowed_audit(stream, "ts", "event_type", "1 hour")
+    jobs.write_updates(counts, out, new_dir(spark, "windows-state")).awaitTermination()
+    return jobs.latest_states(spark, out, ["window_start", "window_end", "entity_type"])
+
+
 @query("r4_stream_skip_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def r4(spark, sf):
     events = incoming(spark, sf, "events").withColumn("text", F.concat_ws(" ", "user_id", "event_type"))

@@ -112,6 +112,34 @@ def windowed_audit(df: DataFrame, ts: str, entity_type: str, size: str, slide: s
     return counts.select(start.alias("window_start"), end.alias("window_end"), "entity_type", "n")
 
 
+def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the groups that each micro-batch has changed, those still open included.
+
+    Append mode holds a window back until the watermark has passed its end, so those
+    open when the stream ends never come.  Here every state of a window is written,
+    with the number of its batch; :func:`latest_states` picks the last one.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        df.writeStream.foreachBatch(handle)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_states(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last written state of each group, with the other columns of that state."""
+    states = spark.read.parquet(path)
+    values = [c for c in states.columns if c not in (*keys, "batch_id")]
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+    return last.select(*keys, "_v.*")
+
+
 def session_audit(df: DataFrame, ts: str, user: str, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
     """Findings per user and session; a session ends after ``gap`` without any."""
     kind = dict(df.dtypes)[ts]
