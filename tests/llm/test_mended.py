@@ -54,3 +54,28 @@ def test_a_worker_keeps_one_thing():
     released()
     assert held("a", make(5)) == 5 and made == [1, 3, 4, 5]
     released()
+
+
+def test_short_and_long_lists_give_the_same_links(spark):
+    import numpy as np
+
+    from tests.llm.test_operators import brute_components
+    from textveil.llm.jaccard import similar_documents
+
+    rng = np.random.default_rng(11)
+    shared = [[f"s{p}_{j}" for j in range(25)] for p in range(3)]
+    texts = []
+    for i in range(150):
+        own = [f"w{i // 3}_{j}" for j in range(20 + i // 3 % 30)]
+        cut = len(own) // 2 + int(rng.integers(0, 3))
+        passage = shared[i // 3 % 3] if i % 4 else []
+        words_ = own[:cut] + passage + own[cut:]
+        for _ in range(int(rng.integers(0, 3))):
+            words_[int(rng.integers(0, len(words_)))] = f"x{rng.integers(0, 50)}"
+        texts.append(" ".join(words_))
+    df = importable(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_components(enumerate(texts), 3, 60)
+    assert len({c for _, c in want.values()}) < 150
+    for most in (0, 2, 8, 64):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(df, 3, 60, short_list=most).collect()}
+        assert got == want

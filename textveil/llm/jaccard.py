@@ -32,6 +32,7 @@ from textveil.llm.words import ODD, U, cut_words, pair, scramble, slices, sorted
 FREQUENT = 500_000
 OFTEN = 3
 SALTS = 32
+SHORT = 64  # rows of a list whose pairs are counted
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -228,7 +229,7 @@ def _all_pairs(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(with_salt(batches), ["token", "salt", "s1", "n", "k", "component", "tokens", "last"]):
+        for rows in _runs(batches, ["token", "salt", "s1", "n", "k", "component", "tokens", "last"]):
             token = rows["token"]
             edge = np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token))
             for a, b in zip(edge[:-1], edge[1:]):
@@ -259,13 +260,57 @@ def _all_pairs(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
                     if len(j):
                         yield pa.RecordBatch.from_pydict({"a": np.minimum(s1[i], s1[j]), "b": np.maximum(s1[i], s1[j])})
 
-    def with_salt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("salt", pa.array(np.zeros(batch.num_rows, np.int64)))
+    return run
+
+
+def _short_pairs(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of each short list that are in different components and near enough in size.
+
+    Lists arrive sorted by size; all rows meet the d-th row behind them at a time.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["token", "salt", "s1", "n", "component"]):
+            token, s1, n, c = (rows[x] for x in ("token", "s1", "n", "component"))
+            at, d = np.arange(len(token)), 1
+            while len(at):
+                at = at[at + d < len(token)]
+                at = at[token[at + d] == token[at]]
+                i = at[(c[at] != c[at + d]) & (n[at + d] * percent <= n[at] * 100)]
+                if len(i):
+                    x, y = s1[i], s1[i + d]
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                d += 1
 
     return run
 
 
+def _across(open_: DataFrame, own: DataFrame, percent: int, partitions: int, short_list: int) -> DataFrame:
+    """Pairs of classes in different components that may be similar, by the lists they share.
+
+    Nearly all lists are short: their pairs are counted, at most ``short_list`` for
+    each row.  What two classes may share in long lists besides is the smaller of
+    their numbers of such.  Pairs that meet in long lists only come from these, where
+    a row takes its class's other tokens of long lists along, so that each pair comes
+    up once and with enough matches.
+    """
+    dealt = lambda rows: rows.repartition(partitions, "token").sortWithinPartitions("token", "n")
+    short = dealt(open_.where(F.col("_n") <= short_list).select("token", "salt", "s1", "n", "component"))
+    met = short.mapInArrow(_short_pairs(percent), "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("_shared"))
+    long = open_.where(F.col("_n") > short_list)
+    besides = long.groupBy("s1").agg(F.count("*").alias("_long"), F.sort_array(F.collect_list("token")).alias("tokens"))
+    about = own.select("s1", "n", "k", "last").join(besides.select("s1", "_long"), "s1", "left")
+    for x in "ab":
+        side = about.select(F.col("s1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "k", "last")], F.coalesce("_long", F.lit(0)).alias(f"_long_{x}"))
+        met = met.join(side, x)
+    after = [F.ceil(F.col(f"n_{x}") * percent / 100) - F.col(f"k_{x}") for x in "ab"]
+    shared = F.col("_shared") + F.least("_long_a", "_long_b")
+    most = F.least(shared + F.when(F.col("last_a") <= F.col("last_b"), after[0]).otherwise(after[1]), F.col("n_a"), F.col("n_b"))
+    near = (shared >= F.least("k_a", "k_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+    rest = dealt(long.drop("_n").join(besides.select("s1", "tokens"), "s1").join(own.select("s1", "last"), "s1"))
+    return met.where(near).select("a", "b").unionByName(rest.mapInArrow(_all_pairs(percent), "a bigint, b bigint")).distinct()
+
+
 def packed(s: np.ndarray) -> bytes:
     """The upper five bytes of each hash.
 
@@ -362,14 +407,15 @@ def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, words: in
     return stored(with_a.select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a bigint, b bigint"), "similar")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, salt_above: int = 64 * SALTS) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, salt_above: int = 64 * SALTS, short_list: int = SHORT) -> DataFrame:
     """Each document with its class and component of similar documents.
 
     Two documents link when 100 * common >= percent * all, over their sets of
     distinct word n-grams.  Columns: doc_id, n_shingles, class_id (of its set),
     component_id (smallest doc_id that links reach, itself included), row (a hash
     of id and text).  Lists of tokens of a frequency above ``salt_above`` are
-    collected in parts; it does not change the result.
+    collected in parts, and lists of up to ``short_list`` rows have their pairs
+    counted; neither changes the result.
 
     Null and empty texts and texts without words have no n-gram and link with
     nothing; their component is their own id.  Ties: the smallest id names a
@@ -411,18 +457,14 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, salt_a
     links = _verified(pairs, described, docs, words, percent)
     reached = stored(connected_components(links), "reached")
 
-    # what a list still holds in different components; a row takes its class's other
-    # shared tokens along, so that each pair comes up once and with enough matches
+    # what a list still holds in different components
     placed = lists.join(reached.withColumnRenamed("node", "s1"), "s1", "left")
     placed = stored(placed.withColumn("component", F.coalesce("component", "s1")), "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n"))
     mixed = stored(mixed.where("_a <> _b").select("token", "_n", F.lit(True).alias("_mixed")), "mixed")
-    open_ = with_group_values(placed, mixed, ["token"], "_n", placed.count()).where("_mixed").drop("_n", "_mixed")
-    open_ = stored(open_, "open")
-    open_ = open_.drop("salt").join(own.select("s1", "tokens", "last"), "s1").repartition(partitions, "token")
-    open_ = open_.sortWithinPartitions("token", "n")
-    more = open_.mapInArrow(_all_pairs(percent), "a bigint, b bigint")
-    more = more.join(met, ["a", "b"], "left_anti")
+    open_ = with_group_values(placed, mixed, ["token"], "_n", placed.count()).where("_mixed").drop("_mixed")
+    open_ = stored(open_.withColumn("salt", F.lit(0).cast("bigint")), "open")
+    more = _across(open_, own, percent, partitions, short_list).join(met, ["a", "b"], "left_anti")
     more = _verified(more, described, docs, words, percent)
     if not more.isEmpty():
         reached = stored(connected_components(links.unionByName(more)), "reached")
