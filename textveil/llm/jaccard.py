@@ -112,6 +112,8 @@ def _describe(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                 size = 0
         if held:
             yield frequent()
+            held.clear()
+        released()
 
     return run
 
@@ -174,6 +176,7 @@ def _prefixes(words: int, percent: int, frequent, salt_above: int) -> Callable[[
                  pa.array(np.concatenate([m[4] for m in meta]).astype(np.int64))],
                 ["token", "s1", "n", "k", "salt"],
             )
+        released()
 
     return run
 

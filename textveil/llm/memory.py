@@ -6,8 +6,12 @@ the next one's data.  Whatever is asked for replaces all else.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+
 _held: dict[Hashable, object] = {}
 
 
@@ -20,12 +24,20 @@ def held(key: Hashable, make: Callable[[], object]):
 
 
 def released() -> None:
-    """Forget what is held; operators that keep nothing begin with this."""
-    if _held:
-        import gc
-
-        import pyarrow as pa
-
-        _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    """Forget what is held and give free memory back to the system.
+
+    Operators that keep nothing begin with this, and those whose tasks hold much end
+    with it: what the allocators would keep lies beside the next operator's data.
+    """
+    _held.clear()
+    gc.collect()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textveil.llm.frames import stored, with_group_values
-from textveil.llm.memory import released
+from textveil.llm.memory import released, trimmed
 from textveil.llm.words import cut_words, slices, span_hashes, text_of
 
 FIT_ROWS = 10_000
@@ -35,7 +35,9 @@ def measures(texts: pa.Array) -> np.ndarray:
     """One row of twelve numbers per text; an empty text has zeros."""
     released()
     batch = pa.RecordBatch.from_arrays([texts], ["text"])
-    return np.concatenate([np.zeros((0, 12)), *(_measures(x.column("text")) for x in slices([batch], "text", 1 << 20))])
+    table = np.concatenate([np.zeros((0, 12)), *(_measures(x.column("text")) for x in slices([batch], "text", 1 << 20))])
+    trimmed()
+    return table
 
 
 def _measures(texts: pa.Array) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textveil.llm.frames import stored
-from textveil.llm.memory import held
+from textveil.llm.memory import held, trimmed
 from textveil.llm.quality import fit_logistic
 from textveil.llm.words import U, cut_words, raw_bytes, slices, span_hashes, text_of
 
@@ -222,6 +222,7 @@ def _measured(model, text: str = "text") -> Column:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
         parts = [text_measures(x.column("text"), _seen(model)) for x in slices([batch], "text", 2 << 20)]
         table = np.concatenate(parts) if parts else np.zeros((0, 4))
+        trimmed()
         return pa.array(list(table), pa.list_(pa.float64()))
 
     return F.arrow_udf(run, T.ArrayType(T.DoubleType()))(text)
