@@ -37,7 +37,7 @@ ORDER = 6
 DISCOUNT = 0.75
 STRETCH = 4
 BEGIN, END = 2, 3  # marks around a word; control signs that no word needs
-KNOWN_MOST = 700_000
+KNOWN_MOST = 300_000
 FIT_WORDS = 20_000  # distinct words whose grams the driver counts at a time
 
 
@@ -220,7 +220,7 @@ def _seen(model) -> Seen:
 def _measured(model, text: str = "text") -> Column:
     def run(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        parts = [text_measures(x.column("text"), _seen(model)) for x in slices([batch], "text", 2 << 20)]
+        parts = [text_measures(x.column("text"), _seen(model)) for x in slices([batch], "text", 1 << 20)]
         table = np.concatenate(parts) if parts else np.zeros((0, 4))
         trimmed()
         return pa.array(list(table), pa.list_(pa.float64()))
@@ -229,7 +229,7 @@ def _measured(model, text: str = "text") -> Column:
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", 1 << 20):
         w = cut_words(part.column("text"))
         y = part.column("_y").to_numpy()[text_of(w.first)]
         keys = span_hashes(w.data, w.start, w.end)
