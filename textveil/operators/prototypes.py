@@ -5,15 +5,17 @@ hypothesis itself, a description, or example texts.  A text's score is the cosin
 its own weighted words and the prototype.  Words weigh by how rare they are in a
 corpus, so what every text says counts little.
 
-Texts and prototypes meet through an inverted index, an equi-join on words: only
-words that some prototype has are joined, so the work does not grow with texts
-times labels, and both sides may have any size.
+Texts and prototypes meet through an inverted index, an equi-join on words: the
+frequent ones are a broadcast, pairs of a text and a rarer word are shuffled (see
+``wordsums``), so the work does not grow with texts times labels, and both sides may
+have any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,14 +23,15 @@ from textveil.constants import HYPOTHESIS_PLAIN
 from textveil.functions.text import as_col, is_blank
 from textveil.operators.bayes import bayes_tokens
 from textveil.operators.classify import render_hypothesis
-from textveil.operators.ranking import with_position
+from textveil.operators.ranking import kept, with_position
+from textveil.operators.wordsums import WordTable, sums_by_text, word_pairs
 
 SCALE = 10.0  # logit of a cosine of 1
 
 
-def word_counts(df: DataFrame, key: str, txt: str = "text") -> DataFrame:
-    """``(key, word, tf)`` of lower-cased words."""
-    return df.select(key, F.explode(bayes_tokens(txt)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
+def said(tf: Column) -> Column:
+    """The part of a word's weight that its count in the text makes."""
+    return 1.0 + F.log(tf.cast("double"))
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ class Vocabulary:
 
     def weight(self, tf: Column) -> Column:
         """Weight of a word by its count and its ``df`` (null: in no text)."""
-        return (1.0 + F.log(tf.cast("double"))) * self.rarity()
+        return said(tf) * self.rarity()
 
     def rarity(self) -> Column:
         return F.log((1.0 + self.texts) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
@@ -51,7 +54,7 @@ def fit_vocabulary(corpus: DataFrame, txt: str = "text") -> Vocabulary:
     texts = corpus.where(~is_blank(txt)).select(F.sha2(txt, 256).alias("_d"), F.col(txt).alias("_t"))
     one = texts.groupBy("_d").agg(F.any_value("_t").alias("_t"))
     rows = one.select(F.explode(F.array_distinct(bayes_tokens("_t"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    return Vocabulary(rows, one.count())
+    return Vocabulary(kept(rows, "vocabulary"), one.count())
 
 
 def term_dictionary(vocabulary: Vocabulary) -> DataFrame:
@@ -68,15 +71,19 @@ def tfidf(df: DataFrame, vocabulary: Vocabulary, dictionary: DataFrame, key: str
 
     Weights of a row have length 1 together.  Rows of one key count as one text.
     """
-    joined = word_counts(df, key, txt).join(dictionary, "word").withColumn("_w", vocabulary.weight(F.col("tf")))
-    length = joined.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_len"))
-    return joined.join(length, key).select(key, "id", "tf", (F.col("_w") / F.col("_len")).alias("weight"))
+    rows = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(txt).alias("_texts"))
+    tokens = F.flatten(F.transform("_texts", bayes_tokens))
+    table, w = WordTable(kept(dictionary, "dictionary"), "df"), vocabulary.weight(F.col("tf"))
+    length = sums_by_text(rows, key, tokens, table, {"_sq": w * w}).select(key, F.sqrt("_sq").alias("_len"))
+    parts = table.parts(word_pairs(rows.join(length.hint("shuffle_hash"), key), [key, "_len"], tokens))
+    return reduce(DataFrame.unionByName, parts).select(key, "id", "tf", (w / F.col("_len")).alias("weight"))
 
 
-def weighted(counts: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
-    """``(key, word, w)``: each key's words with weights, as they are (not of length 1)."""
-    joined = counts.join(vocabulary.words, "word", "left")
-    return joined.select(key, "word", vocabulary.weight(F.col("tf")).alias("w"))
+def text_lengths(texts: DataFrame, vocabulary: Vocabulary, key: str, txt: str) -> DataFrame:
+    """``(key, _len)``: the length of each text's weights, taken as a vector."""
+    w = vocabulary.weight(F.col("tf"))
+    squares = sums_by_text(texts, key, bayes_tokens(txt), WordTable(vocabulary.words, "df"), {"_sq": w * w}, unknown=True)
+    return squares.select(key, F.sqrt("_sq").alias("_len"))
 
 
 def fit_prototypes(examples: DataFrame, vocabulary: Vocabulary, label: str = "label", txt: str = "text") -> DataFrame:
@@ -88,10 +95,11 @@ def fit_prototypes(examples: DataFrame, vocabulary: Vocabulary, label: str = "la
     known = examples.where(F.col(label).isNotNull() & ~is_blank(txt)).select(F.col(label).alias("label"), F.col(txt).alias("_t"))
     keyed = known.withColumn("_d", F.sha2(F.concat_ws("\0", F.col("label").cast("string"), "_t"), 256))
     texts = keyed.groupBy("_d").agg(F.any_value("label").alias("label"), F.any_value("_t").alias("_t"), F.count("*").alias("_times"))
-    words = weighted(word_counts(texts, "_d", "_t"), vocabulary, "_d")
-    size = words.groupBy("_d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-    scaled = words.join(size, "_d").join(texts.select("_d", "label", "_times"), "_d")
-    summed = scaled.groupBy("label", "word").agg(F.sum(F.col("w") / F.col("_len") * F.col("_times")).alias("p"))
+    size = text_lengths(texts, vocabulary, "_d", "_t").hint("shuffle_hash")
+    shares = texts.join(size, "_d").withColumn("_share", F.col("_times") / F.col("_len"))
+    # a word's rarity is the same in all texts, so it comes in after they are added up
+    parts = word_pairs(shares, ["label", "_share"], bayes_tokens("_t")).groupBy("label", "word").agg(F.sum(said(F.col("tf")) * F.col("_share")).alias("_s"))
+    summed = kept(parts.join(vocabulary.words, "word", "left").select("label", "word", (F.col("_s") * vocabulary.rarity()).alias("p")), "prototypes")
     length = summed.groupBy("label").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("_len"))
     return summed.join(length, "label").select("label", "word", (F.col("p") / F.col("_len")).alias("p"))
 
@@ -110,14 +118,6 @@ def _by_digest(df: DataFrame, txt: str) -> tuple[DataFrame, DataFrame]:
     return keyed, texts
 
 
-def _cosines(texts: DataFrame, prototypes: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(_digest, label, cosine)`` where a text and a prototype share a word."""
-    words = weighted(word_counts(texts, "_digest", "_text"), vocabulary, "_digest")
-    length = words.groupBy("_digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-    dots = words.join(prototypes, "word").groupBy("_digest", "label").agg(F.sum(F.col("w") * F.col("p")).alias("_dot"))
-    return dots.join(length, "_digest").select("_digest", "label", (F.col("_dot") / F.col("_len")).alias("cosine"))
-
-
 def prototype_logits(df: DataFrame, labels: Sequence, prototypes: DataFrame, vocabulary: Vocabulary, txt: str = "text", scale: float = SCALE, out: str = "logits") -> DataFrame:
     """Add one logit per label of a list, in its order: ``scale`` times the cosine, 0 for no common word.
 
@@ -126,13 +126,15 @@ def prototype_logits(df: DataFrame, labels: Sequence, prototypes: DataFrame, voc
     """
     keyed, texts = _by_digest(df, txt)
     kind = dict(prototypes.dtypes)["label"]
-    names = F.array(*[F.lit(x) for x in labels]).cast(f"array<{kind}>")
-    wanted = prototypes.where(F.array_contains(names, F.col("label")))
-    scores = _cosines(texts, wanted, vocabulary).groupBy("_digest").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", F.col("cosine") * scale))).alias("_scores")
-    )
+    of = [F.sum(F.when(F.col("label") == F.lit(x).cast(kind), F.col("p"))) for x in labels]
+    profiles = prototypes.groupBy("word").agg(F.array(*of).alias("_p"))
+    table = kept(vocabulary.words.join(profiles, "word", "full"), "profiles")
+    w = vocabulary.weight(F.col("tf"))
+    sums = {f"_s{i}": w * F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i in range(len(labels))}
+    found = sums_by_text(texts, "_digest", bayes_tokens("_text"), WordTable(table, "df"), {"_sq": w * w} | sums, unknown=True)
+    scores = found.select("_digest", F.array(*[F.col(x) / F.sqrt("_sq") * scale for x in sums]).alias("_scores"))
     joined = keyed.join(scores, "_digest", "left")
-    each = F.transform(names, lambda x: F.coalesce(F.try_element_at("_scores", x), F.lit(0.0)))
+    each = F.coalesce("_scores", F.array(*[F.lit(0.0)] * len(labels)).cast("array<double>"))
     return joined.withColumn(out, each).drop("_digest", "_scores")
 
 
@@ -142,7 +144,11 @@ def best_hypotheses(df: DataFrame, prototypes: DataFrame, vocabulary: Vocabulary
     Rows that share no word with any hypothesis are left out; ties go to the smaller label.
     """
     keyed, texts = _by_digest(df, txt)
-    found = _cosines(texts, prototypes, vocabulary)
+    w = vocabulary.weight(F.col("tf"))
+    table = kept(prototypes.join(vocabulary.words, "word", "left"), "profiles")
+    dots = sums_by_text(texts, "_digest", bayes_tokens("_text"), WordTable(table, "df"), {"_dot": w * F.col("p")}, by=("label",))
+    length = text_lengths(texts, vocabulary, "_digest", "_text")
+    found = dots.join(length.hint("shuffle_hash"), "_digest").withColumn("cosine", F.col("_dot") / F.col("_len"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("k"), "label", "cosine")))
     top = found.groupBy("_digest").agg(F.slice(order, 1, k).alias("_best"))
     rows = keyed.join(top, "_digest").select(*df.columns, F.posexplode("_best").alias("_p", "_b"))
