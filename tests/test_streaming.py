@@ -87,3 +87,12 @@ def test_batches_take_large_lists(spark, tmp_path):
     stream = jobs.read_stream(spark, src, schema)
     jobs.rewrite_batches(stream, lambda b: scrub(b, names=names), out, state).awaitTermination()
     assert [r.text for r in spark.read.parquet(out).collect()] == ["Hallo [PERSON]"] * 2
+
+
+def test_a_table_in_a_folder_of_files_is_streamed(spark, tmp_path):
+    from textveil.plans import streams as st
+
+    rows = spark.createDataFrame([(i, f"Nr {i}{i}{i}") for i in range(1, 7)], "doc_id bigint, text string")
+    rows.repartition(3, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    done = st.r5(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in done] == [(i, "Nr [NUM]") for i in range(1, 7)]

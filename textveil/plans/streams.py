@@ -15,9 +15,10 @@ from textveil.streaming import jobs
 
 
 def incoming(spark, sf, name):
-    """A given table as a file stream."""
+    """A given table, a file or a folder of files, as a file stream."""
     schema = table(spark, sf, name).schema
-    return jobs.read_stream(spark, sf, schema, pathGlobFilter=f"{name}.parquet")
+    # as a pattern the path may also name a file, which a stream's plain path may not
+    return jobs.read_stream(spark, f"{sf}/{name}[.]parquet", schema)
 
 
 def finish(df, name):
