@@ -96,3 +96,21 @@ def test_a_table_in_a_folder_of_files_is_streamed(spark, tmp_path):
     rows.repartition(3, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
     done = st.r5(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [tuple(r) for r in done] == [(i, "Nr [NUM]") for i in range(1, 7)]
+
+
+def test_a_later_part_of_many_files_comes_whole(spark, tmp_path, monkeypatch):
+    from textveil.plans import streams as st
+
+    # in this order the first part is in fewer files than the second
+    events = spark.range(0, 400, 1, 8).select((F.lit(T0) + F.make_interval(hours=F.col("id"))).alias("ts"), F.lit("x").alias("event_type"))
+    part = F.col("ts") >= F.lit(T0 + timedelta(hours=60))
+    out, state, sizes = str(tmp_path / "out"), str(tmp_path / "state"), []
+
+    def start(stream):
+        sizes.append(len(spark.read.parquet(str(tmp_path / "events")).inputFiles()))
+        return jobs.write_updates(jobs.windowed_audit(stream, "ts", "event_type", "1 hour"), out, state)
+
+    monkeypatch.setattr(st, "new_dir", lambda _, name: str(tmp_path / name))
+    st.in_two_runs(events, part, "events", start)
+    assert sizes[1] - sizes[0] > sizes[0] > 1  # many tasks have written, and will read, each part
+    assert jobs.latest_states(spark, out, ["window_start", "window_end", "entity_type"]).count() == 400

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from textveil.functions.text import mask_numbers, norm_tokens, squash_ws
@@ -71,13 +69,16 @@ def r1_large(spark, sf):
     return finish(jobs.scrub_stream(docs, names=listed), "scrubbed")
 
 
-def in_two_parts(df, part, name):
-    """A file stream over ``df`` that gets the rows for which ``part`` holds in a later micro-batch."""
+def in_two_runs(df, part, name, start):
+    """Run a stream job over ``df``, and again when the rows for which ``part`` holds have come.
+
+    ``start`` takes the file stream and starts the job, always on the same folders.  So
+    each part is a micro-batch of its own, of as many files as tasks have written.
+    """
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
     for rows in (df.where(~part), df.where(part)):
-        rows.coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)  # files are taken by their time
-    return jobs.read_stream(spark, path, df.schema, maxFilesPerTrigger=1)
+        rows.write.mode("append").parquet(path)
+        start(jobs.read_stream(spark, path, df.schema)).awaitTermination()
 
 
 def batch_sink(out, *columns):
@@ -93,7 +94,7 @@ def batch_sink(out, *columns):
       ELSE regexp_replace(text, '\b(?:of|is)\b', '<INTERN>', 'g') END AS anonymized_text FROM documents""",
 )
 def r2(spark, sf):
-    """Two micro-batches; the list is replaced between them."""
+    """Two micro-batches, each a run of its own; the list is replaced between them."""
     deny, out = new_dir(spark, "deny"), new_dir(spark, "reloaded")
 
     def write(*terms):
@@ -106,8 +107,8 @@ def r2(spark, sf):
         write("of", "is")
 
     write("and", "the and", "the")
-    docs = in_two_parts(table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") % 2 != 0, "parts")
-    jobs.anonymize_with_reload(docs, deny, sink, new_dir(spark, "reload-state"), recognizers=[]).awaitTermination()
+    docs, state = table(spark, sf, "documents").select("doc_id", "text"), new_dir(spark, "reload-state")
+    in_two_runs(docs, F.col("doc_id") % 2 != 0, "parts", lambda stream: jobs.anonymize_with_reload(stream, deny, sink, state, recognizers=[]))
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -130,9 +131,9 @@ def r2_versions(spark, sf):
     versions.select(F.to_timestamp("since").alias("valid_from"), "term").coalesce(1).write.parquet(kept)
     since = F.lit("2024-01-01").cast("timestamp")
     at = F.timestamp_micros(F.unix_micros(since) + (F.col("doc_id") % 720) * 3_600_000_000)
-    docs = in_two_parts(table(spark, sf, "documents").select("doc_id", "text", at.alias("at")), F.col("doc_id") % 3 == 0, "parts")
-    sink = batch_sink(out, "doc_id", "result.anonymized_text")
-    jobs.anonymize_as_of(docs, "at", lambda: spark.read.parquet(kept), sink, new_dir(spark, "as-of-state"), recognizers=[]).awaitTermination()
+    docs, state = table(spark, sf, "documents").select("doc_id", "text", at.alias("at")), new_dir(spark, "as-of-state")
+    sink, listed = batch_sink(out, "doc_id", "result.anonymized_text"), lambda: spark.read.parquet(kept)
+    in_two_runs(docs, F.col("doc_id") % 3 == 0, "parts", lambda stream: jobs.anonymize_as_of(stream, "at", listed, sink, state, recognizers=[]))
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -177,12 +178,11 @@ def r3_stream(spark, sf):
 @query("r3_stream_all_windows", _TUMBLING)
 def r3_all(spark, sf):
     """Two micro-batches, the windows still open at the end included."""
-    out = new_dir(spark, "windows")
+    out, state = new_dir(spark, "windows"), new_dir(spark, "windows-state")
     events = table(spark, sf, "events").select("ts", "event_type")
     middle = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).scalar()
-    stream = in_two_parts(events, F.unix_micros(F.col("ts").cast("timestamp")) > middle, "events")
-    counts = jobs.windowed_audit(stream, "ts", "event_type", "1 hour")
-    jobs.write_updates(counts, out, new_dir(spark, "windows-state")).awaitTermination()
+    counted = lambda stream: jobs.windowed_audit(stream, "ts", "event_type", "1 hour")
+    in_two_runs(events, F.unix_micros(F.col("ts").cast("timestamp")) > middle, "events", lambda stream: jobs.write_updates(counted(stream), out, state))
     return jobs.latest_states(spark, out, ["window_start", "window_end", "entity_type"])
 
 
@@ -195,18 +195,23 @@ def r4(spark, sf):
 
 @query("r4_seen_for_good", "SELECT DISTINCT sha256(text) AS text_sha256, 2001 AS year FROM documents")
 def r4_for_good(spark, sf):
-    """All texts come again after 23 years, in a later micro-batch; none passes twice."""
+    """All texts come again after 23 years, in a later run; none passes twice."""
     docs = table(spark, sf, "documents").select("text")
     years = docs.withColumn("ts", F.explode(F.array(*[F.lit(f"{y}-06-01").cast("timestamp") for y in (2001, 2024)])))
-    stream = in_two_parts(years, F.year("ts") == 2024, "years").withWatermark("ts", "1 day")
-    fresh = jobs.skip_seen_for_good(stream).select(F.sha2("text", 256).alias("text_sha256"), F.year("ts").alias("year"))
+    out, state = new_dir(spark, "for-good"), new_dir(spark, "for-good-state")
+
+    def start(stream):
+        fresh = jobs.skip_seen_for_good(stream.withWatermark("ts", "1 day"))
+        return jobs.write_stream(fresh.select(F.sha2("text", 256).alias("text_sha256"), F.year("ts").alias("year")), out, state)
+
     kind = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(kind, None)
     jobs.keep_large_state(spark)
     try:
-        return finish(fresh, "for-good")
+        in_two_runs(years, F.year("ts") == 2024, "years", start)
     finally:
         spark.conf.unset(kind) if before is None else spark.conf.set(kind, before)
+    return spark.read.schema("text_sha256 string, year int").parquet(out)
 
 
 @query("r5_stream_resume", "SELECT doc_id, regexp_replace(text, '\\p{Nd}{3,}', '[NUM]', 'g') AS text FROM documents")
