@@ -149,3 +149,25 @@ def test_whole_words_and_terms_agree(frame):
     texts = texts_of(5)
     rows = frame(*texts).select("text", find_terms("text", [Terms("X", ["ab", "a"], 1.0)]).alias("s"), F.regexp_extract_all("text", F.lit(whole_words("ab|a")), F.lit(0)).alias("m")).collect()
     assert all([s.text for s in r.s] == r.m for r in rows)
+
+
+def test_only_looked_up_words_are_gathered(frame, monkeypatch):
+    from textveil.functions.text import words
+    from textveil.operators import dictionary as dic
+
+    gathered = []
+
+    def kept(df, name):
+        gathered.append(sorted(r.word for r in df.collect()))
+        return df
+
+    monkeypatch.setattr(dic, "kept", kept)
+    docs = frame("Anna und Bert", "Bert kennt Carl", None, "")
+    lists = [["Bert", "Dora"], ["Carl", "Bert"]]
+    found = dic.held_lists(docs, words("text"), lists, strategy="join")
+    assert [sorted(x) for x in found] == [["Bert"], ["Bert", "Carl"]]
+    assert gathered == [["Bert", "Carl"]]  # once for both lists
+    monkeypatch.setattr(dic, "_small", lambda entries, *_: "list" in entries.columns)  # as if the entries' words were too many
+    again = dic.held_lists(docs, words("text"), lists, strategy="join")
+    assert [sorted(x) for x in again] == [["Bert"], ["Bert", "Carl"]]
+    assert gathered[1] == ["Anna", "Bert", "Carl", "kennt", "und"]
