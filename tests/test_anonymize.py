@@ -3,7 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from textveil.functions.spans import SPAN_DDL, pattern_spans, replace_spans, resolve_overlaps
+from textveil.functions.regex import portable_regex
+from textveil.functions.spans import SPAN_DDL, pattern_spans, regex_spans, replace_spans, resolve_overlaps
 from textveil.operators import anonymize as an
 
 
@@ -134,3 +135,17 @@ def test_lists_of_any_size_and_rows_without_id(frame):
     terms = ["Nordlicht Labor"] + [f"wort{i}" for i in range(1200)] + [" ".join(["lang"] * 120)]
     rows = an.anonymize(df, deny_terms=terms, recognizers=[]).select("result.anonymized_text").collect()
     assert sorted(r[0] for r in rows) == ["", "bei <INTERN>", "bei Nordlicht"]
+
+
+def test_many_matches_need_one_pass_and_short_pieces(spark):
+    """Offsets and replacements as in Python, the text searched once, also where it holds the mark."""
+    texts = ["ä😀 12345 x" * 700, "12345", "a\x0112345\x01 123456 12345", "\x01", "", "12345 " * 16, "12345 " * 17, "12345 " * 257, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spans = regex_spans("text", portable_regex(r"\b\d{5}\b"), "GERMAN_ZIP", 1.0)
+    got = df.select("text", spans.alias("s")).select("text", "s", replace_spans("text", "s").alias("r"))
+    rows = got.collect()
+    for t, r in zip(texts, rows):
+        want = [m.span() for m in re.finditer(r"\b\d{5}\b", t or "")]
+        assert [(s.start, s.end) for s in r.s] == want and all(s.text == t[s.start : s.end] for s in r.s)
+        assert r.r == (t if t is None else re.sub(r"\b\d{5}\b", "<PLZ>", t))
+    assert "(?<=" not in portable_regex(r"\b\d{5}\b") and "regexp_replace" in str(spans)
