@@ -2,8 +2,9 @@
 
 import re
 from collections import Counter
+import numpy as np
 
-from textveil.llm import mixing, warc
+from textveil.llm import katz, mixing, warc
 from textveil.llm.frames import importable
 from textveil.llm.hamming import choose_segments
 from textveil.llm.memory import held, released
@@ -79,3 +80,15 @@ def test_short_and_long_lists_give_the_same_links(spark):
     for most in (0, 2, 8, 64):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(df, 3, 60, short_list=most).collect()}
         assert got == want
+
+
+def test_packed_numbers_of_word_pairs_are_small():
+    """What op3 sends: small numbers without their empty bytes, repeated words once."""
+    rng = np.random.default_rng(3)
+    words = np.repeat(np.sort(rng.integers(0, 2**63, 2000).astype(np.uint64)), rng.integers(1, 9, 2000))
+    counts = rng.integers(0, 70000, len(words)).astype(np.uint64)
+    for x in (counts, counts[:0], words, rng.random((50, 6))):
+        assert (katz._unzip(katz._zip(x), x.dtype).reshape(x.shape) == x).all()
+    for x in (words, words[:0], words[:1]):
+        assert (katz._unzip_runs(katz._zip_runs(x)) == x).all()
+    assert len(katz._zip(counts)) < 2.6 * len(counts) and len(katz._zip_runs(words)) < 19000

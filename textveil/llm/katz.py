@@ -37,15 +37,33 @@ ROW = "kind string, bucket int, block string, a binary, b binary, c binary, d bi
 
 
 def _zip(x: np.ndarray) -> bytes:
+    """Compressed with the first bytes of all numbers together, then the second ones and so on.
+
+    Most numbers are small, so that most of these planes are nearly empty.
+    """
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    planes = np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unzip(x: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _zip_runs(x: np.ndarray) -> bytes:
+    """Numbers of which equal ones follow each other: each once, and how many there are."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    values, sizes = _zip(x[at]), _zip(np.diff(np.append(at, len(x))).astype(np.uint32))
+    return len(values).to_bytes(8, "little") + values + sizes
+
+
+def _unzip_runs(x: bytes) -> np.ndarray:
+    edge = 8 + int.from_bytes(x[:8], "little")
+    return np.repeat(_unzip(x[8:edge], U), _unzip(x[edge:], np.uint32))
 
 
 class Block:
@@ -272,7 +290,7 @@ def _ask_pairs(words: Answers, buckets: int, hot: float):
             edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
             for i, j in zip(edge[:-1], edge[1:]):
                 o = order[i:j]
-                yield _row("question", int(bucket[o[0]]), name, _zip(key[o]), _zip(left[o]), _zip(b.pair_counts[o]), _zip((counts[b.right[o]] * 2 + often[o]).astype(np.uint64)), b.check)
+                yield _row("question", int(bucket[o[0]]), name, _zip(key[o]), _zip_runs(left[o]), _zip(b.pair_counts[o]), _zip((counts[b.right[o]] * 2 + often[o]).astype(np.uint64)), b.check)
             del b, counts, left, key, often, bucket, order, o
 
     return run
@@ -288,7 +306,7 @@ def _answer_pairs(lower: Lower):
             back = back.astype(np.int32)
             total = np.zeros(len(distinct), np.int64)
             np.add.at(total, back, np.concatenate([_unzip(r.pop("c"), np.uint32) for r in rows]))
-            left = np.concatenate([_unzip(r.pop("b"), U) for r in rows])
+            left = np.concatenate([_unzip_runs(r.pop("b")) for r in rows])
             extra = np.concatenate([_unzip(r.pop("d"), U) for r in rows])[sample]
             seen = total > 0
             firsts, place = np.unique(left[sample], return_inverse=True)
@@ -301,9 +319,9 @@ def _answer_pairs(lower: Lower):
             for r, size in zip(rows, sizes):
                 own = total[back[at : at + size]]
                 mine = left[at : at + size]
-                ask = np.unique(mine[own == 0])  # only unseen pairs need the first word's sums
+                ask = np.unique(mine[own == 0])  # only unseen pairs need the first word's sums; the block knows which
                 values = table[np.searchsorted(firsts, ask)]
-                yield _row("answer", bucket, r["block"], _zip(own.astype(np.uint32)), _zip(ask), _zip(values), check=r["check"])
+                yield _row("answer", bucket, r["block"], _zip(own.astype(np.uint32)), _zip(values), check=r["check"])
                 at += size
             yield _row("counts", bucket, a=_zip(distinct[seen]), b=_zip(left[sample][seen]), c=_zip(total[seen]))
             spread = np.bincount(place, (extra & U(1)).astype(float), minlength=len(firsts)) > 0
@@ -344,7 +362,7 @@ def _score(words: Answers, pairs: Answers, buckets: int, hot: float, total: int,
                 o = order[i:j]
                 r = rows[int(bucket[o[0]])]
                 seen[o] = _unzip(r["a"], np.uint32)
-                ask, values = _unzip(r["b"], U), _unzip(r["c"], float).reshape(-1, LOW + 1)
+                ask, values = np.unique(left[o][seen[o] == 0]), _unzip(r["b"], float).reshape(-1, LOW + 1)
                 need = o[(seen[o] == 0) & ~often[o]]
                 if len(need):
                     six[need] = values[np.searchsorted(ask, left[need])]
