@@ -92,3 +92,27 @@ def test_packed_numbers_of_word_pairs_are_small():
     for x in (words, words[:0], words[:1]):
         assert (katz._unzip_runs(katz._zip_runs(x)) == x).all()
     assert len(katz._zip(counts)) < 2.6 * len(counts) and len(katz._zip_runs(words)) < 19000
+
+
+def test_frequent_tokens_are_counted_in_little_memory():
+    """op9 sorts a block's tokens where they are."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textveil.llm import jaccard
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 20000, 4000))) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), pa.array(texts)], ["doc_id", "row", "text"])
+    want = Counter(int(x) for s in jaccard.shingle_sets(batch.column("text"), 1) for x in s.view(np.int64))
+    out = list(jaccard._describe(1)(iter([batch])))
+    got = dict(zip(out[-1].column("token").to_pylist(), out[-1].column("times").to_pylist()))
+    assert got == {t: n for t, n in want.items() if n >= jaccard.OFTEN}
+    wide, peaks = jaccard._describe(4)(iter([batch])), []
+    tracemalloc.start()
+    for part in wide:
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert peaks[-1] < 4.5 * 8 * 400_000  # tokens, their sorted copy or places, and what is made of these

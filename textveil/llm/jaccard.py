@@ -82,12 +82,19 @@ def _describe(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            tokens, counts = sorted_counts(np.concatenate(held))
+            # sorted in its place, and only frequent tokens are copied
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+            counts = np.diff(at)
             often = counts >= OFTEN
-            n = int(often.sum())
+            tokens, counts = keys[at[:-1][often]], counts[often]
+            n = len(tokens)
+            del keys, at, often
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(n, ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["doc_id", "row", "n", "s1", "s2", "token", "times"]
+                 pa.array(tokens.view(np.int64)), pa.array(counts)], ["doc_id", "row", "n", "s1", "s2", "token", "times"]
             )
 
         released()
@@ -108,11 +115,9 @@ def _describe(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
             size += sum(len(sets[i]) for i in one)
             if size > 4_000_000:
                 yield frequent()
-                held.clear()
                 size = 0
         if held:
             yield frequent()
-            held.clear()
         released()
 
     return run
