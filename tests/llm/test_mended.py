@@ -116,3 +116,43 @@ def test_frequent_tokens_are_counted_in_little_memory():
         tracemalloc.reset_peak()
     tracemalloc.stop()
     assert peaks[-1] < 4.5 * 8 * 400_000  # tokens, their sorted copy or places, and what is made of these
+
+
+def test_word_pairs_are_sent_and_kept_as_small_numbers(monkeypatch):
+    """op3: a pair took the eight bytes of a hash in the question and sixteen in the count table."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 400), 20000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts), pa.array([True] * 200)], ["doc_id", "text", "train"])
+    (_, block), buckets = next(katz._blocks([batch])), 3
+    want = Counter(p for t in texts for p in zip(t.split(), t.split()[1:]))
+
+    def asked(ask, answer):
+        rows = sorted(ask([batch]), key=lambda x: x.column("bucket")[0].as_py())
+        return rows, [x.to_pylist()[0] for x in answer(iter(rows))]
+
+    _, found = asked(katz._ask_words(buckets), katz._answer_words(buckets))
+    words = SimpleNamespace(of=lambda name, check: {r["bucket"]: r for r in found if r["kind"] == "answer"})
+    counts, numbers = katz._word_counts(block, words.of("", 0), buckets)
+    assert len(set(numbers.tolist())) == len(numbers) and numbers.min() >= 2 and numbers.max() < buckets * len(numbers)
+    assert numbers[np.argmax(counts)] < 2 + buckets
+    sent, found = asked(katz._ask_pairs(words, buckets, 1e9), katz._answer_pairs(katz.Lower(np.ones(9), 100)))
+    kept = [r for r in found if r["kind"] == "counts"]
+    size = lambda rows, names: sum(len(r[c]) for r in rows for c in names)
+    assert size([x.to_pylist()[0] for x in sent], "ab") < 5 * len(want) and size(kept, "ab") < 5 * len(want)
+    total = Counter(n for r in kept for n in katz._unzip(r["c"], np.int64).tolist())
+    inner = Counter(want.values())
+    first, last = Counter(t.split()[0] for t in texts), Counter(t.split()[-1] for t in texts)
+    assert total == inner + Counter(first.values()) + Counter(last.values())
+
+
+def test_codes_of_pairs_of_large_numbers():
+    left, right = (np.array(x, np.uint64) for x in ([2**40, 5, 2**40, 5], [2**33, 7, 3, 7]))
+    for a in (left, left >> np.uint64(20)):
+        codes = katz._codes(a, right)
+        assert codes[1] == codes[3] < codes[2] < codes[0]
+    assert not len(katz._codes(left[:0], right[:0]))

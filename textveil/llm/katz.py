@@ -9,7 +9,9 @@ The vocabulary and the pairs grow with the corpus and are never in one place.  A
 task cuts its documents into blocks, and sends each bucket of the hash space the
 block's distinct words (then pairs) with their counts in training texts, as packed
 arrays in a row.  A bucket adds up, keeps its part of the count table, and answers
-each block in the order of its question.  Pairs go by their first word, so a bucket
+each block in the order of its question.  With a word's count goes its number, small
+for frequent words, and pairs are sent and kept as their words' numbers, which take
+a third of their hashes' bytes.  Pairs go by their first word, so a bucket
 knows all followers; frequent first words are spread by the whole pair, and their
 few sums come together afterwards.  Count tables and answers are tables in the
 shared folder, the answers with a folder per block.
@@ -31,6 +33,7 @@ from textveil.llm.words import U, cut_words, pair, slices, span_hashes
 from textveil.sources.workspace import new_dir
 
 BEGIN, END = U(1), U(2)
+FIRST = U(2)  # least number of a word; BEGIN is its own number
 BLOCK = 6 << 20
 LOW = 5  # counts up to this one are discounted
 ROW = "kind string, bucket int, block string, a binary, b binary, c binary, d binary, check bigint"
@@ -198,19 +201,26 @@ def _count_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, LOW + 2), minlength=LOW + 3)[: LOW + 2]
 
 
-def _answer_words(batches):
-    for rows in _groups(batches):
-        keys = [_unzip(r["a"], U) for r in rows]
-        words, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(words), np.int64)
-        np.add.at(total, back, np.concatenate([_unzip(r["b"], np.uint32) for r in rows]))
-        bucket, at = rows[0]["bucket"], 0
-        for r, k in zip(rows, keys):
-            yield _row("answer", bucket, r["block"], _zip(total[back[at : at + len(k)]].astype(np.uint32)), check=r["check"])
-            at += len(k)
-        known = total > 0
-        yield _row("counts", bucket, a=_zip(words[known]), b=_zip(total[known]))
-        yield _row("sums", bucket, a=np.append(_count_of_counts(total), [total.sum(), known.sum()]).astype(np.int64).tobytes())
+def _answer_words(buckets: int):
+    def run(batches):
+        for rows in _groups(batches):
+            keys = [_unzip(r["a"], U) for r in rows]
+            words, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(words), np.int64)
+            np.add.at(total, back, np.concatenate([_unzip(r["b"], np.uint32) for r in rows]))
+            bucket, at = rows[0]["bucket"], 0
+            often = np.argsort(-total, kind="stable")  # most frequent first
+            number = np.empty(len(words), U)
+            number[often] = np.arange(len(words), dtype=U) * U(buckets) + U(bucket) + FIRST
+            for r, k in zip(rows, keys):
+                mine = back[at : at + len(k)]
+                yield _row("answer", bucket, r["block"], _zip(total[mine].astype(np.uint32)), _zip(number[mine]), check=r["check"])
+                at += len(k)
+            known = often[total[often] > 0]
+            yield _row("counts", bucket, a=_zip(words[known]), b=_zip(total[known]), c=_zip(number[known]))
+            yield _row("sums", bucket, a=np.append(_count_of_counts(total), [total.sum(), len(known)]).astype(np.int64).tobytes())
+
+    return run
 
 
 def _added(sums: DataFrame, n: int) -> np.ndarray:
@@ -262,51 +272,62 @@ class Lower:
         return np.where(counts > 0, _discounted(counts, self.d) / max(self.total, 1), self.unknown)
 
 
-def _word_counts(b: Block, rows: dict[int, dict], buckets: int) -> np.ndarray:
-    """Counts of a block's words in all training texts."""
-    out, at = np.zeros(len(b.words), np.int64), _bucket_of(b.words, buckets)
+def _word_counts(b: Block, rows: dict[int, dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a block's words in all training texts, and their numbers."""
+    at = _bucket_of(b.words, buckets)
+    counts, numbers = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), U)
     for k, r in rows.items():
-        out[at == k] = _unzip(r["a"], np.uint32)
-    return out
+        mine = at == k
+        counts[mine], numbers[mine] = _unzip(r["a"], np.uint32), _unzip(r["b"], U)
+    return counts, numbers
 
 
-def _pair_plan(b: Block, counts: np.ndarray, buckets: int, hot: float):
-    """Hash of each pair's first word, of the pair, its bucket and the order of the question."""
+def _pair_plan(b: Block, counts: np.ndarray, numbers: np.ndarray, buckets: int, hot: float):
+    """Number of each pair's first word, whether it is spread, the pair's bucket and the order of the question."""
     words = np.append(b.words, BEGIN)
-    left, right = words[b.left], b.words[b.right]
-    key = pair(left, right)
+    left = words[b.left]
     often = np.append(counts, np.iinfo(np.int64).max)[b.left] >= hot
-    bucket = np.where(often, _bucket_of(key, buckets), _bucket_of(left, buckets))
+    bucket = np.where(often, _bucket_of(pair(left, b.words[b.right]), buckets), _bucket_of(left, buckets))
+    left = np.append(numbers, BEGIN)[b.left]
     order = np.lexsort((left, bucket))
-    return left, key, often, bucket, order
+    return left, often, bucket, order
 
 
 def _ask_pairs(words: Answers, buckets: int, hot: float):
     def run(batches):
         for name, b in _blocks(batches):
             b.pairs()
-            counts = _word_counts(b, words.of(name, b.check), buckets)
-            left, key, often, bucket, order = _pair_plan(b, counts, buckets, hot)
+            counts, numbers = _word_counts(b, words.of(name, b.check), buckets)
+            left, often, bucket, order = _pair_plan(b, counts, numbers, buckets, hot)
             edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
             for i, j in zip(edge[:-1], edge[1:]):
                 o = order[i:j]
-                yield _row("question", int(bucket[o[0]]), name, _zip(key[o]), _zip_runs(left[o]), _zip(b.pair_counts[o]), _zip((counts[b.right[o]] * 2 + often[o]).astype(np.uint64)), b.check)
-            del b, counts, left, key, often, bucket, order, o
+                yield _row("question", int(bucket[o[0]]), name, _zip(numbers[b.right[o]]), _zip_runs(left[o]), _zip(b.pair_counts[o]), _zip((counts[b.right[o]] * 2 + often[o]).astype(np.uint64)), b.check)
+            del b, counts, numbers, left, often, bucket, order, o
 
     return run
 
 
+def _codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One number for each pair of numbers, ascending with the first, then the second."""
+    base = int(right.max()) + 1 if len(right) else 1
+    if len(left) and int(left.max()) >= (1 << 64) // base:  # products beyond 64 bits: the first ones by rank
+        left = np.unique(left, return_inverse=True)[1].astype(U)
+    return left * U(base) + right
+
+
 def _answer_pairs(lower: Lower):
     def run(batches):
         for rows in _groups(batches):
-            keys = [_unzip(r.pop("a"), U) for r in rows]
-            sizes = [len(k) for k in keys]
-            distinct, sample, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            del keys
+            right = [_unzip(r.pop("a"), U) for r in rows]
+            sizes = [len(x) for x in right]
+            right = np.concatenate(right)
+            left = np.concatenate([_unzip_runs(r.pop("b")) for r in rows])
+            distinct, sample, back = np.unique(_codes(left, right), return_index=True, return_inverse=True)
+            right = right[sample]
             back = back.astype(np.int32)
             total = np.zeros(len(distinct), np.int64)
             np.add.at(total, back, np.concatenate([_unzip(r.pop("c"), np.uint32) for r in rows]))
-            left = np.concatenate([_unzip_runs(r.pop("b")) for r in rows])
             extra = np.concatenate([_unzip(r.pop("d"), U) for r in rows])[sample]
             seen = total > 0
             firsts, place = np.unique(left[sample], return_inverse=True)
@@ -323,7 +344,7 @@ def _answer_pairs(lower: Lower):
                 values = table[np.searchsorted(firsts, ask)]
                 yield _row("answer", bucket, r["block"], _zip(own.astype(np.uint32)), _zip(values), check=r["check"])
                 at += size
-            yield _row("counts", bucket, a=_zip(distinct[seen]), b=_zip(left[sample][seen]), c=_zip(total[seen]))
+            yield _row("counts", bucket, a=_zip(right[seen]), b=_zip_runs(left[sample][seen]), c=_zip(total[seen]))
             spread = np.bincount(place, (extra & U(1)).astype(float), minlength=len(firsts)) > 0
             yield _row("sums", bucket, a=_count_of_counts(total).astype(np.int64).tobytes(), b=_zip(firsts[spread]), c=_zip(table[spread]))
 
@@ -352,8 +373,8 @@ def _score(words: Answers, pairs: Answers, buckets: int, hot: float, total: int,
         keys, sums = spread.value
         for name, b in _blocks(batches):
             b.pairs()
-            counts = _word_counts(b, words.of(name, b.check), buckets)
-            left, key, often, bucket, order = _pair_plan(b, counts, buckets, hot)
+            counts, numbers = _word_counts(b, words.of(name, b.check), buckets)
+            left, often, bucket, order = _pair_plan(b, counts, numbers, buckets, hot)
             base = np.append(counts, n_texts)[b.left]
             seen, six = np.zeros(len(left), np.int64), np.zeros((len(left), LOW + 1))
             edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
@@ -384,7 +405,7 @@ def _score(words: Answers, pairs: Answers, buckets: int, hot: float, total: int,
                  pa.array(np.bincount(b.doc, plain, minlength=n)), pa.array(np.bincount(b.doc, token, minlength=n))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-            del b, counts, left, key, often, bucket, order, base, seen, six, rows, low, lost, p, token, plain, known
+            del b, counts, numbers, left, often, bucket, order, base, seen, six, rows, low, lost, p, token, plain, known
 
     return run
 
@@ -406,7 +427,7 @@ def score_texts(docs: DataFrame, train: Column, buckets: int | None = None) -> D
         kind = docs.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
-    folder, _, sums = _ask("words", _ask_words(buckets), _answer_words, rows, buckets)
+    folder, _, sums = _ask("words", _ask_words(buckets), _answer_words(buckets), rows, buckets)
     stats = _added(sums, LOW + 4)
     total, n_words = int(stats[-2]), int(stats[-1])
     n_texts = rows.where("train").count()
