@@ -200,3 +200,27 @@ def test_contrastive_pairs_of_small_classes(spark):
     pairs = [tuple(r) for r in cu.contrastive_pairs(df, 4).select("left_id", "right_id", "same").collect()]
     assert all(a != b for a, b, _ in pairs) and len(pairs) == len(set(pairs))
     assert sum(s for *_, s in pairs) == 0 + 2 * 1 + 9 * 4
+
+
+def test_blocks_of_questions_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = [("a", "b", f"ex{e}", p, None if p % 2 else f" text {p} ", "wer?" if p % 2 else None, "free_text" if p % 4 == 1 else "choice") for e in range(5) for p in range(2060)]
+    blocks = spark.createDataFrame(rows, "category string, subcategory string, exercise string, pos int, text string, question string, answer_options string")
+    found = cu.question_contexts(blocks.withColumn("text", counted.asNondeterministic()("text"))).collect()
+    assert {(r.exercise, r.pos): (r.text, r.question) for r in found} == {(f"ex{e}", p): (f"text {p - 1}", "wer?") for e in range(5) for p in range(1, 2060, 4)}
+    assert len(found) == 5 * 515 and made.value == len(rows)
+
+
+def test_nodes_of_trees_may_begin_with_whitespace(spark):
+    tree = '{"c": {"s": {"e": [{"Text": "a"}], "f": {"Text": "b"}, "g": 3}, "t": ["x"], "u": " {}"}}'
+    trees = ["", None, "[1]", "x" + tree, tree, " \t\r\n" + tree + " "]
+    found = cu.exercise_lists(spark.createDataFrame([(t,) for t in trees], "tree string")).collect()
+    blocks = {"e": [{"Text": "a"}], "f": None, "g": None}
+    assert sorted((r.category, r.subcategory, r.exercise) for r in found) == sorted(2 * [("c", "s", e) for e in blocks])
+    assert all(r.blocks == blocks[r.exercise] for r in found)

@@ -21,8 +21,9 @@ from textveil.constants import (
     TEST_FRACTION,
     TRICKY_SCENARIOS,
 )
+from textveil.functions.regex import SPACE
 from textveil.functions.text import fill_template, hash_key, is_blank, strip_ws
-from textveil.operators.ranking import with_hash_position, with_last_seen, with_offsets, with_position
+from textveil.operators.ranking import kept, with_hash_position, with_last_seen, with_offsets, with_position
 
 # Spark keeps a window's first n rows per map task only for small n.
 SMALL_SAMPLE = 1000
@@ -300,7 +301,7 @@ _NODES = "map<string,string>"
 
 
 def _object_nodes(raw) -> Column:
-    return F.when(strip_ws(raw).startswith("{"), F.from_json(raw, _NODES))
+    return F.when(raw.rlike(f"^{SPACE}*\\{{"), F.from_json(raw, _NODES))
 
 
 def exercise_lists(df: DataFrame, tree: str = "tree") -> DataFrame:
@@ -313,7 +314,7 @@ def exercise_lists(df: DataFrame, tree: str = "tree") -> DataFrame:
     cats = df.select(*keep, F.explode(_object_nodes(F.col(tree))).alias("category", "_sub"))
     subs = cats.select(*keep, "category", F.explode(_object_nodes(F.col("_sub"))).alias("subcategory", "_ex"))
     exs = subs.select(*keep, "category", "subcategory", F.explode(_object_nodes(F.col("_ex"))).alias("exercise", "_blocks"))
-    listed = F.when(strip_ws("_blocks").startswith("["), F.from_json("_blocks", f"array<{_NODES}>"))
+    listed = F.when(F.col("_blocks").rlike(f"^{SPACE}*\\["), F.from_json("_blocks", f"array<{_NODES}>"))
     return exs.select(*keep, "category", "subcategory", "exercise", listed.alias("blocks"))
 
 
@@ -364,16 +365,18 @@ def exercise_contexts(exercises: DataFrame, blocks: str = "blocks") -> DataFrame
 
 
 def question_contexts(blocks: DataFrame, path: Sequence[str] = ("category", "subcategory", "exercise"), pos: str = "pos") -> DataFrame:
-    """Like :func:`exercise_contexts` for tables with one row per block."""
-    usable = blocks.withColumn("_text", F.when(~is_blank("text"), strip_ws("text")))
+    """Like :func:`exercise_contexts` for tables with one row per block.
+
+    What matters of the blocks is written once: they are read three times, and may come
+    from trees that are costly to parse.
+    """
+    asked = F.col("text").isNull() & (F.col("question") != "") & (F.col("answer_options") == FREE_TEXT)
+    said = F.when(~is_blank("text"), strip_ws("text"))
+    usable = blocks.select(*path, pos, said.alias("_text"), F.when(asked, F.col("question")).alias("question"))
+    usable = kept(usable.where("_text is not null or question is not null"), "blocks")
     filled = with_last_seen(usable, list(path), pos, "_text", "_context")
-    asked = filled.where(
-        F.col("text").isNull()
-        & (F.col("question") != "")
-        & (F.col("answer_options") == FREE_TEXT)
-        & F.col("_context").isNotNull()
-    )
-    return asked.select(*path, pos, F.col("_context").alias("text"), "question")
+    found = filled.where(F.col("question").isNotNull() & F.col("_context").isNotNull())
+    return found.select(*path, pos, F.col("_context").alias("text"), "question")
 
 
 def answer_rows(df: DataFrame) -> DataFrame:
