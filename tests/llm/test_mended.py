@@ -156,3 +156,31 @@ def test_codes_of_pairs_of_large_numbers():
         codes = katz._codes(a, right)
         assert codes[1] == codes[3] < codes[2] < codes[0]
     assert not len(katz._codes(left[:0], right[:0]))
+
+
+def test_workers_get_some_megabytes_of_text_at_a_time(spark):
+    """The pipeline's workers and executors held batches of ten thousand rows, however long their texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from pyspark.sql import functions as F
+    from textveil.llm.frames import BATCH_BYTES, bounded_batches
+    from textveil.llm.quality import score_quality
+
+    def size(texts: pa.Array) -> pa.Array:
+        return pa.array([pc.sum(pc.binary_length(texts)).as_py()] * len(texts), pa.int64())
+
+    docs = importable(spark).range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("wort "), 2000).alias("text"), F.lit("s").alias("source"), F.lit("de").alias("lang"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    before = spark.conf.getAll.get(BATCH_BYTES)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        score_quality(docs, labels)
+        sizes = [r[0] for r in docs.select(F.arrow_udf(size, "bigint")("text")).distinct().collect()]
+        assert max(sizes) < 4 << 20
+        spark.conf.set(BATCH_BYTES, "3m")  # the session's own choice stays
+        assert bounded_batches(spark).conf.get(BATCH_BYTES) == "3m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+        if before:
+            spark.conf.set(BATCH_BYTES, before)

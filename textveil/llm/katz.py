@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textveil.llm.frames import bounded_batches
 from textveil.llm.words import U, cut_words, pair, slices, span_hashes
 from textveil.sources.workspace import new_dir
 
@@ -421,7 +422,7 @@ def score_texts(docs: DataFrame, train: Column, buckets: int | None = None) -> D
     repeated rows count as often as they occur; without training texts every word
     is the unknown word; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"))
     if not docs.take(1):
         kind = docs.schema["doc_id"].dataType.simpleString()

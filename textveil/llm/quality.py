@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textveil.llm.frames import stored, with_group_values
+from textveil.llm.frames import bounded_batches, stored, with_group_values
 from textveil.llm.memory import released, trimmed
 from textveil.llm.words import cut_words, slices, span_hashes, text_of
 
@@ -195,6 +195,7 @@ def score_quality(
     """
     added = ["doc_log_odds", "host_rate", "path_rate", "quality_score", "keep"]
     docs = docs.drop(*added)
+    bounded_batches(docs.sparkSession)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     weights = fit_document_classifier(docs, labels, fit_rows)

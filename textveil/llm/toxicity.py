@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textveil.llm.frames import stored
+from textveil.llm.frames import bounded_batches, stored
 from textveil.llm.memory import held, trimmed
 from textveil.llm.quality import fit_logistic
 from textveil.llm.words import U, cut_words, raw_bytes, slices, span_hashes, text_of
@@ -296,6 +296,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
     """
     added = ["score", "predicted", "toxic_ll", "ordinary_ll"]
     docs = docs.drop(*added)
+    bounded_batches(docs.sparkSession)
     model, (a, b, c) = fit_toxicity(docs, labels, F.lit(True) if train is None else train, **bounds)
     x = docs.withColumn("_x", _measured(model))
     score = 1 / (1 + F.exp(-(a * F.col("_x")[0] + b * F.col("_x")[1] + c)))
