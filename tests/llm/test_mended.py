@@ -184,3 +184,19 @@ def test_workers_get_some_megabytes_of_text_at_a_time(spark):
         spark.conf.unset(BATCH_BYTES)
         if before:
             spark.conf.set(BATCH_BYTES, before)
+
+
+def test_nothing_is_collected_where_nothing_is_held(monkeypatch):
+    """The quality classifier's workers collected garbage for each batch."""
+    import pyarrow as pa
+
+    from textveil.llm import memory
+    from textveil.llm.quality import measures
+
+    times = []
+    monkeypatch.setattr(memory.gc, "collect", lambda: times.append(1))
+    held("x", lambda: 1)
+    times.clear()
+    for _ in range(3):
+        measures(pa.array(["ein text"]))
+    assert len(times) == 1 and not memory._held

@@ -34,6 +34,12 @@ def released() -> None:
     trimmed()
 
 
+def forgotten() -> None:
+    """Forget what is held, if anything is; cheap enough for each batch."""
+    if _held:
+        released()
+
+
 def trimmed() -> None:
     """Give free memory back to the system."""
     pa.default_memory_pool().release_unused()

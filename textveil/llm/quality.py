@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textveil.llm.frames import bounded_batches, stored, with_group_values
-from textveil.llm.memory import released, trimmed
+from textveil.llm.memory import forgotten, trimmed
 from textveil.llm.words import cut_words, slices, span_hashes, text_of
 
 FIT_ROWS = 10_000
@@ -33,7 +33,7 @@ LETTER = UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange
 
 def measures(texts: pa.Array) -> np.ndarray:
     """One row of twelve numbers per text; an empty text has zeros."""
-    released()
+    forgotten()
     batch = pa.RecordBatch.from_arrays([texts], ["text"])
     table = np.concatenate([np.zeros((0, 12)), *(_measures(x.column("text")) for x in slices([batch], "text", 1 << 20))])
     trimmed()
