@@ -200,3 +200,63 @@ def test_nothing_is_collected_where_nothing_is_held(monkeypatch):
     for _ in range(3):
         measures(pa.array(["ein text"]))
     assert len(times) == 1 and not memory._held
+
+
+def test_a_filter_on_quality_measures_each_text_once(spark):
+    """A search for null scores was pushed below the join: two workers a task, each text measured twice."""
+    from textveil.llm.quality import score_quality
+
+    rows = [(i, f"wort {i} " * (i % 7) if i % 5 else None, "ab"[i % 2], "de") for i in range(60)] + [(None, "x y", None, None)]
+    docs = importable(spark).createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "doc_id bigint, quality int")
+    scored = score_quality(docs, labels)
+    kept = scored.where("keep")
+    assert kept._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+    everything = scored.collect()
+    assert len(everything) == 61 and not any(r.doc_log_odds is None for r in everything)
+    key = lambda r: (str(r.doc_id), r.quality_score)
+    assert sorted(map(key, kept.collect())) == sorted(key(r) for r in everything if r.keep)
+
+
+def test_toxicity_starts_no_workers_of_another_kind(spark, monkeypatch):
+    """A list of rows went through Python workers of an RDD, with a daemon of their own beside the others."""
+    from pyspark import SparkContext
+    from textveil.llm.toxicity import score_toxicity
+
+    docs = importable(spark).createDataFrame([(i, "du idiot" if i % 3 == 0 else f"guten tag {i}") for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    lists = []
+    old = SparkContext.parallelize
+    monkeypatch.setattr(SparkContext, "parallelize", lambda self, *a, **b: lists.append(1) or old(self, *a, **b))
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}
+    assert got[0] > got[1] and len(got) == 60
+    assert {r.score for r in score_toxicity(docs, labels.limit(0)).collect()} == {0.5}
+    assert not lists
+
+
+def test_packing_looks_up_one_megabyte_at_a_time(monkeypatch):
+    """Slices of 2 MB, and threads of the tokenizer, made the largest workers of the pipeline."""
+    import os
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from textveil.llm import packing
+
+    sizes = []
+
+    def ids(texts, path):
+        sizes.append(sum(len(x or "") for x in texts.to_pylist()))
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+
+    monkeypatch.setattr(packing, "token_ids", ids)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    field = SimpleNamespace(dataType=packing.T.LongType())
+    docs = SimpleNamespace(schema={"doc_id": field}, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["wort " * 20_000] * 40})
+    pieces = [x for b in packing.pack_documents(docs, "-")(iter([batch])) for x in b.column("doc_id").to_pylist()]
+    assert sorted(pieces) == list(range(40)) and sum(sizes) == 4_000_000 and max(sizes) <= 1 << 20
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    import textveil.llm.queries as queries
+
+    packing.WordIds(queries.tokenizer_path("word_bpe_49k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"

@@ -13,6 +13,7 @@ is tokenized once per Python worker and looked up by its hash after that.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from textveil.llm.memory import held
+from textveil.llm.memory import held, trimmed
 from textveil.llm.words import LOWER, cut_words, slices, span_hashes
 
 GROUP = 1 << 22
-KNOWN_MOST = 2_000_000  # words that a worker remembers; it starts anew beyond
+SLICE = 1 << 20  # bytes of text whose words are looked up at a time
+KNOWN_MOST = 500_000  # words that a worker remembers; it starts anew beyond
 JOINED = 50
 
 
@@ -32,6 +34,8 @@ class WordIds:
     """Token ids of words, remembered by hash."""
 
     def __init__(self, path: str):
+        # a task has one core; threads of their own would each keep memory, too
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -195,8 +199,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
             ids.clear()
 
         held = 0
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", SLICE):
             all_ids, counts = token_ids(part.column("text"), tokenizer)
+            trimmed()
             key = part.column("doc_id")
             at = 0
             for i, n in enumerate(counts):

@@ -199,7 +199,9 @@ def score_quality(
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     weights = fit_document_classifier(docs, labels, fit_rows)
-    rows = docs.withColumns({"_h": host.cast("string"), "_p": path.cast("string"), "doc_log_odds": document_log_odds(weights)})
+    # never null, and Spark is told so: else a filter on the score has each text measured once more, by a second worker, to look for nulls
+    doc_odds = F.coalesce(document_log_odds(weights), F.lit(0.0))
+    rows = docs.withColumns({"_h": host.cast("string"), "_p": path.cast("string"), "doc_log_odds": doc_odds})
     odds = F.col("doc_log_odds")
     narrow = stored(rows.select("doc_id", "_h", "_p", "doc_log_odds"), "evidence")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_y"))

@@ -260,7 +260,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: in
             room[r["_y"]] -= r["n"]
             taken[r["_y"]] += 1
             (check if i % 4 == 0 else fit).append(r["h"])
-    ids = spark.createDataFrame([(h, False) for h in fit] + [(h, True) for h in check], "h bigint, _check boolean")
+    # as an Arrow table: a list of rows would go through Python workers of another kind, which stay beside the others
+    ids = pa.table({"h": pa.array(fit + check, pa.int64()), "_check": pa.array([False] * len(fit) + [True] * len(check), pa.bool_())})
+    ids = spark.createDataFrame(ids)
     texts = texts.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), "h")
     counts = texts.where("not _check").select("text", "_y").mapInArrow(_word_counts, "word binary, toxic bigint, ordinary bigint")
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
