@@ -26,7 +26,7 @@ from textveil.llm.words import LOWER, cut_words, slices, span_hashes
 
 GROUP = 1 << 22
 SLICE = 1 << 20  # bytes of text whose words are looked up at a time
-KNOWN_MOST = 500_000  # words that a worker remembers; it starts anew beyond
+KNOWN_MOST = 1_000_000  # words that a worker remembers; it starts anew beyond
 JOINED = 50
 
 
@@ -45,7 +45,7 @@ class WordIds:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)  # of each key in first, by order of arrival
+        self.place = np.zeros(0, np.int32)  # of each key in first, by order of arrival
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, words: list[str]) -> list[np.ndarray]:
@@ -81,7 +81,7 @@ class WordIds:
         if not known.all():
             fresh = sample[~known]
             got = self.encode([bytes(data[start[i] : end[i]]).decode("utf-8", "replace") for i in fresh])
-            place = len(self.first) - 1 + np.arange(len(got))
+            place = len(self.first) - 1 + np.arange(len(got), dtype=np.int32)
             ends = self.first[-1] + np.cumsum([len(x) for x in got])
             self.first = np.concatenate([self.first, ends])
             self.ids = np.concatenate([self.ids, *got])
