@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textveil.operators import bayes as by
 from textveil.operators import prototypes as pr
+from textveil.operators import wordsums
 from textveil.operators.wordsums import WordTable, counted_words, sums_by_text
 
 TEXTS = ["a b a c", "c c d", "e", "", "a e e f"]
@@ -44,3 +45,19 @@ def test_rows_of_one_key_are_one_text(spark):
     got = pr.tfidf(docs, vocabulary, pr.term_dictionary(vocabulary)).collect()
     assert sorted((r.doc_id, r.id, r.tf) for r in got) == [(1, 0, 2), (1, 1, 1), (2, 1, 1)]
     assert {r.doc_id: 1.0 for r in got} == pytest.approx({k: sum(r.weight**2 for r in got if r.doc_id == k) for k in (1, 2)})
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_frequent_and_rare_words_of_a_text_are_weighed_together(spark, monkeypatch, adaptive):
+    monkeypatch.setattr(wordsums, "HELD_ROWS", 2)
+    rows = [(i, f"a b c{i % 7} d{i}") for i in range(40)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+        vocabulary = pr.fit_vocabulary(docs)
+        got = pr.tfidf(docs, vocabulary, pr.term_dictionary(vocabulary)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len({(r.doc_id, r.id) for r in got}) == len(got) == 160
+    assert {i: sum(r.weight**2 for r in got if r.doc_id == i) for i, _ in rows} == pytest.approx({i: 1.0 for i, _ in rows})
