@@ -103,6 +103,21 @@ def test_dictionary_rules(spark):
     assert held_words(["a", "b", "c"], most=2) is None
 
 
+def test_a_list_is_held_whole_or_not_at_all(spark, frame, monkeypatch):
+    from textveil.operators import dictionary
+    from textveil.operators.classify import scrub_and_classify
+
+    many = spark.range(30_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    assert held_words(many, most=20_000) is None
+    assert len(held_words(many, most=30_000)) == 30_000
+    repeated = words_frame(spark, ["a"] * 5 + ["b", "c"])
+    assert held_words(repeated, most=2) is None and held_words(repeated, most=3) == ["a", "b", "c"]
+    monkeypatch.setattr(dictionary, "MAX_BROADCAST_WORDS", 20_000)
+    docs = frame("w1 x w15000 w29999", "y").withColumn("logits", F.array(F.lit(0.0), F.lit(1.0)))
+    got = scrub_and_classify(docs, names=many).orderBy("doc_id").collect()
+    assert [(r.scrubbed, r.label) for r in got] == [("[PERSON] x [PERSON] [PERSON]", "UNSAFE"), ("y", "UNSAFE")]
+
+
 def test_no_long_digit_runs_left_and_idempotent(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     once = scrub(docs, names=["Weber"])
