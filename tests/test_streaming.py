@@ -114,3 +114,14 @@ def test_a_later_part_of_many_files_comes_whole(spark, tmp_path, monkeypatch):
     st.in_two_runs(events, part, "events", start)
     assert sizes[1] - sizes[0] > sizes[0] > 1  # many tasks have written, and will read, each part
     assert jobs.latest_states(spark, out, ["window_start", "window_end", "entity_type"]).count() == 400
+
+
+def test_a_list_too_large_to_hold_is_looked_up_whole(spark, monkeypatch):
+    from textveil.operators import dictionary
+    from textveil.plans import all_queries
+
+    run = all_queries()["r1_stream_large_list"]
+    rows = lambda: sorted(map(tuple, run(spark, "/root/testdata/sf0.001").select("doc_id", "text").collect()))
+    want = rows()
+    monkeypatch.setattr(dictionary, "MAX_BROADCAST_WORDS", 20_000)
+    assert rows() == want

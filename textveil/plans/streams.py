@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from textveil.functions.text import mask_numbers, norm_tokens, squash_ws
 from textveil.operators import anonymize as an
+from textveil.operators import dictionary as dic
+from textveil.operators.ranking import kept
 from textveil.plans import corpus as co
 from textveil.plans.registry import query, table
 from textveil.sources.workspace import new_dir
@@ -64,9 +66,15 @@ def r1_large(spark, sf):
     """A stream with more than 50,000 names: all longer words of the documents and 50,000 others."""
     words = table(spark, sf, "documents").select(F.explode(F.array_distinct(norm_tokens(squash_ws("text")))).alias("word"))
     more = spark.range(50_000).select(F.concat(F.lit("entry"), F.col("id").cast("string"), F.lit("x")).alias("word"))
-    listed = words.where(F.length("word") >= 8).unionByName(more).distinct()
+    # stored, since it is counted before it is fetched or joined
+    listed = kept(words.where(F.length("word") >= 8).unionByName(more).distinct(), "listed")
     docs = incoming(spark, sf, "documents").select("doc_id", "text")
-    return finish(jobs.scrub_stream(docs, names=listed), "scrubbed")
+    held = dic.held_words(listed)
+    if held is not None:
+        return finish(jobs.scrub_stream(docs, names=held), "scrubbed")
+    out, state = new_dir(spark, "scrubbed"), new_dir(spark, "scrubbed-state")
+    jobs.rewrite_batches(docs, lambda batch: jobs.scrub_stream(batch, names=listed), out, state).awaitTermination()
+    return spark.read.schema(docs.schema).parquet(out).select(*docs.columns)
 
 
 def in_two_runs(df, part, name, start):
