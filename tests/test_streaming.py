@@ -116,12 +116,21 @@ def test_a_later_part_of_many_files_comes_whole(spark, tmp_path, monkeypatch):
     assert jobs.latest_states(spark, out, ["window_start", "window_end", "entity_type"]).count() == 400
 
 
-def test_a_list_too_large_to_hold_is_looked_up_whole(spark, monkeypatch):
+def test_a_list_too_large_to_hold_is_looked_up_whole(spark, tmp_path, monkeypatch):
     from textveil.operators import dictionary
     from textveil.plans import all_queries
 
-    run = all_queries()["r1_stream_large_list"]
-    rows = lambda: sorted(map(tuple, run(spark, "/root/testdata/sf0.001").select("doc_id", "text").collect()))
-    want = rows()
+    words = [f"Wortlang{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    texts = [(i, f"{w}, kurz {words[-i]}. entry{i}x 1998") for i, w in enumerate(words)] + [(-1, ""), (-2, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def rows():
+        found = all_queries()["r1_stream_large_list"](spark, str(tmp_path))
+        return {r.doc_id: r.text for r in found.collect()}
+
     monkeypatch.setattr(dictionary, "MAX_BROADCAST_WORDS", 20_000)
-    assert rows() == want
+    got = rows()
+    assert got.pop(-1) == "" and got.pop(-2) is None
+    assert len(got) == 600 and set(got.values()) == {"[PERSON] kurz [PERSON] [PERSON] [DATE_YEAR]"}
+    monkeypatch.undo()
+    assert {k: v for k, v in rows().items() if k >= 0} == got
